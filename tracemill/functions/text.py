@@ -27,11 +27,11 @@ HEAD_PATTERN = (r"(?s)^Your name is (.+?) and your (?:email is (\S+?)|zip code i
 
 
 def _word(phrases: str) -> str:
-    return rf"(?i)\b({phrases})\b"
+    return rf"(?iU)\b({phrases})\b"
 
 
 def _word_or_question(phrases: str) -> str:
-    return rf"(?i)\?|\b({phrases})\b"
+    return rf"(?iU)\?|\b({phrases})\b"
 
 
 def without_stop(text: Column, stop: str = STOP_TOKEN) -> Column:

@@ -180,24 +180,23 @@ def bootstrap_cells(paired: DataFrame, cell: list[str], metrics: dict[str, tuple
     wide = cells.select(F.xxhash64(*cell).alias("h"), "m", *[d.cast("double").alias(f"d_{n}") for n, (d, _) in metrics.items()],
                         *[ok.cast("double").alias(f"k_{n}") for n, (_, ok) in metrics.items()])
     names = list(metrics)
-    width = 100
+    width = 500
     spans = wide.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // width))))
     spans = spans.repartition("span", F.pmod("h", F.lit(64)))
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, row.h & 0xFFFFFFFFFFFFFFFF, row.span])
-                size = min(width, replicates - row.span * width)
-                w = rng.poisson(row.m, size).astype(float)
-                part = {"rep": np.arange(size, dtype="int64") + row.span * width}
+            for span, g in pdf.groupby("span"):
+                size = min(width, replicates - span * width)
+                # each row draws from its own stream, so the result does not depend on batching
+                w = np.empty((len(g), size))
+                for i, (h, m) in enumerate(zip(g["h"], g["m"])):
+                    w[i] = np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF, span]).poisson(m, size)
+                part = {"rep": np.arange(size, dtype="int64") + span * width}
                 for n in names:
-                    part[f"s_{n}"] = w * getattr(row, f"d_{n}")
-                    part[f"n_{n}"] = w * getattr(row, f"k_{n}")
-                out.append(pd.DataFrame(part))
-            if out:
-                yield pd.concat(out).groupby("rep", as_index=False).sum()
+                    part[f"s_{n}"] = g[f"d_{n}"].to_numpy() @ w
+                    part[f"n_{n}"] = g[f"k_{n}"].to_numpy() @ w
+                yield pd.DataFrame(part)
     fields = "rep bigint," + ",".join(f"s_{n} double, n_{n} double" for n in names)
     drawn = spans.mapInPandas(draw, fields).groupBy("rep").agg(
         *[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in names for p in "sn"])

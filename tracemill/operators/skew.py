@@ -101,6 +101,11 @@ def hash_chunk(column: Column, digits: int = 2) -> Column:
     return F.conv(F.substring(column, 1, digits), 16, 10).cast("bigint")
 
 
+def hour_chunk(ts: str) -> Column:
+    """Order-preserving chunk of a timestamp: its hour."""
+    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
                     buckets: int = 1000) -> DataFrame:
     """Exact linear-interpolated quantiles without gathering a group: equal values are counted first,
