@@ -50,3 +50,13 @@ def roll(key: Column, salt: str, p: float) -> Column:
 def sha_is_even(text: Column) -> Column:
     """Parity of the sha256 number."""
     return F.substring(F.sha2(text, 256), -1, 1).isin("0", "2", "4", "6", "8", "a", "c", "e")
+
+
+def set_digest(text: Column) -> list[Column]:
+    """Aggregates whose joint value identifies a multiset of texts whatever their order: the count and
+    two sums of 40-bit pieces of their md5. Combines before the shuffle, unlike sorting the texts."""
+    h = F.md5(text)
+
+    def piece(start: int) -> Column:
+        return F.sum(F.conv(F.substring(h, start, 10), 16, 10).cast("decimal(20,0)"))
+    return [F.count(text).alias("n"), piece(1).alias("d1"), piece(11).alias("d2")]
