@@ -82,3 +82,42 @@ EVENT_CALLS_SQL = """event_calls AS (SELECT concat_ws('/', user_id, CAST(CAST(ts
 
 EVENT_READ = ("view", "signup")
 EVENT_AUTH = ("signup",)
+
+
+# ------------------------------------------------------------------ store entities
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per product variant: a part is a variant of the product (brand, type)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat_ws("/", "p_brand", "p_type").alias("product"), F.col("p_partkey").alias("item_id"),
+                    F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string")).alias("options"),
+                    (F.col("p_size") != 13).alias("available"), F.col("p_retailprice").alias("price"))
+
+
+VARIANTS_SQL = """variants AS (SELECT p_brand || '/' || p_type AS product, p_partkey AS item_id, p_name AS name, CAST(p_size AS VARCHAR) AS size,
+  p_size AS size_n, p_size <> 13 AS available, p_retailprice AS price FROM part)"""
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "pending").otherwise("processed")
+    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), status.alias("status"),
+                    F.col("o_orderpriority").alias("city"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("at"))
+
+
+ORDERS_SQL = """ord AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'pending' ELSE 'processed' END AS status,
+  o_orderpriority AS city, o_totalprice AS total, o_orderdate AS at FROM orders)"""
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ordered item, with its order and variant. AQE broadcasts the dimension sides when
+    their measured size allows and splits skewed partitions when not."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("item_id"),
+        F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("discount"), F.col("l_suppkey").alias("supp"))
+    return li.join(variants(spark, sf_dir), "item_id").join(orders(spark, sf_dir), "order_id")
+
+
+ITEMS_SQL = VARIANTS_SQL + ",\n" + ORDERS_SQL + """,
+items AS (SELECT l_orderkey AS order_id, l_linenumber AS pos, l_partkey AS item_id, l_returnflag AS flag, l_discount AS discount, l_suppkey AS supp,
+  v.* EXCLUDE (item_id), o.* EXCLUDE (order_id) FROM lineitem JOIN variants v ON v.item_id = l_partkey JOIN ord o ON o.order_id = l_orderkey)"""
