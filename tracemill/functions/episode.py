@@ -17,6 +17,12 @@ FAILURE_CLASSES = ("runaway", "wrong_target", "missed_write", "wrong_args", "oth
 CALL = "struct<turn_idx:int,call_idx:int,name:string,args:map<string,string>,result:string,ok:boolean,rejected:boolean>"
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it many times: lambdas are interpreted, so an expression repeated
+    inside one would be computed again at every step."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 # ------------------------------------------------------------------ record-level rules
 
 def known_termination(t: Column) -> Column:
@@ -79,7 +85,7 @@ def repeated_calls(calls_: Column) -> Column:
     """Calls identical in name and arguments to an earlier call of the episode."""
     keys = F.transform(F.filter(calls_, lambda c: F.coalesce(c["name"], F.lit("")) != ""),
                        lambda c: C.canonical_key(c["name"], c["args"]))
-    return F.size(keys) - F.size(F.array_distinct(keys))
+    return let(keys, lambda k: F.size(k) - F.size(F.array_distinct(k)))
 
 
 def auth_before_first_write(calls_: Column, read_tools: tuple[str, ...] = C.READ_TOOLS,
@@ -125,21 +131,23 @@ def _count(keys: Column, key: Column) -> Column:
     return F.size(F.filter(keys, lambda x: x.eqNullSafe(key)))
 
 
+def _keys(writes_: Column, key) -> Column:
+    return F.transform(writes_, lambda c: key(c["name"], c["args"]))
+
+
 def unrequested_writes(done: Column, gold: Column) -> Column:
     """Successful writes beyond the gold count of their (tool, target)."""
-    d = F.transform(done, lambda c: C.write_key(c["name"], c["args"]))
-    g = F.transform(gold, lambda c: C.write_key(c["name"], c["args"]))
-    return F.aggregate(F.array_distinct(d), F.lit(0),
-                       lambda acc, k: acc + F.greatest(_count(d, k) - _count(g, k), F.lit(0)))
+    both = F.struct(_keys(done, C.write_key).alias("d"), _keys(gold, C.write_key).alias("g"))
+    return let(both, lambda b: F.aggregate(F.array_distinct(b["d"]), F.lit(0), lambda acc, k: acc + F.greatest(
+        _count(b["d"], k) - _count(b["g"], k), F.lit(0))))
 
 
 def write_progress(done: Column, gold: Column) -> Column:
     """(matched, total, wrong) under multiset matching of canonical keys."""
-    d = F.transform(done, lambda c: C.canonical_key(c["name"], c["args"]))
-    g = F.transform(gold, lambda c: C.canonical_key(c["name"], c["args"]))
-    matched = F.aggregate(F.array_distinct(d), F.lit(0),
-                          lambda acc, k: acc + F.least(_count(d, k), _count(g, k)))
-    return F.struct(matched.alias("matched"), F.size(g).alias("total"), (F.size(d) - matched).alias("wrong"))
+    both = F.struct(_keys(done, C.canonical_key).alias("d"), _keys(gold, C.canonical_key).alias("g"))
+    matched = let(both, lambda b: F.aggregate(F.array_distinct(b["d"]), F.lit(0), lambda acc, k: acc + F.least(
+        _count(b["d"], k), _count(b["g"], k))))
+    return let(matched, lambda m: F.struct(m.alias("matched"), F.size(gold).alias("total"), (F.size(done) - m).alias("wrong")))
 
 
 def graded_credit(done: Column, gold: Column) -> Column:
@@ -196,16 +204,17 @@ def training_reward(success: Column, rejected: Column, wrong: Column, repeats: C
 def pair_checks(turns: Column) -> Column:
     """For each adjacent pair of agent turns: does the next prompt start with this prompt, and does
     this output sit right after it."""
-    a = agent_turns(turns)
-    steps = F.when(F.size(a) > 1, F.sequence(F.lit(1), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+    def over(a: Column) -> Column:
+        steps = F.when(F.size(a) > 1, F.sequence(F.lit(1), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def check(k: Column) -> Column:
-        cur, nxt = F.element_at(a, k), F.element_at(a, k + F.lit(1))
-        n, m = F.size(cur["prompt_token_ids"]), F.size(cur["token_ids"])
-        prefix = F.slice(nxt["prompt_token_ids"], F.lit(1), n) == cur["prompt_token_ids"]
-        span = F.slice(nxt["prompt_token_ids"], n + F.lit(1), m) == cur["token_ids"]
-        return F.struct((k - 1).alias("idx"), prefix.alias("prefix_ok"), (prefix & span).alias("mask_ok"))
-    return F.transform(steps, check)
+        def check(k: Column) -> Column:
+            cur, nxt = F.element_at(a, k), F.element_at(a, k + F.lit(1))
+            n, m = F.size(cur["prompt_token_ids"]), F.size(cur["token_ids"])
+            prefix = F.slice(nxt["prompt_token_ids"], F.lit(1), n) == cur["prompt_token_ids"]
+            span = F.slice(nxt["prompt_token_ids"], n + F.lit(1), m) == cur["token_ids"]
+            return let(prefix, lambda p: F.struct((k - 1).alias("idx"), p.alias("prefix_ok"), (p & span).alias("mask_ok")))
+        return F.transform(steps, check)
+    return let(agent_turns(turns), over)
 
 
 def is_single(checks: Column) -> Column:
@@ -224,31 +233,33 @@ def token_totals(turns: Column) -> Column:
 
 def first_divergence(turns: Column, checks: Column, context: int = 8) -> Column:
     """The first failing pair with the tokens around the point where its prompts part."""
-    a = agent_turns(turns)
+    def at_pair(x: Column) -> Column:
+        cur, nxt = F.element_at(x["a"], x["bad"]["idx"] + F.lit(1)), F.element_at(x["a"], x["bad"]["idx"] + F.lit(2))
+        two = F.struct(cur["prompt_token_ids"].alias("p"), nxt["prompt_token_ids"].alias("q"), F.size(cur["prompt_token_ids"]).alias("n"),
+                       F.try_element_at(cur["tool_calls"], F.lit(1))["name"].alias("call"), x["bad"].alias("bad"))
+        return let(two, spans)
+
+    def spans(t: Column) -> Column:
+        m = F.least(t["n"], F.size(t["q"]))
+        differs = F.zip_with(F.slice(t["p"], F.lit(1), m), F.slice(t["q"], F.lit(1), m), lambda x, y: x != y)
+        apart = F.nullif(F.array_position(differs, F.lit(True)), F.lit(0)).cast("int") - 1
+        return let(F.coalesce(apart, F.when(~t["bad"]["prefix_ok"], t["n"])), lambda at: around(t, at))
+
+    def around(t: Column, at: Column) -> Column:
+        # a divergence at position 0 reads like "none" when the window is placed, so it centres on n
+        centre = F.when(at > 0, at).otherwise(t["n"])
+        lo = F.greatest(centre - F.lit(context), F.lit(0))
+        span = centre + F.lit(context) - lo
+        return F.struct(t["bad"]["idx"].alias("turn_pair"), t["bad"]["prefix_ok"].alias("prefix_ok"), t["bad"]["mask_ok"].alias("mask_ok"),
+                        at.alias("diverges_at"), F.slice(t["p"], lo + F.lit(1), span).alias("expected"),
+                        F.slice(t["q"], lo + F.lit(1), span).alias("actual"), t["call"].alias("prior_tool_call"))
     bad = F.try_element_at(F.filter(checks, lambda c: ~c["mask_ok"]), F.lit(1))
-    cur = F.try_element_at(a, bad["idx"] + F.lit(1))
-    nxt = F.try_element_at(a, bad["idx"] + F.lit(2))
-    p, q = cur["prompt_token_ids"], nxt["prompt_token_ids"]
-    n = F.size(p)
-    m = F.least(n, F.size(q))
-    differs = F.zip_with(F.slice(p, F.lit(1), m), F.slice(q, F.lit(1), m), lambda x, y: x != y)
-    at = F.nullif(F.array_position(differs, F.lit(True)), F.lit(0)).cast("int") - 1
-    at = F.coalesce(at, F.when(~bad["prefix_ok"], n))
-    # a divergence at position 0 reads like "none" when the window is placed, so it centres on n
-    centre = F.when(at > 0, at).otherwise(n)
-    lo = F.greatest(centre - F.lit(context), F.lit(0))
-    span = centre + F.lit(context) - lo
-    return F.when(bad.isNotNull(), F.struct(
-        bad["idx"].alias("turn_pair"), bad["prefix_ok"].alias("prefix_ok"), bad["mask_ok"].alias("mask_ok"),
-        at.alias("diverges_at"), F.slice(p, lo + F.lit(1), span).alias("expected"),
-        F.slice(q, lo + F.lit(1), span).alias("actual"),
-        F.try_element_at(cur["tool_calls"], F.lit(1))["name"].alias("prior_tool_call")))
+    return let(F.struct(bad.alias("bad"), agent_turns(turns).alias("a")), lambda x: F.when(x["bad"].isNotNull(), at_pair(x)))
 
 
 def sequences(turns: Column, checks: Column) -> Column:
     """Training sequences of an episode: one when every pair is consistent, else one per agent turn.
     logprobs are null outside the generated spans; loss_mask marks those spans."""
-    a = agent_turns(turns)
     none = F.array().cast("array<double>")
 
     def gap(n: Column) -> Column:
@@ -260,17 +271,18 @@ def sequences(turns: Column, checks: Column) -> Column:
     def marks(n_gap: Column, n_out: Column) -> Column:
         return F.concat(F.array_repeat(F.lit(False), n_gap), F.array_repeat(F.lit(True), n_out))
 
-    last = F.try_element_at(a, F.lit(-1))
-    lps = F.aggregate(a, none, lambda acc, t: F.concat(
-        acc, gap(F.size(t["prompt_token_ids"]) - F.size(acc)), t["logprobs"]))
-    mask = F.aggregate(a, F.array().cast("array<boolean>"), lambda acc, t: F.concat(
-        acc, marks(F.size(t["prompt_token_ids"]) - F.size(acc), F.size(t["token_ids"]))))
-    whole = F.array(sequence_of(F.concat(last["prompt_token_ids"], last["token_ids"]), mask, lps))
-    each = F.transform(a, lambda t: sequence_of(
-        F.concat(t["prompt_token_ids"], t["token_ids"]),
-        marks(F.size(t["prompt_token_ids"]), F.size(t["token_ids"])),
-        F.concat(gap(F.size(t["prompt_token_ids"])), t["logprobs"])))
-    return F.when(F.size(a) == 0, F.array().cast(SEQUENCES)).when(is_single(checks), whole).otherwise(each)
+    def build(a: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        lps = F.aggregate(a, none, lambda acc, t: F.concat(acc, gap(F.size(t["prompt_token_ids"]) - F.size(acc)), t["logprobs"]))
+        mask = F.aggregate(a, F.array().cast("array<boolean>"), lambda acc, t: F.concat(
+            acc, marks(F.size(t["prompt_token_ids"]) - F.size(acc), F.size(t["token_ids"]))))
+        whole = F.array(sequence_of(F.concat(last["prompt_token_ids"], last["token_ids"]), mask, lps))
+        each = F.transform(a, lambda t: sequence_of(
+            F.concat(t["prompt_token_ids"], t["token_ids"]),
+            marks(F.size(t["prompt_token_ids"]), F.size(t["token_ids"])),
+            F.concat(gap(F.size(t["prompt_token_ids"])), t["logprobs"])))
+        return F.when(F.size(a) == 0, F.array().cast(SEQUENCES)).when(is_single(checks), whole).otherwise(each)
+    return let(agent_turns(turns), build)
 
 
 SEQUENCES = "array<struct<token_ids:array<int>,loss_mask:array<boolean>,logprobs:array<double>>>"

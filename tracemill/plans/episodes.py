@@ -63,7 +63,7 @@ def graded_write_credit(spark, d):
     return _derived(spark, d).select("doc_id", r6(E.graded_credit(F.col("done"), F.col("gw"))).alias("credit"))
 
 
-@query("targets_seen_before", L + """SELECT doc_id, i AS turn_idx, j AS call_idx, target, EXISTS (SELECT 1 FROM clean t WHERE t.doc_id = calls.doc_id AND t.i < calls.i AND t.role = 'tool' AND contains(t.line, target)) AS seen
+@query("targets_seen_before", L + """SELECT doc_id, i AS turn_idx, j AS call_idx, target, EXISTS (SELECT 1 FROM clean t WHERE t.doc_id = calls.doc_id AND t.i < calls.i AND t.role = 'tool' AND contains(CASE WHEN lower(substr(t.line, 1, 1)) < 'h' THEN 'Error: ' || t.line ELSE t.line END, target)) AS seen
 FROM calls WHERE is_write""")
 def targets_seen_before(spark, d):
     """Was the id of a write shown in an earlier tool result, or invented."""
@@ -115,9 +115,9 @@ def consistency_gate(spark, d):
 
 
 @query("failing_spans", K + """, bad AS (SELECT * FROM pairs WHERE NOT mask_ok QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1),
-at AS (SELECT *, coalesce((SELECT min(s) - 1 FROM (SELECT unnest(range(1, least(len(cp), len(np)) + 1)) AS s) WHERE cp[s] <> np[s]), CASE WHEN NOT prefix_ok THEN len(cp) END) AS at FROM bad),
-c AS (SELECT *, CASE WHEN at > 0 THEN at ELSE len(cp) END AS centre FROM at)
-SELECT doc_id, k AS turn_pair, prefix_ok, mask_ok, at AS diverges_at, array_to_string(cp[greatest(centre - 8, 0) + 1:centre + 8], ',') AS expected, array_to_string(np[greatest(centre - 8, 0) + 1:centre + 8], ',') AS actual, 'tool' || k AS prior_tool_call FROM c""")
+dv AS (SELECT *, coalesce((SELECT min(s) - 1 FROM (SELECT unnest(range(1, least(len(cp), len(np)) + 1)) AS s) WHERE cp[s] <> np[s]), CASE WHEN NOT prefix_ok THEN len(cp) END) AS apart FROM bad),
+c AS (SELECT *, CASE WHEN apart > 0 THEN apart ELSE len(cp) END AS centre FROM dv)
+SELECT doc_id, k AS turn_pair, prefix_ok, mask_ok, apart AS diverges_at, array_to_string(cp[greatest(centre - 8, 0) + 1:centre + 8], ',') AS expected, array_to_string(np[greatest(centre - 8, 0) + 1:centre + 8], ',') AS actual, 'tool' || k AS prior_tool_call FROM c""")
 def failing_spans(spark, d):
     f = S.failing_spans(D.doc_token_turns(spark, d).withColumnRenamed("doc_id", "episode_id"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")

@@ -14,60 +14,57 @@ from tracemill.sources.tables import table
 AGENT_WORDS, TOOL_WORDS, SECOND_CALL, GOLD_WORDS = 40, 10, 60, 50
 
 
-def _word(words: Column, i: int) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))), "[^a-z]", "")
-
-
 def _tool(word: Column) -> Column:
     c = F.substring(word, 1, 1)
     return (F.when(c < "d", "get_order_details").when(c < "i", "find_user_id_by_email").when(c < "o", "cancel_pending_order")
             .otherwise("exchange_delivered_order_items"))
 
 
-def _arguments(words: Column, at: int, other: Column | None = None) -> Column:
-    """JSON arguments of the call named by word ``at``; ``other`` replaces the last new item."""
-    w = [_word(words, at + k) for k in range(6)]
+def _arguments(words: Column, start: int, other: Column | None = None) -> Column:
+    """JSON arguments of the call named by word ``start``; ``other`` replaces the last new item."""
+    w = [words[start - 1 + k] for k in range(5)]
     order = F.substring(w[1], 1, 2).alias("order_id")
     swap = F.to_json(F.struct(order, F.array(w[2], w[3]).alias("item_ids"), F.array(w[3], w[4] if other is None else other).alias("new_item_ids")))
     return F.when(_tool(w[0]) == C.SWAP_TOOLS[1], swap).otherwise(F.to_json(F.struct(order, w[2].alias("reason"))))
 
 
-def _role(words: Column) -> Column:
-    n = F.size(words)
-    return F.when(n >= AGENT_WORDS, "assistant").when(n >= TOOL_WORDS, "tool").otherwise("user")
-
-
 def doc_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-
-    def turn(line: Column) -> Column:
-        words = F.split(line, " ")
-        role = _role(words)
-        call = lambda i, at: F.struct(F.lit(f"c{i}").alias("id"), _tool(_word(words, at)).alias("name"), _arguments(words, at).alias("arguments"))
-        calls = F.when(role == "assistant", F.when(F.size(words) >= SECOND_CALL, F.array(call(0, 1), call(1, 10))).otherwise(F.array(call(0, 1))))
-        content = F.when(F.lower(F.substring(line, 1, 1)) < "h", F.concat(F.lit("Error: "), line)).otherwise(line)
-        return F.struct(F.when(role == "assistant", "a").otherwise("e").alias("kind"), role.alias("role"),
-                        F.when(role == "assistant", line).alias("text"), F.lit("stop").alias("finish_reason"),
-                        F.when(role == "tool", content).when(role == "user", line).alias("content"), F.lit(None).cast("string").alias("tool_name"), calls.alias("tool_calls"))
-
-    def gold(line: Column) -> Column:
-        words = F.split(line, " ")
-        other = F.when(F.substring(_word(words, 5), 1, 1) < "n", _word(words, 5)).otherwise(_word(words, 6))
-        return F.when(F.size(words) >= GOLD_WORDS, F.struct(_tool(_word(words, 1)).alias("name"), C.parse_args(_arguments(words, 1, other)).alias("args")))
-    return d.select("doc_id", "source", "lang", "n_chars", F.transform(lines, turn).alias("turns"),
-                    F.filter(F.transform(lines, gold), lambda g: g.isNotNull()).alias("gold"),
-                    F.when(F.col("lang") == "en", 1).otherwise(0).alias("reward"),
-                    F.when(F.col("n_chars") > 6000, "length").otherwise("natural").alias("termination"))
+    # per line: its word count and its first words in plain letters, computed once
+    split = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != "")).withColumn(
+        "parts", F.transform("lines", lambda x: F.split(x, " ")))
+
+    def first_words(words: Column) -> Column:
+        padded = F.concat(F.slice(words, F.lit(1), F.lit(16)), F.array_repeat(F.lit(""), 16))
+        return F.transform(F.slice(padded, F.lit(1), F.lit(16)), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    facts = split.withColumn("facts", F.zip_with("lines", "parts", lambda line, words: F.struct(
+        line.alias("line"), F.size(words).alias("n"), first_words(words).alias("w"))))
+
+    def turn(f: Column) -> Column:
+        role = F.when(f["n"] >= AGENT_WORDS, "assistant").when(f["n"] >= TOOL_WORDS, "tool").otherwise("user")
+        call = lambda i, start: F.struct(F.lit(f"c{i}").alias("id"), _tool(f["w"][start - 1]).alias("name"), _arguments(f["w"], start).alias("arguments"))
+        calls = F.when(f["n"] >= SECOND_CALL, F.array(call(0, 1), call(1, 10))).when(f["n"] >= AGENT_WORDS, F.array(call(0, 1)))
+        content = F.when(F.lower(F.substring(f["line"], 1, 1)) < "h", F.concat(F.lit("Error: "), f["line"])).otherwise(f["line"])
+        return F.struct(F.when(f["n"] >= AGENT_WORDS, "a").otherwise("e").alias("kind"), role.alias("role"),
+                        F.when(f["n"] >= AGENT_WORDS, f["line"]).alias("text"), F.lit("stop").alias("finish_reason"),
+                        F.when(role == "tool", content).when(role == "user", f["line"]).alias("content"), F.lit(None).cast("string").alias("tool_name"), calls.alias("tool_calls"))
+
+    def gold(f: Column) -> Column:
+        other = F.when(F.substring(f["w"][4], 1, 1) < "n", f["w"][4]).otherwise(f["w"][5])
+        return F.struct(_tool(f["w"][0]).alias("name"), C.parse_args(_arguments(f["w"], 1, other)).alias("args"))
+    return facts.select("doc_id", "source", "lang", "n_chars", F.transform("facts", turn).alias("turns"),
+                        F.transform(F.filter("facts", lambda f: f["n"] >= GOLD_WORDS), gold).alias("gold"),
+                        F.when(F.col("lang") == "en", 1).otherwise(0).alias("reward"),
+                        F.when(F.col("n_chars") > 6000, "length").otherwise("natural").alias("termination"))
 
 
 LINES_SQL = """docs AS (SELECT doc_id, source, lang, n_chars, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM docs),
 words AS (SELECT doc_id, i, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM lines),
 clean AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS c, CASE WHEN n >= 40 THEN 'assistant' WHEN n >= 10 THEN 'tool' ELSE 'user' END AS role FROM words),
-rawcalls AS (SELECT doc_id, i, 0 AS j, 1 AS at, c, n FROM clean WHERE role = 'assistant' UNION ALL SELECT doc_id, i, 1, 10, c, n FROM clean WHERE role = 'assistant' AND n >= 60),
-named AS (SELECT doc_id, i, j, n, c[at] AS w0, coalesce(c[at+1], '') AS w1, coalesce(c[at+2], '') AS w2, coalesce(c[at+3], '') AS w3, coalesce(c[at+4], '') AS w4, coalesce(c[at+5], '') AS w5,
-  CASE WHEN substr(c[at], 1, 1) < 'd' THEN 'get_order_details' WHEN substr(c[at], 1, 1) < 'i' THEN 'find_user_id_by_email' WHEN substr(c[at], 1, 1) < 'o' THEN 'cancel_pending_order' ELSE 'exchange_delivered_order_items' END AS name FROM rawcalls),
+rawcalls AS (SELECT doc_id, i, 0 AS j, 1 AS w_at, c, n FROM clean WHERE role = 'assistant' UNION ALL SELECT doc_id, i, 1, 10, c, n FROM clean WHERE role = 'assistant' AND n >= 60),
+named AS (SELECT doc_id, i, j, n, c[w_at] AS w0, coalesce(c[w_at+1], '') AS w1, coalesce(c[w_at+2], '') AS w2, coalesce(c[w_at+3], '') AS w3, coalesce(c[w_at+4], '') AS w4, coalesce(c[w_at+5], '') AS w5,
+  CASE WHEN substr(c[w_at], 1, 1) < 'd' THEN 'get_order_details' WHEN substr(c[w_at], 1, 1) < 'i' THEN 'find_user_id_by_email' WHEN substr(c[w_at], 1, 1) < 'o' THEN 'cancel_pending_order' ELSE 'exchange_delivered_order_items' END AS name FROM rawcalls),
 keyed AS (SELECT *, substr(w1, 1, 2) AS target, CASE WHEN name LIKE 'exch%' THEN array_to_string(list_sort([w2 || '>' || w3, w3 || '>' || w4]), ',') ELSE w2 END AS detail FROM named),
 results AS (SELECT k.*, (SELECT count(*) FROM clean t WHERE t.doc_id = k.doc_id AND t.i > k.i AND t.i <= k.i + k.j + 1 AND t.role = 'tool') = k.j + 1 AS have,
   (SELECT lower(substr(t.line, 1, 1)) < 'h' FROM clean t WHERE t.doc_id = k.doc_id AND t.i = k.i + k.j + 1) AS err FROM keyed k),

@@ -74,13 +74,17 @@ def gate_from_flags(flat: DataFrame) -> DataFrame:
 
 def failing_spans(episodes: DataFrame) -> DataFrame:
     """First divergence of every episode that does not assemble as one sequence."""
-    d = episodes.select("episode_id", E.first_divergence(F.col("turns"), E.pair_checks(F.col("turns"))).alias("d"))
-    return d.where("d is not null").select("episode_id", "d.*")
+    c = episodes.withColumn("checks", E.pair_checks(F.col("turns")))
+    # A generator evaluates the record once; expanding a struct column would repeat it per field, and a
+    # filter on the checks would be pushed below the columns it needs and compute them again.
+    d = E.first_divergence(F.col("turns"), F.col("checks"))
+    return c.select("episode_id", F.inline(F.filter(F.array(d), lambda x: x.isNotNull())))
 
 
 def training_sequences(episodes: DataFrame, max_len: int) -> DataFrame:
     """One row a sequence with its training arrays; sequences over max_len are flagged, not lost."""
-    s = episodes.select("episode_id", F.posexplode(E.sequences(F.col("turns"), E.pair_checks(F.col("turns")))).alias("seq_idx", "seq"))
+    c = episodes.withColumn("checks", E.pair_checks(F.col("turns")))
+    s = c.select("episode_id", F.posexplode(E.sequences(F.col("turns"), F.col("checks"))).alias("seq_idx", "seq"))
     return s.select("episode_id", "seq_idx", F.size("seq.token_ids").alias("length"),
                     (F.size("seq.token_ids") > max_len).alias("too_long"), "seq.token_ids", "seq.loss_mask",
                     E.training_arrays(F.col("seq")).alias("t")).select("*", "t.*").drop("t")
