@@ -78,7 +78,7 @@ def simulation_lines(spark, d):
 
 @query("simulation_scan", """SELECT l_linestatus AS run, CASE WHEN l_tax = 0 THEN 'max_steps' ELSE 'user_stop' END AS ending, count(*) AS episodes, count(*) FILTER (l_discount = 0) AS dead,
   round(avg(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) FILTER (l_discount > 0), 6) AS reward, round(avg(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END) FILTER (l_discount > 0), 6) AS db_reward,
-  2.0 AS agent_turns, round(avg(2 * CAST(l_quantity * 100 AS BIGINT)), 6) AS prompt_tokens, round(avg(CASE WHEN l_tax > 0.02 THEN 2 * CAST(l_quantity AS BIGINT) ELSE 0 END), 6) AS completion_tokens,
+  2.0::DOUBLE AS agent_turns, round(avg(2 * CAST(l_quantity * 100 AS BIGINT)), 6) AS prompt_tokens, round(avg(CASE WHEN l_tax > 0.02 THEN 2 * CAST(l_quantity AS BIGINT) ELSE 0 END), 6) AS completion_tokens,
   round(avg(CASE WHEN l_tax > 0 THEN l_quantity ELSE 0 END), 6) AS sec_per_episode FROM lineitem GROUP BY ALL""")
 def simulation_scan(spark, d):
     s = R.flatten_simulation(simulation_lines(spark, d).select("run", F.from_json("value", SC.SIMULATION).alias("s")), "s")
