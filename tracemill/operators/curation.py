@@ -13,6 +13,14 @@ def sharing_tasks(signatures: DataFrame, held: DataFrame, key: list[str], task:
     return signatures.join(held.select(*key).distinct(), key, "left_semi").select(task).distinct()
 
 
+def leaks(signatures: DataFrame, key: list[str], parts: list[str], task: str = "task_id") -> DataFrame:
+    """Per task, whether it makes a write that some task of each guarded part makes (in_<part>). Input
+    rows carry the part of their task. Guarded signatures are folded to one row each before the join."""
+    guarded = signatures.where(F.col("part").isin(parts)).groupBy(*key).agg(
+        *[F.bool_or(F.col("part") == p).alias(f"in_{p}") for p in parts])
+    return signatures.join(guarded, key).groupBy(task).agg(*[F.bool_or(f"in_{p}").alias(f"in_{p}") for p in parts])
+
+
 def unique_signature_tasks(signatures: DataFrame, key: list[str], task: str = "task_id") -> DataFrame:
     """Tasks none of whose write signatures any other task makes. A signature with one owner is kept as
     (owner); a task qualifies when all its signatures are of that kind. Hot signatures collapse in the

@@ -68,8 +68,8 @@ def _verdicts(spark, d):
     gold = sigs(spark, d).groupBy("task_id").agg(*H.set_digest(F.concat_ws(":", "tool", "target")))
     first = gold.groupBy("n", "d1", "d2").agg(F.min("task_id").alias("task_id")).select("task_id", F.lit(True).alias("first"))
     s = sigs(spark, d)
-    held, val = (C.sharing_tasks(s, _of(spark, d, p), KEY).withColumn(f"in_{p}", F.lit(True)) for p in ("held", "val"))
-    j = parts(spark, d).where("part = 'train'").join(acts, "task_id", "left").join(held, "task_id", "left").join(val, "task_id", "left").join(first, "task_id", "left")
+    shared = C.leaks(s.join(parts(spark, d).select("task_id", "part"), "task_id"), KEY, ["held", "val"])
+    j = parts(spark, d).where("part = 'train'").join(acts, "task_id", "left").join(shared, "task_id", "left").join(first, "task_id", "left")
     none = F.coalesce("writes", F.lit(0)) == 0
     return j.select("task_id", "family", C.first_failure({
         "schema": F.col("price") < 5000, "replay": F.col("replay_error"), "no state change": none,

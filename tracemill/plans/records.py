@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.plans.registry import query, r6
-from tracemill.session import work_folder
+from tracemill.session import spread_small_scan, work_folder
 from tracemill.sources import episodes as EP
 from tracemill.sources import runs as R
 from tracemill.sources import schema as SC
@@ -37,7 +37,7 @@ def damaged_lines(spark, d):
 
 def episode_lines(spark, d):
     """Each rollout as the JSON text of an episode record, some with faults."""
-    li = T.table(spark, d, "lineitem")
+    li = spread_small_scan(T.table(spark, d, "lineitem").drop("l_extendedprice", "l_shipdate"))
     out = F.array(F.lit(1), F.lit(2), F.lit(3))
     lps = F.when(F.col("l_tax") == 0.08, F.array(F.lit(-0.1))).otherwise(F.array(F.lit(-0.1), F.lit(-0.2), F.lit(-0.3)))
     turn = F.struct(F.lit("a").alias("_k"), F.lit("assistant").alias("role"), out.alias("prompt_token_ids"), out.alias("token_ids"), lps.alias("logprobs"), F.lit("hi").alias("text"))
@@ -66,7 +66,7 @@ def episode_store_through_checkpoint(spark, d):
 
 
 def simulation_lines(spark, d):
-    li = T.table(spark, d, "lineitem")
+    li = spread_small_scan(T.table(spark, d, "lineitem").drop("l_extendedprice", "l_shipdate"))
     usage = F.struct((F.col("l_quantity") * 100).cast("bigint").alias("prompt_tokens"), F.when(F.col("l_tax") > 0.02, F.col("l_quantity").cast("bigint")).alias("completion_tokens"))
     msg = lambda role, u: F.struct(F.lit(role).alias("role"), u.alias("usage"), F.array(F.struct(F.lit("think").alias("name"))).alias("tool_calls"))
     info = F.when(F.col("l_discount") > 0, F.struct(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0).alias("reward"), F.struct(F.when(F.col("l_returnflag") == "A", 0.0).otherwise(1.0).alias("db_reward")).alias("db_check")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import calls as C
+from tracemill.session import spread_small_scan
 from tracemill.sources.tables import table
 
 AGENT_WORDS, TOOL_WORDS, SECOND_CALL, GOLD_WORDS = 40, 10, 60, 50
@@ -29,7 +30,7 @@ def _arguments(words: Column, start: int, other: Column | None = None) -> Column
 
 
 def doc_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread_small_scan(table(spark, sf_dir, "documents"))
     # per line: its word count and its first words in plain letters, computed once
     split = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != "")).withColumn(
         "parts", F.transform("lines", lambda x: F.split(x, " ")))
@@ -76,7 +77,7 @@ gold AS (SELECT doc_id, name, target, CASE WHEN name LIKE 'exch%' THEN array_to_
 def doc_token_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four agent turns cut from the text at its quarters. The last two are rendered with line breaks as
     spaces, so a break inside the shared history makes the prompts part."""
-    d = table(spark, sf_dir, "documents")
+    d = spread_small_scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
     def tokens(t: Column) -> Column:
         return F.transform(F.split(t, " "), lambda w: (F.ascii(w) * 100 + F.char_length(w)).cast("int"))
