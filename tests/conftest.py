@@ -11,7 +11,7 @@ from tracemill.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", master="local[8]", shuffle_partitions=8, **{
-        "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

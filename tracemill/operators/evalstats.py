@@ -153,14 +153,19 @@ def interval(reps: DataFrame, keys: list[str], value: str, replicates: int, lo:
 
 
 def bootstrap(tasks: DataFrame, metrics: dict[str, tuple[Column, Column]], replicates: int, seed: int = 300,
-              keys: list[str] | None = None, id_col: str = "task_id") -> DataFrame:
+              keys: list[str] | None = None, id_col: str = "task_id", labels: str | None = None) -> DataFrame:
     """Poisson bootstrap over tasks for several metrics that share their draws. A metric is a pair
     (difference, in denominator). Tasks are never shuffled: each partition folds its tasks into at
-    most ``replicates`` partial sums."""
+    most ``replicates`` partial sums. ``labels`` names an array column of overlapping groups: a task is
+    drawn once and counted under each of its labels."""
     keys = keys or []
-    pre = tasks.select(*keys, id_col, *[d.cast("double").alias(f"d_{m}") for m, (d, _) in metrics.items()],
+    extra = [labels] if labels else []
+    pre = tasks.select(*keys, *extra, id_col, *[d.cast("double").alias(f"d_{m}") for m, (d, _) in metrics.items()],
                        *[ok.cast("int").alias(f"k_{m}") for m, (_, ok) in metrics.items()])
     weighted = replicate_weights(pre, id_col, replicates, seed)
+    if labels:
+        weighted = weighted.withColumn("label", F.explode(labels))
+        keys = keys + ["label"]
     sums = weighted.groupBy(*keys, "rep").agg(
         *[F.sum(F.col("w") * F.col(f"d_{m}")).alias(f"s_{m}") for m in metrics],
         *[F.sum(F.col("w") * F.col(f"k_{m}")).alias(f"n_{m}") for m in metrics])

@@ -1,38 +1,37 @@
 """Building blocks that keep a group from landing in one task.
 
 One key may hold a large share of all rows. Aggregates are safe (they combine before the shuffle);
-joins back to such a key and windows over it are not. Keys above a share of the total are called
-heavy. There can be fewer than ``share`` of them, which is the proof behind every broadcast here;
-all other keys go through an ordinary shuffle. No row is dropped or sampled."""
+joins back to such a key and windows over it are not. The largest keys, at most ``LARGEST`` of them, are
+called heavy; that limit is the proof behind every broadcast here. Any other key holds less than
+1/LARGEST of all rows (or few rows) and goes through an ordinary shuffle. No row is dropped or sampled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARE = 20_000        # a key is heavy above 1/SHARE of all rows, so fewer than SHARE keys can be
-MIN_ROWS = 200_000    # and only when it has at least this many rows
+LARGEST = 20_000      # how many of the largest keys can be heavy
+MIN_ROWS = 200_000    # a key with fewer rows never is
 SALTS = 512
 
 
-def heavy(counts: DataFrame, count: str, share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The heavy rows of a per-key count table."""
-    total = counts.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
-    return counts.where((F.col(count) >= F.lit(min_rows)) & (F.col(count) * F.lit(share) > total))
+def heavy(counts: DataFrame, count: str, largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The heavy rows of a per-key count table: a filter and a bounded top-n over the keys."""
+    return counts.where(F.col(count) >= F.lit(min_rows)).orderBy(F.desc(count)).limit(largest)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
-    return heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n", share, min_rows).select(*keys)
+def heavy_keys(df: DataFrame, keys: list[str], largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
+    return heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n", largest, min_rows).select(*keys)
 
 
 def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, spread: list[str],
-           how: str = "inner", share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+           how: str = "inner", largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """Join per-key ``stats`` (one row per key, with its row count) back to ``fact``.
 
     Heavy keys come from a broadcast; their fact rows then take a salted key in the shuffle join, so
     they spread over many tasks and match nothing there. Light keys join as usual. One pass over fact."""
     cols = [c for c in stats.columns if c not in keys]
-    hot = F.broadcast(heavy(stats, count, share, min_rows).select(
+    hot = F.broadcast(heavy(stats, count, largest, min_rows).select(
         *keys, F.struct(*cols).alias("_hot")))
     salted = fact.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
@@ -45,20 +44,20 @@ def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, sprea
 
 
 def with_chunk(df: DataFrame, keys: list[str], chunk: Column, out: str = "_chunk",
-               share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+               largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """Add a chunk column: ``chunk`` for rows of heavy keys, null for the rest. ``chunk`` must not
     decrease along the order a later window uses."""
-    hot = F.broadcast(heavy_keys(df, keys, share, min_rows).withColumn("_is_hot", F.lit(True)))
+    hot = F.broadcast(heavy_keys(df, keys, largest, min_rows).withColumn("_is_hot", F.lit(True)))
     return df.join(hot, keys, "left").withColumn(out, F.when(F.col("_is_hot"), chunk)).drop("_is_hot")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
-            sums: dict[str, Column], share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+            sums: dict[str, Column], largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """Running sums along ``order`` within ``keys`` (current row included), for groups of any size.
 
     A heavy group is cut into chunks; each chunk is scanned by its own task, starting from the total of
     the chunks before it, which comes from a small per-chunk aggregate."""
-    cut = with_chunk(df, keys, chunk, share=share, min_rows=min_rows)
+    cut = with_chunk(df, keys, chunk, largest=largest, min_rows=min_rows)
     for name, expr in sums.items():
         cut = cut.withColumn(f"_v_{name}", expr)
     part = cut.where("_chunk is not null").groupBy(*keys, "_chunk").agg(
@@ -76,9 +75,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
 
 
 def position(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, out: str,
-             share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+             largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """row_number within ``keys`` for groups of any size."""
-    return running(df, keys, order, chunk, {out: F.lit(1).cast("bigint")}, share, min_rows)
+    return running(df, keys, order, chunk, {out: F.lit(1).cast("bigint")}, largest, min_rows)
 
 
 def beside(df: DataFrame, keys: list[str], index: str, order: list[Column], reach_back: int,

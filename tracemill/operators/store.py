@@ -201,16 +201,20 @@ def conflict_requests(items: DataFrame, variants: DataFrame) -> DataFrame:
     return cand.join(low, "product").where(a.isNotNull() & (b.isNull() | (a["v"] != b["v"]))).select("order_id", "item_id", a["id"].alias("to_id"))
 
 
-def choices(items: DataFrame, variants: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
-    """List-and-choose targets: an option value that 2-4 available alternatives of the item share, all
-    at different prices. Counts come first, so prices are listed only for pools that small."""
+def choices(items: DataFrame, variants: DataFrame, u: Column, least: int = 2, most: int = 4) -> DataFrame:
+    """List-and-choose targets: per item one option value of its product, picked by ``u`` in [0, 1), that
+    2-4 available alternatives share at different prices. Pools are counted first and listed only when
+    that small; an item joins its one pool by number, so items and pools are never multiplied."""
     pools = option_pools(variants).where("k <> '*'")
-    small = pools.groupBy("product", "k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most + 1))
-    lists = pools.join(small.select("product", "k", "v"), ["product", "k", "v"], "left_semi").groupBy("product", "k", "v").agg(
-        F.array_sort(F.collect_list(F.struct("price", "item_id"))).alias("all"))
-    j = items.select("order_id", "item_id", "product").distinct().join(lists, "product")
-    rest = F.filter("all", lambda x: x["item_id"] != F.col("item_id"))
-    j = j.withColumn("rest", rest).where(F.size("rest").between(least, most) & (F.size(F.array_distinct(F.transform("rest", lambda x: x["price"]))) == F.size("rest")))
+    small = pools.groupBy("product", "k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most + 1)).drop("n")
+    small = small.withColumn("d", F.md5(F.concat_ws(":", "k", "v")))
+    numbered = skew.position(small, ["product"], [F.col("d"), F.col("k")], skew.hash_chunk(F.col("d"), 3), "no").drop("d")
+    sizes = numbered.groupBy("product").agg(F.max("no").alias("pools"))
+    lists = pools.join(numbered, ["product", "k", "v"]).groupBy("product", "k", "v", "no").agg(F.array_sort(F.collect_list(F.struct("price", "item_id"))).alias("all"))
+    once = items.groupBy("order_id", "product").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).where("n = 1").drop("n")
+    j = once.join(sizes, "product").withColumn("no", F.floor(u * F.col("pools")).cast("bigint") + 1).join(lists, ["product", "no"])
+    j = j.withColumn("rest", F.filter("all", lambda x: x["item_id"] != F.col("item_id"))).where(
+        F.size("rest").between(least, most) & (F.size(F.array_distinct(F.transform("rest", lambda x: x["price"]))) == F.size("rest")))
     return j.select("order_id", "item_id", "k", "v", F.element_at("rest", 1)["item_id"].alias("cheapest"), F.element_at("rest", -1)["item_id"].alias("dearest"),
                     F.array_join(F.transform("rest", lambda x: X.trimmed_money(x["price"])), ", ").alias("prices"))
 

@@ -236,7 +236,7 @@ def _labelled(spark, d):
     labels = F.filter(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in LABELS.items()]), lambda x: x.isNotNull())
     tagged = part.select(F.col("p_partkey").alias("task_id"), labels.alias("labels"))
     j = b.join(tagged, "task_id").select(
-        "task_id", F.explode("labels").alias("label"), (F.col("c_base") / F.col("n_base")).alias("base"),
+        "task_id", "labels", (F.col("c_base") / F.col("n_base")).alias("base"),
         (F.col("c_trained") / F.col("n_trained") - F.col("c_base") / F.col("n_base")).alias("d"))
     return j
 
@@ -244,14 +244,14 @@ def _labelled(spark, d):
 @query("task_type_breakdown", "WITH " + BREAK_SQL + """SELECT label, count(*) AS n, round(avg(base), 6) AS base, round(avg(d), 6) AS diff,
   count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM labelled GROUP BY label""")
 def task_type_breakdown(spark, d):
-    return _labelled(spark, d).groupBy("label").agg(
+    return _labelled(spark, d).withColumn("label", F.explode("labels")).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("base")).alias("base"), r6(F.avg("d")).alias("diff"),
         F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
 
 
 @query("task_type_bootstrap", "WITH " + BREAK_SQL + boot_sql("labelled", {"diff": ("d", "1")}, "label", seed=0, reps=80))
 def task_type_bootstrap(spark, d):
-    return _round_interval(V.bootstrap(_labelled(spark, d), {"diff": (F.col("d"), F.lit(1))}, 80, seed=0, keys=["label"]), ["label"])
+    return _round_interval(V.bootstrap(_labelled(spark, d), {"diff": (F.col("d"), F.lit(1))}, 80, seed=0, labels="labels"), ["label"])
 
 
 @query("reward_trend_gate", "WITH " + T.TRIALS_SQL + """,

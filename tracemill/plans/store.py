@@ -8,6 +8,7 @@ from tracemill.functions import hashing as H
 from tracemill.functions import text as X
 from tracemill.operators import skew
 from tracemill.operators import store as S
+from tracemill.plans.difficulty import uniform_sql
 from tracemill.plans.registry import query, r6
 from tracemill.sources import tables as T
 
@@ -102,11 +103,14 @@ def conflict_requests(spark, d):
 
 
 @query("list_and_choose", I + """, pools AS (SELECT product, 'name' AS k, name AS v, item_id, price FROM variants WHERE available UNION ALL SELECT product, 'size', size, item_id, price FROM variants WHERE available),
-c AS (SELECT i.order_id, i.item_id, p.k, p.v, count(*) AS n, count(DISTINCT p.price) AS np, min_by(p.item_id, p.price) AS cheapest, max_by(p.item_id, p.price) AS dearest,
-  string_agg(rtrim(rtrim(printf('%.2f', p.price), '0'), '.'), ', ' ORDER BY p.price) AS prices FROM (SELECT DISTINCT order_id, item_id, product FROM items) i JOIN pools p ON p.product = i.product AND p.item_id <> i.item_id GROUP BY ALL)
+small AS (SELECT product, k, v, row_number() OVER (PARTITION BY product ORDER BY md5(k || ':' || v), k) AS no, count(*) OVER (PARTITION BY product) AS pools FROM (SELECT product, k, v FROM pools GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5)),
+once AS (SELECT order_id, product, min(item_id) AS item_id FROM items GROUP BY ALL HAVING count(*) = 1),
+picked AS (SELECT o.*, s.k, s.v FROM once o JOIN small s ON s.product = o.product AND s.no = CAST(floor(""" + uniform_sql(8, "choose", "(order_id || ':' || o.item_id)") + """ * s.pools) AS BIGINT) + 1),
+c AS (SELECT i.order_id, i.item_id, i.k, i.v, count(*) AS n, count(DISTINCT p.price) AS np, min_by(p.item_id, p.price) AS cheapest, max_by(p.item_id, p.price) AS dearest,
+  string_agg(rtrim(rtrim(printf('%.2f', p.price), '0'), '.'), ', ' ORDER BY p.price) AS prices FROM picked i JOIN pools p ON p.product = i.product AND p.k = i.k AND p.v = i.v AND p.item_id <> i.item_id GROUP BY ALL)
 SELECT order_id, item_id, k, v, cheapest, dearest, prices FROM c WHERE n BETWEEN 2 AND 4 AND np = n""")
 def list_and_choose(spark, d):
-    return S.choices(T.order_items(spark, d), T.variants(spark, d))
+    return S.choices(T.order_items(spark, d), T.variants(spark, d), H.uniform(8, "choose", F.col("order_id"), F.col("item_id")))
 
 
 @query("request_bundles", """WITH w AS (SELECT o_custkey AS user_id, l_orderkey AS order_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderstatus <> 'P' GROUP BY ALL),
