@@ -123,6 +123,20 @@ def test_settlement_flushes_partials(spark, tmp_path):
     assert {(r.group_id, r.landed, r.verdict) for r in spark.table("settled").collect()} == {("t1", 4, "kept"), ("bad", 4, "dropped"), ("short", 2, "dropped")}
 
 
+def test_stale_run_raises_an_alert(spark, tmp_path):
+    src = pieces(spark.createDataFrame([("r1", 1), ("r1", 2)], "run string, n int"), str(tmp_path / "in"), 1)
+    q = (M.stale_alerts(S.table_stream(spark, src), "run", 1 / 60).writeStream.outputMode("append").format("memory").queryName("stale")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start())
+    try:
+        for _ in range(30):
+            if spark.table("stale").count():
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("stale").collect()] == [("r1", 2, "no progress")]
+
+
 def test_ledger_and_watchdog_count_ids_once(spark, tmp_path):
     rows = [("r", f"s{i % 6}", 1.0, f"2024-01-01 0{i % 6}:00:00") for i in range(12)]
     df = spark.createDataFrame(rows, "run string, id string, usd double, at string").withColumn("at", F.col("at").cast("timestamp"))

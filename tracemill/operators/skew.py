@@ -36,7 +36,10 @@ def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, sprea
     salted = fact.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
             F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")))
-    cold = stats.select(*keys, F.lit(0).alias("_salt"), F.struct(*cols).alias("_cold"))
+    # always 0, but not a literal: a literal would be folded into a join condition and the salt would
+    # no longer be part of the shuffle key
+    zero = F.pmod(F.col(count), F.lit(1)).cast("int")
+    cold = stats.select(*keys, zero.alias("_salt"), F.struct(*cols).alias("_cold"))
     out = salted.join(cold, keys + ["_salt"], "left").withColumn("_st", F.coalesce("_hot", "_cold"))
     if how == "inner":
         out = out.where(F.col("_st").isNotNull())

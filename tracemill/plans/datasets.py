@@ -87,6 +87,16 @@ def drop_reason_counts(spark, d):
     return _verdicts(spark, d).groupBy("family", F.coalesce("reason", F.lit("keep")).alias("reason")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
+@query("write_count_report", SIG_SQL + """, w AS (SELECT parts.task_id, family, part, count(tool) AS writes FROM parts LEFT JOIN sigs USING (task_id) GROUP BY ALL)
+SELECT family, part, count(*) AS tasks, round(avg(CAST(writes >= 3 AS INTEGER)), 6) AS many_writes, round(avg(CAST(writes = 0 AS INTEGER)), 6) AS no_write, round(avg(writes), 6) AS mean_writes FROM w GROUP BY family, part""")
+def write_count_report(spark, d):
+    """Shares of tasks with three or more writes and with none, per family and part."""
+    n = sigs(spark, d).groupBy("task_id").agg(F.count(F.lit(1)).alias("writes"))
+    w = parts(spark, d).select("task_id", "family", "part").join(n, "task_id", "left").withColumn("writes", F.coalesce("writes", F.lit(0)))
+    return w.groupBy("family", "part").agg(F.count(F.lit(1)).alias("tasks"), r6(F.avg((F.col("writes") >= 3).cast("int"))).alias("many_writes"),
+                                           r6(F.avg((F.col("writes") == 0).cast("int"))).alias("no_write"), r6(F.avg("writes")).alias("mean_writes"))
+
+
 @query("unique_signature_tasks", SIG_SQL + """, own AS (SELECT DISTINCT task_id, tool, target FROM sigs),
 n AS (SELECT tool, target, count(*) AS owners FROM own GROUP BY ALL)
 SELECT task_id FROM own JOIN n USING (tool, target) GROUP BY task_id HAVING bool_and(owners = 1)""")
