@@ -58,8 +58,8 @@ def test_ledger_round_trip(spark, tmp_path):
 def test_episode_store(spark, tmp_path):
     df = spark.createDataFrame([(f"e{i}", i % 3, i) for i in range(30)], "episode_id string, batch_id int, v int")
     path = str(tmp_path / "store")
-    EP.write_episodes(df, path, 2)
-    EP.write_episodes(df.where("batch_id = 1").withColumn("v", F.lit(-1)), path, 2)  # rewriting a batch replaces only it
+    EP.write_episodes(df, path)
+    EP.write_episodes(df.where("batch_id = 1").withColumn("v", F.lit(-1)), path)  # rewriting a batch replaces only it
     got = spark.read.parquet(path)
     assert got.count() == 30 and got.where("v = -1").count() == 10 and EP.keep_through(got, 1).count() == 20
 

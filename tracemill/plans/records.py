@@ -60,7 +60,7 @@ def episode_store_through_checkpoint(spark, d):
     """Write the episode table by batch, then read the records up to a checkpoint: a partition filter."""
     path = work_folder(spark, "episodes")
     t = T.rollouts(spark, d)
-    EP.write_episodes(t, path, files_per_batch=1 if d.endswith(("sf0.001", "sf0.01", "sf0.1")) else 16)
+    EP.write_episodes(t, path)
     kept = EP.keep_through(spark.read.parquet(path), 40)
     return kept.groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("episodes"), F.sum("reward").alias("reward"))
 

@@ -27,12 +27,11 @@ def with_run_and_batch(df: DataFrame) -> DataFrame:
             .withColumn("batch_dir", F.regexp_extract("source_file", r"/([^/]+)/[^/]+$", 1)))
 
 
-def write_episodes(df: DataFrame, path: str, files_per_batch: int = 16) -> None:
+def write_episodes(df: DataFrame, path: str) -> None:
     """Append by batch. The commit protocol makes the write all-or-nothing, and rewriting a batch
-    replaces just that batch. Rows of one batch are spread over several files so that a batch
-    holding most rows is not written by one task."""
-    spread = F.pmod(F.xxhash64("episode_id"), F.lit(files_per_batch))
-    (df.repartition("batch_id", spread).write.mode("overwrite")
+    replaces just that batch. The rebalance hint gathers a batch into few files, and splits one that
+    holds most rows over several tasks."""
+    (df.hint("rebalance", "batch_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
@@ -90,9 +89,6 @@ def training_sequences(episodes: DataFrame, max_len: int) -> DataFrame:
                     E.training_arrays(F.col("seq")).alias("t")).select("*", "t.*").drop("t")
 
 
-MESSAGE = "struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
-
-
 def chat_messages(turns: Column, system: str, greeting: str) -> Column:
     """The chat transcript of a record: system, greeting, then the turns. A tool message takes the id of
     the call it answers: its place in the run of tool messages after the agent turn."""
