@@ -6,7 +6,7 @@
    keeps only windows whose counters all show two and groups them exactly by a 128-bit hash. Inside a run of windows
    one task keeps only the first start of each hash, the rest are known repeats; so a hash sends at most one row per
    run to its group, whatever the number of copies.
-3. Starts of repeated windows return to their documents, whose words they cover.
+3. Starts of repeated windows return to their documents in bundles, and the words they cover go.
 
 Null ids sort last; rows that share an id are told apart by their text, rows equal in both are one document (each row
 is returned). Null and empty texts have no words and hash the empty string."""
@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
-ROWS = 2
+ROWS = 3
 BLOCK_BITS = 20           # slots of one merge block: 2^20
 RUN = 2_000_000           # windows a task handles at a time
 LAST_ID = 2 ** 63 - 1
+RECORD = np.dtype([("doc", "<i8"), ("tid", "<i8"), ("start", "<i4")])
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def sketch_bits(text_bytes: int, most: int = 28) -> int:
@@ -53,7 +56,8 @@ def _hashed(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndar
 
 
 def _slots(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(h >> np.uint64(64 - bits)).astype(np.int64) for h in (h1, h2)]
+    """A slot in each hash row; the rows' hashes are two independent ones and their mixture."""
+    return [(h >> np.uint64(64 - bits)).astype(np.int64) for h in (h1, h2, common.mix(h1 + (h2 << np.uint64(1))))]
 
 
 def pack_gaps(values: np.ndarray) -> bytes:
@@ -136,7 +140,7 @@ def _first_of_each(k1, k2, doc, at):
     return order, first
 
 
-def _estimated(size: int, bits: int, table):
+def _estimated(size: int, bits: int, table, n_bundles: int):
     def run(frames):
         held, n, bitmaps = [], 0, table.value
 
@@ -145,13 +149,12 @@ def _estimated(size: int, bits: int, table):
                 return
             k1, k2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
             order, first = _first_of_each(k1, k2, doc, at)
-            # kind 0: the earliest start of a hash in this run; kind 1: a start known to repeat an earlier one
-            kind = np.where(first, 0, 1).astype(np.int8)
-            k1, k2, doc, at = k1[order].view(np.int64), k2[order].view(np.int64), doc[order], at[order]
-            k1 = np.where(first, k1, common.mix(doc.view(np.uint64)).view(np.int64))
+            for name, blob in bundles(doc[order[~first]], at[order[~first]], n_bundles):   # repeats of an earlier start in this run
+                yield pd.DataFrame({"k1": name, "k2": 0, "doc": 0, "at": 0, "blob": [blob]})
+            order = order[first]                                                            # one row for each hash
             for i in range(0, len(order), 200_000):
-                j = slice(i, i + 200_000)
-                yield pd.DataFrame({"k1": k1[j], "k2": np.where(first[j], k2[j], 0), "doc": doc[j], "at": at[j], "kind": kind[j]})
+                j = order[i:i + 200_000]
+                yield pd.DataFrame({"k1": k1[j].view(np.int64), "k2": k2[j].view(np.int64), "doc": doc[j], "at": at[j], "blob": None})
         for h1, h2, doc, at in _hashed(frames, size):
             hit = np.ones(len(h1), bool)
             for row, s in enumerate(_slots(h1, h2, bits)):
@@ -166,50 +169,80 @@ def _estimated(size: int, bits: int, table):
     return run
 
 
-def _later(frames):
-    """From rows in key order: starts that are not the first of their hash, packed by document."""
-    last = (None, None)
-    held, n = [], 0
+def bundles(doc: np.ndarray, at: np.ndarray, n_bundles: int) -> list[tuple[int, bytes]]:
+    """Starts packed by a hash of their document: (bundle, little-endian (doc, tid, start) records)."""
+    if not len(doc):
+        return []
+    name = (common.mix(doc.view(np.uint64)) % np.uint64(n_bundles)).astype(np.int64)
+    order = np.lexsort((at, doc, name))
+    rows = np.empty(len(doc), RECORD)
+    rows["doc"], rows["tid"], rows["start"], name = doc[order], at[order] & 0xFFFFFFFF, at[order] >> 32, name[order]
+    edge = np.flatnonzero(np.diff(name, prepend=-1))
+    return [(int(name[a]), PACK.compress(rows[a:b].tobytes())) for a, b in zip(edge, [*edge[1:], len(name)], strict=True)]
+
+
+def _later(n_bundles: int):
+    """From rows in key order: starts that are not the first of their hash, bundled; bundles that are there already pass."""
+    def run(frames):
+        last, held, n = (None, None), [], 0
+
+        def flush():
+            return pd.DataFrame(bundles(*(np.concatenate(x) for x in zip(*held, strict=True)), n_bundles), columns=["bundle", "blob"])
+        for pdf in frames:
+            done = pdf["blob"].notna().to_numpy()
+            if done.any():
+                yield pd.DataFrame({"bundle": pdf["k1"][done], "blob": pdf["blob"][done]})
+                pdf = pdf[~done]
+            k1, k2 = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64)
+            if not len(k1):
+                continue
+            same = np.zeros(len(k1), bool)
+            same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+            same[0] = last == (k1[0], k2[0])
+            last = (k1[-1], k2[-1])
+            if same.any():
+                held.append((pdf["doc"].to_numpy(np.int64)[same], pdf["at"].to_numpy(np.int64)[same]))
+                n += int(same.sum())
+            if n >= RUN:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+    return run
+
+
+def _gathered(frames):
+    """Bundles arrive in order; one is unpacked at a time into a row for each of its documents."""
+    now, held = None, []
 
     def flush():
-        doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        tid = at & 0xFFFFFFFF
-        order = np.lexsort((at, tid, doc))
-        doc, at, tid = doc[order], at[order], tid[order]
-        edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]))))
-        rows = [(int(doc[a]), int(tid[a]), (at[a:b] >> 32).astype(np.int32).tobytes()) for a, b in zip(edge, [*edge[1:], len(doc)], strict=True)]
-        return pd.DataFrame(rows, columns=["doc", "tid", "starts"])
+        rows = np.sort(np.concatenate(held))
+        edge = np.flatnonzero(np.concatenate(([True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tid"][1:] != rows["tid"][:-1]))))
+        starts = rows["start"].astype("<i4")
+        return pd.DataFrame([(int(rows["doc"][a]), int(rows["tid"][a]), starts[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(rows)], strict=True)],
+                            columns=["doc", "tid", "starts"])
     for pdf in frames:
-        k1, k2, kind = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64), pdf["kind"].to_numpy(np.int8)
-        if not len(k1):
-            continue
-        same = np.zeros(len(k1), bool)
-        same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (kind[1:] == kind[:-1])
-        same[0] = kind[0] == 0 and last == (k1[0], k2[0])
-        last = (k1[-1], k2[-1]) if kind[-1] == 0 else (None, None)
-        again = (same & (kind == 0)) | (kind == 1)
-        if again.any():
-            held.append((pdf["doc"].to_numpy(np.int64)[again], pdf["at"].to_numpy(np.int64)[again]))
-            n += int(again.sum())
-        if n >= RUN:
-            yield flush()
-            held, n = [], 0
+        for bundle, blob in zip(pdf["bundle"], pdf["blob"], strict=True):
+            if bundle != now and held:
+                yield flush()
+                held = []
+            now = bundle
+            held.append(np.frombuffer(UNPACK.decompress(blob), RECORD))
     if held:
         yield flush()
 
 
 def repeated_starts(docs: DataFrame, size: int = 20, most_bits: int = 28) -> DataFrame:
-    """(doc, tid, starts): little-endian 32-bit starts of windows that also start earlier; several rows a document."""
+    """(doc, tid, starts): little-endian 32-bit starts of a document's windows that also start earlier."""
     spark = docs.sparkSession
     keyed = common.rows_keyed(docs)
     text_bytes = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = sketch_bits(text_bytes, most_bits)
     table = spark.sparkContext.broadcast(repeated_bits(keyed, size, bits))
-    rows = keyed.select("text", "doc", "tid").mapInPandas(_estimated(size, bits, table), "k1 long, k2 long, doc long, at long, kind byte")
-    # by key, then by kind, so that rows of a key stand together, in the order of their starts
-    return rows.repartition("k1").sortWithinPartitions("k1", "kind", "k2", "doc", "at").mapInPandas(_later, "doc long, tid long, starts binary")
+    n_bundles = min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = keyed.select("text", "doc", "tid").mapInPandas(_estimated(size, bits, table, n_bundles), "k1 long, k2 long, doc long, at long, blob binary")
+    later = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "at").mapInPandas(_later(n_bundles), "bundle long, blob binary")
+    return later.repartition("bundle").sortWithinPartitions("bundle").mapInPandas(_gathered, "doc long, tid long, starts binary")
 
 
 def _cut(size: int):
@@ -221,7 +254,7 @@ def _cut(size: int):
                 kept = words
                 if starts is not None and len(starts):
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.frombuffer(b"".join(starts), np.int32))
+                    at = np.unique(np.frombuffer(starts, "<i4")).astype(np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, np.minimum(at + size, len(words)), -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
@@ -243,7 +276,6 @@ def dedup(docs: DataFrame, size: int = 20, most_bits: int = 28) -> DataFrame:
     hit = common.has_bit(table, F.xxhash64("doc", "tid"), bits)
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     # only documents with repeats (and a few more: the bitmap may err that way) are shuffled to meet their starts
-    whole = keyed.where(~hit).select("doc", "text", F.lit(None).cast("array<binary>").alias("starts"))
-    grouped = starts.groupBy("doc", "tid").agg(F.collect_list("starts").alias("starts"))
-    some = keyed.where(hit).join(grouped, ["doc", "tid"], "left").select("doc", "text", "starts")
+    whole = keyed.where(~hit).select("doc", "text", F.lit(None).cast("binary").alias("starts"))
+    some = keyed.where(hit).join(starts, ["doc", "tid"], "left").select("doc", "text", "starts")
     return whole.mapInPandas(_cut(size), schema).unionByName(some.mapInPandas(_cut(size), schema))
