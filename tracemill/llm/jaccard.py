@@ -3,11 +3,12 @@
 
 1. Sets: a document's distinct shingles as 64-bit hashes. Documents with equal sets fold into one class (they are linked
    by definition), so exact copies cost one row each from here on.
-2. Order: a fixed-size frequency sketch over all documents ranks shingles by rarity. Two sets that link must share a
-   shingle among the rarest n - ceil(0.9 n) + 1 of each. Classes that share none of these are alone.
+2. Order: a fixed-size frequency sketch over all documents ranks shingles by rarity. Two sets that link share one of the
+   rarest 5 % of the smaller and the rarest 10 % of the larger, and lie in the same or neighbouring size class. Classes
+   that share no such (shingle, size class) key are alone.
 3. Groups: the other classes are partitioned by their smallest shingle hash, so similar ones stand together; a group
    holds about ``GROUP`` classes, larger families are cut by hash.
-4. Matrix: (shingle, group) for the rare shingles of a group. Groups that share a column meet once per pair; only their
+4. Matrix: (key, group) for the rare keys of a group. Groups that share a column meet once per pair; only their
    members with a shared rare shingle travel, as queries, to the other group.
 5. A group's task bounds each query by its overlap with the group's token union, opens the group only if that bound
    reaches what the smallest fitting member needs, and then counts exact overlaps.
@@ -19,6 +20,8 @@ id are one node each by (id, text)."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -106,14 +109,37 @@ def least_overlap(n: int | np.ndarray, m: int | np.ndarray, num: int, den: int):
     return -((-(n + m) * num) // (den + num))
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
+def probe_length(n: int, num: int, den: int) -> int:
     """A partner shares at least ceil(n num / den) shingles, so it shares one of this many."""
     return n - -((-n * num) // den) + 1
 
 
-def rare_first(s: np.ndarray, table: np.ndarray, num: int, den: int) -> np.ndarray:
+def index_length(n: int, num: int, den: int) -> int:
+    """A partner that is no smaller shares at least ceil(2 n num / (num + den)), so it shares one of this many."""
+    return n - -((-2 * n * num) // (num + den)) + 1
+
+
+def size_class(n: int, num: int, den: int) -> int:
+    """Sizes that can link lie in the same class or the next one."""
+    return int(math.log(n) / (math.log(den / num) * 1.0001))
+
+
+INDEX, PROBE, NEXT = 0, 1, 2      # roles of a key: a shingle of the shorter prefix, one of the longer only, one for the next size class
+
+
+def prefix_keys(s: np.ndarray, table: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of (rare shingle, size class) with the role in the two low bits."""
     ranks = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return s[np.argsort(ranks, kind="stable")[:prefix_length(len(s), num, den)]]
+    n = len(s)
+    short, size = index_length(n, num, den), size_class(n, num, den)
+
+    def salt(c: int) -> np.uint64:
+        return np.uint64((c * int(common.BASE)) % 2 ** 64)
+    rare = s[np.argsort(ranks, kind="stable")[:probe_length(n, num, den)]]
+    here = common.mix(rare + salt(size)) & ~np.uint64(3)
+    here[short:] |= np.uint64(PROBE)
+    over = (common.mix(rare[:short] + salt(size + 1)) & ~np.uint64(3)) | np.uint64(NEXT)
+    return np.concatenate((here, over)).view(np.int64)
 
 
 def _prefixes(size: int, table, num: int, den: int):
@@ -123,20 +149,16 @@ def _prefixes(size: int, table, num: int, den: int):
             for s in shingle_sets(docs, size):
                 if len(s):
                     d1, d2 = common.digest128(s.tobytes())
-                    rows.append((d1, d2, rare_first(s, table.value, num, den).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["d1", "d2", "rare"])
+                    rows.append((d1, d2, int(s[0].view(np.int64)), prefix_keys(s, table.value, num, den)))
+            yield pd.DataFrame(rows, columns=["d1", "d2", "least", "keys"])
     return run
 
 
-def _sets(size: int, table, num: int, den: int):
+def _sets(size: int):
     def run(frames):
         for pdf, docs in common.chunks(frames):
-            rows = []
-            for s in shingle_sets(docs, size):
-                if len(s):
-                    d1, d2 = common.digest128(s.tobytes())
-                    rows.append((d1, d2, len(s), int(s[0].view(np.int64)), s.tobytes(), rare_first(s, table.value, num, den).tobytes()))
-            yield pd.DataFrame(rows, columns=["d1", "d2", "n", "least", "items", "rare"])
+            rows = [(*common.digest128(s.tobytes()), s.tobytes()) for s in shingle_sets(docs, size) if len(s)]
+            yield pd.DataFrame(rows, columns=["d1", "d2", "items"])
     return run
 
 
@@ -187,43 +209,44 @@ def _open(members: list[np.ndarray], queries: list[np.ndarray], forest: Forest,
                 yield q, m
 
 
-def _within(num: int, den: int):
-    """Links inside a group, and the rare shingles of its members for the matrix."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d1", "d2"], ignore_index=True)
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
-        d1, d2 = pdf["d1"].tolist(), pdf["d2"].tolist()
-        rows = [(d1[q], d2[q], d1[m], d2[m]) for q, m in _open(sets, sets, Forest(len(sets)), num, den, True)]
-        return pd.DataFrame(rows, columns=["a1", "a2", "b1", "b2"])
-    return run
-
-
 def _travel(key, members: pd.DataFrame, meets: pd.DataFrame) -> pd.DataFrame:
     """Members of a group that share a rare shingle with another group, addressed to that group."""
     out = []
-    rare = [np.frombuffer(b, np.int64) for b in members["rare"]]
-    sizes = members["n"].to_numpy()
     if len(members) and len(meets):
-        flat = np.concatenate(rare)
-        owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        keys = members["keys"].tolist()
+        flat = np.concatenate(keys)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         for to, shared in zip(meets["to"], meets["shared"], strict=True):
             for i in np.unique(owner[np.isin(flat, np.asarray(shared, np.int64))]).tolist():
-                out.append((to, members["d1"].iat[i], members["d2"].iat[i], sizes[i], members["items"].iat[i]))
-    return pd.DataFrame(out, columns=["gid", "d1", "d2", "n", "items"])
-
-
-def _across(num: int, den: int):
-    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(members) and len(queries):
-            a = [np.frombuffer(b, np.uint64) for b in members["items"]]
-            b = [np.frombuffer(x, np.uint64) for x in queries["items"]]
-            for q, m in _open(a, b, Forest(len(a) + len(b)), num, den, False):
-                rows.append((queries["d1"].iat[q], queries["d2"].iat[q], members["d1"].iat[m], members["d2"].iat[m]))
+                out.append((members["d1"].iat[i], members["d2"].iat[i], to, False))
+    return pd.DataFrame(out, columns=["d1", "d2", "gid", "member"])
+
+
+def _linked(num: int, den: int):
+    """Links among the members of a group, and between its members and the queries sent to it."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d1", "d2"]).drop_duplicates(["d1", "d2", "member"])
+        own, sent = pdf[pdf["member"]], pdf[~pdf["member"]]
+        if not len(own):
+            return pd.DataFrame([], columns=["a1", "a2", "b1", "b2"])
+        sets = [np.frombuffer(b, np.uint64) for b in own["items"]]
+        asked = [np.frombuffer(b, np.uint64) for b in sent["items"]]
+        forest = Forest(len(sets) + len(asked))
+        rows = [(own["d1"].iat[q], own["d2"].iat[q], own["d1"].iat[m], own["d2"].iat[m]) for q, m in _open(sets, sets, forest, num, den, True)]
+        rows += [(sent["d1"].iat[q], sent["d2"].iat[q], own["d1"].iat[m], own["d2"].iat[m]) for q, m in _open(sets, asked, forest, num, den, False)]
         return pd.DataFrame(rows, columns=["a1", "a2", "b1", "b2"])
     return run
 
 
+def live_keys(keys: DataFrame) -> DataFrame:
+    """Keys (with their role) that some other class can meet. An INDEX key also serves as probe of its own class."""
+    role = F.col("key").bitwiseAND(F.lit(3))
+    met = keys.groupBy(F.shiftright("key", 2).alias("at")).agg(*[F.count(F.when(role == r, 1)).alias(f"n{r}") for r in (INDEX, PROBE, NEXT)])
+    fits = {INDEX: "n0 + n1 + n2 > 1", PROBE: "n0 + n2 > 0", NEXT: "n0 + n1 > 0"}
+    kept = F.array_compact(F.array(*[F.when(F.expr(f"n{r} > 0 AND {fits[r]}"), F.shiftleft("at", 2).bitwiseOR(F.lit(r))) for r in fits]))
+    return met.select(F.explode(kept).alias("key"))
+
+
 def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): rows has doc, tid, n, d1, d2 of every document; edges (a1, a2, b1, b2) span the classes' components."""
     spark = docs.sparkSession
@@ -231,48 +254,41 @@ def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[
     first = common.saved(keyed.mapInPandas(_first_pass(size), f"kind int, {SIDES}, piece int, counts binary"), "sets")
     table = spark.sparkContext.broadcast(rarity_table(first.where("kind = 1")))
     rows = first.where("kind = 0").select("doc", "tid", "n", "d1", "d2")
-
-    rare = keyed.mapInPandas(_prefixes(size, table, num, den), "d1 long, d2 long, rare array<long>")
-    rare = common.saved(rare.groupBy("d1", "d2").agg(F.first("rare").alias("rare")), "rare")
-    each = rare.select("d1", "d2", F.explode("rare").alias("token"))
-    # members of a shingle that stands in several prefixes; hot shingles are rare here, and counted before the shuffle
-    common_tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    active = common.saved(each.join(common_tokens, "token", "left_semi").select("d1", "d2").distinct(), "active")
-
-    bits = common.bit_table(active.select(F.xxhash64("d1", "d2").alias("key")), "key", ACTIVE_BITS)
-    ids = common.bit_table(rows.where(common.has_bit(bits, F.xxhash64("d1", "d2"), ACTIVE_BITS)).select(F.xxhash64("doc", "tid").alias("key")), "key", ACTIVE_BITS)
-    some = keyed.where(common.has_bit(ids, F.xxhash64("doc", "tid"), ACTIVE_BITS))
-    sets = some.mapInPandas(_sets(size, table, num, den), "d1 long, d2 long, n int, least long, items binary, rare binary")
-    sets = sets.join(active, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "least", "items", "rare")])
-    sets = common.saved(sets, "classes")
-
-    per = sets.groupBy("least").agg(F.count(F.lit(1)).alias("same"))
-    total = sets.count()
-    n_groups = max(1, total // GROUP)
+    # one document speaks for its class; the bitmap may let a few more through
+    heads = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "tid")).alias("head")).select("d1", "d2", "head.doc", "head.tid")
+    heads = common.saved(heads, "heads")
+
+    def spoken(chosen: DataFrame) -> DataFrame:
+        bits = common.bit_table(chosen.select(F.xxhash64("doc", "tid").alias("key")), "key", ACTIVE_BITS)
+        return keyed.where(common.has_bit(bits, F.xxhash64("doc", "tid"), ACTIVE_BITS))
+    prefixes = spoken(heads).mapInPandas(_prefixes(size, table, num, den), "d1 long, d2 long, least long, keys array<long>")
+    prefixes = common.saved(prefixes.groupBy("d1", "d2").agg(F.first("least").alias("least"), F.first("keys").alias("keys")), "prefixes")
+    live = common.saved(live_keys(prefixes.select(F.explode("keys").alias("key"))), "live")
+    lit = common.bit_table(live.select(F.xxhash64("key").alias("key")), "key", ACTIVE_BITS)
+    # classes with a key that another class may meet; the rest are alone
+    met = prefixes.select("d1", "d2", "least", F.explode("keys").alias("key")).where(common.has_bit(lit, F.xxhash64("key"), ACTIVE_BITS))
+    met = common.saved(met.groupBy("d1", "d2").agg(F.first("least").alias("least"), F.collect_list("key").alias("keys")), "met")
+
+    per = met.groupBy("least").agg(F.count(F.lit(1)).alias("same"))
+    n_groups = F.greatest(F.lit(1), F.floor(met.agg(F.count(F.lit(1)).alias("n")).scalar() / GROUP))
     # small families are packed together, large ones are cut into parts of about GROUP classes
-    gid = F.when(F.col("same") <= GROUP, F.pmod(F.xxhash64("least"), F.lit(n_groups))).otherwise(
+    gid = F.when(F.col("same") <= GROUP, F.pmod(F.xxhash64("least"), n_groups)).otherwise(
         F.xxhash64("least", F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("same") / GROUP))))
-    grouped = sets.select("d1", "d2", "least").join(per, "least").select("d1", "d2", gid.alias("gid"))
-    grouped = common.saved(sets.join(grouped, ["d1", "d2"]), "groups")
-
-    inner = grouped.select("gid", "d1", "d2", "items").groupBy("gid").applyInPandas(_within(num, den), "a1 long, a2 long, b1 long, b2 long")
-    matrix = grouped.select("gid", F.explode(_longs("rare")).alias("token")).distinct()
-    shared = matrix.join(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "token", "left_semi")
-    pairs = shared.alias("a").join(shared.withColumnRenamed("gid", "to").alias("b"), "token").where("gid < to")
-    meets = pairs.groupBy("gid", "to").agg(F.collect_list("token")).toDF("from", "to", "shared")
-    sent = grouped.select("gid", "d1", "d2", "n", "rare", "items").groupBy("gid").cogroup(meets.groupBy("from")).applyInPandas(
-        _travel, "gid long, d1 long, d2 long, n int, items binary")
-    outer = grouped.select("gid", "d1", "d2", "items").groupBy("gid").cogroup(sent.groupBy("gid")).applyInPandas(
-        _across(num, den), "a1 long, a2 long, b1 long, b2 long")
-    return rows, common.saved(inner.unionByName(outer), "links")
-
-
-def _longs(column: str):
-    """The 64-bit numbers of a little-endian byte string, as an array."""
-    @F.pandas_udf("array<long>")
-    def longs(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: np.frombuffer(x, np.int64))
-    return longs(column)
+    grouped = common.saved(met.join(per, "least").select("d1", "d2", "keys", gid.alias("gid")), "groups")
+
+    matrix = grouped.select("gid", F.explode("keys").alias("key")).distinct().select("gid", F.shiftright("key", 2).alias("at"), F.col("key").bitwiseAND(F.lit(3)).alias("role"))
+    several = matrix.groupBy("at").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("at")
+    matrix = common.saved(matrix.join(several, "at", "left_semi"), "matrix")
+    other = matrix.select("at", F.col("gid").alias("to"), F.col("role").alias("its"))
+    pairs = matrix.join(other, "at").where((F.col("gid") < F.col("to")) & ~((F.col("role") == F.col("its")) & (F.col("role") != INDEX)))
+    meets = pairs.groupBy("gid", "to").agg(F.collect_set(F.shiftleft("at", 2).bitwiseOR(F.col("role")))).toDF("from", "to", "shared")
+    sent = grouped.select("gid", "d1", "d2", "keys").groupBy("gid").cogroup(meets.groupBy("from")).applyInPandas(_travel, "d1 long, d2 long, gid long, member boolean")
+    stops = common.saved(grouped.select("d1", "d2", "gid", F.lit(True).alias("member")).unionByName(sent), "stops")
+
+    speakers = heads.join(stops.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+    sets = spoken(speakers).mapInPandas(_sets(size), "d1 long, d2 long, items binary")
+    found = sets.join(stops, ["d1", "d2"]).groupBy("gid").applyInPandas(_linked(num, den), "a1 long, a2 long, b1 long, b2 long")
+    return rows, common.saved(found, "links")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
