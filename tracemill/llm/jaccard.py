@@ -267,6 +267,7 @@ def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[
     lit = common.bit_table(live.select(F.xxhash64("key").alias("key")), "key", ACTIVE_BITS)
     # classes with a key that another class may meet; the rest are alone
     met = prefixes.select("d1", "d2", "least", F.explode("keys").alias("key")).where(common.has_bit(lit, F.xxhash64("key"), ACTIVE_BITS))
+    met = met.join(live, "key", "left_semi")        # the bitmap lets some more keys through
     met = common.saved(met.groupBy("d1", "d2").agg(F.first("least").alias("least"), F.collect_list("key").alias("keys")), "met")
 
     per = met.groupBy("least").agg(F.count(F.lit(1)).alias("same"))
