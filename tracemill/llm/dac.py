@@ -11,6 +11,7 @@ text is empty. Every document ends with ``END_ID``."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -92,6 +93,9 @@ def access(chunks: list[bytes], goes_on: list[bytes], ranks: list[bytes], begin:
     return out
 
 
+# Words of these letters alone pass the tokenizer's normaliser and splitter as one piece, in lower case; they go straight to
+# its model. Others take the whole way.
+PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00DF-\u00F6\u00F8-\u00FF]+")
 TAIL = b".,!?;:%&$*#"     # signs that the tokenizer cuts off a letter before them
 
 
@@ -100,14 +104,26 @@ class Tokens:
     its neighbours; and it cuts signs off the letter before them, so a word and its last signs are looked up apart."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores = common.WordCache(self._encode, 400_000)
+        self.model = self.tokenizer.model
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {i: signs.pre_tokenize_str(chr(i))[0][0] for i in [*range(97, 123), *range(0xDF, 0x100)]}
+        self.cores = common.WordCache(self._encode, 500_000)
         self.whole = common.WordCache(self._join, 250_000)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return common.packed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], "<u4")
+        ids: list = [None] * len(texts)
+        rest = []
+        for i, t in enumerate(texts):
+            if PLAIN.fullmatch(t):
+                ids[i] = [x.id for x in self.model.tokenize(t.lower().translate(self.spelled))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return common.packed(ids, "<u4")
 
     def _join(self, words: list[bytes]) -> list[bytes]:
         cores, tails = [], []
