@@ -12,6 +12,7 @@ text is empty. Every document ends with ``END_ID``."""
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -99,6 +100,11 @@ PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00DF-\u00F6\u00F8-\u00FF]
 TAIL = b".,!?;:%&$*#"     # signs that the tokenizer cuts off a letter before them
 
 
+def ends_in_letter(core: str) -> bool:
+    """Also after normalising: some letters end in a mark then, which the tokenizer joins with the signs behind it."""
+    return core[-1].isalpha() and (core[-1].isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha())
+
+
 class Tokens:
     """Ids of texts by way of their words. The tokenizer never joins across white space, so a word's ids do not depend on
     its neighbours; and it cuts signs off the letter before them, so a word and its last signs are looked up apart."""
@@ -129,7 +135,7 @@ class Tokens:
         cores, tails = [], []
         for w in words:
             core = w.rstrip(TAIL)
-            if b"<" in w or not core or core == w or not core.decode("utf-8", "replace")[-1].isalpha():
+            if b"<" in w or not core or core == w or not ends_in_letter(core.decode("utf-8", "replace")):
                 core = w
             tails.append(w[len(core):])
             cores.append(core.lower() if core.isascii() and b"<" not in core else core)
