@@ -1,13 +1,13 @@
 """Benchmark decontamination as a prefix-filtered set join; DataFrame functions only.
 
-A window is ``size`` consecutive words of a benchmark item (the whole item if it has fewer). Its tokens are its pairs
-of adjacent words. Ordered by rarity in the corpus, the rarest token is the necessary prefix: a document holds the
-window only where it holds that token.
-
-1. Count the windows' tokens over all documents. A fixed-size bitmap keeps other words out; counts combine before the
-   shuffle. Windows with a token that never occurs are out.
-2. Documents' words that begin a prefix token (bitmap again) join the windows by that token, with a salt for frequent
-   tokens. Positional bound: the window must begin inside the document; length bound: it must end inside.
+A window is ``size`` consecutive words of a benchmark item (the whole item if it has fewer). Its tokens are its shingles
+of three words (of all its words if it has fewer). Ordered by rarity in the corpus, the rarest token is the necessary
+prefix: a document holds the window only where it holds that token.
+
+1. One pass over all documents finds where a window's token begins; a fixed-size bitmap keeps the other words out. The
+   tokens are counted over all of these places. Windows with a token that never occurs are out.
+2. Places of prefix tokens join the windows by that token, with a salt for frequent tokens. Positional bound: the window
+   must begin inside the document; length bound: it must end inside.
 3. The words around the place are compared with the window, word by word, so hits are exact.
 
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. Null or empty texts and items have
@@ -37,12 +37,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORDS), F.lit(0))
 
 
-def _pair(word: Column, following: Column) -> Column:
-    return F.xxhash64(F.lit(2), word, following)
+SHINGLE = 3
 
 
-def _single(word: Column) -> Column:
-    return F.xxhash64(F.lit(1), word)
+def _token(words: list[Column]) -> Column:
+    """The hash of a shingle; shingles of different lengths differ."""
+    return F.xxhash64(F.lit(len(words)), *words)
 
 
 def item_windows(benchmark: DataFrame, size: int, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -56,40 +56,47 @@ def item_windows(benchmark: DataFrame, size: int, item_id: str, text: str) -> tu
 
 
 def tokens(windows: DataFrame) -> DataFrame:
-    """(wid, at, token): the pairs of a window, or its only word."""
+    """(wid, at, token): the shingles of a window and where they begin in it."""
     w = F.col("window")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(i.alias("at"), _pair(F.get(w, i - 1), F.get(w, i)).alias("token")))
-    one = F.array(F.struct(F.lit(1).alias("at"), _single(F.get(w, F.lit(0))).alias("token")))
-    return windows.select("wid", F.explode(F.when(F.size(w) > 1, pairs).otherwise(one)).alias("t")).select("wid", "t.at", "t.token")
 
+    def from_length(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("at"), _token([F.get(w, i + j) for j in range(k)]).alias("token")))
+    laid = F.when(F.size(w) >= SHINGLE, from_length(SHINGLE))
+    for k in range(1, SHINGLE):
+        laid = laid.when(F.size(w) == k, from_length(k))
+    return windows.select("wid", F.explode(laid).alias("t")).select("wid", "t.at", "t.token")
 
-def _places(keyed: DataFrame, table: Column) -> DataFrame:
-    """(doc, tid, pos, token, words) of document words that may begin a wanted token."""
+
+def _places(keyed: DataFrame, table: Column, lengths: list[int], size: int) -> DataFrame:
+    """(doc, tid, pos, token, base, near) where a wanted token begins, with the words around it from ``base`` on."""
     words = keyed.select("doc", "tid", words_of(F.col("text")).alias("words"))
     each = words.select("doc", "tid", "words", F.posexplode("words").alias("pos", "word"))
-    pair, single = _pair(F.col("word"), F.get("words", F.col("pos") + 1)), _single(F.col("word"))
-    return each.where(common.has_bit(table, pair, BITS) | common.has_bit(table, single, BITS)).select(
-        "doc", "tid", "pos", "words", F.array(pair, single).alias("both"))
+    found = [_token([F.col("word"), *[F.get("words", F.col("pos") + j) for j in range(1, k)]]) for k in lengths]
+    hit = common.has_bit(table, found[0], BITS)
+    for f in found[1:]:
+        hit = hit | common.has_bit(table, f, BITS)
+    base = F.greatest(F.col("pos") - size, F.lit(0))
+    near = each.where(hit).select("doc", "tid", "pos", base.alias("base"), F.slice("words", base + 1, F.lit(2 * size)).alias("near"), F.array(*found).alias("tokens"))
+    if len(lengths) == 1:
+        return near.select("doc", "tid", "pos", "base", "near", F.col("tokens")[0].alias("token"))
+    return near.select("doc", "tid", "pos", "base", "near", F.explode("tokens").alias("token")).where(common.has_bit(table, F.col("token"), BITS))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, tid, start, len, wid) of every occurrence of a window, and (wid, item)."""
-    keyed = common.rows_keyed(docs)
     windows, owners = item_windows(benchmark, size, item_id, text)
     all_tokens = common.saved(tokens(windows), "tokens")
-    table = common.bit_table(all_tokens, "token", BITS)
-    seen = _places(keyed, table).select(F.explode("both").alias("token")).where(common.has_bit(table, F.col("token"), BITS))
-    counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    lengths = [r["k"] for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]
+    places = common.saved(_places(common.rows_keyed(docs), common.bit_table(all_tokens, "token", BITS), lengths, size), "places")
+    counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = all_tokens.join(counts, "token", "left").groupBy("wid").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"))
     prefix = common.saved(ranked.where("least > 0").select("wid", "rarest.token", "rarest.at").join(windows, "wid"), "prefixes")
 
     found = common.bit_table(prefix, "token", BITS)
-    base = F.greatest(F.col("pos") - (size - 2), F.lit(0))
-    near = _places(keyed, found).select("doc", "tid", "pos", F.slice("words", base + 1, F.lit(2 * size)).alias("near"), base.alias("base"), F.explode("both").alias("token"))
-    near = near.where(common.has_bit(found, F.col("token"), BITS)).withColumn("salt", F.pmod(F.xxhash64("doc", "tid", "pos"), F.lit(SALTS)).cast("int"))
+    near = places.where(common.has_bit(found, F.col("token"), BITS)).withColumn("salt", F.pmod(F.xxhash64("doc", "tid", "pos"), F.lit(SALTS)).cast("int"))
     salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    start = F.col("pos") - F.col("at") + 1
+    start = F.col("pos") - F.col("at")
     inside = F.slice("near", F.greatest(start - F.col("base") + 1, F.lit(1)), F.size("window"))
     joined = near.join(salted, ["token", "salt"]).where((start >= 0) & (inside == F.col("window")))
     return joined.select("doc", "tid", start.alias("start"), F.size("window").alias("len"), "wid"), owners
