@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
-SAMPLE = 12_000
+SAMPLE = 10_000
 DIM_BITS = 20
 LEAST_ROWS = 4            # sample rows that must hold a feature
 SIGNS = b".,!?;:%&$*#|<>\"'()[]{}-_=+~^/\\@`"
@@ -72,7 +72,7 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
 
 def _featured(frames):
     for pdf, docs in common.chunks(frames):
-        yield pd.DataFrame({"grade": pdf["grade"].to_numpy(), "slots": features(pdf["text"].tolist())})
+        yield pd.DataFrame({"grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(pdf["text"].tolist())]})
 
 
 def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.DataFrame:
@@ -82,13 +82,13 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.Dat
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    return rows.select("grade", "text").mapInPandas(_featured, "grade int, slots array<int>").toPandas()
+    return rows.select("grade", "text").mapInPandas(_featured, "grade int, slots binary").toPandas()
 
 
 def values(slots: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The value of a feature in a text: measures count ``MEASURE``, words less in texts of many distinct ones."""
     many = np.bincount(owner, minlength=n)
-    return np.where(slots < DENSE, MEASURE, np.minimum(1.0, np.sqrt(USUAL / np.maximum(many, 1)))[owner])
+    return np.where(slots < DENSE, np.float32(MEASURE), np.minimum(1.0, np.sqrt(USUAL / np.maximum(many, 1))).astype(np.float32)[owner])
 
 
 def sigmoid(x):
@@ -97,19 +97,19 @@ def sigmoid(x):
 
 def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights (2^DIM_BITS) and thresholds by full-batch Adam on the ordinal log-likelihood. Row order does not matter."""
-    rows = rows[rows["slots"].map(len) > 0]
+    rows = rows[rows["slots"].map(len) > 0].sort_values(["grade", "slots"], ignore_index=True)
     if rows.empty or rows["grade"].nunique() < 2:
         return None
-    rows = rows.assign(mark=rows["slots"].map(lambda s: np.asarray(s, np.int32).tobytes())).sort_values(["grade", "mark"], ignore_index=True)
     grade = rows["grade"].to_numpy(np.int64)
-    flat = np.concatenate(rows["slots"].to_list()).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), rows["slots"].map(len))
+    lens = (rows["slots"].map(len) // 4).to_numpy()
+    flat = np.frombuffer(b"".join(rows["slots"]), np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     value = values(flat, owner, len(rows))
-    held = np.bincount(flat, minlength=1 << DIM_BITS)
     least = min(LEAST_ROWS, max(1, len(rows) // 100))
-    use = (held >= least)[flat]
+    use = (np.bincount(flat, minlength=1 << DIM_BITS) >= least)[flat]
     flat, owner, value = flat[use], owner[use], value[use]
-    dims, flat = np.unique(flat, return_inverse=True)
+    dims = np.unique(flat)
+    flat = np.searchsorted(dims, flat).astype(np.int32)
     n, k = len(rows), n_grades - 1
     share = np.clip([(grade <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     base = np.log(share / (1 - share))
@@ -119,7 +119,7 @@ def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0
     for step in range(1, rounds + 1):
         w, cuts = par[:len(dims)], par[len(dims):]
         theta = cuts[0] + np.concatenate(([0.0], np.cumsum(np.exp(cuts[1:]))))
-        score = np.bincount(owner, w[flat] * value, minlength=n)
+        score = np.bincount(owner, w.astype(np.float32)[flat] * value, minlength=n)
         at = np.concatenate(([-np.inf], theta, [np.inf]))
         up, low = sigmoid(at[grade + 1] - score), sigmoid(at[grade] - score)
         up, low = np.where(grade == k, 1.0, up), np.where(grade == 0, 0.0, low)
@@ -128,7 +128,7 @@ def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0
         g_score = (dl - du) / n
         g_theta = np.array([(du[grade == j].sum() - dl[grade == j + 1].sum()) / n for j in range(k)])
         g_cuts = np.concatenate(([g_theta.sum()], [g_theta[j + 1:].sum() * math.exp(cuts[j + 1]) for j in range(k - 1)]))
-        grad = np.concatenate((-np.bincount(flat, g_score[owner] * value, minlength=len(dims)) + decay * w, -g_cuts))
+        grad = np.concatenate((-np.bincount(flat, g_score.astype(np.float32)[owner] * value, minlength=len(dims)) + decay * w, -g_cuts))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         par = par - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     weights = np.zeros(1 << DIM_BITS, np.float32)
