@@ -115,17 +115,17 @@ def spans() -> Column:
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them, with the columns of ``docs``: pass p holds the words taken p times or more, so a
     document gives up to ``most`` rows. A document taken whole keeps its text; else its taken words are joined by spaces."""
-    chosen = plan(docs, **settings).where("taken > 0").select(F.col("doc_id").alias("_doc"), "tid", "size", "spans")
+    chosen = plan(docs, **settings).where("taken > 0").select(F.col("doc_id").alias("_mdoc"), F.col("tid").alias("_mtid"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
     # rows equal in id and text are separate documents of the mix: number them on both sides
-    same = Window.partitionBy("_doc", "tid").orderBy("spans")
-    chosen = chosen.withColumn("_nth", F.row_number().over(same))
+    same = Window.partitionBy("_mdoc", "_mtid").orderBy("_spans")
+    chosen = chosen.withColumn("_mnth", F.row_number().over(same))
     own = docs.withColumn("_doc", F.col("doc_id").cast("bigint")).withColumn("_tid", F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")))
     own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy(F.xxhash64(*docs.columns))))
-    both = own.join(chosen, own["_doc"].eqNullSafe(chosen["_doc"]) & (own["_tid"] == chosen["tid"]) & (own["_nth"] == chosen["_nth"]))
-    passes = both.withColumn("_pass", F.explode(F.expr("sequence(1L, aggregate(spans, 0L, (s, x) -> greatest(s, x.times)))")))
-    part = F.expr("filter(spans, x -> x.times >= _pass)")
-    whole = F.expr("aggregate(filter(spans, x -> x.times >= _pass), 0L, (s, x) -> s + x.end - x.begin) = size")
+    both = own.join(chosen, F.col("_doc").eqNullSafe(F.col("_mdoc")) & (F.col("_tid") == F.col("_mtid")) & (F.col("_nth") == F.col("_mnth")))
+    passes = both.withColumn("_pass", F.explode(F.expr("sequence(1L, aggregate(_spans, 0L, (s, x) -> greatest(s, x.times)))")))
+    part = F.expr("filter(_spans, x -> x.times >= _pass)")
+    whole = F.expr("aggregate(filter(_spans, x -> x.times >= _pass), 0L, (s, x) -> s + x.end - x.begin) = _size")
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(common.WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(part, lambda x: F.slice("_words", (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int")))), " ")
     done = passes.withColumn("_words", words).withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
-    return done.select(*[F.col("_text").cast(t).alias(c) if c == "text" else own[c] for c, t in docs.dtypes])
+    return done.select(*[F.col("_text").cast(t).alias(c) if c == "text" else F.col(c) for c, t in docs.dtypes])

@@ -132,8 +132,13 @@ def repeated_bits(keyed: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def _first_of_each(k1, k2, doc, at):
-    """The order of the rows by key and start, and which of them begin a key."""
+    """The order of the rows by key and start, and which of them begin a key. A start that stands twice (rows equal in id
+    and text) counts once."""
     order = np.lexsort((at, doc, k2, k1))
+    a, b, c, d = k1[order], k2[order], doc[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+    order = order[new]
     a, b = k1[order], k2[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -184,7 +189,7 @@ def bundles(doc: np.ndarray, at: np.ndarray, n_bundles: int) -> list[tuple[int,
 def _later(n_bundles: int):
     """From rows in key order: starts that are not the first of their hash, bundled; bundles that are there already pass."""
     def run(frames):
-        last, held, n = (None, None), [], 0
+        last, held, n = (None,) * 4, [], 0
 
         def flush():
             return pd.DataFrame(bundles(*(np.concatenate(x) for x in zip(*held, strict=True)), n_bundles), columns=["bundle", "blob"])
@@ -198,10 +203,15 @@ def _later(n_bundles: int):
                 continue
             same = np.zeros(len(k1), bool)
             same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-            same[0] = last == (k1[0], k2[0])
-            last = (k1[-1], k2[-1])
+            same[0] = last[:2] == (k1[0], k2[0])
+            doc, at = pdf["doc"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+            twin = np.zeros(len(k1), bool)                 # the same start once more
+            twin[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+            twin[0] = last[2:] == (doc[0], at[0])
+            last = (k1[-1], k2[-1], doc[-1], at[-1])
+            same &= ~twin
             if same.any():
-                held.append((pdf["doc"].to_numpy(np.int64)[same], pdf["at"].to_numpy(np.int64)[same]))
+                held.append((doc[same], at[same]))
                 n += int(same.sum())
             if n >= RUN:
                 yield flush()
