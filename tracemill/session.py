@@ -35,10 +35,12 @@ def build_session(app: str = "tracemill", master: str | None = None,
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint folder the cluster names. Only when the setting
-    is absent (tests, one machine) does it fall back to a local folder."""
+    """A fresh folder under the shared checkpoint folder the cluster names. Only a local master may go without the
+    setting (tests, one machine): it gets a temporary folder. A cluster without it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local_base:
             _local_base.append(tempfile.mkdtemp(prefix="tracemill-"))
         base = _local_base[0]
