@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracemill.session import materialise
 
-CHUNK_BYTES = 1 << 20     # text hashed by one numpy call inside a task
+CHUNK_BYTES = 1 << 19     # text hashed by one numpy call inside a task
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -123,6 +123,17 @@ def chunks(frames: Iterable[pd.DataFrame], text: str = "text", limit: int = CHUN
                 begin, held, docs = i + 1, 0, []
 
 
+def text_runs(frames: Iterable[pd.DataFrame], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pd.DataFrame, list[str | None]]]:
+    """Like ``chunks``, with the texts as they are."""
+    for pdf in frames:
+        begin, held, texts = 0, 0, pdf[text].tolist()
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= limit or i + 1 == len(texts):
+                yield pdf.iloc[begin:i + 1], texts[begin:i + 1]
+                begin, held = i + 1, 0
+
+
 class WordCache:
     """Values of words that were seen before, in two generations of a bounded number of entries: a full young
     generation becomes the old one. ``make`` gets the list of missing words and returns their values."""

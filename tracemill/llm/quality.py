@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
-SAMPLE = 10_000
+SAMPLE = 8_000
+RUN = 1 << 18             # characters whose features a task makes at a time
 DIM_BITS = 20
 LEAST_ROWS = 4            # sample rows that must hold a feature
 SIGNS = b".,!?;:%&$*#|<>\"'()[]{}-_=+~^/\\@`"
@@ -71,8 +72,8 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _featured(frames):
-    for pdf, docs in common.chunks(frames):
-        yield pd.DataFrame({"grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(pdf["text"].tolist())]})
+    for pdf, texts in common.text_runs(frames, limit=RUN):
+        yield pd.DataFrame({"grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(texts)]})
 
 
 def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.DataFrame:
@@ -145,15 +146,16 @@ def scores(slots: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
 
 def _scored(model, tail: int, least: float):
     def run(frames):
-        for pdf, docs in common.chunks(frames):
+        for pdf, texts in common.text_runs(frames, limit=RUN):
             found = model.value
             if found is None:
-                out = pd.DataFrame({"expected_grade": np.full(len(docs), np.nan), "tail": np.full(len(docs), np.nan), "kept": [bool(d) for d in docs]})
+                out = pd.DataFrame({"expected_grade": np.nan, "tail": np.nan, "kept": [bool((t or "").strip(" \t\n\x0b\x0c\r")) for t in texts]})
             else:
                 weights, theta = found
-                score = scores(features(pdf["text"].tolist()), weights)
+                slots = features(texts)
+                score = scores(slots, weights)
                 over = 1 - sigmoid(theta[None, :] - score[:, None])      # P(grade >= k) for k = 1, 2, ...
-                some = np.array([bool(d) for d in docs])
+                some = np.array([len(s) > 0 for s in slots])
                 over[~some] = 0.0
                 out = pd.DataFrame({"expected_grade": over.sum(axis=1), "tail": over[:, tail - 1], "kept": some & (over[:, tail - 1] >= least)})
             kept = [c for c in pdf.columns if c != "text"]
