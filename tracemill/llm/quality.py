@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,9 @@ def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     held = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample, seed))
     scorer = _scored(held, tail, least)
 
-    @F.pandas_udf("boolean")
-    def keeps(text: pd.Series) -> pd.Series:
-        return pd.concat([x["kept"] for x in scorer([pd.DataFrame({"text": text})])], ignore_index=True) if len(text) else pd.Series([], dtype=bool)
-    return docs.where(keeps(F.col("text").cast("string")))
+    def kept(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            mask = [bool(k) for part in scorer([pd.DataFrame({"text": pd.Series(texts, dtype=object)})]) for k in part["kept"]]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+    return docs.mapInArrow(kept, docs.schema)
