@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.session import materialise
 
 CHUNK_BYTES = 1 << 19     # text hashed by one numpy call inside a task
+BATCH_ROWS = 500          # rows of text in an Arrow batch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -167,10 +168,20 @@ def packed(ids: list[list[int]], kind: str) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python at most BATCH_ROWS rows at a time: buffers on both sides follow the batch, and rows are texts
+    here. A session that asks for fewer keeps its number."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def rows_keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tid, text): the id and a 32-bit hash of the text, which tells apart rows that share an id. A null id
     sorts after all others."""
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2 ** 63 - 1)).alias("doc"),
+    return short_batches(docs).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2 ** 63 - 1)).alias("doc"),
                        F.col(text_col).cast("string").alias("text")).withColumn("tid", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 

@@ -61,8 +61,8 @@ def _first_pass(size: int):
             sets = shingle_sets(docs, size)
             marks = [common.digest128(s.tobytes()) for s in sets]
             if sets:
-                every = np.concatenate(sets)
-                counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                slots, seen = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[slots.astype(np.int64)] += seen.astype(np.uint32)
             yield pd.DataFrame({"kind": 0, "doc": pdf["doc"].to_numpy(), "tid": pdf["tid"].to_numpy(), "n": [len(s) for s in sets],
                                 "d1": [m[0] for m in marks], "d2": [m[1] for m in marks], "piece": 0, "counts": None})
         squeeze = zstandard.ZstdCompressor(level=1)

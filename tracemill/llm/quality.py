@@ -185,4 +185,4 @@ def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             mask = [bool(k) for part in scorer([pd.DataFrame({"text": pd.Series(texts, dtype=object)})]) for k in part["kept"]]
             yield batch.filter(pa.array(mask, pa.bool_()))
-    return docs.mapInArrow(kept, docs.schema)
+    return common.short_batches(docs).mapInArrow(kept, docs.schema)
