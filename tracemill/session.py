@@ -53,10 +53,3 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when the files give fewer partitions than there are cores, before
-    heavy work per row. A large table has more splits than that and is left as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

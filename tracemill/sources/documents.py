@@ -1,6 +1,6 @@
 """Documents read as episode records, one row each, so that the record functions run on real text.
 
-A line is a turn: long lines are agent turns whose first words name the tool calls, middle ones tool
+A line is a turn: long lines are agent turns whose digest names the tool calls, middle ones tool
 results, short ones customer messages. A second view cuts the same text into token turns."""
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import calls as C
-from tracemill.session import spread_small_scan
 from tracemill.sources.tables import table
 
 AGENT_WORDS, TOOL_WORDS, SECOND_CALL, GOLD_WORDS = 40, 10, 60, 50
@@ -30,16 +29,14 @@ def _arguments(words: Column, start: int, other: Column | None = None) -> Column
 
 
 def doc_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread_small_scan(table(spark, sf_dir, "documents"))
-    # per line: its word count and its first words in plain letters, computed once
-    split = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != "")).withColumn(
-        "parts", F.transform("lines", lambda x: F.split(x, " ")))
+    d = table(spark, sf_dir, "documents")
+    # per line: its word count and 16 names from a digest of the whole line, computed once
+    split = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != ""))
 
-    def first_words(words: Column) -> Column:
-        padded = F.concat(F.slice(words, F.lit(1), F.lit(16)), F.array_repeat(F.lit(""), 16))
-        return F.transform(F.slice(padded, F.lit(1), F.lit(16)), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
-    facts = split.withColumn("facts", F.zip_with("lines", "parts", lambda line, words: F.struct(
-        line.alias("line"), F.size(words).alias("n"), first_words(words).alias("w"))))
+    def names(line: Column) -> Column:
+        return F.regexp_extract_all(F.translate(F.md5(line), "0123456789abcdef", "abcdefghijklmnop"), F.lit(".."), F.lit(0))
+    facts = split.withColumn("facts", F.transform("lines", lambda line: F.struct(
+        line.alias("line"), F.size(F.split(line, " ")).alias("n"), names(line).alias("w"))))
 
     def turn(f: Column) -> Column:
         role = F.when(f["n"] >= AGENT_WORDS, "assistant").when(f["n"] >= TOOL_WORDS, "tool").otherwise("user")
@@ -62,7 +59,7 @@ def doc_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """docs AS (SELECT doc_id, source, lang, n_chars, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM docs),
 words AS (SELECT doc_id, i, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM lines),
-clean AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS c, CASE WHEN n >= 40 THEN 'assistant' WHEN n >= 10 THEN 'tool' ELSE 'user' END AS role FROM words),
+clean AS (SELECT *, regexp_extract_all(translate(md5(line), '0123456789abcdef', 'abcdefghijklmnop'), '..') AS c, CASE WHEN n >= 40 THEN 'assistant' WHEN n >= 10 THEN 'tool' ELSE 'user' END AS role FROM words),
 rawcalls AS (SELECT doc_id, i, 0 AS j, 1 AS w_at, c, n FROM clean WHERE role = 'assistant' UNION ALL SELECT doc_id, i, 1, 10, c, n FROM clean WHERE role = 'assistant' AND n >= 60),
 named AS (SELECT doc_id, i, j, n, c[w_at] AS w0, coalesce(c[w_at+1], '') AS w1, coalesce(c[w_at+2], '') AS w2, coalesce(c[w_at+3], '') AS w3, coalesce(c[w_at+4], '') AS w4, coalesce(c[w_at+5], '') AS w5,
   CASE WHEN substr(c[w_at], 1, 1) < 'd' THEN 'get_order_details' WHEN substr(c[w_at], 1, 1) < 'i' THEN 'find_user_id_by_email' WHEN substr(c[w_at], 1, 1) < 'o' THEN 'cancel_pending_order' ELSE 'exchange_delivered_order_items' END AS name FROM rawcalls),
@@ -77,7 +74,7 @@ gold AS (SELECT doc_id, name, target, CASE WHEN name LIKE 'exch%' THEN array_to_
 def doc_token_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four agent turns cut from the text at its quarters. The last two are rendered with line breaks as
     spaces, so a break inside the shared history makes the prompts part."""
-    d = spread_small_scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
     def tokens(t: Column) -> Column:
         return F.transform(F.split(t, " "), lambda w: (F.ascii(w) * 100 + F.char_length(w)).cast("int"))
