@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -115,6 +116,29 @@ def test_jaccard_join(docs, texts, monkeypatch):
     assert rows(jaccard.join(docs), "doc_id", "n_shingles", "component_id") == components(texts)
 
 
+def test_bitmap_bound_loses_no_link():
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2 ** 64, int(rng.integers(1, 900)), dtype=np.uint64)
+        for _ in range(4):
+            kept = base[rng.random(len(base)) > rng.random() * 0.12]
+            more = rng.integers(0, 2 ** 64, int(len(base) * rng.random() * 0.08), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((kept, more))))
+    sets = [s for s in sets if len(s)]
+    group = pd.DataFrame({"d1": range(len(sets)), "d2": 0, "gid": 1, "member": rng.random(len(sets)) > 0.4, "n": [len(s) for s in sets],
+                          "bits": [jaccard.bitmap(s).tobytes() for s in sets]})
+    kept = set(jaccard._possible(9, 10)(group)["d1"])
+    linked = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 10 * shared >= 9 * (len(sets[a]) + len(sets[b]) - shared) and (group["member"][a] or group["member"][b]):
+                linked |= {a, b}
+    assert linked and linked <= kept and len(kept) < len(sets) / 2
+    assert jaccard._possible(9, 10)(group[:0]).empty
+
+
 def test_jaccard_chain(spark):
     """A long chain of near copies is one component, though its ends differ."""
     r = random.Random(1)

@@ -10,9 +10,12 @@
    holds about ``GROUP`` classes, larger families are cut by hash.
 4. Matrix: (key, group) for the rare keys of a group. Groups that share a column meet once per pair; only their
    members with a shared rare shingle travel, as queries, to the other group.
-5. A group's task bounds each query by its overlap with the group's token union, opens the group only if that bound
+5. Before any set travels, bitmaps of the sets (under a byte a shingle) do. A bit of one set that the other lacks is a
+   shingle that the other lacks, which bounds the overlap from above; rows of a group without a partner within that bound
+   stay behind. Only the others' sets are sent.
+6. A group's task bounds each query by its overlap with the group's token union, opens the group only if that bound
    reaches what the smallest fitting member needs, and then counts exact overlaps.
-6. Links are kept as a spanning forest of each task; components come from minimum labels with pointer jumping over
+7. Links are kept as a spanning forest of each task; components come from minimum labels with pointer jumping over
    tables. No pair list of a family is written and nothing is gathered on the driver but fixed-size tables.
 
 Null ids sort last. Null or empty texts have no set, link with nothing and are their own component. Rows that share an
@@ -162,6 +165,53 @@ def _sets(size: int):
     return run
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's shingles by their low bits, in four to eight bits a shingle, as 64-bit words; a power of two of them."""
+    slots = s & np.uint64((64 << max(0, math.ceil(math.log2(len(s) / 16)))) - 1)
+    words = np.zeros(1 << max(0, math.ceil(math.log2(len(s) / 16))), np.uint64)
+    np.bitwise_or.at(words, (slots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slots & np.uint64(63)))
+    return words
+
+
+def fold(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (in the last axis) as they are with only ``width`` words."""
+    return np.bitwise_or.reduce(words.reshape(*words.shape[:-1], -1, width), axis=-2)
+
+
+def _bitmaps(size: int):
+    def run(frames):
+        for pdf, docs in common.chunks(frames):
+            rows = [(*common.digest128(s.tobytes()), len(s), bitmap(s).tobytes()) for s in shingle_sets(docs, size) if len(s)]
+            yield pd.DataFrame(rows, columns=["d1", "d2", "n", "bits"])
+    return run
+
+
+def _possible(num: int, den: int):
+    """Rows of a group that may link with another one of it. A pair's overlap is at most either size less the bits that the
+    other bitmap lacks."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d1", "d2"]).drop_duplicates(["d1", "d2", "member"], ignore_index=True)
+        n, member = pdf["n"].to_numpy(np.int64), pdf["member"].to_numpy(bool)
+        words = [np.frombuffer(b, np.uint64) for b in pdf["bits"]]
+        width = np.array([len(w) for w in words])
+        held = [(w, at, np.stack([words[i] for i in at])) for w in np.unique(width[member]).tolist() for at in [np.flatnonzero(member & (width == w))]]
+        keep = np.zeros(len(pdf), bool)
+        for q in range(len(pdf)):
+            for w, at, table in held:
+                fits = (n[at] * den >= n[q] * num) & (n[q] * den >= n[at] * num)
+                if member[q]:
+                    fits &= at > q
+                if fits.any():
+                    narrow = min(w, int(width[q]))
+                    a, b, m = fold(words[q], narrow), fold(table[fits], narrow), n[at[fits]]
+                    most = np.minimum(n[q] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                    near = at[fits][most >= least_overlap(n[q], m, num, den)]
+                    keep[near] = True
+                    keep[q] |= len(near) > 0
+        return pdf.loc[keep, ["d1", "d2", "gid", "member"]]
+    return run
+
+
 class Forest:
     """Union-find over the members of one task."""
 
@@ -286,9 +336,12 @@ def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[
     sent = grouped.select("gid", "d1", "d2", "keys").groupBy("gid").cogroup(meets.groupBy("from")).applyInPandas(_travel, "d1 long, d2 long, gid long, member boolean")
     stops = common.saved(grouped.select("d1", "d2", "gid", F.lit(True).alias("member")).unionByName(sent), "stops")
 
-    speakers = heads.join(stops.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
-    sets = spoken(speakers).mapInPandas(_sets(size), "d1 long, d2 long, items binary")
-    found = sets.join(stops, ["d1", "d2"]).groupBy("gid").applyInPandas(_linked(num, den), "a1 long, a2 long, b1 long, b2 long")
+    def sent_to(stops: DataFrame, make, what: str):
+        speakers = heads.join(stops.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+        return spoken(speakers).mapInPandas(make, f"d1 long, d2 long, {what}").join(stops, ["d1", "d2"]).groupBy("gid")
+    possible = sent_to(stops, _bitmaps(size), "n int, bits binary").applyInPandas(_possible(num, den), "d1 long, d2 long, gid long, member boolean")
+    possible = common.saved(possible, "possible")
+    found = sent_to(possible, _sets(size), "items binary").applyInPandas(_linked(num, den), "a1 long, a2 long, b1 long, b2 long")
     return rows, common.saved(found, "links")
 
 
