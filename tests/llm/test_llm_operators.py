@@ -161,6 +161,25 @@ def test_distinct_stage_keeps_one(spark, docs, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in want.items() if c == i)
 
 
+def test_distinct_stage_with_null_and_repeated_ids(spark):
+    """Unlike texts stay although their ids are null or repeated; near copies go whatever their ids."""
+    long = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
+    near = {c: " ".join(f"{c}{i}" for i in range(79)) + f" {c}end" for c in "ad"}
+    rows_in = [(None, long[0]), (None, long[1]), (None, near["a"]), (7, long[2]), (7, long[3]), (8, near["d"]), (7, long[4]), (7, long[4]), (None, long[5]), (None, None), (7, None), (7, "")]
+    got = [tuple(r) for r in stages.distinct(spark, spark.createDataFrame(rows_in, "doc_id long, text string"), "").collect()]
+    assert {t for _, t in got} >= {long[1], long[2], long[3], long[4], long[5]} and len(got) == 9
+    assert sum(t in (long[0], near["a"]) for _, t in got) == 1 and (8, near["d"]) not in got and {(None, None), (7, None), (7, "")} <= set(got)
+
+
+def test_jaccard_join_keeps_links_of_a_shared_id_apart(spark):
+    """Two classes with the smallest id 7: the links of the one are not those of the other."""
+    long = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "ab"}
+    near = {c: t + f" {c}end" for c, t in long.items()}
+    df = spark.createDataFrame([(7, long["a"]), (7, long["b"]), (3, near["a"]), (9, near["b"])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.join(df).collect())
+    assert got == [(3, 3), (7, 3), (7, 7), (9, 7)]
+
+
 def test_decontamination(spark, docs, texts):
     base = [t for t in texts if t and len(t.split()) > 30]
     bench = [(1, " ".join(base[0].split()[5:25])), (10, " ".join(base[3].split()[:13])), (2, "x"), (3, None), (4, ""), (5, "two WORDS"), (1, base[0][:40]), (None, "changed")]

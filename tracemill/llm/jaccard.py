@@ -19,7 +19,8 @@
    tables. No pair list of a family is written and nothing is gathered on the driver but fixed-size tables.
 
 Null ids sort last. Null or empty texts have no set, link with nothing and are their own component. Rows that share an
-id are one node each by (id, text)."""
+id are one node each by (id, text). Inside, a component is (smallest id, class hash): rows with null or repeated ids that
+do not link stay apart; only ``join`` maps it to the id."""
 
 from __future__ import annotations
 
@@ -300,7 +301,8 @@ def live_keys(keys: DataFrame) -> DataFrame:
 def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): rows has doc, tid, n, d1, d2 of every document; edges (a1, a2, b1, b2) span the classes' components."""
     spark = docs.sparkSession
-    keyed = common.rows_keyed(docs).select("doc", "tid", "text")
+    # the whole hash of the text: with null or repeated ids it alone tells the rows apart
+    keyed = common.rows_keyed(docs).select("doc", F.xxhash64("text").alias("tid"), "text")
     first = common.saved(keyed.mapInPandas(_first_pass(size), f"kind int, {SIDES}, piece int, counts binary"), "sets")
     table = spark.sparkContext.broadcast(rarity_table(first.where("kind = 1")))
     rows = first.where("kind = 0").select("doc", "tid", "n", "d1", "d2")
@@ -366,16 +368,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = step.drop("old")
 
 
-def join(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """doc_id, tid, n_shingles, component_id: one row a document."""
+def labelled(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """doc, tid, n_shingles, component (doc, d1, d2) of every document: the smallest id that links reach and the class
+    that has it, so components that share an id stay apart; null for documents without words."""
     rows, edges = links(docs, size, num, den)
     full = rows.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc").alias("label"))
+    classes = full.groupBy("d1", "d2").agg(F.min("doc").alias("doc")).select("d1", "d2", F.struct("doc", "d1", "d2").alias("label"))
     found = components(classes, edges)
     top = classes.join(found.withColumnRenamed("label", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "label").alias("component"))
     # a class may hold a large share of all rows: both sides are tables, so AQE can split the rows' side
     top = common.saved(top, "tops")
     linked = full.join(top, ["d1", "d2"], "left").select("doc", "tid", F.col("n").cast("bigint").alias("n_shingles"), "component")
-    alone = rows.where("n = 0").select("doc", "tid", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc").alias("component"))
+    alone = rows.where("n = 0").select("doc", "tid", F.lit(0).cast("bigint").alias("n_shingles"))
+    return linked.unionByName(alone, allowMissingColumns=True)
+
+
+def join(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """doc_id, tid, n_shingles, component_id: one row a document."""
+    found = labelled(docs, size, num, den).withColumn("component", F.coalesce("component.doc", "doc"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return linked.unionByName(alone).select(real("doc").alias("doc_id"), "tid", "n_shingles", real("component").alias("component_id"))
+    return found.select(real("doc").alias("doc_id"), "tid", "n_shingles", real("component").alias("component_id"))

@@ -17,14 +17,13 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (then text hash). Documents without words
     stay; of rows equal in id and text one stays."""
-    found = common.saved(jaccard.join(docs).select(F.coalesce("doc_id", F.lit(jaccard.LAST_ID)).alias("doc"), "tid", "n_shingles", F.coalesce(
-        "component_id", F.lit(jaccard.LAST_ID)).alias("component")), "joined")
+    found = common.saved(jaccard.labelled(docs), "joined")
     best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc", "tid")).alias("best"))
     best = common.saved(best, "best")
     lost = found.where("n_shingles > 0").join(best, "component").where((F.col("doc") != F.col("best.doc")) | (F.col("tid") != F.col("best.tid"))).select("doc", "tid")
     again = found.groupBy("doc", "tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "tid")
     lost, again = common.saved(lost.distinct(), "lost"), common.saved(again, "again")
-    clear, maybe = common.flagged(docs, lost.unionByName(again))
+    clear, maybe = common.flagged(docs, lost.unionByName(again), tid_bits=64)
     nth = F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy(F.xxhash64(*docs.columns)))
     left = maybe.join(lost.toDF("_doc", "_tid"), ["_doc", "_tid"], "left_anti").withColumn("_nth", nth).where("_nth = 1")
     return clear.unionByName(left.select(*docs.columns))
