@@ -171,6 +171,28 @@ def test_distinct_stage_with_null_and_repeated_ids(spark):
     assert sum(t in (long[0], near["a"]) for _, t in got) == 1 and (8, near["d"]) not in got and {(None, None), (7, None), (7, "")} <= set(got)
 
 
+def test_distinct_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
+    """Against brute force, with copies on both sides of the threshold; some link at 0.8 that do not with three words and 0.9."""
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    r, texts = random.Random(9), []
+    for b in range(6):
+        w = [f"{'abcdef'[b]}{i}" for i in range(150)]
+        texts.append(" ".join(w))
+        for more in (12, 25, 36, 45):
+            texts.append(" ".join(w + [f"x{r.random()}" for _ in range(more)]))
+        for changed in (2, 3, 9):
+            at = set(r.sample(range(150), changed))
+            texts.append(" ".join(f"y{r.random()}" if i in at else x for i, x in enumerate(w)))
+    sets, up = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    want = sorted(set(up))
+    kept = sorted(x.doc_id for x in stages.distinct(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect())
+    assert kept == want and want != sorted(i for i, (_, c) in components(texts).items() if c == i)
+
+
 def test_jaccard_join_keeps_links_of_a_shared_id_apart(spark):
     """Two classes with the smallest id 7: the links of the one are not those of the other."""
     long = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "ab"}

@@ -15,9 +15,10 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (then text hash). Documents without words
-    stay; of rows equal in id and text one stays."""
-    found = common.saved(jaccard.labelled(docs), "joined")
+    """One document of each group of near copies (five-word shingles, Jaccard of at least 0.8; op5's query has its own
+    three words and 0.9): the one with the smallest id (then text hash). Documents without words stay; of rows equal in
+    id and text one stays."""
+    found = common.saved(jaccard.labelled(docs, 5, 4, 5), "joined")
     best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc", "tid")).alias("best"))
     best = common.saved(best, "best")
     lost = found.where("n_shingles > 0").join(best, "component").where((F.col("doc") != F.col("best.doc")) | (F.col("tid") != F.col("best.tid"))).select("doc", "tid")
