@@ -340,6 +340,24 @@ def test_fertility_bands(spark):
     assert not got[2].kept and got[2].byte_share > 0.5 and not got[3].kept
 
 
+def test_fertility_bands_reject_garbage(spark):
+    """BANDS themselves: random letters, digits, signs and byte fallback go, prose stays."""
+    r = random.Random(3)
+    bad = [" ".join("".join(r.choice(signs) for _ in range(7)) for _ in range(300)) for signs in (
+        "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef", "#*$%&|<>=+-_/", *[[chr(c) for c in range(a, b)] for a, b in (
+            (0x10330, 0x1034B), (0x0900, 0x0980), (0x0E01, 0x0E5B), (0xAC00, 0xD7A4), (0x4E00, 0x9FA5), (0x0391, 0x03CA), (0x0410, 0x0450), (0x0621, 0x064B), (0x3041, 0x3097))])]
+    bad.append(" ".join(chr(0x10300 + i % 30) + chr(0x1F300 + i) for i in range(40)))
+    good = ["The weather in the northern hills was mild and the farmers met near an old stone bridge to trade seeds for tools",
+            "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+            "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+            "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다."]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    got = {x.doc_id: x for x in fertility.measure(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert [i for i, x in got.items() if x.kept] == list(range(len(bad), len(bad) + len(good)))
+    assert got[1].script == "signs"
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = langid.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
