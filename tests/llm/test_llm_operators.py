@@ -400,6 +400,28 @@ def test_licenses(spark, docs, texts):
     assert len(got) == len(texts) + 4
 
 
+def test_licence_bodies_whole_and_in_part(spark):
+    """Every window with at least 0.8 of a text or header, against brute force over the registered templates."""
+    plain = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    known = [(name, plain.findall(t.lower())) for name, t in licenses.NOTICES + licenses.TEXTS]
+    bodies = [(name, t.split()) for name, t in licenses.TEXTS]
+    texts = ["Copyright someone\n" + " ".join(w) + " and code" for _, w in bodies]
+    texts += [" ".join(w[:int(len(w) * part)]) + " other words follow here" for _, w in bodies[:6] for part in (0.7, 0.88)]
+    texts += [" ".join("changed" if i == len(w) // 2 else x for i, x in enumerate(w)) for _, w in bodies[:6]]
+
+    def grams(w):
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    want = {}
+    for d, t in enumerate(texts):
+        w, hits = plain.findall(t.lower()), set()
+        for name, k in known:
+            hits |= {(name, a, len(k)) for a in range(len(w) - len(k) + 1) if 5 * len(grams(w[a:a + len(k)]) & grams(k)) >= 4 * len(grams(k))}
+        want[d] = (",".join(sorted({h[0] for h in hits})), len(hits), min((h[1] for h in hits), default=None))
+    got = rows(licenses.licensed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.notices(spark)), "doc_id", "licenses", "n_windows", "first_start")
+    assert got == want
+    assert all(want[d][0] == name for d, (name, _) in enumerate(bodies)) and not all(x[1] for x in want.values())
+
+
 def test_url_lists(spark):
     pages = spark.createDataFrame([
         (1, "https://u@a.bad.example.com:80/x/Y?q", 10), (2, "http://bad.example.com/x", 20), (3, "http://a.bad.example.com/x/Yes", 30), (4, None, 5), (5, "no url", 5),
