@@ -436,6 +436,17 @@ def test_url_lists(spark):
                    (5, 0, "", None, False), (6, 0, "", None, False), (7, 0, "", None, False)]
 
 
+def test_url_lists_one_id_captured_often(spark):
+    """Captures of one id on other days or with other urls have the entries of their own day and url; so do null ids."""
+    bad, ok = "http://bad.org/x", "http://ok.org/x"
+    pages = spark.createDataFrame([(1, bad, 10), (1, bad, 30), (2, bad, 10), (2, ok, 10), (None, bad, 10), (None, bad, 30), (3, None, 10), (3, bad, 10)], "page_id long, url string, day int")
+    entries = spark.createDataFrame([("spam", "host", "bad.org", "add", 5), ("spam", "host", "bad.org", "remove", 20)], "list string, kind string, value string, action string, day int")
+    got = Counter((r.page_id, r.day, r.host, r.n_active, r.lists, r.blocked) for r in url_lists.filtered(pages, entries).collect())
+    hit, free = (1, "spam", True), (0, "", False)
+    assert got == Counter([(1, 10, "bad.org", *hit), (1, 30, "bad.org", *free), (2, 10, "bad.org", *hit), (2, 10, "ok.org", *free), (None, 10, "bad.org", *hit),
+                           (None, 30, "bad.org", *free), (3, 10, "", *free), (3, 10, "bad.org", *hit)])
+
+
 def test_empty_tables(spark, none):
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (substring.dedup(none), jaccard.join(none), decontam.contamination(none, bench), mixing.plan(none), mixing.mixed(none), langid.identify(none),

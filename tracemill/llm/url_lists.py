@@ -7,7 +7,8 @@ counts, repeated additions go on, a removal of nothing does nothing, and an inte
 A capture has one key per host suffix and path prefix. Keys and intervals meet by key and time bucket, so a value with a
 long history sends a capture only the intervals of its own bucket; a salt spreads a frequent host over many tasks.
 
-A url without a scheme and host has no keys; null urls and days match nothing. Repeated captures are rows of their own.
+A url without a scheme and host has no keys; null urls and days match nothing. Repeated captures are rows of their own;
+captures that share an id are told apart by url and day.
 An interval table without rows leaves all captures unmatched."""
 
 from __future__ import annotations
@@ -52,25 +53,27 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def active(captures: DataFrame, spans: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
-    """(id, list, kind, value, since) of every entry active for a capture, once each."""
+    """(id, url, day, list, kind, value, since) of every entry active for a capture, once each."""
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("int").alias("_day")).where("_url IS NOT NULL AND _day IS NOT NULL")
-    keyed = rows.select("_id", "_day", F.explode(keys_of(F.col("_url"))).alias("k")).select(
-        "_id", "_day", "k.kind", "k.value", F.expr(f"_day div {BUCKET}").alias("bucket"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    keyed = rows.select("_id", "_url", "_day", F.explode(keys_of(F.col("_url"))).alias("k")).select(
+        "_id", "_url", "_day", "k.kind", "k.value", F.expr(f"_day div {BUCKET}").alias("bucket"), F.pmod(F.xxhash64("_id", "_url", "_day"), F.lit(SALTS)).cast("int").alias("salt"))
     last = rows.agg(F.max("_day").alias("last")).scalar()
     until = F.coalesce(F.col("until") - 1, F.greatest(last, F.col("since")))
     laid = spans.withColumn("_end", until.cast("int")).withColumn("bucket", F.explode(F.sequence(F.expr(f"since div {BUCKET}"), F.expr(f"_end div {BUCKET}"))))
     laid = laid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = keyed.join(laid, ["kind", "value", "bucket", "salt"]).where((F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
-    return met.select(F.col("_id").alias("id"), "list", "kind", "value", "since")
+    return met.select(F.col("_id").alias("id"), F.col("_url").alias("url"), F.col("_day").alias("day"), "list", "kind", "value", "since")
 
 
 def filtered(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day", allow: str = "allow") -> DataFrame:
     """id, n_active, lists, first_since, blocked for every capture. ``blocked``: a list other than ``allow`` names it and
     ``allow`` does not."""
     met = active(captures, intervals(entries), id_col, url_col, day_col).distinct()
-    per = met.groupBy("id").agg(F.count(F.lit(1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("since").alias("first_since"),
+    per = met.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("day").alias("_day"), "list", "since").groupBy("_id", "_url", "_day").agg(F.count(F.lit(1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("since").alias("first_since"),
                                 (F.max((F.col("list") != allow).cast("int")) > F.max((F.col("list") == allow).cast("int"))).alias("blocked"))
-    rows = captures.select(F.col(id_col).alias(id_col), F.col(day_col).cast("int").alias(day_col), host_of(F.col(url_col).cast("string")).alias("host"))
-    return rows.join(per, rows[id_col] == per["id"], "left").select(
+    url = F.col(url_col).cast("string")
+    rows = captures.select(F.col(id_col).alias(id_col), F.col(day_col).cast("int").alias(day_col), host_of(url).alias("host"), url.alias("_own"))
+    same = rows[id_col].eqNullSafe(per["_id"]) & rows["_own"].eqNullSafe(per["_url"]) & rows[day_col].eqNullSafe(per["_day"])
+    return rows.join(per, same, "left").select(
         id_col, day_col, "host", F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"),
         F.col("first_since").cast("int").alias("first_since"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
