@@ -370,6 +370,12 @@ def test_language_id(spark, sf):
     assert (got[1], got[2], got[3]) == ("und", "und", "und")
 
 
+def test_language_dictionaries_look_past_a_shared_heading(spark):
+    df = spark.createDataFrame([(i, "shared heading " * 100 + " ".join(f"{'abcdefghij'[i % 10]}body" for _ in range(2000)), "en") for i in range(20)], "doc_id long, text string, lang string")
+    found = langid.dictionaries(df)["en"]
+    assert len(found) <= langid.DICT_BYTES and found.count(b"body") > found.count(b"heading") and langid.dictionaries(df.repartition(5))["en"] == found
+
+
 def test_quality_classifier(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet".replace("0.001", "0.01")), spark.read.parquet(f"{sf}/labels.parquet".replace("0.001", "0.01"))
     learn, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")

@@ -2,7 +2,7 @@
 the fewest bytes wins, and a narrow margin to the second rejects the guess.
 
 A dictionary is the joined text of learning documents with the smallest seeded hash, up to ``DICT_BYTES`` (a documented
-bound; texts are cut to their first ``TAKE`` characters only for the dictionary). A text to be told is encoded whole, in
+bound; only for the dictionary a long text gives a run of ``TAKE`` characters from a seeded place anywhere in it). A text to be told is encoded whole, in
 blocks of ``BLOCK`` bytes, so that a long text does not become its own dictionary. Both are lower-cased first, and ASCII
 signs and digits become single spaces.
 
@@ -32,11 +32,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def taken(text: Column, seed: Column) -> Column:
+    """``TAKE`` characters from a seeded place of the whole text, without the word that the place cuts."""
+    at = F.pmod(seed, F.greatest(F.char_length(text) - TAKE, F.lit(0)) + 1).cast("int")
+    run = F.substr(text, at + 1, F.lit(TAKE))
+    return F.when(at > 0, F.regexp_replace(run, r"^\S{0,40}\s+", "")).otherwise(run)
+
+
 def dictionaries(docs: DataFrame, per_language: int = PER_LANGUAGE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw content by language: at most ``dict_bytes`` each. The top-n is cut before the shuffle, so a language with most
     rows sends few of them."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = learn.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, TAKE).alias("text"), F.xxhash64("doc_id", "text").alias("at"))
+    rows = learn.select(F.col("lang").cast("string").alias("lang"), taken(F.col("text").cast("string"), F.xxhash64("text", "doc_id")).alias("text"), F.xxhash64("doc_id", "text").alias("at"))
     some = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("nth") <= per_language)
     found: dict[str, bytes] = {}
     for r in some.orderBy("lang", "nth").toLocalIterator():
