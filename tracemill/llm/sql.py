@@ -74,4 +74,41 @@ good AS (SELECT doc_id, license, start, shared / items AS part FROM wins JOIN to
 SELECT doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, count(license) AS n_windows, CAST(min(start) - 1 AS BIGINT) AS first_start, max(part) AS best_share
 FROM docs LEFT JOIN good USING (doc_id) GROUP BY doc_id"""
 
-ORACLES = {"op1_url_lists": OP1, "op2_substring_dedup": OP2, "op4_benchmark_decontamination": OP4, "op5_ngram_jaccard": OP5, "op9_license_scan": OP9}
+# The unsigned CRC-32 of a short text of ASCII signs, bit by bit.
+CRC32 = ("xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, b: xor(crc >> 8, "
+         "list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b) & 255)), CAST(4294967295 AS BIGINT)))")
+FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+OP12 = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({_HEAD} || {FIELD.format('text')}) AS leaf,
+        CASE WHEN {CRC32.format('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({_HEAD} || {FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS shown
+    FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+low AS (
+    SELECT tree, 0 AS level, CAST(pos AS BIGINT) AS pos, leaf AS digest, CAST(n AS BIGINT) AS n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 7) // 8) FROM low WHERE n > 1 GROUP BY tree, level, pos // 8),
+subroots AS (SELECT tree, digest AS subroot, CAST(row_number() OVER (ORDER BY tree) - 1 AS BIGINT) AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+    SELECT 0 AS level, pos, subroot AS digest, CAST(n AS BIGINT) AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 7) // 8) FROM high WHERE n > 1 GROUP BY level, pos // 8),
+nodes AS (SELECT tree, level, pos, digest, n FROM low UNION ALL SELECT '', level, pos, digest, n FROM high),
+flanks AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos),
+starts AS (SELECT row_number() OVER () AS k, p.doc_id, p.tree, p.leaf, coalesce(p.shown, p.leaf) AS start, p.pos, s.subroot, s.pos AS place FROM placed p JOIN subroots s USING (tree)),
+climb AS (
+    SELECT k, tree AS own, tree, 0 AS level, pos, place, start AS fold, '' AS proof FROM starts
+    UNION ALL
+    SELECT c.k, c.own, CASE WHEN f.l IS NULL THEN '' ELSE c.tree END, CASE WHEN f.l IS NULL THEN 0 ELSE c.level + 1 END, CASE WHEN f.l IS NULL THEN place ELSE c.pos // 8 END, place,
+        CASE WHEN f.l IS NULL THEN c.fold ELSE sha256(f.l || c.fold || f.r) END, CASE WHEN f.l IS NULL THEN c.proof ELSE c.proof || f.l || f.r END
+    FROM climb c LEFT JOIN flanks f ON f.tree = c.tree AND f.level = c.level AND f.pos = c.pos WHERE f.l IS NOT NULL OR c.tree != ''),
+ends AS (SELECT k, fold, proof FROM climb WHERE tree = '' AND (level, pos) NOT IN (SELECT (level, pos) FROM flanks WHERE tree = ''))
+SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT digest FROM high WHERE n = 1) AS verified
+FROM starts JOIN ends USING (k)"""
+
+ORACLES = {"op1_url_lists": OP1, "op2_substring_dedup": OP2, "op4_benchmark_decontamination": OP4, "op5_ngram_jaccard": OP5, "op9_license_scan": OP9,
+           "op12_merkle_manifest": OP12}
