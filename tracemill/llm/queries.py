@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import dac, decontam, fertility, jaccard, langid, licenses, merkle, mixing, quality, substring, url_lists
+from tracemill.llm import dac, decontam, fertility, jaccard, langid, licenses, merkle, mixing, quality, substring, trie, url_lists
 from tracemill.llm.common import read
 from tracemill.llm.sql import ORACLES  # noqa: F401
 
@@ -94,5 +94,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_lists, op2_substring_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_ngram_jaccard,
-                                   op6_tokeniser_fertility, op7_language_id, op8_source_mixing, op9_license_scan, op10_token_output, op12_merkle_manifest)}
+                                   op6_tokeniser_fertility, op7_language_id, op8_source_mixing, op9_license_scan, op10_token_output, op12_merkle_manifest, op13_conversation_trie)}

@@ -110,5 +110,28 @@ ends AS (SELECT k, fold, proof FROM climb WHERE tree = '' AND (level, pos) NOT I
 SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT digest FROM high WHERE n = 1) AS verified
 FROM starts JOIN ends USING (k)"""
 
+TURN = "md5(octet_length(encode(role)) || ':' || role || text)"
+OP13 = f"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, {TURN} AS t, len({WORDS}) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {TURN}) - 1 AS pos FROM given),
+convs AS (SELECT conv_id, {CRC32.format('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+built AS (
+    SELECT c.conv_id, 0 AS piece, pos, t, words FROM convs c JOIN own ON own.conv_id = c.conv_id - c.conv_id % 20 AND pos < h
+    UNION ALL SELECT conv_id, 1, pos, t, words FROM own JOIN convs USING (conv_id) WHERE pos >= h),
+steps AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY piece, pos) AS depth FROM built),
+prefixes AS (
+    SELECT conv_id, depth, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth) AS name, words FROM steps
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM prefixes GROUP BY conv_id),
+nodes AS (SELECT name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+    FROM prefixes JOIN lengths USING (conv_id) GROUP BY name, depth),
+kids AS (SELECT substr(name, 1, 32 * (depth - 1)) AS name, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+ups AS (SELECT substr(name, 1, 32 * d) AS name, n_children IS NULL AS childless, (n_convs - 1) * words AS gain
+    FROM (SELECT nodes.*, n_children, unnest(range(CAST(depth AS BIGINT) + 1)) AS d FROM nodes LEFT JOIN kids USING (name))),
+below AS (SELECT name, count(*) FILTER (childless) AS n_leaves, CAST(sum(gain) AS BIGINT) AS saved_tokens FROM ups GROUP BY name)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN kids USING (name) JOIN below USING (name) LEFT JOIN nodes p ON n.depth > 0 AND p.name = substr(n.name, 1, 32 * (n.depth - 1))"""
+
 ORACLES = {"op1_url_lists": OP1, "op2_substring_dedup": OP2, "op4_benchmark_decontamination": OP4, "op5_ngram_jaccard": OP5, "op9_license_scan": OP9,
-           "op12_merkle_manifest": OP12}
+           "op12_merkle_manifest": OP12, "op13_conversation_trie": OP13}
