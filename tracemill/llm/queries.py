@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import dac, decontam, fertility, jaccard, langid, licenses, merkle, mixing, quality, substring, trie, url_lists
+from tracemill.llm import bpe, dac, decontam, fertility, jaccard, langid, licenses, merkle, mixing, quality, substring, trie, url_lists
 from tracemill.llm.common import read
 from tracemill.llm.sql import ORACLES  # noqa: F401
 
@@ -83,6 +83,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof, checked against a copy in which a third of the texts (by id) has lost its capitals."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -99,4 +103,4 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_lists, op2_substring_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_ngram_jaccard,
-                                   op6_tokeniser_fertility, op7_language_id, op8_source_mixing, op9_license_scan, op10_token_output, op12_merkle_manifest, op13_conversation_trie)}
+                                   op6_tokeniser_fertility, op7_language_id, op8_source_mixing, op9_license_scan, op10_token_output, op11_bpe_coding, op12_merkle_manifest, op13_conversation_trie)}
