@@ -82,7 +82,7 @@ def rollout_slots(tasks: DataFrame, batch: str, task: str, size: int, seed: int,
                   customers: dict[str, float], **tuning: int) -> DataFrame:
     """One row per rollout: group and episode ids, a seed per slot, and one persona and customer per group
     so a group's rollouts differ only by the agent. Draws use separate streams per purpose."""
-    g = skew.position(tasks, [batch], [F.col(task)], F.floor(F.col(task) / 4096), "_g", **tuning)
+    g = skew.position(tasks, [batch], [F.col(task)], skew.evenly(tasks, task), "_g", **tuning)
     gid = F.concat(F.lit("b"), F.lpad(F.col(batch).cast("string"), 4, "0"), F.lit("-g"),
                    F.lpad((F.col("_g") - 1).cast("string"), 3, "0"), F.lit("-"), F.col(task).cast("string"))
     g = g.withColumn("group_id", gid)
@@ -96,7 +96,7 @@ def rollout_slots(tasks: DataFrame, batch: str, task: str, size: int, seed: int,
 def resume_plan(wanted: DataFrame, landed: DataFrame, task: str, full: int, bounds: list[int], **tuning: int) -> DataFrame:
     """Tasks still to run, in ranged chunks of their place in the wanted list; tasks with a full group are
     done. ``bounds``: start of each chunk."""
-    n = skew.position(wanted.withColumn("_all", F.lit(0)), ["_all"], [F.col(task)], F.floor(F.col(task) / 4096), "_n", **tuning)
+    n = skew.position(wanted.withColumn("_all", F.lit(0)), ["_all"], [F.col(task)], skew.evenly(wanted, task), "_n", **tuning)
     done = landed.groupBy(task).agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= full).select(task)
     chunk = F.lit(None).cast("int")
     for i, lo in enumerate(bounds):

@@ -7,12 +7,18 @@ called heavy; that limit is the proof behind every broadcast here. Any other key
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import materialise
+
 LARGEST = 20_000      # how many of the largest keys can be heavy
 MIN_ROWS = 200_000    # a key with fewer rows never is
 SALTS = 512
+RUNS = 1024           # runs that the heavy keys share, each by its part of all rows
+SKETCH = 8_000        # size of a quantile sketch: ranks are right to about 0.1 %
 
 
 def heavy(counts: DataFrame, keys: list[str], count: str, largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -47,15 +53,61 @@ def attach(fact: DataFrame, stats: DataFrame, keys: list[str], count: str, sprea
     return out.select(*fact.columns, *[F.col("_st")[c].alias(c) for c in cols])
 
 
-def with_chunk(df: DataFrame, keys: list[str], chunk: Column, out: str = "_chunk",
+class Evenly(NamedTuple):
+    """Cut a heavy group into runs of about equal size along a column that the window's order starts with, whatever
+    its values look like: quantile sketches of the heavy groups give the cuts."""
+    value: Column
+
+
+def evenly(df: DataFrame, name: str) -> Evenly:
+    """Along a column of numbers, times or texts (by their first seven bytes; texts that share them stay in one run)."""
+    kind, c = df.schema[name].dataType.simpleString(), F.col(name)
+    if kind.startswith("timestamp"):
+        return Evenly(F.unix_micros(c.cast("timestamp")))
+    if kind == "string":
+        return Evenly(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint"))
+    return Evenly(F.floor(c).cast("bigint"))
+
+
+def _grid(n: int) -> Column:
+    """1/n to (n-1)/n as one constant array."""
+    return F.expr(f"cast(split('{','.join(repr(i / n) for i in range(1, n))}', ',') AS array<double>)")
+
+
+def below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the sorted ``cuts`` (at most ``most``) lie below the value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(F.lit(0)))
+
+
+def even_cuts(df: DataFrame, keys: list[str], value: Column, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(keys, cuts): where to cut each heavy group into runs, in proportion to its part of all rows; a group below two
+    runs' worth is not cut. At most RUNS / 2 groups and RUNS cuts in all, which bounds the broadcast and the sketches.
+    Sketches draw random bits, so the cuts are a written table: all readers see the same ones."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_m", F.floor(F.col("_n") * RUNS / counts.agg(F.sum("_n")).scalar()).cast("int"))
+    big = F.broadcast(counts.where((F.col("_n") >= min_rows) & (F.col("_m") >= 2)).select(*keys, "_m"))
+    sketches = df.withColumn("_v", value).join(big, keys).groupBy(*keys, "_m").agg(F.kll_sketch_agg_bigint("_v", SKETCH).alias("_s"))
+    grid = sketches.where(F.kll_sketch_get_n_bigint("_s") > 0).select(*keys, "_m", F.kll_sketch_get_quantile_bigint("_s", _grid(RUNS)).alias("_q"))
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_m") - 1), lambda i: F.get("_q", (i * RUNS / F.col("_m")).cast("int") - 1)))
+    return materialise(grid.select(*keys, cuts.alias("_cuts")), "cuts")
+
+
+def with_chunk(df: DataFrame, keys: list[str], chunk: Column | Evenly, out: str = "_chunk",
                largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """Add a chunk column: ``chunk`` for rows of heavy keys, null for the rest. ``chunk`` must not
     decrease along the order a later window uses."""
+    if isinstance(chunk, Evenly):
+        cuts = even_cuts(df, keys, chunk.value, min_rows)
+        if cuts.isEmpty():
+            return df.withColumn(out, F.lit(None).cast("int"))
+        place = F.coalesce(below(F.col("_cuts"), chunk.value, RUNS), F.lit(-1))       # nulls come first
+        return df.join(F.broadcast(cuts), keys, "left").withColumn(out, F.when(F.col("_cuts").isNotNull(), place)).drop("_cuts")
     hot = F.broadcast(heavy_keys(df, keys, largest, min_rows).withColumn("_is_hot", F.lit(True)))
     return df.join(hot, keys, "left").withColumn(out, F.when(F.col("_is_hot"), chunk)).drop("_is_hot")
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
+def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | Evenly,
             sums: dict[str, Column], largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """Running sums along ``order`` within ``keys`` (current row included), for groups of any size.
 
@@ -78,7 +130,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
                                      for n in sums])
 
 
-def position(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, out: str,
+def position(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | Evenly, out: str,
              largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
     """row_number within ``keys`` for groups of any size."""
     return running(df, keys, order, chunk, {out: F.lit(1).cast("bigint")}, largest, min_rows)
@@ -104,24 +156,18 @@ def hash_chunk(column: Column, digits: int = 2) -> Column:
     return F.conv(F.substring(column, 1, digits), 16, 10).cast("bigint")
 
 
-def hour_chunk(ts: str) -> Column:
-    """Order-preserving chunk of a timestamp: its hour."""
-    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
-
-
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
                     buckets: int = 1000) -> DataFrame:
-    """Exact linear-interpolated quantiles without gathering a group: equal values are counted first,
-    an approximate histogram locates the value range that holds each wanted rank, and only that range
-    is ranked."""
+    """Exact linear-interpolated quantiles without gathering a group: equal values are counted first, a quantile sketch
+    of the distinct values cuts each group into ``buckets`` ranges of about equal size, exact sizes tell the ranges that hold
+    the wanted ranks, and only those are ranked. Counts and cuts are written tables, so the rows are read once."""
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, buckets).drop("_all")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    grid = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, grid, 10_000).alias("_e"), F.sum("_n").alias("_total"))
-    # the bucket number only has to be monotone in the value; edges hold at most ``buckets`` numbers a group
-    binned = attach(counts, edges, keys, "_total", [value]).withColumn("_b", F.aggregate(F.col("_e"), F.lit(0), lambda s, e: s + F.when(
-        F.col(value) > e, F.lit(1)).otherwise(F.lit(0)))).drop("_e")
+    counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    number = F.col(value).cast("double")
+    sketched = counts.groupBy(*keys).agg(F.kll_sketch_agg_double(number).alias("_s"), F.sum("_n").alias("_total"))
+    edges = materialise(sketched.select(*keys, F.array_distinct(F.kll_sketch_get_quantile_double("_s", _grid(buckets))).alias("_e"), "_total"), "value-cuts")
+    binned = attach(counts, edges, keys, "_total", [value]).withColumn("_b", below(F.col("_e"), number, buckets)).drop("_e")
     sizes = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"), "_size")

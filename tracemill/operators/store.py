@@ -151,7 +151,7 @@ def earlier_twins(items: DataFrame) -> DataFrame:
     """Items whose product is also in an earlier order of the same user and status; the count of such
     orders comes from a running count per (user, product, status)."""
     o = items.select("user_id", "product", "status", "order_id").distinct()
-    r = skew.position(o, ["user_id", "product", "status"], [F.col("order_id")], F.floor(F.col("order_id") / 4096), "_n")
+    r = skew.position(o, ["user_id", "product", "status"], [F.col("order_id")], skew.evenly(o, "order_id"), "_n")
     return r.where("_n > 1").select("order_id", "product", "status", (F.col("_n") - 1).alias("decoys"))
 
 

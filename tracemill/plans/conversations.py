@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import calls as C
 from tracemill.functions import text as X
 from tracemill.operators import calls as K
-from tracemill.operators.skew import hour_chunk
+from tracemill.operators import skew
 from tracemill.plans.registry import query, r6
 from tracemill.sources import tables as T
 
@@ -110,7 +110,7 @@ SELECT user_id, coalesce(min_by(cause, steps) FILTER (cause IS NOT NULL), 'open'
   coalesce(min(steps) FILTER (cause IS NOT NULL), count(*)) AS steps FROM c GROUP BY user_id""")
 def termination_fold(spark, d):
     ev = T.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    return K.termination_fold(ev, "user_id", [F.col("ts"), F.col("event_id")], hour_chunk("ts"), (F.col("event_type") == "error").cast("int"),
+    return K.termination_fold(ev, "user_id", [F.col("ts"), F.col("event_id")], skew.evenly(ev, "ts"), (F.col("event_type") == "error").cast("int"),
                               (F.col("event_type") == "signup") & (F.col("value") > 25), 40, 5)
 
 
@@ -163,7 +163,7 @@ def message_classes(spark, d):
   FROM conversations WHERE role <> 'assistant') SELECT conv_id, min(turn) AS turn FROM u WHERE c AND p GROUP BY conv_id""")
 def consecutive_closings(spark, d):
     u = conv(spark, d).where("role <> 'assistant'")
-    return K.closing_twice(u, "conv_id", ["turn"], F.floor(F.col("turn") / 65536), closing())
+    return K.closing_twice(u, "conv_id", ["turn"], skew.evenly(u, "turn"), closing())
 
 
 @query("opening_message", "SELECT conv_id, length(min_by(text, turn)) AS opening_chars, md5(min_by(text, turn)) AS opening_md5 FROM conversations WHERE role = 'user' GROUP BY conv_id")

@@ -19,7 +19,7 @@ I = T.with_sql(T.ITEMS_SQL)  # noqa: E741
 def _next_pairs(spark, d):
     """Each variant paired with the next one of its product."""
     v = T.variants(spark, d).select("product", "item_id")
-    n = skew.position(v, ["product"], [F.col("item_id")], F.floor(F.col("item_id") / 4096), "n")
+    n = skew.position(v, ["product"], [F.col("item_id")], skew.evenly(v, "item_id"), "n")
     nxt = n.select("product", (F.col("n") - 1).alias("n"), F.col("item_id").alias("new_id"))
     return n.select("product", "n", F.col("item_id").alias("old_id")).join(nxt, ["product", "n"]).select("old_id", "new_id")
 
