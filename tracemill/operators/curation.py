@@ -32,16 +32,6 @@ def unique_signature_tasks(signatures: DataFrame, key: list[str], task: str = "t
     return total.join(alone, task).where("alone = total").select(task)
 
 
-def max_entity_overlap(tasks: DataFrame, held: DataFrame, task: str, held_id: str, entities: str = "entities") -> DataFrame:
-    """Largest Jaccard overlap of each task's entity set with any held-out set, through shared entities
-    rather than a loop over held-out tasks; 0 for tasks sharing none."""
-    a = tasks.select(task, F.size(entities).alias("na"), F.explode(entities).alias("e"))
-    h = held.select(held_id, F.size(entities).alias("nh"), F.explode(entities).alias("e"))
-    both = a.join(h, "e").groupBy(task, held_id).agg(F.count(F.lit(1)).alias("n"), F.first("na").alias("na"), F.first("nh").alias("nh"))
-    best = both.groupBy(task).agg(F.max(F.col("n") / (F.col("na") + F.col("nh") - F.col("n"))).alias("overlap"))
-    return tasks.select(task).join(best, task, "left").select(task, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
-
-
 def first_of_each(df: DataFrame, structure: Column, order: str, earlier: DataFrame | None = None) -> DataFrame:
     """The first row (smallest ``order``) of each structural key, leaving out keys already in an earlier
     set (a column ``key``). Keys are digests, so the shuffle carries no texts."""

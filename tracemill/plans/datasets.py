@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import hashing as H
 from tracemill.functions import text as X
 from tracemill.operators import curation as C
+from tracemill.operators import nearest as N
 from tracemill.operators import sampling as S
 from tracemill.plans.difficulty import uniform_sql
 from tracemill.plans.registry import query, r6
@@ -124,7 +125,7 @@ SELECT doc_id, round(coalesce(max(n * 1.0 / (na + nh - n)), 0), 6) AS overlap FR
 def entity_overlap(spark, d):
     a = T.table(spark, d, "documents").select("doc_id", X.entities(F.col("text"), WORDS).alias("entities"))
     h = T.table(spark, d, "benchmark").select("item_id", X.entities(F.col("text"), WORDS).alias("entities"))
-    return C.max_entity_overlap(a, h, "doc_id", "item_id").withColumn("overlap", r6(F.col("overlap")))
+    return N.best_overlap(a, h, "doc_id", "item_id").withColumn("overlap", r6(F.col("overlap")))
 
 
 @query("entity_counts", f"SELECT source, sum(len(list_distinct(regexp_extract_all(text, '{WORDS}')))) AS entities, count(*) AS docs FROM documents GROUP BY source")
