@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.functions import episode as E
+from tracemill.operators import endings as N
 
 
 def ledger_totals(lines: DataFrame, keys: list[str], budget: float) -> DataFrame:
@@ -190,3 +191,130 @@ def ending_stream(steps: DataFrame, key: str, order: list[str], error: Column, n
             yield pd.DataFrame({key: [k[0]], "termination": [out], "steps": [n]})
     slim = steps.select(key, *order, error.cast("int").alias("error"), natural.alias("natural"))
     return slim.groupBy(key).applyInPandasWithState(step, f"{key} {kk}, termination string, steps bigint", "n bigint, errors bigint, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def endings_stream(moves: DataFrame, episode: str, limits: N.Limits, delay: str, keep_minutes: float) -> DataFrame:
+    """Cause and steps of each episode as its moves arrive, in any order and any batches; input as from ``endings.moves`` with
+    ``at``. State is the composed segments of what has come (one, once no gap is left). An ending is given out once, when all moves
+    before it are there. When the watermark is ``keep_minutes`` past an episode's last move its state goes; if nothing had ended it,
+    it is given out as ``open``. ``delay`` bounds how late a move may come."""
+    import pandas as pd
+    kind = moves.schema[episode].dataType.simpleString()
+    keep = int(keep_minutes * 60_000_000)
+
+    def row(k, cause, steps):
+        return pd.DataFrame({episode: [k[0]], "termination": [cause], "steps": [steps]})
+
+    def step(k, batches: Iterator, state: GroupState):
+        done, last, text = state.get if state.exists else (False, 0, "[]")
+        segments = N.loaded(text)
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield row(k, "open", limits.opening + (segments[0].hi if segments and segments[0].lo == 0 else 0))
+            return
+        for pdf in batches:
+            last = max(last, int(pdf["us"].max()))
+            if not done:
+                rows = zip(*[pdf[c].tolist() for c in ("index", *N.MOVE)], strict=True)
+                segments = N.added(segments, [N.single(i, cause or None, *rest, limits) for i, cause, *rest in rows], limits)
+        end = N.ending(segments[0], limits) if segments and segments[0].lo == 0 else None
+        state.update((done or end is not None, last, "[]" if done or end else N.dumped(segments)))
+        state.setTimeoutTimestamp(max((last + keep) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if end and not done:
+            yield row(k, *end)
+    slim = moves.withColumns({"cause": F.coalesce("cause", F.lit("")), "us": F.unix_micros("at")}).withWatermark("at", delay)
+    return slim.groupBy(episode).applyInPandasWithState(
+        step, f"`{episode}` {kind}, termination string, steps bigint", "done boolean, last bigint, segments string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stale_gaps(progress: DataFrame, key: str, at: str, stale_minutes: float, delay: str) -> DataFrame:
+    """(key, last_at): a row for every time a run reported nothing for so long, by event time: given out when a later report
+    shows the gap, or when the watermark passes the last report by that much; the run's state goes with it. Reports of a batch may
+    come in any order; they are kept as spans without a long gap."""
+    import pandas as pd
+    kind = progress.schema[key].dataType.simpleString()
+    wait = int(stale_minutes * 60_000_000)
+
+    def watch(k, batches: Iterator, state: GroupState):
+        if state.hasTimedOut:
+            last = state.get[1]
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "us": [last]})
+            return
+        spans = [list(state.get)] if state.exists else []
+        for pdf in batches:
+            merged: list[list[int]] = []
+            for a, b in sorted([*spans, *([t, t] for t in pdf["us"].tolist())]):
+                if merged and a - merged[-1][1] <= wait:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            spans = merged
+        ends = [b for _, b in spans]
+        due = ends[-1] // 1000 + wait // 1000 + 1
+        if due <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(spans[-1]))
+            state.setTimeoutTimestamp(due)
+            ends.pop()
+        if ends:
+            yield pd.DataFrame({key: [k[0]] * len(ends), "us": ends})
+    time = F.col(at).cast("timestamp")
+    slim = progress.where(time.isNotNull()).select(key, time.alias(at), F.unix_micros(time).alias("us")).withWatermark(at, delay)
+    out = slim.groupBy(key).applyInPandasWithState(watch, f"`{key}` {kind}, us bigint", "first bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_micros("us").alias("last_at"))
+
+
+def settled_once(episodes: DataFrame, group: str, slot: str, at: str, failed: Column, size: int, wait_minutes: float, keep_minutes: float, delay: str) -> DataFrame:
+    """(group, landed, verdict), once a group: ``kept`` or ``dropped`` when its last rollout lands, ``partial`` when none lands for
+    ``wait_minutes`` of event time. A slot counts once. A rollout that lands later finds the group settled and changes nothing;
+    that mark, and with it all state, goes ``keep_minutes`` afterwards."""
+    import pandas as pd
+    kind = episodes.schema[group].dataType.simpleString()
+    wait, keep = int(wait_minutes * 60_000_000), int(keep_minutes * 60_000_000)
+
+    def settle(k, batches: Iterator, state: GroupState):
+        def row(n, verdict):
+            return pd.DataFrame({group: [k[0]], "landed": [n], "verdict": [verdict]})
+
+        def timer(us):
+            state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
+        slots, bad, last, settled = state.get if state.exists else (0, False, 0, False)
+        if state.hasTimedOut:
+            if settled:
+                state.remove()
+                return
+            state.update((slots, bad, last, True))
+            timer(last + wait + keep)
+            yield row(slots.bit_count(), "partial")
+            return
+        out, came = None, []
+        for pdf in batches:
+            came = sorted({*came, *zip(pdf["us"].tolist(), pdf["slot"].tolist(), pdf["failed"].tolist(), strict=True)})
+            seen, few = 0, []                                     # a slot's first rollout is enough: at most ``size`` stay
+            for t, i, f in came:
+                if not seen >> i & 1:
+                    seen |= 1 << i
+                    few.append((t, i, f))
+            came = few
+        for t, i, f in came:
+            if settled:
+                break
+            if slots and t - last > wait:
+                out, settled = row(slots.bit_count(), "partial"), True
+            elif not slots >> i & 1:
+                slots, bad, last = slots | 1 << i, bool(bad or f), max(last, t)
+                if slots.bit_count() >= size:
+                    out, settled = row(size, "dropped" if bad else "kept"), True
+        state.update((slots, bad, last, settled))
+        timer(last + wait + (keep if settled else 0))
+        if out is not None:
+            yield out
+    time = F.col(at).cast("timestamp")
+    slim = episodes.where(time.isNotNull()).select(group, F.col(slot).cast("int").alias("slot"), time.alias(at), F.unix_micros(time).alias("us"),
+                                                   F.coalesce(failed, F.lit(False)).alias("failed")).withWatermark(at, delay)
+    return slim.groupBy(group).applyInPandasWithState(
+        settle, f"`{group}` {kind}, landed bigint, verdict string", "slots bigint, bad boolean, last bigint, settled boolean", "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import work_folder
@@ -43,16 +43,44 @@ def latest(written: DataFrame, keys: list[str]) -> DataFrame:
     return written.groupBy(*keys).agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select(*keys, "s.*")
 
 
-def append_new_rows(path: str, keys: list[str]):
-    """foreachBatch function that appends only rows whose key no other batch has written."""
+def replayed(slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str, purpose: str, sink=batch_writer) -> DataFrame:
+    """What a stream writes when its input comes in several micro-batches: each slice is added to the input's folder and the
+    query is started again from its checkpoint, so every slice is one batch (or more, for timers) and a restart."""
+    spark = slices[0].sparkSession
+    base = work_folder(spark, purpose)
+    for i, part in enumerate(slices):
+        part.write.parquet(f"{base}/in/slice={i}")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{base}/in/slice=*"))
+        (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink(f"{base}/out"))
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_new_rows(path: str, keys: list[str], span: Column | None = None, most_spans: int = 10_000):
+    """foreachBatch function that appends only rows whose key no earlier batch has written.
+
+    ``span`` is a range of keys as a whole number (say, a thousand steps): the log is laid out by it, and a batch reads only the
+    spans it has rows of. A batch with more than ``most_spans`` of them reads the whole log. A replayed batch takes the place of
+    what it wrote before, in its own folders."""
+    cut = F.lit(0) if span is None else span
+
     def write(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        fresh = df.dropDuplicates(keys)
-        try:
-            seen = spark.read.option("basePath", path).parquet(path).where(F.col("epoch") != epoch)
-            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
-        except Exception as e:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        fresh = df.dropDuplicates(keys).withColumn("span", F.coalesce(cut.cast("bigint"), F.lit(-1)))
+        if exists(spark, path):
+            log = spark.read.schema(f"{df.select(*keys).schema.toDDL()}, span bigint, epoch bigint").option("basePath", path).parquet(path).where(F.col("epoch") < epoch)
+            spans = [r.span for r in fresh.select("span").distinct().limit(most_spans + 1).collect()]
+            if len(spans) <= most_spans:
+                log = log.where(F.col("span").isin(spans))
+            same = [fresh[k].eqNullSafe(log[k]) for k in ["span", *keys]]
+            on = same[0]
+            for c in same[1:]:
+                on = on & c
+            fresh = fresh.join(log, on, "left_anti")
+        fresh.withColumn("epoch", F.lit(epoch)).write.partitionBy("span", "epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return write
