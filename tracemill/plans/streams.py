@@ -141,11 +141,11 @@ def stream_endings(spark, d):
 @query("stream_stale_runs", """WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, max(ts) OVER () AS final FROM events)
 SELECT user_id, ts AS last_at FROM e WHERE epoch_us(coalesce(nxt, final)) - epoch_us(ts) > 129600000000""")
 def stream_stale_runs(spark, d):
-    """Users without an event for a day and a half, by event time; the events come in six batches in order of time."""
+    """Users without an event for a day and a half, by event time; the events come in four batches in order of time."""
     ev = T.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     day = F.floor(F.unix_micros("ts") / 86_400_000_000)
     first = ev.agg(F.min(day)).scalar()
-    slices = [ev.where(F.least(F.lit(5), F.floor((day - first) / 5)) == b) for b in range(6)]
+    slices = [ev.where(F.least(F.lit(3), F.floor((day - first) / 8)) == b) for b in range(4)]
     out = S.replayed(slices, lambda s: M.stale_gaps(s, "user_id", "ts", 36 * 60, "0 seconds"), "append", "stale")
     return out.select("user_id", "last_at")
 
@@ -173,7 +173,7 @@ SELECT group_id, landed, CASE WHEN landed < 4 THEN 'partial' WHEN failed THEN 'd
 def stream_settled_once(spark, d):
     """Every group settled once: kept or dropped with its fourth rollout, partial after ten days without one."""
     r = materialise(_timed_rollouts(spark, d), "rollouts")
-    slices = [r.where(F.least(F.lit(5), F.floor(F.col("hour") / 360)) == b) for b in range(6)]
+    slices = [r.where(F.least(F.lit(3), F.floor(F.col("hour") / 540)) == b) for b in range(4)]
     out = S.replayed(slices, lambda s: M.settled_once(s, "group_id", "slot", "at", F.col("failed"), 4, 14_400, 57_600, "0 seconds"), "append", "settled")
     return out.select("group_id", "landed", "verdict")
 
