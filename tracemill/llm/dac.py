@@ -32,19 +32,36 @@ END_ID = 2
 FILE = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, chunks array<binary>, goes_on array<binary>, ranks array<binary>"
 
 
+def _parts(width: int) -> list[tuple[int, int, int]]:
+    """Eight values fill ``width`` bytes: (value, byte, shift) of every overlap; the byte has the value's bits shifted right by
+    shift (left, if negative)."""
+    return [(i, j, (i + 1) * width - 8 * (j + 1)) for j in range(width) for i in range(8 * j // width, min(8, -(-8 * (j + 1) // width)))]
+
+
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    rows = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width:]
-    return np.packbits(rows).tobytes()
+    """The low ``width`` bits of each value, one after the other, highest first."""
+    n, groups = len(values), -(-len(values) // 8)
+    wide = np.zeros(groups * 8, np.uint32)
+    wide[:n] = values
+    v = np.ascontiguousarray(wide.reshape(-1, 8).T)
+    out = np.zeros((width, groups), np.uint8)
+    for i, j, shift in _parts(width):
+        out[j] |= (v[i] >> np.uint32(shift) if shift >= 0 else v[i] << np.uint32(-shift)).astype(np.uint8)
+    return out.T.tobytes()[:(n * width + 7) // 8]
 
 
 def unpack_bits(data: bytes, width: int, begin: int, end: int) -> np.ndarray:
     """Values ``begin`` to ``end`` of a packed array; touches only their bytes."""
-    first = begin * width
-    raw = np.unpackbits(np.frombuffer(data, np.uint8, count=(end * width + 7) // 8 - first // 8, offset=first // 8))
-    bits = raw[first % 8:first % 8 + (end - begin) * width].reshape(-1, width)
-    wide = np.zeros((len(bits), 32), np.uint8)
-    wide[:, 32 - width:] = bits
-    return np.packbits(wide, axis=1).view(">u4").astype(np.uint32).reshape(-1)
+    first, groups = begin // 8, -(-end // 8) - begin // 8
+    raw = np.zeros(groups * width, np.uint8)
+    some = np.frombuffer(data, np.uint8, count=(end * width + 7) // 8 - first * width, offset=first * width)
+    raw[:len(some)] = some
+    b = np.ascontiguousarray(raw.reshape(-1, width).T).astype(np.uint32)
+    out = np.zeros((8, groups), np.uint32)
+    for i, j, shift in _parts(width):
+        out[i] |= b[j] << np.uint32(shift) if shift >= 0 else b[j] >> np.uint32(-shift)
+    out &= np.uint32((1 << width) - 1)
+    return out.T.reshape(-1)[begin - 8 * first:end - 8 * first]
 
 
 def encode(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> tuple[list[bytes], list[bytes], list[bytes]]:
