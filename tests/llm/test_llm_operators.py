@@ -472,3 +472,17 @@ def test_pipeline(spark, sf):
     out = at.collect()
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert out and starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_rows_without_ids_whose_hashes_share_32_bits(spark):
+    """Two texts with null ids and equal low bits of their hashes, one contaminated: each has its own verdict."""
+    from pyspark.sql import functions as F
+    item = " ".join(f"q{i}" for i in range(13))
+    low = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+    bad = spark.range(150_000).select(F.concat(F.lit(item + " z"), "id").alias("text")).withColumn("low", low)
+    good = spark.range(150_000).select(F.concat(F.lit("a clean text " * 7 + "y"), "id").alias("other")).withColumn("low", F.xxhash64("other").bitwiseAND(F.lit(0xFFFFFFFF)))
+    texts = bad.join(good, "low").limit(1).first()
+    docs = spark.createDataFrame([(None, texts["text"]), (None, texts["other"]), (None, None), (None, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    got = decontam.contamination(docs, bench).select("n_words", "n_hit", "contaminated").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, False), (0, 0, False), (14, 13, True), (22, 0, False)]

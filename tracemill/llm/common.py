@@ -178,11 +178,11 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def rows_keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tid, text): the id and a 32-bit hash of the text, which tells apart rows that share an id. A null id
-    sorts after all others."""
+def rows_keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tid_bits: int = 32) -> DataFrame:
+    """(doc, tid, text): the id and a hash of the text (its low 32 bits or all 64), which tells apart rows that share an id. A
+    null id sorts after all others."""
     return short_batches(docs).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2 ** 63 - 1)).alias("doc"),
-                       F.col(text_col).cast("string").alias("text")).withColumn("tid", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+                       F.col(text_col).cast("string").alias("text")).withColumn("tid", F.xxhash64("text").bitwiseAND(F.lit(-1 if tid_bits == 64 else 0xFFFFFFFF)))
 
 
 def bit_table(keys: DataFrame, key: str, log2_bits: int) -> Column:

@@ -11,7 +11,7 @@ prefix: a document holds the window only where it holds that token.
 3. The words around the place are compared with the window, word by word, so hits are exact.
 
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. Null or empty texts and items have
-no words. Rows that share an id are told apart by their text; items that share an id are one item; a null item id
+no words. Rows that share an id are told apart by a 64-bit hash of their text; items that share an id are one item; a null item id
 reads as the empty string."""
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from tracemill.llm import common
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 22
 SALTS = 8
@@ -68,26 +67,30 @@ def tokens(windows: DataFrame) -> DataFrame:
 
 
 def _places(keyed: DataFrame, table: Column, lengths: list[int], size: int) -> DataFrame:
-    """(doc, tid, pos, token, base, near) where a wanted token begins, with the words around it from ``base`` on."""
+    """(doc, tid, pos, tokens, base, near) where wanted tokens begin, with the words around from ``base`` on. A document's first
+    word (or the lack of any) has a row whether it is wanted or not; that row has the document's n_words."""
     words = keyed.select("doc", "tid", words_of(F.col("text")).alias("words"))
-    each = words.select("doc", "tid", "words", F.posexplode("words").alias("pos", "word"))
+    each = words.select("doc", "tid", "words", F.posexplode_outer("words").alias("pos", "word"))
     found = [_token([F.col("word"), *[F.get("words", F.col("pos") + j) for j in range(1, k)]]) for k in lengths]
-    hit = common.has_bit(table, found[0], BITS)
-    for f in found[1:]:
-        hit = hit | common.has_bit(table, f, BITS)
+    wanted = [common.has_bit(table, f, BITS) for f in found]
+    hit = wanted[0]
+    for w in wanted[1:]:
+        hit = hit | w
+    kept = each.where(hit | F.col("pos").isNull() | (F.col("pos") == 0))
     base = F.greatest(F.col("pos") - size, F.lit(0))
-    near = each.where(hit).select("doc", "tid", "pos", base.alias("base"), F.slice("words", base + 1, F.lit(2 * size)).alias("near"), F.array(*found).alias("tokens"))
-    if len(lengths) == 1:
-        return near.select("doc", "tid", "pos", "base", "near", F.col("tokens")[0].alias("token"))
-    return near.select("doc", "tid", "pos", "base", "near", F.explode("tokens").alias("token")).where(common.has_bit(table, F.col("token"), BITS))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    tokens = F.array_compact(F.array(*[F.when(w, f) for w, f in zip(wanted, found, strict=True)]))
+    return kept.select("doc", "tid", "pos", base.alias("base"), F.slice("words", base + 1, F.lit(2 * size)).alias("near"),
+                       F.when(F.col("pos").isNotNull(), tokens).alias("tokens"), F.when(first, F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0))).cast("bigint").alias("n_words"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, tid, start, len, wid) of every occurrence of a window, and (wid, item)."""
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, tid, start, len, wid) of every occurrence of a window, (wid, item), and (doc, tid, n_words) of every row."""
     windows, owners = item_windows(benchmark, size, item_id, text)
     all_tokens = common.saved(tokens(windows), "tokens")
     lengths = [r["k"] for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]
-    places = common.saved(_places(common.rows_keyed(docs), common.bit_table(all_tokens, "token", BITS), lengths, size), "places")
+    scanned = common.saved(_places(common.rows_keyed(docs, tid_bits=64), common.bit_table(all_tokens, "token", BITS), lengths, size), "places")
+    places = scanned.where(F.size("tokens") > 0).select("doc", "tid", "pos", "base", "near", F.explode("tokens").alias("token"))
     counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = all_tokens.join(counts, "token", "left").groupBy("wid").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"))
@@ -99,7 +102,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item_id: str = "
     start = F.col("pos") - F.col("at")
     inside = F.slice("near", F.greatest(start - F.col("base") + 1, F.lit(1)), F.size("window"))
     joined = near.join(salted, ["token", "salt"]).where((start >= 0) & (inside == F.col("window")))
-    return joined.select("doc", "tid", start.alias("start"), F.size("window").alias("len"), "wid"), owners
+    return joined.select("doc", "tid", start.alias("start"), F.size("window").alias("len"), "wid"), owners, scanned.where("n_words IS NOT NULL").select("doc", "tid", "n_words")
 
 
 def covered(spans: Column) -> Column:
@@ -114,11 +117,10 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, tid, n_words, n_hit, items (sorted ids), contaminated (n_hit > 0 and share * n_hit >= n_words), one row a document row."""
-    found, owners = hits(docs, benchmark, size, item_id, text)
+    found, owners, base = hits(docs, benchmark, size, item_id, text)
     found = common.saved(found, "hits")
     words = found.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "len")).alias("spans")).select("doc", "tid", covered(F.col("spans")).alias("n_hit"))
     items = found.select("doc", "tid", "wid").distinct().join(owners, "wid").groupBy("doc", "tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    base = common.rows_keyed(docs).select("doc", "tid", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("bigint").alias("n_words"))
     out = base.join(words.join(items, ["doc", "tid"]), ["doc", "tid"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("bigint"))
     return out.select(F.when(F.col("doc") != 2 ** 63 - 1, F.col("doc")).alias("doc_id"), "tid", "n_words", "n_hit",
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),

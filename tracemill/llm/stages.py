@@ -34,7 +34,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     found = decontam.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("contaminated")
     bad = common.saved(found.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("doc"), "tid").distinct(), "bad")
-    clear, maybe = common.flagged(docs, bad)
+    clear, maybe = common.flagged(docs, bad, tid_bits=64)
     return clear.unionByName(maybe.join(bad.toDF("_doc", "_tid"), ["_doc", "_tid"], "left_anti").select(*docs.columns))
 
 
