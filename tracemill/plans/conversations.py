@@ -196,18 +196,18 @@ def results_of_calls(spark, d):
     return p.select("conv_id", "turn", "block", "agent_idx", "j")
 
 
-@query("communicated_infos", """WITH h AS (SELECT conv_id, list_transform(string_split(lower(min_by(text, turn)), ' '), lambda x: md5(x) || x) AS h FROM conversations WHERE role = 'user' GROUP BY conv_id),
-i AS (SELECT conv_id, list_distinct([substr(list_min(h), 33), substr(list_max(h), 33)]) AS infos FROM h),
+@query("communicated_infos", """WITH i AS (SELECT conv_id, list_distinct(list_filter(string_split(lower(min_by(text, turn)), ' '), lambda x: x <> '' AND substr(md5(x), 1, 1) < '4')) AS infos
+  FROM conversations WHERE role = 'user' GROUP BY conv_id),
 f AS (SELECT i.conv_id, info, coalesce(bool_or(contains(replace(lower(text), ',', ''), info)), false) AS said
   FROM (SELECT conv_id, unnest(infos) AS info FROM i) i LEFT JOIN conversations c ON c.conv_id = i.conv_id AND c.role = 'assistant' GROUP BY ALL)
-SELECT conv_id, bool_and(said) AS communicated FROM f GROUP BY conv_id""")
+SELECT conv_id, coalesce(bool_and(said), true) AS communicated FROM i LEFT JOIN f USING (conv_id) GROUP BY conv_id""")
 def communicated_infos(spark, d):
+    """The facts are a quarter of all words of the opening, by digest."""
     c = conv(spark, d)
     first = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
+    words = F.filter(F.split(F.lower("op"), " "), lambda x: (x != "") & (F.substring(F.md5(x), 1, 1) < "4"))
     infos = c.groupBy("conv_id").agg(first.alias("op"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("role") == "user").alias("has")).where("has").select(
-        "conv_id", "n", F.transform(F.split(F.lower("op"), " "), lambda x: F.concat(F.md5(x), x)).alias("h"))
-    # the facts are the words of the whole opening with the smallest and the largest digest
-    infos = infos.select("conv_id", "n", F.expr("array_distinct(array(substring(array_min(h), 33), substring(array_max(h), 33)))").alias("infos"))
+        "conv_id", "n", F.array_distinct(words).alias("infos"))
     out = K.communicated(c.where("role = 'assistant'"), infos, "conv_id", "text")
     return out.select("conv_id", F.coalesce("communicated", F.lit(False)).alias("communicated"))
 

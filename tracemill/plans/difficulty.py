@@ -21,27 +21,38 @@ def beta_sql(a: str, b: str, k: int) -> str:
     return "(" + " * ".join(f"(({a} + {i}) / ({a} + {b} + {i}))" for i in range(k)) + ")"
 
 
-# two profiles made at different times: the first covers the base arm of the early years, the second the
-# trained arm of the late ones, so some tasks are known to one of them only
-EARLY, LATE = "arm = 'base' AND month < TIMESTAMP '1997-01-01'", "arm = 'trained' AND month >= TIMESTAMP '2000-01-01'"
+# Two profiles made at different times cover all live trials between them. A task is one of four variants of a part, so some
+# tasks are known to one profile only and some to none.
+EARLY, LATE = "month < TIMESTAMP '1998-07-01'", "month >= TIMESTAMP '1998-07-01'"
+VARIANTS = 4
+VARIANT_SQL = f"task_id * {VARIANTS} + order_id % {VARIANTS}"
+TASKS_SQL = f"tasks AS (SELECT p_partkey * {VARIANTS} + v AS task_id, p_type, p_size FROM part, range({VARIANTS}) r(v))"
 
 
-def profile(spark, d, which: str):
+def variant_tasks(spark, d):
+    """(task_id, p_type, p_size): the variants of every part."""
+    variant = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v")
+    return T.table(spark, d, "part").select("p_partkey", "p_type", "p_size", variant).select((F.col("p_partkey") * VARIANTS + F.col("v")).alias("task_id"), "p_type", "p_size")
+
+
+def profile(spark, d, which: str, variants: bool = True):
     t = T.trials(spark, d).where(f"not dead and {which}")
+    if variants:
+        t = t.withColumn("task_id", F.col("task_id") * VARIANTS + F.col("order_id") % VARIANTS)
     return V.task_counts(t, []).select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
 
 
 def base(spark, d):
-    return profile(spark, d, "arm = 'base'")
+    return profile(spark, d, "arm = 'base'", variants=False)
 
 
-def _profile_sql(which: str) -> str:
-    return f"(SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE NOT dead AND {which} GROUP BY task_id)"
+def _profile_sql(which: str, task: str = VARIANT_SQL) -> str:
+    return f"(SELECT {task} AS task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE NOT dead AND {which} GROUP BY {task})"
 
 
 PROFILE_SQL = T.TRIALS_SQL + f""",
-old AS {_profile_sql("arm = 'base'")},
-early AS {_profile_sql(EARLY)}, late AS {_profile_sql(LATE)}"""
+old AS {_profile_sql("arm = 'base'", "task_id")},
+early AS {_profile_sql(EARLY)}, late AS {_profile_sql(LATE)}, first AS {_profile_sql("arm = 'base'")}, second AS {_profile_sql("arm = 'trained'")}, known AS {_profile_sql("true")}, {TASKS_SQL}"""
 
 
 @query("task_profile", T.with_sql(T.ROLLOUTS_SQL) + """SELECT task_id, sum(CASE WHEN termination = 'natural' THEN reward ELSE 0 END) AS successes,
@@ -68,20 +79,19 @@ def profile_merge_overwrite(spark, d):
 
 
 @query("prior_inheritance", "WITH " + PROFILE_SQL + """,
-pool AS (SELECT p_partkey AS task_id, CASE WHEN p_type = 'PROMO' THEN p_size END AS base_id FROM part)
+pool AS (SELECT task_id, CASE WHEN p_type = 'PROMO' THEN p_size END AS base_id FROM tasks)
 SELECT pool.task_id, CASE WHEN b.task_id IS NOT NULL THEN 'base' WHEN o.task_id IS NOT NULL THEN 'own' ELSE 'to_profile' END AS origin,
   CASE WHEN b.task_id IS NOT NULL THEN b.successes ELSE o.successes END AS successes,
   CASE WHEN b.task_id IS NOT NULL THEN b.trials ELSE o.trials END AS trials
 FROM pool LEFT JOIN early o ON o.task_id = pool.task_id LEFT JOIN early b ON b.task_id = pool.base_id""")
 def prior_inheritance(spark, d):
-    pool = T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"),
-                                            F.when(F.col("p_type") == "PROMO", F.col("p_size").cast("bigint")).alias("base_id"))
+    pool = variant_tasks(spark, d).select("task_id", F.when(F.col("p_type") == "PROMO", F.col("p_size").cast("bigint")).alias("base_id"))
     return P.inherit(pool, profile(spark, d, EARLY))
 
 
 @query("recent_else_full_prior", "WITH " + PROFILE_SQL + """,
-j AS (SELECT p_partkey AS task_id, n.successes AS rs, n.trials AS rt, o.successes AS fs, o.trials AS ft
-  FROM part LEFT JOIN late n ON n.task_id = p_partkey LEFT JOIN old o ON o.task_id = p_partkey),
+j AS (SELECT t.task_id, n.successes AS rs, n.trials AS rt, o.successes AS fs, o.trials AS ft
+  FROM tasks t LEFT JOIN second n ON n.task_id = t.task_id LEFT JOIN first o ON o.task_id = t.task_id),
 k AS (SELECT task_id, coalesce(rt >= 4, false) AS use_recent, CASE WHEN rt >= 4 THEN rs ELSE fs END AS successes,
   CASE WHEN rt >= 4 THEN rt ELSE ft END AS trials FROM j)
 SELECT task_id, coalesce(successes > 0 AND successes < trials, false) AS keep,
@@ -89,32 +99,32 @@ SELECT task_id, coalesce(successes > 0 AND successes < trials, false) AS keep,
        WHEN use_recent THEN 'recent never' WHEN successes > 0 AND successes < trials THEN 'full mixed (recent thin)'
        ELSE 'full not mixed (recent thin)' END AS why, successes, trials FROM k""")
 def recent_else_full_prior(spark, d):
-    train = T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"))
-    return P.recent_else_full(train, profile(spark, d, LATE), base(spark, d))
+    return P.recent_else_full(variant_tasks(spark, d).select("task_id"), profile(spark, d, "arm = 'trained'"), profile(spark, d, "arm = 'base'"))
 
 
 @query("needs_profiling", "WITH " + PROFILE_SQL + """
-SELECT p_partkey AS task_id, CASE WHEN trials IS NULL THEN 'never tried' ELSE 'thin and all-success' END AS reason
-FROM part LEFT JOIN early ON task_id = p_partkey WHERE trials IS NULL OR (trials < 4 AND successes = trials)""")
+SELECT task_id, CASE WHEN trials IS NULL THEN 'never tried' ELSE 'thin and all-success' END AS reason
+FROM tasks LEFT JOIN known USING (task_id) WHERE trials IS NULL OR (trials < 4 AND successes = trials)""")
 def needs_profiling(spark, d):
-    return P.needs_profiling(T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id")), profile(spark, d, EARLY))
+    return P.needs_profiling(variant_tasks(spark, d).select("task_id"), profile(spark, d, "true"))
 
 
-SHORT_SQL = """,
-short_old AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE customer = 'A' AND arm = 'base' GROUP BY task_id),
-short_new AS (SELECT task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE customer = 'A' AND arm = 'trained' GROUP BY task_id),
-pooled AS (SELECT p_partkey AS task_id, p_type AS family, greatest(coalesce(o.successes, 0), coalesce(n.successes, 0)) AS successes,
+SHORT_SQL = f""",
+short_old AS (SELECT {VARIANT_SQL} AS task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE arm = 'base' GROUP BY {VARIANT_SQL}),
+short_new AS (SELECT {VARIANT_SQL} AS task_id, sum(success) AS successes, count(*) AS trials FROM trials WHERE arm = 'trained' GROUP BY {VARIANT_SQL}),
+{TASKS_SQL},
+pooled AS (SELECT t.task_id, p_type AS family, greatest(coalesce(o.successes, 0), coalesce(n.successes, 0)) AS successes,
   greatest(coalesce(o.trials, 0), coalesce(n.trials, 0)) AS trials
-  FROM part LEFT JOIN short_old o ON o.task_id = p_partkey LEFT JOIN short_new n ON n.task_id = p_partkey)"""
+  FROM tasks t LEFT JOIN short_old o ON o.task_id = t.task_id LEFT JOIN short_new n ON n.task_id = t.task_id)"""
 
 
 def _short(spark, d, arm):
-    c = V.task_counts(T.trials(spark, d).where((F.col("customer") == "A") & (F.col("arm") == arm)), [])
-    return c.select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
+    t = T.trials(spark, d).where(F.col("arm") == arm).withColumn("task_id", F.col("task_id") * VARIANTS + F.col("order_id") % VARIANTS)
+    return V.task_counts(t, []).select("task_id", F.col("c").alias("successes"), F.col("n").alias("trials"))
 
 
 def _pooled(spark, d):
-    tasks = T.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("family"))
+    tasks = variant_tasks(spark, d).select("task_id", F.col("p_type").alias("family"))
     return P.pool_by_max(tasks, _short(spark, d, "base"), _short(spark, d, "trained"))
 
 

@@ -73,18 +73,16 @@ def targets_seen_before(spark, d):
                     E.seen_earlier(F.col("turns"), F.col("c.args")["order_id"], F.col("c.turn_idx")).alias("seen"))
 
 
-@query("spoken_facts", """WITH docs AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls, list_transform(string_split(text, ' '), lambda x: md5(x) || x) AS h FROM documents),
-facts AS (SELECT doc_id, ls, [substr(list_min(h), 33), substr(list_max(h), 33)] AS infos FROM docs),
-said AS (SELECT doc_id, info, coalesce(bool_or(len(string_split(l, ' ')) >= 40 AND contains(replace(lower(l), ',', ''), lower(info))), false) AS ok FROM (SELECT doc_id, unnest(infos) AS info, ls FROM facts) LEFT JOIN LATERAL (SELECT unnest(ls) AS l) ON true GROUP BY ALL)
-SELECT doc_id, bool_and(ok) AS communicated FROM said GROUP BY doc_id""")
+@query("spoken_facts", """WITH docs AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(string_split(x, ' ')) >= 40) AS ls,
+  list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '' AND substr(md5(x), 1, 1) = '0')) AS infos FROM documents)
+SELECT doc_id, len(list_filter(infos, lambda i: len(list_filter(ls, lambda l: contains(replace(lower(l), ',', ''), lower(i)))) = 0)) = 0 AS communicated FROM docs""")
 def spoken_facts(spark, d):
-    """Were the facts to communicate said in some agent message; the facts are the words of the whole text
-    with the smallest and the largest digest."""
-    t = T.table(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), lambda x: F.concat(F.md5(x), x)).alias("h"),
-                                              F.filter(F.split("text", "\n"), lambda x: x != "").alias("ls"))
-    t = t.select("doc_id", "ls", F.array(F.expr("substring(array_min(h), 33)"), F.expr("substring(array_max(h), 33)")).alias("infos"))
+    """Were the facts to communicate said in some agent message; a sixteenth of all words of the whole text, by digest, are its facts."""
+    text = F.coalesce("text", F.lit(""))
+    fact = F.array_distinct(F.filter(F.split(text, " "), lambda x: (x != "") & (F.substring(F.md5(x), 1, 1) == "0")))
+    t = T.table(spark, d, "documents").select("doc_id", F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, " ")) >= D.AGENT_WORDS).alias("ls"), fact.alias("infos"))
     from tracemill.functions import text as X
-    return t.select("doc_id", X.communicated(F.filter("ls", lambda x: F.size(F.split(x, " ")) >= D.AGENT_WORDS), F.col("infos")).alias("communicated"))
+    return t.select("doc_id", X.communicated(F.col("ls"), F.col("infos")).alias("communicated"))
 
 
 @query("stricter_rule_rescore", """WITH t AS (SELECT source, lang = 'en' AND n_chars <= 6000 AS db_ok, contains(lower(text), 'with') AS said FROM documents)
