@@ -4,8 +4,11 @@ An entry (list, kind, value, action, day) adds or removes a host, a domain with
 prefix. Entries become validity intervals [add, next remove): of several entries for one value and day the removal
 counts, repeated additions go on, a removal of nothing does nothing, and an interval without an end stays open.
 
-A capture has one key per host suffix and path prefix. Keys and intervals meet by key and time bucket, so a value with a
-long history sends a capture only the intervals of its own bucket; a salt spreads a frequent host over many tasks.
+A capture has one key per host suffix and path prefix. Keys and intervals meet by key, level and time bucket: an interval
+takes the finest level at which it covers at most ``WIDE`` + 1 buckets (each level's buckets are ``WIDE`` times as long), and
+an open one a level with a single bucket, so no interval becomes many rows however far its days lie apart. A capture looks
+into one bucket of each level that occurs. A value with a long history sends a capture only the intervals of its own
+buckets; a salt spreads a frequent host over many tasks.
 
 A url without a scheme and host has no keys; null urls and days match nothing. Repeated captures are rows of their own;
 captures that share an id are told apart by url and day.
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 
 BUCKET = 64               # days of a time bucket
 SALTS = 8
+WIDE = 16                 # a level's buckets are so many of the level below
+LEVELS = 8                # 64 * 16^7 days are more than any two int days lie apart
+OPEN = -1                 # the level of intervals without an end
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
@@ -52,16 +58,32 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("day").over(w)).where(~F.col("off")).select("list", "kind", "value", F.col("day").alias("since"), "until")
 
 
+def _days(level: int) -> int:
+    return BUCKET * WIDE ** level
+
+
+def _bucket(day: Column, level: Column) -> Column:
+    """The bucket of a day at a level; open intervals have one bucket."""
+    size = F.element_at(F.array(*[F.lit(_days(n)).cast("bigint") for n in range(LEVELS)]), F.greatest(level, F.lit(0)) + 1)
+    return F.when(level == OPEN, F.lit(0).cast("bigint")).otherwise(F.floor(day / size))
+
+
 def active(captures: DataFrame, spans: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
     """(id, url, day, list, kind, value, since) of every entry active for a capture, once each."""
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("int").alias("_day")).where("_url IS NOT NULL AND _day IS NOT NULL")
-    keyed = rows.select("_id", "_url", "_day", F.explode(keys_of(F.col("_url"))).alias("k")).select(
-        "_id", "_url", "_day", "k.kind", "k.value", F.expr(f"_day div {BUCKET}").alias("bucket"), F.pmod(F.xxhash64("_id", "_url", "_day"), F.lit(SALTS)).cast("int").alias("salt"))
-    last = rows.agg(F.max("_day").alias("last")).scalar()
-    until = F.coalesce(F.col("until") - 1, F.greatest(last, F.col("since")))
-    laid = spans.withColumn("_end", until.cast("int")).withColumn("bucket", F.explode(F.sequence(F.expr(f"since div {BUCKET}"), F.expr(f"_end div {BUCKET}"))))
+    length = F.col("until").cast("bigint") - F.col("since")
+    level = F.lit(LEVELS - 1)
+    for n in range(LEVELS - 2, -1, -1):
+        level = F.when(length <= _days(n) * WIDE, F.lit(n)).otherwise(level)
+    laid = spans.withColumn("level", F.when(F.col("until").isNull(), F.lit(OPEN)).otherwise(level))
+    # at most LEVELS + 1 values
+    levels = laid.agg(F.array_sort(F.collect_set("level")).alias("levels")).scalar()
+    laid = laid.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("since"), F.col("level")), _bucket(F.coalesce(F.col("until") - 1, F.col("since")), F.col("level")))))
     laid = laid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = keyed.join(laid, ["kind", "value", "bucket", "salt"]).where((F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
+    keyed = rows.select("_id", "_url", "_day", F.explode(keys_of(F.col("_url"))).alias("k"), levels.alias("levels")).select(
+        "_id", "_url", "_day", "k.kind", "k.value", F.explode("levels").alias("level"), F.pmod(F.xxhash64("_id", "_url", "_day"), F.lit(SALTS)).cast("int").alias("salt"))
+    keyed = keyed.withColumn("bucket", _bucket(F.col("_day"), F.col("level")))
+    met = keyed.join(laid, ["kind", "value", "level", "bucket", "salt"]).where((F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     return met.select(F.col("_id").alias("id"), F.col("_url").alias("url"), F.col("_day").alias("day"), "list", "kind", "value", "since")
 
 
