@@ -8,7 +8,7 @@
    run to its group, whatever the number of copies.
 3. Starts of repeated windows return to their documents in bundles, and the words they cover go.
 
-Null ids sort last; rows that share an id are told apart by their text, rows equal in both are one document (each row
+Null ids sort last; rows that share an id are told apart by the whole 64-bit hash of their text, rows equal in both are one document (each row
 is returned). Null and empty texts have no words and hash the empty string."""
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def sketch_bits(text_bytes: int, most: int = 28) -> int:
 
 
 def _hashed(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(h1, h2, doc, pos << 32 | tid) of all windows, chunk by chunk."""
+    """(h1, h2, doc, pos, tid) of all windows, chunk by chunk."""
     for pdf, docs in common.chunks(frames):
         h, begin = common.hash_docs(docs)
         counts = np.diff(begin)
@@ -51,8 +51,7 @@ def _hashed(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndar
         own, starts = own[inside], starts[inside]
         h1 = common.windows(h, size)[inside]
         h2 = common.windows(common.mix(h ^ np.uint64(0xA5A5F00DC0FFEE11)), size)[inside]
-        at = ((starts - begin[own]).astype(np.int64) << 32) | pdf["tid"].to_numpy(np.int64)[own]
-        yield h1, h2, pdf["doc"].to_numpy(np.int64)[own], at
+        yield h1, h2, pdf["doc"].to_numpy(np.int64)[own], (starts - begin[own]).astype(np.int32), pdf["tid"].to_numpy(np.int64)[own]
 
 
 def _slots(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -90,7 +89,7 @@ def _sketch(size: int, bits: int):
                         out.append(((row << 32) | int(block[a]), pack_gaps(slots[a:b] - (block[a] << BLOCK_BITS))))
                 held[row] = []
             return pd.DataFrame(out, columns=["block", "slots"])
-        for h1, h2, _, _ in _hashed(frames, size):
+        for h1, h2, *_ in _hashed(frames, size):
             for row, s in enumerate(_slots(h1, h2, bits)):
                 held[row].append(s)
             n += len(h1)
@@ -131,13 +130,15 @@ def repeated_bits(keyed: DataFrame, size: int, bits: int) -> np.ndarray:
     return table
 
 
-def _first_of_each(k1, k2, doc, at):
+def _first_of_each(k1, k2, doc, at, tid):
     """The order of the rows by key and start, and which of them begin a key. A start that stands twice (rows equal in id
     and text) counts once."""
-    order = np.lexsort((at, doc, k2, k1))
-    a, b, c, d = k1[order], k2[order], doc[order], at[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+    order = np.lexsort((tid, at, doc, k2, k1))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for column in (k1, k2, doc, at, tid):
+        held = column[order]
+        new[1:] |= held[1:] != held[:-1]
     order = order[new]
     a, b = k1[order], k2[order]
     first = np.ones(len(order), bool)
@@ -152,20 +153,21 @@ def _estimated(size: int, bits: int, table, n_bundles: int):
         def flush():
             if not held:
                 return
-            k1, k2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _first_of_each(k1, k2, doc, at)
-            for name, blob in bundles(doc[order[~first]], at[order[~first]], n_bundles):   # repeats of an earlier start in this run
-                yield pd.DataFrame({"k1": name, "k2": 0, "doc": 0, "at": 0, "blob": [blob]})
+            k1, k2, doc, at, tid = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = _first_of_each(k1, k2, doc, at, tid)
+            again = order[~first]                                                           # repeats of an earlier start in this run
+            for name, blob in bundles(doc[again], at[again], tid[again], n_bundles):
+                yield pd.DataFrame({"k1": name, "k2": 0, "doc": 0, "at": np.int32(0), "tid": 0, "blob": [blob]})
             order = order[first]                                                            # one row for each hash
             for i in range(0, len(order), 200_000):
                 j = order[i:i + 200_000]
-                yield pd.DataFrame({"k1": k1[j].view(np.int64), "k2": k2[j].view(np.int64), "doc": doc[j], "at": at[j], "blob": None})
-        for h1, h2, doc, at in _hashed(frames, size):
+                yield pd.DataFrame({"k1": k1[j].view(np.int64), "k2": k2[j].view(np.int64), "doc": doc[j], "at": at[j], "tid": tid[j], "blob": None})
+        for h1, h2, doc, at, tid in _hashed(frames, size):
             hit = np.ones(len(h1), bool)
             for row, s in enumerate(_slots(h1, h2, bits)):
                 hit &= (bitmaps[row][s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
             if hit.any():
-                held.append((h1[hit], h2[hit], doc[hit], at[hit]))
+                held.append((h1[hit], h2[hit], doc[hit], at[hit], tid[hit]))
                 n += int(hit.sum())
             if n >= RUN:
                 yield from flush()
@@ -174,14 +176,15 @@ def _estimated(size: int, bits: int, table, n_bundles: int):
     return run
 
 
-def bundles(doc: np.ndarray, at: np.ndarray, n_bundles: int) -> list[tuple[int, bytes]]:
-    """Starts packed by a hash of their document: (bundle, little-endian (doc, tid, start) records)."""
+def bundles(doc: np.ndarray, at: np.ndarray, tid: np.ndarray, n_bundles: int) -> list[tuple[int, bytes]]:
+    """Starts packed by a hash of their document (id and text: rows without ids spread like others): (bundle,
+    little-endian (doc, tid, start) records)."""
     if not len(doc):
         return []
-    name = (common.mix(doc.view(np.uint64)) % np.uint64(n_bundles)).astype(np.int64)
-    order = np.lexsort((at, doc, name))
+    name = (common.mix(doc.view(np.uint64) ^ tid.view(np.uint64)) % np.uint64(n_bundles)).astype(np.int64)
+    order = np.lexsort((at, tid, doc, name))
     rows = np.empty(len(doc), RECORD)
-    rows["doc"], rows["tid"], rows["start"], name = doc[order], at[order] & 0xFFFFFFFF, at[order] >> 32, name[order]
+    rows["doc"], rows["tid"], rows["start"], name = doc[order], tid[order], at[order], name[order]
     edge = np.flatnonzero(np.diff(name, prepend=-1))
     return [(int(name[a]), PACK.compress(rows[a:b].tobytes())) for a, b in zip(edge, [*edge[1:], len(name)], strict=True)]
 
@@ -189,7 +192,7 @@ def bundles(doc: np.ndarray, at: np.ndarray, n_bundles: int) -> list[tuple[int,
 def _later(n_bundles: int):
     """From rows in key order: starts that are not the first of their hash, bundled; bundles that are there already pass."""
     def run(frames):
-        last, held, n = (None,) * 4, [], 0
+        last, held, n = (None,) * 5, [], 0
 
         def flush():
             return pd.DataFrame(bundles(*(np.concatenate(x) for x in zip(*held, strict=True)), n_bundles), columns=["bundle", "blob"])
@@ -204,14 +207,14 @@ def _later(n_bundles: int):
             same = np.zeros(len(k1), bool)
             same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
             same[0] = last[:2] == (k1[0], k2[0])
-            doc, at = pdf["doc"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+            doc, at, tid = pdf["doc"].to_numpy(np.int64), pdf["at"].to_numpy(np.int32), pdf["tid"].to_numpy(np.int64)
             twin = np.zeros(len(k1), bool)                 # the same start once more
-            twin[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-            twin[0] = last[2:] == (doc[0], at[0])
-            last = (k1[-1], k2[-1], doc[-1], at[-1])
+            twin[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & (tid[1:] == tid[:-1])
+            twin[0] = last[2:] == (doc[0], at[0], tid[0])
+            last = (k1[-1], k2[-1], doc[-1], at[-1], tid[-1])
             same &= ~twin
             if same.any():
-                held.append((doc[same], at[same]))
+                held.append((doc[same], at[same], tid[same]))
                 n += int(same.sum())
             if n >= RUN:
                 yield flush()
@@ -245,13 +248,13 @@ def _gathered(frames):
 def repeated_starts(docs: DataFrame, size: int = 20, most_bits: int = 28) -> DataFrame:
     """(doc, tid, starts): little-endian 32-bit starts of a document's windows that also start earlier."""
     spark = docs.sparkSession
-    keyed = common.rows_keyed(docs)
+    keyed = common.rows_keyed(docs, tid_bits=64)
     text_bytes = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = sketch_bits(text_bytes, most_bits)
     table = spark.sparkContext.broadcast(repeated_bits(keyed, size, bits))
     n_bundles = min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = keyed.select("text", "doc", "tid").mapInPandas(_estimated(size, bits, table, n_bundles), "k1 long, k2 long, doc long, at long, blob binary")
-    later = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "at").mapInPandas(_later(n_bundles), "bundle long, blob binary")
+    rows = keyed.select("text", "doc", "tid").mapInPandas(_estimated(size, bits, table, n_bundles), "k1 long, k2 long, doc long, at int, tid long, blob binary")
+    later = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "at", "tid").mapInPandas(_later(n_bundles), "bundle long, blob binary")
     return later.repartition("bundle").sortWithinPartitions("bundle").mapInPandas(_gathered, "doc long, tid long, starts binary")
 
 
@@ -280,7 +283,7 @@ def _cut(size: int):
 def dedup(docs: DataFrame, size: int = 20, most_bits: int = 28) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256, for every row."""
     starts = common.saved(repeated_starts(docs, size, most_bits), "repeats")
-    keyed = common.rows_keyed(docs)
+    keyed = common.rows_keyed(docs, tid_bits=64)
     bits = 24
     table = common.bit_table(starts.select(F.xxhash64("doc", "tid").alias("key")), "key", bits)
     hit = common.has_bit(table, F.xxhash64("doc", "tid"), bits)
