@@ -118,7 +118,7 @@ def prepared(templates: DataFrame, license_col: str, text_col: str) -> DataFrame
 def _spots(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """(doc, tid, n, starts): where windows of n words may hold enough of a template with shingles of ``width`` words."""
     table = common.bit_table(known.select(F.explode("items").alias("s")).select(F.xxhash64("s").alias("key")), "key", BITS)
-    keyed = common.rows_keyed(docs).select("doc", "tid", words_of(F.col("text")).alias("words"))
+    keyed = common.rows_keyed(docs, tid_bits=64).select("doc", "tid", words_of(F.col("text")).alias("words"))
     each = keyed.select("doc", "tid", "words", F.posexplode("words").alias("pos", "word"))
     gram = F.slice("words", F.col("pos") + 1, F.lit(width))
     hits = each.where((F.col("pos") + width <= F.size("words")) & common.has_bit(table, F.xxhash64(gram), BITS)).select("doc", "tid", "pos", gram.alias("gram"))
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, templates: DataFrame, license_col: str = "license", te
     spots = common.saved(spots, "spots")
     # only rows with a spot send their words
     table = common.bit_table(spots.select(F.xxhash64("doc", "tid").alias("key")), "key", BITS)
-    keyed = common.rows_keyed(docs).where(common.has_bit(table, F.xxhash64("doc", "tid"), BITS)).select("doc", "tid", words_of(F.col("text")).alias("words"))
+    keyed = common.rows_keyed(docs, tid_bits=64).where(common.has_bit(table, F.xxhash64("doc", "tid"), BITS)).select("doc", "tid", words_of(F.col("text")).alias("words"))
     windows = keyed.join(spots, ["doc", "tid"]).select("doc", "tid", "words", F.col("n").alias("len"), F.explode("starts").alias("start")).select(
         "doc", "tid", "start", "len", F.slice("words", F.col("start") + 1, F.col("len")).alias("window")).where("size(window) = len").distinct()
     banded = windows.select("doc", "tid", "start", "len", F.array_distinct(shingles(F.col("window"))).alias("set")).select(
@@ -167,6 +167,6 @@ def licensed(docs: DataFrame, templates: DataFrame, license_col: str = "license"
     hits = scan(docs, templates, license_col, text_col)
     per = hits.groupBy("doc", "tid").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_windows"),
                                          F.min("start").cast("bigint").alias("first_start"), F.max(F.col("shared") / F.col("items")).alias("best_share"))
-    rows = common.rows_keyed(docs).select("doc", "tid").join(common.saved(per, "licenses"), ["doc", "tid"], "left")
+    rows = common.rows_keyed(docs, tid_bits=64).select("doc", "tid").join(common.saved(per, "licenses"), ["doc", "tid"], "left")
     return rows.select(F.when(F.col("doc") != 2 ** 63 - 1, F.col("doc")).alias("doc_id"), F.coalesce("licenses", F.lit("")).alias("licenses"),
                        F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"), "first_start", "best_share")
