@@ -486,3 +486,56 @@ def test_rows_without_ids_whose_hashes_share_32_bits(spark):
     bench = spark.createDataFrame([("i", item)], "item_id string, text string")
     got = decontam.contamination(docs, bench).select("n_words", "n_hit", "contaminated").collect()
     assert sorted(map(tuple, got)) == [(0, 0, False), (0, 0, False), (14, 13, True), (22, 0, False)]
+
+
+def test_removal_and_licences_without_ids_whose_hashes_share_32_bits(spark):
+    """Of two texts with null ids and equal low bits of their hashes only the one that repeats an earlier passage loses words,
+    and only the one with a notice has a licence."""
+    from pyspark.sql import functions as F
+    passage, notice = " ".join(f"p{i}" for i in range(20)), "Licensed under the Example Licence of this very test"
+    low = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+    copies = spark.range(150_000).select(F.concat(F.lit(f"{passage} {notice} "), "id").alias("text")).withColumn("low", low)
+    plain = spark.range(150_000).select(F.concat(F.lit(" ".join(f"w{i}" for i in range(25)) + " "), "id").alias("other")).withColumn("low", F.xxhash64("other").bitwiseAND(F.lit(0xFFFFFFFF)))
+    pair = copies.join(plain, "low").limit(1).first()
+    docs = spark.createDataFrame([(1, passage), (None, pair["text"]), (None, pair["other"])], "doc_id long, text string")
+    got = substring.dedup(docs).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(((r[0] or 0, *r[1:]) for r in got)) == [(0, 26, 0), (0, 30, 20), (1, 20, 0)]
+    template = spark.createDataFrame([("example", notice)], "license string, text string")
+    got = licenses.licensed(docs, template).where("doc_id IS NULL").select("licenses").collect()
+    assert sorted(r[0] for r in got) == ["", "example"]
+
+
+def test_classifier_sample_is_one_text_an_id(spark):
+    """An id with thousands of texts sends one row to the driver."""
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(2, "other words"), (3, None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows_ = quality.graded(docs, labels, 8, 3)
+    assert sorted(rows_["grade"]) == [1, 2]
+    again = quality.graded(docs.repartition(7), labels, 8, 3)
+    assert sorted(map(tuple, rows_.to_numpy().tolist())) == sorted(map(tuple, again.to_numpy().tolist()))
+
+
+def test_url_lists_with_days_far_apart(spark):
+    """Intervals of any length and days written as 20240101 cost a few rows each; answers equal a direct scan."""
+    rng = np.random.default_rng(5)
+    days = [-3, 0, 63, 64, 1023, 1024, 1025, 16383, 16384, 20240101, 2_000_000_000]
+    hosts = ["a.org", "b.org"]
+    entries = [(f"l{int(rng.integers(3))}", "host", hosts[int(rng.integers(2))], "add" if rng.random() < 0.6 else "remove", int(rng.choice(days))) for _ in range(40)]
+    pages = [(i, f"http://{hosts[i % 2]}/x", d) for i, d in enumerate([d + e for d in days for e in (-1, 0, 1)] * 2)]
+    entry_rows = spark.createDataFrame(entries, "list string, kind string, value string, action string, day int")
+    page_rows = spark.createDataFrame(pages, "page_id long, url string, day int")
+    want = {}
+    for i, url, day in pages:
+        active = set()
+        for name in {e[0] for e in entries}:
+            own = [e for e in entries if e[0] == name and e[2] in url and e[4] <= day]
+            last = max((e[4] for e in own), default=None)
+            if own and all(e[3] == "add" for e in own if e[4] == last):
+                active.add(name)
+        want[i] = ",".join(sorted(active))
+    got = {r.page_id: r.lists for r in url_lists.filtered(page_rows, entry_rows).collect()}
+    assert got == want
+    assert set(want.values()) != {""}
+    none = spark.createDataFrame([], page_rows.schema)
+    assert url_lists.filtered(none, entry_rows).count() == 0
+    assert {r.lists for r in url_lists.filtered(page_rows, entry_rows.where("false")).collect()} == {""}

@@ -74,17 +74,20 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
 
 def _featured(frames):
     for pdf, texts in common.text_runs(frames, limit=RUN):
-        yield pd.DataFrame({"grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(texts)]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(texts)]})
 
 
 def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.DataFrame:
-    """(grade, slots) of at most ``sample`` rated rows. The sampled ratings are what is broadcast: ``sample`` small rows."""
+    """(grade, slots) of at most ``sample`` rated ids, one text each: of texts that share an id the one with the least slots
+    counts, chosen by an aggregate, so no more than ``sample`` rows reach the driver. The sampled ratings are what is
+    broadcast: ``sample`` small rows."""
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
         "doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    return rows.select("grade", "text").mapInPandas(_featured, "grade int, slots binary").toPandas()
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    found = rows.select("doc_id", "grade", "text").mapInPandas(_featured, "doc_id long, grade int, slots binary")
+    return found.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).select("grade", "slots").toPandas()
 
 
 def values(slots: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
