@@ -1,10 +1,13 @@
 """Tool-call columns: parsing, canonical forms, write keys and write closeness.
 
-Arguments travel as JSON text and are compared as ``map<string,string>``; list values stay JSON
-text inside the map until an expression needs them."""
+Arguments travel as JSON text and are compared as ``map<string,string>`` that keeps the type of each value: a JSON string
+is itself, null is null, any other value is ``MARK`` and its canonical JSON (object keys sorted). So 1 differs from "1", a
+text that starts with ``[`` is no list, and 1 differs from 1.0 (inside nested objects numbers compare by value)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ WRITE_TOOLS = ("return_delivered_order_items", "exchange_delivered_order_items",
                "modify_user_address")
 ERROR_PREFIX = "Error"
 
+MARK = "\x01"             # begins values that are not JSON strings
+EMPTY_VALUES = ("null", "0", "0.0", "false", '""', "[]")
 ARGS = "map<string,string>"
 STRINGS = "array<string>"
 
@@ -34,30 +39,56 @@ def tool_class(name: Column, read_tools: tuple[str, ...] = READ_TOOLS,
             .otherwise(F.lit("write")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: expressions inside lambdas are not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _typed(v: Column) -> Column:
+    """A variant as text that keeps its type."""
+    def of(json: Column) -> Column:
+        text = F.variant_get(v, "$", "string")
+        whole = json.rlike("^-?[0-9]+$") & F.schema_of_variant(v).startswith("DECIMAL")     # 1.0
+        return (F.when(json == "null", F.lit(None).cast("string"))
+                .when(json.startswith('"'), F.when(text.startswith(MARK), F.concat(F.lit(MARK), json)).otherwise(text))
+                .otherwise(F.concat(F.lit(MARK), json, F.when(whole, F.lit(".0")).otherwise(F.lit("")))))
+    return _once(F.to_json(v), of)
+
+
 def parse_args(arguments: Column) -> Column:
-    """JSON text to map; blank text is an empty map, invalid text is null."""
-    return F.when(F.trim(F.coalesce(arguments, F.lit(""))) == "", F.create_map().cast(ARGS)).otherwise(
-        F.from_json(F.when(F.try_parse_json(arguments).isNotNull(), arguments), ARGS))
+    """JSON text to a typed map. Blank text and the empty values of JSON (null, 0, false, "", []) are an empty map. Null: text
+    that is no JSON, has anything behind its value, repeats a key, or is no object. The parser stops behind the first
+    value, so the text is read once inside an array, which must have one element, and once inside an object."""
+    def read(text: Column) -> Column:
+        def fields(inside: Column) -> Column:
+            alone = F.try_variant_get(inside, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+            return F.transform_values(F.when(alone, F.try_variant_get(inside, "$[0]", "map<string,variant>")), lambda k, v: _typed(v))
+        return F.when(text.isin("", *EMPTY_VALUES), F.create_map().cast(ARGS)).otherwise(
+            _once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), fields))
+    return _once(F.trim(F.coalesce(arguments, F.lit(""))), read)
+
+
+def readable_args(arguments: Column) -> Column:
+    """(args, parse_error): unreadable text is kept under _unparsed and flagged."""
+    return _once(parse_args(arguments), lambda args: F.struct(
+        F.coalesce(args, F.create_map(F.lit("_unparsed"), arguments)).alias("args"), args.isNull().alias("parse_error")))
 
 
 def parse_calls(tool_calls: Column) -> Column:
-    """Raw calls to (id, name, args, parse_error): missing ids become call_<i>, unreadable arguments
-    are kept under _unparsed and flagged."""
+    """Raw calls to (id, name, args, parse_error): missing ids become call_<i>."""
     def one(c: Column, i: Column) -> Column:
-        args = parse_args(c["arguments"])
-        return F.struct(F.coalesce(c["id"], F.concat(F.lit("call_"), i.cast("string"))).alias("id"),
-                        c["name"].alias("name"),
-                        F.coalesce(args, F.create_map(F.lit("_unparsed"), c["arguments"])).alias("args"),
-                        args.isNull().alias("parse_error"))
+        return _once(readable_args(c["arguments"]), lambda read: F.struct(
+            F.coalesce(c["id"], F.concat(F.lit("call_"), i.cast("string"))).alias("id"), c["name"].alias("name"), read["args"].alias("args"), read["parse_error"].alias("parse_error")))
     return F.transform(F.coalesce(tool_calls, F.array().cast("array<struct<id:string,name:string,arguments:string>>")), one)
 
 
 def _is_list(text: Column) -> Column:
-    return F.coalesce(text.startswith("["), F.lit(False))
+    return F.coalesce(text.startswith(MARK + "["), F.lit(False))
 
 
-def _list(text: Column) -> Column:
-    return F.coalesce(F.from_json(text, STRINGS), F.array().cast(STRINGS))
+def item_list(text: Column) -> Column:
+    """The elements of a list value, typed like the values of a map; anything but a list has none."""
+    return F.coalesce(F.transform(F.from_json(F.when(_is_list(text), F.substr(text, F.lit(len(MARK) + 1))), "array<variant>"), _typed), F.array().cast(STRINGS))
 
 
 def _pairs(old: Column, new: Column) -> Column:
@@ -67,7 +98,7 @@ def _pairs(old: Column, new: Column) -> Column:
 
 def swap_pairs(args: Column) -> Column:
     """(old, new) pairs of a swap, by position."""
-    return _pairs(_list(args["item_ids"]), _list(args["new_item_ids"]))
+    return _pairs(item_list(args["item_ids"]), item_list(args["new_item_ids"]))
 
 
 def canonical_args(args: Column) -> Column:
@@ -78,7 +109,7 @@ def canonical_args(args: Column) -> Column:
     swap = listed & _is_list(args["new_item_ids"])
     rest = F.map_filter(args, lambda k, v: ~(k.isin("item_ids", "new_item_ids") & swap | (k == "item_ids") & listed))
     items = (F.when(swap, F.concat(F.lit("pairs"), F.to_json(F.array_sort(swap_pairs(args)))))
-             .when(listed, F.concat(F.lit("items"), F.to_json(F.array_sort(_list(args["item_ids"])))))
+             .when(listed, F.concat(F.lit("items"), F.to_json(F.array_sort(item_list(args["item_ids"])))))
              .otherwise(F.lit("")))
     return F.concat(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rest)))), items)
 
@@ -117,7 +148,7 @@ def closeness(gold: Column, done: Column) -> Column:
         F.size(F.filter(fields, lambda k: F.element_at(gold, k).eqNullSafe(F.try_element_at(done, k))))
         / F.size(fields))
     items = F.when(swap, _share(swap_pairs(gold), swap_pairs(done))).when(
-        listed, _share(_list(gold["item_ids"]), _list(done["item_ids"])))
+        listed, _share(item_list(gold["item_ids"]), item_list(done["item_ids"])))
     return F.when(items.isNull(), same).otherwise(items * F.when(same == 1.0, F.lit(1.0)).otherwise(F.lit(0.5)))
 
 

@@ -63,7 +63,7 @@ def calls(turns: Column) -> Column:
             result = F.when(have, F.try_element_at(turns, i + j + F.lit(2))["content"])
             bad = F.coalesce(result.startswith(C.ERROR_PREFIX), F.lit(False))
             return F.struct(i.alias("turn_idx"), j.alias("call_idx"), c["name"].alias("name"),
-                            F.coalesce(C.parse_args(c["arguments"]), F.create_map().cast(C.ARGS)).alias("args"),
+                            C.readable_args(c["arguments"])["args"].alias("args"),
                             result.alias("result"), (have & ~bad).alias("ok"), (have & bad).alias("rejected"))
         return F.transform(F.when(t["kind"] == "a", t["tool_calls"]), per_call)
     return F.flatten(F.filter(F.transform(turns, per_turn), lambda x: x.isNotNull()))

@@ -35,8 +35,8 @@ def damaged_lines(spark, d):
     return bad.join(R.step_mismatch(steps, ck).select(F.col("run").alias("source"), "last_step"), "source")
 
 
-def episode_lines(spark, d):
-    """Each rollout as the JSON text of an episode record, some with faults."""
+def episode_lines(spark, d, *keep):
+    """Each rollout as the JSON text of an episode record, some with faults; ``keep``: columns that stay beside it."""
     li = T.table(spark, d, "lineitem")
     out = F.array(F.lit(1), F.lit(2), F.lit(3))
     lps = F.when(F.col("l_tax") == 0.08, F.array(F.lit(-0.1))).otherwise(F.array(F.lit(-0.1), F.lit(-0.2), F.lit(-0.3)))
@@ -44,7 +44,7 @@ def episode_lines(spark, d):
     return li.select(F.to_json(F.struct(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("episode_id"), F.col("l_suppkey").alias("batch_id"), F.col("l_partkey").cast("string").alias("task_id"),
         F.col("l_orderkey").cast("string").alias("group_id"), F.array(turn).alias("turns"), F.when(F.col("l_quantity") == 50, 2).otherwise(1).alias("reward"),
-        F.when(F.col("l_discount") == 0.1, "nope").otherwise("natural").alias("termination"), F.when(F.col("l_tax") == 0.0, 2).otherwise(1).alias("schema_version"))).alias("value"))
+        F.when(F.col("l_discount") == 0.1, "nope").otherwise("natural").alias("termination"), F.when(F.col("l_tax") == 0.0, 2).otherwise(1).alias("schema_version"))).alias("value"), *([*keep, "l_suppkey"] if keep else []))
 
 
 @query("record_quarantine", """SELECT CASE WHEN l_tax = 0 THEN 'schema_version' WHEN l_tax = 0.08 THEN 'logprob_length' WHEN l_discount = 0.1 THEN 'termination' WHEN l_quantity = 50 THEN 'reward' ELSE 'sound' END AS fault,
@@ -141,9 +141,85 @@ def converted_tasks(spark, d):
     return t.select("t.id", "t.instructions", F.posexplode("t.actions").alias("pos", "a"), F.array_join("t.reward_basis", ",").alias("basis")).select("id", "instructions", "pos", "a.action_id", "a.name", "basis")
 
 
-@query("metrics_append", """SELECT l_suppkey AS step, l_linenumber AS repeat, round(avg(l_quantity), 6) AS mean FROM lineitem WHERE l_linestatus = 'F' AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 2000) GROUP BY ALL""")
+@query("metrics_append", """SELECT l_suppkey AS step, l_linenumber AS repeat, round(avg(l_quantity), 6) AS mean FROM lineitem WHERE l_linestatus = 'F'
+  AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 2000 AND l_linenumber <= 3) GROUP BY ALL""")
 def metrics_append(spark, d):
-    """New log rows whose step is not logged yet."""
+    """New log rows whose step and repeat are not logged yet."""
     new = T.table(spark, d, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_suppkey").alias("step"), F.col("l_linenumber").alias("repeat")).agg(r6(F.avg("l_quantity")).alias("mean"))
-    log = T.table(spark, d, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("step"))
-    return R.not_logged(new, log, ["step"])
+    log = T.table(spark, d, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("step"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("repeat"))
+    return R.not_logged(new, log, ["step", "repeat"])
+
+
+# ------------------------------------------------------------------ files
+
+@query("episode_files", """SELECT 'run' || l_linenumber % 2 AS run, 'batch=b' || l_suppkey % 8 AS batch_dir, CASE WHEN l_linestatus = 'F' AND l_quantity < 5 THEN 'unreadable' WHEN l_tax = 0 THEN 'schema_version' WHEN l_tax = 0.08 THEN 'logprob_length'
+  WHEN l_discount = 0.1 THEN 'termination' WHEN l_quantity = 50 THEN 'reward' ELSE 'sound' END AS fault, count(*) AS episodes FROM lineitem GROUP BY ALL""")
+def episode_files(spark, d):
+    """Episode files of two runs are written in a folder for each batch, some records torn. They are read back with run and batch from the path, and each record gets its fault."""
+    from tracemill.sources.episodes import EPISODE_FILES, read_episodes, with_run_and_batch
+    root = work_folder(spark, "episode-files")
+    lines = episode_lines(spark, d, "l_linenumber", "l_linestatus", "l_quantity")
+    text = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") < 5), F.substring("value", 1, 60)).otherwise(F.col("value"))
+    run = F.concat(F.lit("run"), (F.col("l_linenumber") % 2).cast("string"))
+    dealt = lines.select(text.alias("value"), run.alias("run"), F.concat(F.lit("b"), (F.col("l_suppkey") % 8).cast("string")).alias("batch"))
+    for name in ("run0", "run1"):
+        dealt.where(F.col("run") == name).select("value", "batch").hint("rebalance", "batch").write.option("compression", "gzip").partitionBy("batch").text(f"{root}/{name}/records")
+    rec = with_run_and_batch(read_episodes(spark, root, recursive=True, pattern=EPISODE_FILES.replace("json", "txt")))
+    tagged = rec.select("run", "batch_dir", SC.record_fault(F.col("schema_version"), F.col("termination"), F.col("reward"), SC.turn_arrays_match(F.col("turns")), F.col("_corrupt_record")).alias("fault"))
+    return tagged.groupBy("run", "batch_dir", F.coalesce("fault", F.lit("sound")).alias("fault")).agg(F.count(F.lit(1)).alias("episodes"))
+
+
+@query("ledger_files", """SELECT event_type AS what, count(*) AS lines, round(sum(round(value, 6)), 4) AS usd FROM events GROUP BY event_type""")
+def ledger_files(spark, d):
+    """Spend is appended to a ledger in two writes and read back."""
+    path = work_folder(spark, "ledger")
+    ev = T.table(spark, d, "events").select(F.col("ts").cast("string").alias("at"), F.col("value").alias("usd"), F.col("event_type").alias("what"))
+    R.append_ledger(ev.where("what = 'view'"), path)
+    R.append_ledger(ev.where("what <> 'view'"), path)
+    p = R.read_ledger(spark, path).where("NOT corrupt")
+    return p.groupBy("what").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("usd"), 4).alias("usd"))
+
+
+# ------------------------------------------------------------------ the store as flat tables
+
+@query("store_orders", "WITH " + T.ITEMS_SQL + """ SELECT CAST(order_id AS VARCHAR) AS order_id, 'u' || user_id AS user_id, status, city, count(*) AS items, round(sum(price), 2) AS total,
+  count(DISTINCT product) AS products, round(max(total), 2) AS paid FROM items GROUP BY order_id, user_id, status, city""")
+def store_orders(spark, d):
+    """Orders as nested documents, flattened to orders, their items and their payments."""
+    it = T.order_items(spark, d)
+    item = F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("product").alias("product_id"), F.col("product").alias("name"), "price", "options")
+    docs = it.groupBy("order_id", "user_id", "status", "city").agg(F.collect_list(item).alias("items"), F.max("total").alias("paid"))
+    pay = F.array(F.struct(F.lit("payment").alias("transaction_type"), F.col("paid").alias("amount"), F.lit("c1").alias("payment_method_id")))
+    doc = F.to_json(F.struct(F.col("order_id").cast("string").alias("order_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "status",
+                             F.struct("city").alias("address"), "items", pay.alias("payment_history")))
+    flat = R.flat_orders(docs.select(doc.alias("doc")), "doc")
+    per = flat["order_items"].groupBy("order_id").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("price"), 2).alias("total"), F.count_distinct("product_id").alias("products"))
+    paid = flat["order_payments"].groupBy("order_id").agg(F.round(F.sum("amount"), 2).alias("paid"))
+    return flat["orders"].select("order_id", "user_id", "status", "city").join(per, "order_id", "left").join(paid, "order_id", "left")
+
+
+# ------------------------------------------------------------------ typed arguments
+
+@query("typed_arguments", """WITH a AS (SELECT l_returnflag, l_partkey AS k, l_linenumber % 6 AS kind, l_discount FROM lineitem)
+SELECT l_returnflag AS flag, count(*) FILTER (kind = 4 OR kind = 5 AND l_discount >= 0.05) AS parse_errors, count(*) FILTER (kind = 0 OR kind = 3) AS equal_to_gold, count(*) FILTER (kind = 2) AS lists,
+  count(*) FILTER (kind = 5 AND l_discount < 0.05) AS empty, count(DISTINCT CASE WHEN kind IN (0, 1, 3) THEN (CASE WHEN kind = 1 THEN 's' ELSE 'n' END) || k END) AS keys FROM a GROUP BY l_returnflag""")
+def typed_arguments(spark, d):
+    """Arguments of mixed types against gold: a number, the same digits as text, a list, the fields in another order, torn
+    text and blank text."""
+    from tracemill.functions import calls as C
+    k, kind = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 6
+    text = (F.when(kind == 0, F.concat(F.lit('{"order_id": "o", "count": '), k, F.lit("}")))
+            .when(kind == 1, F.concat(F.lit('{"order_id": "o", "count": "'), k, F.lit('"}')))
+            .when(kind == 2, F.concat(F.lit('{"order_id": "o", "item_ids": ["'), k, F.lit('", 7]}')))
+            .when(kind == 3, F.concat(F.lit('{"count":'), k, F.lit(', "order_id":"o"}')))
+            .when(kind == 4, F.concat(F.lit('{"order_id": "o", "count": '), k)).otherwise(F.when(F.col("l_discount") < 0.05, " ").otherwise('{"a": 1} and more')))
+    call = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("cancel").alias("name"), text.alias("arguments")))
+    gold = F.concat(F.lit('{"order_id": "o", "count": '), k, F.lit("}"))
+    # generators read each text once
+    c = T.table(spark, d, "lineitem").select("l_returnflag", kind.alias("kind"), gold.alias("gold"), F.inline(C.parse_calls(call)))
+    c = c.select("l_returnflag", "kind", "args", "parse_error", F.explode(F.array(C.parse_args(F.col("gold")))).alias("wanted"))
+    c = c.select("l_returnflag", "kind", "args", "parse_error", F.explode(F.array(F.struct(C.canonical_args(F.col("args")).alias("canon"), C.canonical_args(F.col("wanted")).alias("gold")))).alias("t")).select("*", "t.*")
+    return c.groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.count_if("parse_error").alias("parse_errors"), F.count_if(F.col("canon") == F.col("gold")).alias("equal_to_gold"),
+        F.count_if(F.size(C.item_list(F.col("args")["item_ids"])) == 2).alias("lists"), F.count_if(F.size("args") == 0).alias("empty"),
+        F.count_distinct(F.when(F.col("kind").isin(0, 1, 3), F.col("canon"))).alias("keys"))

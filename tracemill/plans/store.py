@@ -181,6 +181,43 @@ def variant_outcomes(spark, d):
     return o.select(*[r6(F.col(c)).alias(c) if c in ("closeness", "chance", "bonus") else F.col(c) for c in o.columns])
 
 
+ORDERED = "pos, l_partkey, l_suppkey, l_quantity, l_discount, l_tax"
+
+
+@query("swap_alignment", f"""WITH li AS (SELECT l_orderkey AS o, l_linenumber AS pos, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, CAST(l_partkey AS VARCHAR) AS old, CAST(l_suppkey AS VARCHAR) AS new FROM lineitem),
+go AS (SELECT o, old, row_number() OVER (PARTITION BY o ORDER BY {ORDERED}) - 1 AS p FROM li), gn AS (SELECT o, new, row_number() OVER (PARTITION BY o ORDER BY {ORDERED}) - 1 AS p FROM li WHERE l_tax < 0.08),
+gold AS (SELECT o, p, old, new FROM go JOIN gn USING (o, p)),
+al AS (SELECT *, CASE WHEN l_discount = 0 THEN '' WHEN l_discount < 0.05 THEN old ELSE new END AS told FROM li, (VALUES (0), (1)) AS v(c) WHERE c = 0 AND pos % 2 = 1 OR c = 1 AND l_quantity > 20),
+ao AS (SELECT o, c, old, row_number() OVER (PARTITION BY o, c ORDER BY {ORDERED}) AS p FROM al), an AS (SELECT o, c, told, row_number() OVER (PARTITION BY o, c ORDER BY {ORDERED}) AS p FROM al WHERE l_tax > 0),
+dict AS (SELECT o, c, old, arg_max(told, p) AS told FROM ao JOIN an USING (o, c, p) GROUP BY o, c, old),
+ans AS (SELECT o, old, arg_min(told, c) AS told, min(c) AS c FROM dict WHERE told <> '' GROUP BY o, old),
+j AS (SELECT coalesce(g.o, a.o) AS order_id, coalesce(g.old, a.old) AS old_id, g.p AS pos, g.new AS gold_id, a.told AS agent_id, a.c AS turn_idx FROM gold g FULL JOIN ans a ON g.o = a.o AND g.old = a.old)
+SELECT j.*, CASE WHEN pos IS NULL THEN 'not asked' WHEN agent_id IS NULL THEN 'not swapped' WHEN agent_id = gold_id THEN 'exact' WHEN g.p_brand = a.p_brand AND g.p_type = a.p_type THEN 'wrong variant' ELSE 'other product' END AS outcome
+FROM j LEFT JOIN part g ON CAST(g.p_partkey AS VARCHAR) = gold_id LEFT JOIN part a ON CAST(a.p_partkey AS VARCHAR) = agent_id""")
+def swap_alignment(spark, d):
+    """Each order asks for swaps of its items; the agent makes two calls with some of them, in lists of unequal length. Wanted
+    pairs meet the first answer by old item, with missing and extra ones."""
+    from tracemill.functions import calls as C
+    from tracemill.operators import swaps
+    li = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    old, new = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    told = F.when(F.col("l_discount") == 0, "").when(F.col("l_discount") < 0.05, old).otherwise(new)
+
+    def call(rows, given, listed, *keys):
+        """The swap call of the rows of a key, as JSON text read like any other call's arguments."""
+        line = F.struct(*ORDERED.split(", "), old.alias("old"), F.when(listed, given).alias("new"))
+        g = rows.groupBy("episode_id", *keys).agg(F.array_sort(F.collect_list(line)).alias("x"))
+        text = F.to_json(F.struct(F.col("episode_id").cast("string").alias("order_id"), F.transform("x", lambda x: x["old"]).alias("item_ids"),
+                                  F.filter(F.transform("x", lambda x: x["new"]), lambda v: v.isNotNull()).alias("new_item_ids")))
+        return g.select("episode_id", *keys, F.lit(C.SWAP_TOOLS[0]).alias("name"), C.parse_args(text).alias("args"))
+    gold = call(li, new, F.col("l_tax") < 0.08)
+    calls = F.filter(F.array(F.when(F.col("pos") % 2 == 1, 0), F.when(F.col("l_quantity") > 20, 1)), lambda c: c.isNotNull())
+    done = call(li.withColumn("turn_idx", F.explode(calls)), told, F.col("l_tax") > 0, "turn_idx").withColumn("call_idx", F.lit(0))
+    v = T.variants(spark, d).select(F.col("item_id").cast("string").alias("item_id"), "product")
+    j = swaps.outcomes(swaps.aligned(gold, done), v)
+    return j.select(F.col("order_id").cast("bigint").alias("order_id"), "old_id", F.col("pos").cast("bigint").alias("pos"), "gold_id", "agent_id", "turn_idx", "outcome")
+
+
 @query("variant_bonus_by_order", OUTCOME_SQL + """SELECT order_id, count(*) AS pairs, count(*) FILTER (outcome = 'wrong variant') AS wrong, count(*) FILTER (outcome = 'wrong variant' AND c > chance) AS above_chance,
   round(least(0.3, 0.3 * sum(CASE WHEN outcome = 'wrong variant' AND chance < 1 THEN greatest(0, (c - chance) / (1 - chance)) ELSE 0 END) / count(*)), 5) AS bonus FROM o LEFT JOIN ch USING (gold_id, agent_id) GROUP BY order_id""")
 def variant_bonus_by_order(spark, d):

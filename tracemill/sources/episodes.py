@@ -11,10 +11,14 @@ from tracemill.sources import schema as S
 GATE_THRESHOLD = 0.95  # fixed value: share of episodes that must assemble as one sequence
 
 
-def read_episodes(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
-    """Episode records from one or many folders of compact gzipped JSON, one record a file. Hidden
-    files (torn writes, summaries) are skipped by the file source."""
-    reader = spark.read.schema(S.EPISODE).option("pathGlobFilter", "*.json.gz").option("mode", "PERMISSIVE")
+EPISODE_FILES = "*.json.gz"
+
+
+def read_episodes(spark: SparkSession, *paths: str, recursive: bool = False, pattern: str = EPISODE_FILES) -> DataFrame:
+    """Episode records from one or many folders of compact gzipped JSON, one record a line. Hidden
+    files (torn writes, summaries) are skipped by the file source; the text of a record that cannot be read is kept in
+    ``_corrupt_record``."""
+    reader = spark.read.schema(f"{S.EPISODE}, {S.CORRUPT} string").option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", S.CORRUPT)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.json(list(paths)).withColumn("source_file", F.input_file_name())

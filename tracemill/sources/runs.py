@@ -164,14 +164,35 @@ def user_payments(users: DataFrame, col: str) -> DataFrame:
         "user_id", "first_name", "city", "payment_id", "m.source", "m.balance")
 
 
+ORDER = ("struct<order_id:string,user_id:string,status:string,address:struct<city:string,state:string,zip:string>,"
+         "items:array<struct<name:string,product_id:string,item_id:string,price:double,options:map<string,string>>>,"
+         "payment_history:array<struct<transaction_type:string,amount:double,payment_method_id:string>>>")
+
+
+def flat_users(users: DataFrame, col: str) -> DataFrame:
+    """One row a user; payment methods are in ``user_payments``."""
+    u = users.select(F.from_json(col, USER).alias("u"))
+    return u.select("u.user_id", "u.name.first_name", "u.name.last_name", "u.email", "u.address.*", F.size("u.orders").alias("n_orders"))
+
+
+def flat_orders(orders: DataFrame, col: str) -> dict[str, DataFrame]:
+    """Order documents as the tables orders, order_items (pos as listed) and order_payments. An order without items or
+    payments has no rows there; a document that cannot be read is one order row of nulls."""
+    o = orders.select(F.from_json(col, ORDER).alias("o"))
+    return {"orders": o.select("o.order_id", "o.user_id", "o.status", "o.address.*"),
+            "order_items": o.select("o.order_id", F.posexplode("o.items").alias("pos", "i")).select("order_id", "pos", "i.*"),
+            "order_payments": o.select("o.order_id", F.posexplode("o.payment_history").alias("pos", "p")).select("order_id", "pos", "p.*")}
+
+
 def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The entity tables of a nested store file: products, users and orders by id."""
-    t = spark.read.text(path, wholetext=True)
+    """The entity tables of a nested store file: variants, users, payments, orders, order_items and order_payments. The
+    file is parsed once into its three parts."""
+    t = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<products:map<string,variant>,users:map<string,variant>,orders:map<string,variant>>").alias("db"))
 
     def part(name: str) -> DataFrame:
-        m = F.from_json(F.get_json_object("value", f"$.{name}"), "map<string,string>")
-        return t.select(F.explode(m).alias("id", "doc"))
-    return {"variants": product_variants(part("products"), "doc"), "payments": user_payments(part("users"), "doc"), "orders": part("orders")}
+        return t.select(F.explode(F.col("db")[name]).alias("id", "v")).select("id", F.to_json("v").alias("doc"))
+    users = part("users")
+    return {"variants": product_variants(part("products"), "doc"), "users": flat_users(users, "doc"), "payments": user_payments(users, "doc"), **flat_orders(part("orders"), "doc")}
 
 
 def profile_rows(episodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import episode as E
 
+CORRUPT = "_corrupt_record"  # the text of a record that cannot be read
 SCHEMA_VERSION = 1  # fixed value: the only record version readers accept
 
 TURN = ("struct<_k:string,role:string,text:string,finish_reason:string,content:string,tool_name:string,"
@@ -55,10 +56,11 @@ def normalise_turns(turns: Column) -> Column:
     return F.transform(turns, one)
 
 
-def record_fault(version: Column, termination: Column, reward: Column, arrays_match: Column) -> Column:
-    """Why a record is rejected, or null. A wrong version is checked first: nothing else about such a
+def record_fault(version: Column, termination: Column, reward: Column, arrays_match: Column, corrupt: Column | None = None) -> Column:
+    """Why a record is rejected, or null. Unreadable text comes first, then a wrong version: nothing else about such a
     record can be trusted."""
-    return (F.when(~version.eqNullSafe(F.lit(SCHEMA_VERSION)), F.lit("schema_version"))
+    return (F.when(F.lit(False) if corrupt is None else corrupt.isNotNull(), F.lit("unreadable"))
+            .when(~version.eqNullSafe(F.lit(SCHEMA_VERSION)), F.lit("schema_version"))
             .when(~F.coalesce(arrays_match, F.lit(False)), F.lit("logprob_length"))
             .when(~F.coalesce(E.known_termination(termination), F.lit(False)), F.lit("termination"))
             .when(~F.coalesce(reward.isin(0, 1), F.lit(False)), F.lit("reward")))
@@ -71,5 +73,5 @@ def turn_arrays_match(turns: Column) -> Column:
 def split_faulty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound, quarantined) episodes."""
     tagged = df.withColumn("fault", record_fault(F.col("schema_version"), F.col("termination"), F.col("reward"),
-                                                 turn_arrays_match(F.col("turns"))))
+                                                 turn_arrays_match(F.col("turns")), F.col(CORRUPT) if CORRUPT in df.columns else None))
     return tagged.where("fault is null").drop("fault"), tagged.where("fault is not null")
