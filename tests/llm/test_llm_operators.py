@@ -126,7 +126,7 @@ def test_bitmap_bound_loses_no_link():
             more = rng.integers(0, 2 ** 64, int(len(base) * rng.random() * 0.08), dtype=np.uint64)
             sets.append(np.unique(np.concatenate((kept, more))))
     sets = [s for s in sets if len(s)]
-    group = pd.DataFrame({"d1": range(len(sets)), "d2": 0, "gid": 1, "member": rng.random(len(sets)) > 0.4, "n": [len(s) for s in sets],
+    group = pd.DataFrame({"d1": range(len(sets)), "d2": 0, "c1": range(len(sets)), "c2": 0, "gid": 1, "part": 0, "member": rng.random(len(sets)) > 0.4, "n": [len(s) for s in sets],
                           "bits": [jaccard.bitmap(s).tobytes() for s in sets]})
     kept = set(jaccard._possible(9, 10)(group)["d1"])
     linked = set()
@@ -154,6 +154,40 @@ def test_jaccard_chain(spark):
     assert got == {i: (want[i][1],) for i in range(24)} and {v for (v,) in got.values()} == {0}
 
 
+def test_jaccard_family_rows_stay_in_proportion(spark, monkeypatch):
+    """A family of near copies that all differ: rows sent grow as the family, no group gets more than its part of them."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    saved, tables = jaccard.common.saved, defaultdict(list)
+    monkeypatch.setattr(jaccard.common, "saved", lambda df, name: tables[name].append(saved(df, name)) or tables[name][-1])
+    r, words, most = random.Random(4), [f"f{i}" for i in range(200)], {}
+    for n in (300, 600):
+        tables.clear()
+        family = [" ".join(words[:(at := r.randrange(200))] + [f"x{i}"] + words[at + 1:]) for i in range(n)]
+        got = jaccard.join(spark.createDataFrame(list(enumerate(family)), "doc_id long, text string"))
+        assert {x.component_id for x in got.collect()} == {0}
+        sizes = [x["count"] for t in tables["stops"] for x in t.groupBy("gid", "part").count().collect()]
+        most[n] = max(sizes), sum(sizes)
+    assert most[600][0] <= 8 * jaccard.GROUP and most[600][1] < 2.6 * most[300][1]
+
+
+def test_jaccard_families_that_touch(spark, monkeypatch):
+    """Against brute force: families that share most words, so that columns hold several components after the hubs."""
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    saved, tables = jaccard.common.saved, defaultdict(list)
+    monkeypatch.setattr(jaccard.common, "saved", lambda df, name: tables[name].append(saved(df, name)) or tables[name][-1])
+    r, words, texts = random.Random(8), [f"t{i}" for i in range(80)], []
+    for _ in range(12):
+        base = [f"u{r.random()}" if r.random() < 0.03 else w for w in words]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                w[r.randrange(80)] = f"v{r.randrange(40)}"
+            texts.append(" ".join(w))
+    got = rows(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == components(texts) and len({c for _, c in got.values()}) > 3
+    assert tables["rest"][0].count() > 0 and len(tables["links"]) == 2 and not tables["links"][1].isEmpty()
+
+
 def test_distinct_stage_keeps_one(spark, docs, texts):
     kept = stages.distinct(spark, docs, "")
     want = components(texts)

@@ -8,14 +8,17 @@
    that share no such (shingle, size class) key are alone.
 3. Groups: the other classes are partitioned by their smallest shingle hash, so similar ones stand together; a group
    holds about ``GROUP`` classes, larger families are cut by hash.
-4. Matrix: (key, group) for the rare keys of a group. Groups that share a column meet once per pair; only their
-   members with a shared rare shingle travel, as queries, to the other group.
+4. Matrix: (key, group) for the rare keys of a group. First a column's members travel, as queries, to one group of it
+   only, its hub. Components of the links found there and inside the groups leave few open columns: those that hold
+   several components. Of such a column all members outside its largest component travel to its other groups. A pair of
+   one component needs no second link, so no link between components is lost, and a family of near copies is not
+   compared group by group. A group with many queries is copied, each copy takes a part of them.
 5. Before any set travels, bitmaps of the sets (under a byte a shingle) do. A bit of one set that the other lacks is a
    shingle that the other lacks, which bounds the overlap from above; rows of a group without a partner within that bound
    stay behind. Only the others' sets are sent.
 6. A group's task bounds each query by its overlap with the group's token union, opens the group only if that bound
    reaches what the smallest fitting member needs, and then counts exact overlaps.
-7. Links are kept as a spanning forest of each task; components come from minimum labels with pointer jumping over
+7. Links are kept as a spanning forest of each task; components, after either round, come from minimum labels with pointer jumping over
    tables. No pair list of a family is written and nothing is gathered on the driver but fixed-size tables.
 
 Null ids sort last. Null or empty texts have no set, link with nothing and are their own component. Rows that share an
@@ -29,17 +32,22 @@ import math
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import common
+from tracemill.operators import skew
 
 SKETCH_BITS = 22          # counters of the frequency sketch, 2^22
 PIECE_BITS = 16           # counters of one merge piece
 GROUP = 192               # classes of a group, on average
+ASKED = 4                 # queries of a copy of a group, in groups' worth
+HOT = 1000                # rows from which on a key of the component rounds may be spread
 ACTIVE_BITS = 24          # bitmap of classes that have a possible partner
 LAST_ID = 2 ** 63 - 1
 SIDES = "doc long, tid long, n int, d1 long, d2 long"
+STOP = ["gid", "part", "member", "c1", "c2"]
+STOPS = "d1 long, d2 long, gid long, part int, member boolean, c1 long, c2 long"
 
 
 def shingle_sets(docs: list[list[bytes]], size: int) -> list[np.ndarray]:
@@ -187,19 +195,25 @@ def _bitmaps(size: int):
     return run
 
 
-def _possible(num: int, den: int):
-    """Rows of a group that may link with another one of it. A pair's overlap is at most either size less the bits that the
-    other bitmap lacks."""
+def trees(pdf: pd.DataFrame) -> np.ndarray:
+    """A number for the component of each row."""
+    return pdf.groupby(["c1", "c2"], sort=False).ngroup().to_numpy()
+
+
+def _possible(num: int, den: int, first: bool = True):
+    """Rows of a group that may link with another one of it that is of another component. A pair's overlap is at most either
+    size less the bits that the other bitmap lacks. Members are compared with each other in the ``first`` round, in one copy."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["d1", "d2"]).drop_duplicates(["d1", "d2", "member"], ignore_index=True)
-        n, member = pdf["n"].to_numpy(np.int64), pdf["member"].to_numpy(bool)
+        n, member, tree = pdf["n"].to_numpy(np.int64), pdf["member"].to_numpy(bool), trees(pdf)
+        inside = first and len(pdf) > 0 and pdf["part"].iat[0] == 0
         words = [np.frombuffer(b, np.uint64) for b in pdf["bits"]]
         width = np.array([len(w) for w in words])
         held = [(w, at, np.stack([words[i] for i in at])) for w in np.unique(width[member]).tolist() for at in [np.flatnonzero(member & (width == w))]]
         keep = np.zeros(len(pdf), bool)
-        for q in range(len(pdf)):
+        for q in np.flatnonzero(~member | inside).tolist():
             for w, at, table in held:
-                fits = (n[at] * den >= n[q] * num) & (n[q] * den >= n[at] * num)
+                fits = (n[at] * den >= n[q] * num) & (n[q] * den >= n[at] * num) & (tree[at] != tree[q])
                 if member[q]:
                     fits &= at > q
                 if fits.any():
@@ -209,7 +223,7 @@ def _possible(num: int, den: int):
                     near = at[fits][most >= least_overlap(n[q], m, num, den)]
                     keep[near] = True
                     keep[q] |= len(near) > 0
-        return pdf.loc[keep, ["d1", "d2", "gid", "member"]]
+        return pdf.loc[keep, ["d1", "d2", *STOP]]
     return run
 
 
@@ -260,32 +274,23 @@ def _open(members: list[np.ndarray], queries: list[np.ndarray], forest: Forest,
                 yield q, m
 
 
-def _travel(key, members: pd.DataFrame, meets: pd.DataFrame) -> pd.DataFrame:
-    """Members of a group that share a rare shingle with another group, addressed to that group."""
-    out = []
-    if len(members) and len(meets):
-        keys = members["keys"].tolist()
-        flat = np.concatenate(keys)
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        for to, shared in zip(meets["to"], meets["shared"], strict=True):
-            for i in np.unique(owner[np.isin(flat, np.asarray(shared, np.int64))]).tolist():
-                out.append((members["d1"].iat[i], members["d2"].iat[i], to, False))
-    return pd.DataFrame(out, columns=["d1", "d2", "gid", "member"])
-
-
-def _linked(num: int, den: int):
-    """Links among the members of a group, and between its members and the queries sent to it."""
+def _linked(num: int, den: int, first: bool):
+    """Links between components: of the members of a group (in the first round, in one copy) and of its members with the
+    queries sent to it."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["d1", "d2"]).drop_duplicates(["d1", "d2", "member"])
-        own, sent = pdf[pdf["member"]], pdf[~pdf["member"]]
-        if not len(own):
+        pdf = pd.concat([pdf[pdf["member"]], pdf[~pdf["member"]]], ignore_index=True)
+        k = int(pdf["member"].sum())
+        if not k:
             return pd.DataFrame([], columns=["a1", "a2", "b1", "b2"])
-        sets = [np.frombuffer(b, np.uint64) for b in own["items"]]
-        asked = [np.frombuffer(b, np.uint64) for b in sent["items"]]
-        forest = Forest(len(sets) + len(asked))
-        rows = [(own["d1"].iat[q], own["d2"].iat[q], own["d1"].iat[m], own["d2"].iat[m]) for q, m in _open(sets, sets, forest, num, den, True)]
-        rows += [(sent["d1"].iat[q], sent["d2"].iat[q], own["d1"].iat[m], own["d2"].iat[m]) for q, m in _open(sets, asked, forest, num, den, False)]
-        return pd.DataFrame(rows, columns=["a1", "a2", "b1", "b2"])
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
+        forest, seen = Forest(len(sets)), {}
+        for i, t in enumerate(trees(pdf).tolist()):
+            forest.join(seen.setdefault(t, i), i)
+        found = list(_open(sets[:k], sets[:k], forest, num, den, True)) if first and pdf["part"].iat[0] == 0 else []
+        found += [(k + q, m) for q, m in _open(sets[:k], sets[k:], forest, num, den, False)]
+        ends = pdf[["c1", "c2"]].to_numpy()
+        return pd.DataFrame([(*ends[q], *ends[m]) for q, m in found], columns=["a1", "a2", "b1", "b2"])
     return run
 
 
@@ -298,8 +303,8 @@ def live_keys(keys: DataFrame) -> DataFrame:
     return met.select(F.explode(kept).alias("key"))
 
 
-def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows has doc, tid, n, d1, d2 of every document; edges (a1, a2, b1, b2) span the classes' components."""
+def classes_joined(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows, tops): rows has doc, tid, n, d1, d2 of every document; tops (d1, d2, component) of every class."""
     spark = docs.sparkSession
     # the whole hash of the text: with null or repeated ids it alone tells the rows apart
     keyed = common.rows_keyed(docs).select("doc", F.xxhash64("text").alias("tid"), "text")
@@ -329,40 +334,103 @@ def links(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> tuple[
         F.xxhash64("least", F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("same") / GROUP))))
     grouped = common.saved(met.join(per, "least").select("d1", "d2", "keys", gid.alias("gid")), "groups")
 
-    matrix = grouped.select("gid", F.explode("keys").alias("key")).distinct().select("gid", F.shiftright("key", 2).alias("at"), F.col("key").bitwiseAND(F.lit(3)).alias("role"))
-    several = matrix.groupBy("at").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("at")
-    matrix = common.saved(matrix.join(several, "at", "left_semi"), "matrix")
-    other = matrix.select("at", F.col("gid").alias("to"), F.col("role").alias("its"))
-    pairs = matrix.join(other, "at").where((F.col("gid") < F.col("to")) & ~((F.col("role") == F.col("its")) & (F.col("role") != INDEX)))
-    meets = pairs.groupBy("gid", "to").agg(F.collect_set(F.shiftleft("at", 2).bitwiseOR(F.col("role")))).toDF("from", "to", "shared")
-    sent = grouped.select("gid", "d1", "d2", "keys").groupBy("gid").cogroup(meets.groupBy("from")).applyInPandas(_travel, "d1 long, d2 long, gid long, member boolean")
-    stops = common.saved(grouped.select("d1", "d2", "gid", F.lit(True).alias("member")).unionByName(sent), "stops")
-
-    def sent_to(stops: DataFrame, make, what: str):
-        speakers = heads.join(stops.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
-        return spoken(speakers).mapInPandas(make, f"d1 long, d2 long, {what}").join(stops, ["d1", "d2"]).groupBy("gid")
-    possible = sent_to(stops, _bitmaps(size), "n int, bits binary").applyInPandas(_possible(num, den), "d1 long, d2 long, gid long, member boolean")
-    possible = common.saved(possible, "possible")
-    found = sent_to(possible, _sets(size), "items binary").applyInPandas(_linked(num, den), "a1 long, a2 long, b1 long, b2 long")
-    return rows, common.saved(found, "links")
+    def found(stops: DataFrame, first: bool) -> DataFrame:
+        def sent_to(stops: DataFrame, make, what: str):
+            speakers = heads.join(stops.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+            return spoken(speakers).mapInPandas(make, f"d1 long, d2 long, {what}").join(stops, ["d1", "d2"]).groupBy("gid", "part")
+        possible = sent_to(stops, _bitmaps(size), "n int, bits binary").applyInPandas(_possible(num, den, first), STOPS)
+        possible = common.saved(possible, "possible")
+        return common.saved(sent_to(possible, _sets(size), "items binary").applyInPandas(_linked(num, den, first), "a1 long, a2 long, b1 long, b2 long"), "links")
+
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("doc")).select("d1", "d2", F.struct("doc", "d1", "d2").alias("label"))
+    sent = common.saved(to_hubs(grouped), "sent")
+    alone = grouped.withColumns({"c1": F.col("d1"), "c2": F.col("d2")})
+    near = components(classes, found(common.saved(stops_of(alone, sent, True), "stops"), True))
+    marked = grouped.join(near, ["d1", "d2"], "left").select(*grouped.columns, F.coalesce("label.d1", "d1").alias("c1"), F.coalesce("label.d2", "d2").alias("c2"))
+    marked = common.saved(marked, "marked")
+    rest = common.saved(to_others(marked).join(sent, ["d1", "d2", "gid"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return rows, classes.join(near.withColumnRenamed("label", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "label").alias("component"))
+    far = components(classes, found(common.saved(stops_of(marked, rest, False), "stops"), False))
+    top = classes.join(near.withColumnRenamed("label", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "label").alias("label"))
+    sizes = top.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    over = common.saved(far.select(F.col("label").alias("component"), "d1", "d2").join(
+        sizes.select("label", "size", "label.d1", "label.d2"), ["d1", "d2"]).select("label", "size", "component"), "over")
+    both = skew.attach(common.saved(top, "near"), over, ["label"], "size", ["d1", "d2"], "left", min_rows=HOT)
+    return rows, both.select("d1", "d2", F.coalesce("component", "label").alias("component"))
+
+
+def cells(grouped: DataFrame, *more: str) -> DataFrame:
+    """The matrix with its members: (column, role, group, class)."""
+    one = grouped.select("d1", "d2", "gid", *more, F.explode("keys").alias("key"))
+    return one.select("d1", "d2", "gid", *more, F.shiftright("key", 2).alias("at"), F.col("key").bitwiseAND(F.lit(3)).alias("role"))
+
+
+def meet(role: str, its: str) -> Column:
+    """Roles of one key that a pair may share: two longer prefixes alone, or two next size classes, say nothing."""
+    return (F.col(role) != F.col(its)) | (F.col(role) == INDEX)
+
+
+def to_hubs(grouped: DataFrame) -> DataFrame:
+    """(d1, d2, gid): members addressed to the hub of each column that they share with another group."""
+    hubs = cells(grouped).groupBy("at").agg(F.min(F.struct("role", "gid")).alias("hub"), F.min("gid").alias("low"), F.max("gid").alias("high"), F.count(F.lit(1)).alias("n"))
+    hubs = common.saved(hubs.where("low < high").select("at", "n", F.col("hub.role").alias("its"), F.col("hub.gid").alias("to")), "hubs")
+    sent = skew.attach(cells(grouped), hubs, ["at"], "n", ["d1", "d2"], min_rows=HOT)
+    return sent.where((F.col("gid") != F.col("to")) & meet("role", "its")).select("d1", "d2", F.col("to").alias("gid")).distinct()
+
+
+def to_others(marked: DataFrame) -> DataFrame:
+    """(d1, d2, gid): members outside the largest component of a column, addressed to the column's other groups. Two that are
+    both outside it meet in the group with the larger number, unless the other one holds members of the largest too."""
+    tree = F.struct("c1", "c2")
+    ends = cells(marked, "c1", "c2").groupBy("at").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.min(tree).alias("one"), F.max(tree).alias("two"), F.count(F.lit(1)).alias("n"))
+    several = common.saved(ends.where("low < high AND one < two").select("at", "n"), "several")
+    open_cells = common.saved(skew.attach(cells(marked, "c1", "c2"), several, ["at"], "n", ["d1", "d2"], min_rows=HOT), "open")
+    sizes = open_cells.groupBy("at", "c1", "c2").agg(F.count(F.lit(1)).alias("size"))
+    largest = common.saved(sizes.groupBy("at").agg(F.max(F.struct("size", "c1", "c2")).alias("top"), F.sum("size").alias("held")), "largest")
+    held = skew.attach(open_cells.drop("n"), largest, ["at"], "held", ["d1", "d2"], min_rows=HOT)
+    held = common.saved(held.withColumn("major", (F.col("c1") == F.col("top.c1")) & (F.col("c2") == F.col("top.c2"))).drop("top", "held"), "held")
+    groups = held.groupBy("at", "gid", "role").agg(F.min(tree).alias("one"), F.max(tree).alias("two"), F.max("major").alias("has_major")).withColumnsRenamed({"gid": "to", "role": "its"})
+    met = held.where("NOT major").join(groups, "at").where((F.col("gid") != F.col("to")) & meet("role", "its") & ((F.col("to") > F.col("gid")) | F.col("has_major")))
+    return met.where((F.col("one") != tree) | (F.col("two") != tree)).select("d1", "d2", F.col("to").alias("gid")).distinct()
+
+
+def stops_of(grouped: DataFrame, sent: DataFrame, first: bool) -> DataFrame:
+    """Members at home and queries where they are sent, with their components. A group has a copy for every ASKED * GROUP
+    queries; in the first round every group is there, else those with queries."""
+    asked = common.saved(sent.groupBy("gid").agg(F.count(F.lit(1)).alias("asked")).withColumn(
+        "parts", F.ceil(F.col("asked") / (ASKED * GROUP)).cast("int")), "asked")
+    home = grouped.select("d1", "d2", "gid", "c1", "c2").join(asked.select("gid", "parts"), "gid", "left" if first else "inner")
+    home = home.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("member", F.lit(True))
+    queries = skew.attach(sent, asked, ["gid"], "asked", ["d1", "d2"], min_rows=HOT).join(grouped.select("d1", "d2", "c1", "c2"), ["d1", "d2"])
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("d1", "d2"), F.col("parts")).cast("int")).withColumn("member", F.lit(False))
+    return home.select("d1", "d2", *STOP).unionByName(queries.select("d1", "d2", *STOP))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(d1, d2, label): the smallest label that edges reach, for classes with an edge. ``nodes`` has d1, d2, label.
     Each round takes the smallest label around a class and jumps to that label's own label; every round is a table."""
     both = edges.select("a1", "a2", "b1", "b2").unionByName(edges.selectExpr("b1 as a1", "b2 as a2", "a1 as b1", "a2 as b2"))
-    ends = both.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).distinct()
-    now = common.saved(nodes.join(ends, ["d1", "d2"]).select("d1", "d2", F.col("label").alias("own"), "label"), "labels")
-    near = common.saved(both.join(now.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("own").alias("a")), ["a1", "a2"]).join(
-        now.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("own").alias("b")), ["b1", "b2"]).select("a", "b"), "near")
+    ends = both.groupBy(F.col("a1").alias("d1"), F.col("a2").alias("d2")).agg(F.count(F.lit(1)).alias("degree"))
+    now = common.saved(nodes.join(ends, ["d1", "d2"]).select("d1", "d2", F.col("label").alias("own"), "label", "degree"), "labels")
+    near = both.select("a1", "a2", F.col("b1").alias("d1"), F.col("b2").alias("d2"))
+    for end, other in (("b", ["a1", "a2"]), ("a", ["b"])):              # a class may end many edges
+        stats = now.select("d1", "d2", F.col("own").alias(end), "degree")
+        near = skew.attach(near, stats, ["d1", "d2"], "degree", other, min_rows=HOT).drop("d1", "d2", "degree")
+        near = near.withColumnsRenamed({"a1": "d1", "a2": "d2"})
+    near = common.saved(near.select("a", "b"), "near")
     while True:
-        seen = near.join(now.select(F.col("own").alias("b"), F.col("label").alias("there")), "b").groupBy("a").agg(F.min("there").alias("there"))
+        there = now.select(F.col("own").alias("b"), F.col("label").alias("there"), "degree")
+        seen = skew.attach(near, there, ["b"], "degree", ["a"], min_rows=HOT).groupBy("a").agg(F.min("there").alias("there"))
         # hooking also the old label onto the new one, else long chains take one round a step
-        better = now.join(seen, now["own"] == seen["a"], "left").select("d1", "d2", "own", "label", F.least("label", "there").alias("new"))
+        better = now.join(seen, now["own"] == seen["a"], "left").select("d1", "d2", "own", "degree", "label", F.least("label", "there").alias("new"))
         hooks = better.where("new < label").groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "at")
-        low = better.join(hooks, better["own"] == hooks["at"], "left").select("d1", "d2", "own", F.col("label").alias("old"), F.least("new", "hook").alias("new"))
-        jump = low.groupBy("own").agg(F.min("new").alias("over")).withColumnRenamed("own", "new")
-        step = common.saved(low.join(jump, "new", "left").select("d1", "d2", "own", "old", F.coalesce("over", "new").alias("label")), "labels")
+        low = better.join(hooks, better["own"] == hooks["at"], "left").select("d1", "d2", "own", "degree", F.col("label").alias("old"), F.least("new", "hook").alias("new"))
+        low = common.saved(low, "low")
+        # the label of a large component is asked for by all its classes
+        jump = low.groupBy("new").agg(F.count(F.lit(1)).alias("n")).join(low.select(F.col("own").alias("new"), F.col("new").alias("over")), "new")
+        step = skew.attach(low, jump, ["new"], "n", ["own"], "left", min_rows=HOT)
+        step = common.saved(step.select("d1", "d2", "own", "degree", "old", F.coalesce("over", "new").alias("label")), "labels")
         if step.where("label < old").isEmpty():
             return step.select("d1", "d2", "label")
         now = step.drop("old")
@@ -371,11 +439,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """doc, tid, n_shingles, component (doc, d1, d2) of every document: the smallest id that links reach and the class
     that has it, so components that share an id stay apart; null for documents without words."""
-    rows, edges = links(docs, size, num, den)
+    rows, top = classes_joined(docs, size, num, den)
     full = rows.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc").alias("doc")).select("d1", "d2", F.struct("doc", "d1", "d2").alias("label"))
-    found = components(classes, edges)
-    top = classes.join(found.withColumnRenamed("label", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "label").alias("component"))
     # a class may hold a large share of all rows: both sides are tables, so AQE can split the rows' side
     top = common.saved(top, "tops")
     linked = full.join(top, ["d1", "d2"], "left").select("doc", "tid", F.col("n").cast("bigint").alias("n_shingles"), "component")
