@@ -56,10 +56,26 @@ def episode_training_reward(spark, d):
                                                    partial_credit=0.3, unrequested_penalty=0.5, mistake_penalty=0.1, repeat_penalty=0.05)).alias("reward"))
 
 
-@query("graded_write_credit")
+CREDIT_SQL = L.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+listed AS (SELECT doc_id, name, target, row_number() OVER (PARTITION BY doc_id, name, target ORDER BY i) AS g, w2,
+  list_distinct([w2 || '>' || w3, w3 || '>' || CASE WHEN substr(w4, 1, 1) < 'n' THEN w4 ELSE w5 END]) AS p FROM keyed WHERE j = 0 AND n >= 50 AND name NOT IN ('get_order_details', 'find_user_id_by_email')),
+made AS (SELECT doc_id, name, target, i * 10 + j AS pos, w2, list_distinct([w2 || '>' || w3, w3 || '>' || w4]) AS p FROM calls WHERE is_write AND ok),
+near AS (SELECT l.doc_id, l.name, l.target, g, pos, CASE WHEN l.name LIKE 'exch%' THEN len(list_intersect(l.p, m.p)) / greatest(len(l.p), len(m.p)) WHEN l.w2 = m.w2 THEN 1.0 ELSE 0.0 END AS c
+  FROM listed l JOIN made m ON m.doc_id = l.doc_id AND m.name = l.name AND m.target = l.target),
+choice AS (SELECT doc_id, name, target, g, list({'pos': pos, 'c': c} ORDER BY c DESC, pos) AS options FROM near GROUP BY ALL),
+pick(doc_id, name, target, g, used, total) AS (SELECT DISTINCT doc_id, name, target, 0::BIGINT, []::BIGINT[], 0::DOUBLE FROM choice UNION ALL
+  SELECT doc_id, name, target, g + 1, CASE WHEN o IS NULL THEN used ELSE list_append(used, o.pos) END, total + coalesce(o.c, 0) FROM (
+    SELECT k.*, list_filter(c.options, lambda x: NOT list_contains(k.used, x.pos))[1] AS o FROM pick k JOIN choice c ON c.doc_id = k.doc_id AND c.name = k.name AND c.target = k.target AND c.g = k.g + 1)),
+took AS (SELECT doc_id, sum(total) AS total, sum(len(used)) AS used FROM (SELECT * FROM pick QUALIFY g = max(g) OVER (PARTITION BY doc_id, name, target)) GROUP BY doc_id),
+ng AS (SELECT doc_id, count(*) AS n FROM listed GROUP BY doc_id), nd AS (SELECT doc_id, count(*) AS n FROM made GROUP BY doc_id)
+SELECT docs.doc_id, CASE WHEN ng.n IS NULL THEN 0.0 ELSE round(greatest(0.0, least(1.0, (coalesce(total, 0) - coalesce(nd.n, 0) + coalesce(used, 0)) / ng.n)), 6) END AS credit
+FROM docs LEFT JOIN ng USING (doc_id) LEFT JOIN nd USING (doc_id) LEFT JOIN took USING (doc_id)"""
+
+
+@query("graded_write_credit", CREDIT_SQL)
 def graded_write_credit(spark, d):
-    """Greedy closest match; the choice for each gold write depends on the earlier ones, so there is no SQL
-    for it and tests compare it with a direct loop."""
+    """Greedy closest match. The choice for a gold write depends on the earlier ones on the same tool and target, so the
+    SQL takes them one by one, by recursion."""
     return _derived(spark, d).select("doc_id", r6(E.graded_credit(F.col("done"), F.col("gw"))).alias("credit"))
 
 

@@ -227,9 +227,13 @@ def variant_bonus_by_order(spark, d):
                                      F.round(F.least(F.lit(0.3), 0.3 * F.coalesce(F.sum("bonus"), F.lit(0.0)) / F.count(F.lit(1))), 5).alias("bonus"))
 
 
-@query("task_pairs")
+@query("task_pairs", """WITH RECURSIVE t AS (SELECT o_custkey AS user_id, o_orderkey AS order_id, o_orderpriority AS city, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+run(user_id, k, waiting, held, first, second) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM t UNION ALL
+  SELECT user_id, k + 1, CASE WHEN hit THEN waiting[2:] ELSE list_append(waiting, order_id) END, CASE WHEN hit THEN held ELSE city END, CASE WHEN hit THEN waiting[1] END, CASE WHEN hit THEN order_id END
+  FROM (SELECT run.*, t.order_id, t.city, len(waiting) > 0 AND held <> t.city AS hit FROM run JOIN t ON t.user_id = run.user_id AND t.k = run.k + 1))
+SELECT user_id, first, second FROM run WHERE first IS NOT NULL""")
 def task_pairs(spark, d):
-    """Greedy by definition, so there is no SQL for it; tests compare it with a direct loop."""
+    """Greedy by definition: the SQL takes each customer's tasks one by one, by recursion."""
     o = T.orders(spark, d).select("user_id", "order_id", "city")
     return S.pair_tasks(o, "user_id", "order_id", "city")
 
@@ -327,24 +331,46 @@ def varied_tasks(spark, d):
     return s.withColumn("rn", F.row_number().over(w)).where("rn = 1 and copy > 0").drop("rn", "copy")
 
 
-@query("state_digests", """WITH s AS (SELECT l_orderkey AS order_id, l_partkey || ':' || o_orderstatus AS before, CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'F' THEN l_partkey || ':return requested'
-  WHEN l_returnflag = 'N' AND o_orderstatus = 'O' THEN (l_partkey + 1) || ':modified' ELSE l_partkey || ':' || o_orderstatus END AS after FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-g AS (SELECT order_id, list_sort(list(before)) AS b, list_sort(list(after)) AS a, count(*) AS n FROM s GROUP BY order_id)
-SELECT order_id, n AS rows, a <> b AS changed, true AS order_free FROM g""")
+@query("state_digests", """WITH RECURSIVE s AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, l_partkey || ':' || o_orderstatus AS item,
+  CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'F' THEN l_partkey || ':return requested' WHEN l_returnflag = 'N' AND o_orderstatus = 'O' THEN coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity), l_partkey + 1) || ':O' END AS new,
+  CASE WHEN l_returnflag = 'N' AND o_orderstatus = 'O' AND l_quantity >= 25 THEN (l_partkey + 1) || ':O' END AS rival, l_returnflag AS flag, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT order_id, count(*) AS n, list(item ORDER BY line, part, flag, q) AS items, list_filter(coalesce(list({'o': item, 'n': new} ORDER BY line, part, flag, q), []) || coalesce(list({'o': item, 'n': rival} ORDER BY line, part, flag, q), []), lambda x: x.n IS NOT NULL) AS acts FROM s GROUP BY order_id),
+w AS (SELECT order_id, 'once' AS way, acts AS todo, items FROM g UNION ALL SELECT order_id, 'back', list_reverse(acts), items FROM g UNION ALL SELECT order_id, 'twice', acts || acts, items FROM g),
+r(order_id, way, todo, k, st) AS (SELECT order_id, way, todo, 0, items FROM w UNION ALL
+  SELECT order_id, way, todo, k + 1, CASE WHEN p > 0 THEN list_concat(list_concat(st[:p - 1], [todo[k + 1].n]), st[p + 1:]) ELSE st END
+  FROM (SELECT *, coalesce(list_position(st, todo[k + 1].o), 0) AS p FROM r WHERE k < len(todo))),
+f AS (SELECT order_id, way, list_sort(st) AS st FROM r WHERE k = len(todo))
+SELECT g.order_id, n AS rows, o.st <> list_sort(items) AS changed, o.st = b.st AS order_free, o.st = t.st AS repeat_free FROM g
+JOIN f o ON o.order_id = g.order_id AND o.way = 'once' JOIN f b ON b.order_id = g.order_id AND b.way = 'back' JOIN f t ON t.order_id = g.order_id AND t.way = 'twice'""")
 def state_digests(spark, d):
-    """Did the actions change the order's state: digests before and after, which do not depend on the order
-    in which items or actions are listed (checked by digesting the reversed numbering too)."""
-    li = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag")
+    """An order's state before and after its replacements (a modified item becomes one like the next line's, the last one the
+    next part; for a quantity of 25 or more there is a second, rival wish, which finds its item gone unless the order has another
+    one; a returned one changes its status), by digests that do not depend on the listing order of items: did it change,
+    does the list of replacements give the same state read backwards, and given twice."""
+    li = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
     j = li.join(T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    item = F.col("l_partkey").cast("string")
-    before = F.concat_ws(":", item, "o_orderstatus")
-    after = (F.when((F.col("l_returnflag") == "R") & (F.col("o_orderstatus") == "F"), F.concat(item, F.lit(":return requested")))
-             .when((F.col("l_returnflag") == "N") & (F.col("o_orderstatus") == "O"), F.concat((F.col("l_partkey") + 1).cast("string"), F.lit(":modified"))).otherwise(before))
-    def digest(c, p):
-        return [x.alias(f"{p}{i}") for i, x in enumerate(H.set_digest(c))]
-    g = j.groupBy(F.col("o_orderkey").alias("order_id")).agg(*digest(before, "b"), *digest(after, "a"))
-    changed = (F.col("b1") != F.col("a1")) | (F.col("b2") != F.col("a2"))
-    return g.select("order_id", F.col("b0").alias("rows"), changed.alias("changed"), (F.col("b0") == F.col("a0")).alias("order_free"))
+    g = j.groupBy(F.col("o_orderkey").alias("order_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "o_orderstatus"))).alias("x"))
+
+    def item(part, status):
+        return F.concat_ws(":", part.cast("string"), status)
+
+    def action(x, i):
+        following = F.coalesce(F.get("x", i + 1)["l_partkey"], x["l_partkey"] + 1)
+        new = F.when((x["l_returnflag"] == "R") & (x["o_orderstatus"] == "F"), item(x["l_partkey"], F.lit("return requested"))).when(
+            (x["l_returnflag"] == "N") & (x["o_orderstatus"] == "O"), item(following, F.lit("O")))
+        return F.struct(item(x["l_partkey"], x["o_orderstatus"]).alias("old"), new.alias("new"))
+
+    def rival(x):
+        again = (x["l_returnflag"] == "N") & (x["o_orderstatus"] == "O") & (x["l_quantity"] >= 25)
+        return F.struct(item(x["l_partkey"], x["o_orderstatus"]).alias("old"), F.when(again, item(x["l_partkey"] + 1, F.lit("O"))).alias("new"))
+    acts = F.filter(F.concat(F.transform("x", action), F.transform("x", rival)), lambda a: a["new"].isNotNull())
+    g = g.select("order_id", F.transform("x", lambda x: item(x["l_partkey"], x["o_orderstatus"])).alias("items"), acts.alias("acts"))
+
+    def after(todo):
+        return S.state_digest(S.replayed(F.col("items"), todo))
+    g = g.select("order_id", S.state_digest(F.col("items")).alias("b"), after(F.col("acts")).alias("once"), after(F.reverse("acts")).alias("back"), after(F.concat("acts", "acts")).alias("twice"))
+    return g.select("order_id", F.col("b.n").alias("rows"), (F.col("once") != F.col("b")).alias("changed"),
+                    (F.col("once") == F.col("back")).alias("order_free"), (F.col("once") == F.col("twice")).alias("repeat_free"))
 
 
 @query("item_change_candidates", I + """, u AS (SELECT product, name, size, min(item_id) AS item_id, min(price) AS price FROM variants WHERE available GROUP BY ALL HAVING count(*) = 1),
