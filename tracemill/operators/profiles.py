@@ -143,6 +143,16 @@ def value_weight(a: Column, b: Column, group: int, mode: str = "mixed") -> Colum
 FAMILY_TARGETS = {"items_addr": "missed_write", "decoy_first": "wrong_target", "keep_options": "wrong_args", "pairing": "wrong_args"}
 
 
+def base_of(task_id: Column) -> Column:
+    """The task that a variant id <base>_r<k> was made from; an id without the mark is its own base."""
+    return F.split_part(task_id, F.lit("_r"), F.lit(1))
+
+
+def task_of_group(group_id: Column) -> Column:
+    """The task id behind the second dash of a group id; it may have dashes itself. Null where there are fewer."""
+    return F.get(F.split(group_id, "-", 3), 2)
+
+
 def family_multiplier(family: Column, level: Column, current: Column, fail_share: Column, boost: float = 3.0) -> Column:
     """Half weight below the current level, more for families whose failure class dominates."""
     at = F.when(level == current, 1.0).otherwise(0.5)

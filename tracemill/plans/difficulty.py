@@ -253,10 +253,47 @@ f AS (SELECT arm, datediff('month', TIMESTAMP '1990-01-01', month) AS step,
 t AS (SELECT arm, step, sum(failures) AS total, row_number() OVER (PARTITION BY arm ORDER BY step DESC) - 1 AS age FROM f GROUP BY arm, step)
 SELECT arm, class, round(sum(0.5 * pow(0.5, age) * failures / total), 6) AS ema FROM f JOIN t USING (arm, step) GROUP BY arm, class""")
 def failure_share_ema(spark, d):
+    return _failure_shares(spark, d).withColumn("ema", r6(F.col("ema")))
+
+
+def _failure_shares(spark, d):
     step = (F.year("month") - 1990) * 12 + F.month("month") - 1
     cls = F.when(F.col("dead"), "runaway").when(F.col("usd") < 0.03, "wrong_args").otherwise("missed_write")
     by = T.trials(spark, d).where("success = 0").groupBy("arm", step.alias("step"), cls.alias("class")).agg(F.count(F.lit(1)).alias("failures"))
-    return P.failure_share_ema(by, ["arm"]).withColumn("ema", r6(F.col("ema")))
+    return P.failure_share_ema(by, ["arm"])
+
+
+@query("family_weights", T.with_sql(T.TRIALS_SQL, T.ROLLOUTS_SQL) + FAM_SQL + """,
+f AS (SELECT datediff('month', TIMESTAMP '1990-01-01', month) AS step, CASE WHEN dead THEN 'runaway' WHEN usd < 0.03 THEN 'wrong_args' ELSE 'missed_write' END AS class, count(*) AS failures
+  FROM trials WHERE success = 0 AND arm = 'trained' GROUP BY ALL),
+t AS (SELECT step, sum(failures) AS total, row_number() OVER (ORDER BY step DESC) - 1 AS age FROM f GROUP BY step),
+shares AS (SELECT class, sum(0.5 * pow(0.5, age) * failures / total) AS ema FROM f JOIN t USING (step) GROUP BY class),
+lv AS (SELECT family, CASE WHEN count(*) >= 16 AND avg(CASE WHEN termination = 'natural' THEN reward ELSE 0 END) >= 0.27 THEN 3 ELSE 2 END AS now
+  FROM rollouts JOIN fam USING (task_id) WHERE level = 2 AND termination <> 'customer_api_error' GROUP BY family),
+target AS (SELECT unnest(['items_addr', 'decoy_first', 'keep_options', 'pairing']) AS family, unnest(['missed_write', 'wrong_target', 'wrong_args', 'wrong_args']) AS class)
+SELECT task_id, family, level, level <= coalesce(now, 2) AS eligible, round(CASE WHEN level = coalesce(now, 2) THEN 1.0 ELSE 0.5 END * (1 + 3.0 * coalesce(ema, 0)), 6) AS multiplier
+FROM fam LEFT JOIN lv USING (family) LEFT JOIN target USING (family) LEFT JOIN shares USING (class)""")
+def family_weights(spark, d):
+    """Weight of a generated task: its family's level after promotion and the smoothed share of the failure class that the family
+    is made against. Tasks above the level are not eligible yet. Families, levels and shares are a handful of rows."""
+    fam, trained = _families(spark, d), F.col("arm") == "trained"
+    shares = _failure_shares(spark, d).where(trained).select(F.col("class").alias("target"), F.col("ema").alias("share"))
+    targets = F.create_map(*[F.lit(x) for kv in P.FAMILY_TARGETS.items() for x in kv])
+    now = family_promotion(spark, d).select("family", "next").withColumn("target", F.try_element_at(targets, F.col("family")))
+    known = fam.join(F.broadcast(now.join(shares, "target", "left")), "family", "left").withColumn("now", F.coalesce("next", F.lit(2)))
+    return known.select("task_id", "family", "level", (F.col("level") <= F.col("now")).alias("eligible"),
+                        r6(P.family_multiplier(F.col("family"), F.col("level"), F.col("now"), F.col("share"))).alias("multiplier"))
+
+
+@query("variant_counts", """SELECT 't' || l_partkey AS base, count(DISTINCT l_linenumber) AS variants, count(*) AS groups FROM lineitem GROUP BY l_partkey""")
+def variant_counts(spark, d):
+    """Variants and groups of each base task, read from group ids b<batch>-<order>-t<part>_r<line>."""
+    li = T.table(spark, d, "lineitem")
+    name = F.concat(F.lit("b"), "l_suppkey", F.lit("-"), "l_orderkey", F.lit("-t"), "l_partkey", F.lit("_r"), "l_linenumber")
+    task = P.task_of_group(name)
+    # variants first: the distinct count then combines before the shuffle
+    per = li.select(task.alias("task")).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(P.base_of(F.col("task")).alias("base")).agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("groups"))
 
 
 @query("dev_slice", "WITH " + PROFILE_SQL + """SELECT task_id, round(abs(successes * 1.0 / trials - 0.5), 6) AS distance FROM old

@@ -267,3 +267,22 @@ def source_reconciliation(spark, d):
         F.count_if(b).alias("n_base"), F.count_if(tr).alias("n_trained"),
         r6(F.avg(F.when(b, F.col("success")))).alias("reward_base"), r6(F.avg(F.when(tr, F.col("success")))).alias("reward_trained"),
         r6(F.median(F.when(b, F.col("secs")))).alias("median_secs_base"), r6(F.median(F.when(tr, F.col("secs")))).alias("median_secs_trained"))
+
+
+@query("source_reconciliation_by_task", "WITH " + T.TRIALS_SQL + """
+SELECT task_id, round(avg(success) FILTER (arm = 'base' AND NOT dead), 3) AS reward_base, round(avg(success) FILTER (arm = 'trained' AND NOT dead), 3) AS reward_trained FROM trials GROUP BY task_id""")
+def source_reconciliation_by_task(spark, d):
+    """Mean reward of a task in either source; null where a source has no trial of it that ended with a reward."""
+    live = F.when(~F.col("dead"), F.col("success"))
+    return T.trials(spark, d).groupBy("task_id").agg(*[F.round(F.avg(F.when(F.col("arm") == a, live)), 3).alias(f"reward_{a}") for a in ARMS])
+
+
+@query("success_bands", "WITH " + T.TRIALS_SQL + """,
+c AS (SELECT arm, task_id, count(*) AS n, count(*) FILTER (abs(success - usd * 2e-5 - 1.0) <= 1e-6) AS c FROM trials WHERE NOT dead GROUP BY arm, task_id)
+SELECT arm, CASE WHEN c = 0 THEN 'never' WHEN c = n THEN 'always' WHEN c * 1.0 / n >= 0.6 THEN 'band' ELSE 'low' END AS band, count(*) AS tasks, sum(n)::BIGINT AS trials, sum(c)::BIGINT AS successes
+FROM c GROUP BY ALL""")
+def success_bands(spark, d):
+    """Tasks of an arm by how often they are solved. A reward is a success within a tolerance; here spend lowers it a little."""
+    won = S.is_success(F.col("success") - F.col("usd") * F.lit(2e-5))
+    t = scored(spark, d).groupBy("arm", "task_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(won).alias("c"))
+    return t.groupBy("arm", S.difficulty_band(F.col("c"), F.col("n")).alias("band")).agg(F.count(F.lit(1)).alias("tasks"), F.sum("n").alias("trials"), F.sum("c").alias("successes"))

@@ -152,6 +152,10 @@ def persona_breakdown(spark, d):
         "all_success", "all_fail", "mixed", r6(F.col("stumbled")).alias("stumbled"))
 
 
+SCORED_ALL_SQL = R + """,
+everyone AS (SELECT *, CASE WHEN termination = 'natural' THEN reward ELSE 0 END AS er FROM rollouts)"""
+
+
 @query("step_metrics", SCORED_SQL + """
 SELECT batch_id AS step, count(*) AS episodes, round(avg(er) FILTER (termination <> 'customer_api_error'), 6) AS mean_reward,
   count(*) FILTER (termination = 'length') AS length_truncated, round(avg(n_turns), 6) AS mean_turns,
@@ -176,6 +180,22 @@ def step_metrics(spark, d):
         r6(flag(F.col("task_id") < 100)).alias("targeted_frac"), F.round(F.sum("usd"), 4).alias("customer_usd"))
 
 
+@query("step_reward_breakdown", SCORED_ALL_SQL + """,
+p AS (SELECT batch_id AS step, er, o_orderpriority AS persona, CASE WHEN o_custkey IS NULL THEN NULL WHEN o_totalprice > 100000 THEN 'large' ELSE 'small' END AS customer
+  FROM everyone LEFT JOIN orders ON o_orderkey = group_id)
+SELECT step, 'persona' AS part, persona AS name, count(*) AS episodes, round(avg(er), 3) AS reward FROM p WHERE persona <> '' GROUP BY ALL
+UNION ALL SELECT step, 'customer', customer, count(*), round(avg(er), 3) FROM p WHERE customer <> '' GROUP BY ALL""")
+def step_reward_breakdown(spark, d):
+    """Mean reward of a step over all its episodes, by persona and by customer; episodes without one are in no row. Counts per
+    step and group come first, so the join sees one row for each."""
+    pre = T.rollouts(spark, d).groupBy(F.col("batch_id").alias("step"), "group_id").agg(F.count(F.lit(1)).alias("n"), F.sum(er()).alias("w"))
+    who = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_orderpriority").alias("persona"),
+                                             F.when(F.col("o_custkey").isNotNull(), F.when(F.col("o_totalprice") > 100000, "large").otherwise("small")).alias("customer"))
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("name")) for c in ("persona", "customer")]))
+    by = pre.join(who, "group_id").select("step", "n", "w", parts.alias("p")).where("p.name <> ''").groupBy("step", "p.part", "p.name")
+    return by.agg(F.sum("n").alias("episodes"), F.round(F.sum("w") / F.sum("n"), 3).alias("reward"))
+
+
 @query("failure_class_counts", SCORED_SQL + """SELECT batch_id AS step, CASE WHEN termination <> 'natural' THEN 'runaway' WHEN usd > 0.06 THEN 'wrong_target'
   WHEN n_turns < 10 THEN 'missed_write' WHEN wall_s < 30000 THEN 'wrong_args' ELSE 'other' END AS failure_class, count(*) AS episodes
 FROM scored WHERE er = 0 AND termination <> 'customer_api_error' GROUP BY ALL""")
@@ -213,7 +233,8 @@ def logprob_drift(spark, d):
 @query("validation_row", SCORED_SQL + """,
 v AS (SELECT batch_id AS step, task_id, sum(er) AS c, count(*) AS n FROM scored WHERE trains GROUP BY ALL),
 p AS (SELECT step, count(*) AS tasks, sum(n) AS episodes, round(avg(c * 1.0 / n), 6) AS pass1,
-  round(avg(CASE WHEN n >= 2 THEN c * (c - 1.0) / (n * (n - 1.0)) END), 6) AS pass2 FROM v GROUP BY step),
+  round(avg(CASE WHEN n >= 2 THEN c * (c - 1.0) / (n * (n - 1.0)) END), 6) AS pass2,
+  round(avg(CASE WHEN n >= 4 THEN c * (c - 1.0) * (c - 2.0) * (c - 3.0) / (n * (n - 1.0) * (n - 2.0) * (n - 3.0)) END), 6) AS pass4 FROM v GROUP BY step),
 n AS (SELECT batch_id AS step, round(avg(er) FILTER (termination = 'natural'), 6) AS natural_success, round(avg(CAST(usd > 0.06 AS INTEGER)), 6) AS unrequested_frac
   FROM scored WHERE trains GROUP BY batch_id)
 SELECT * FROM p JOIN n USING (step)""")
@@ -226,7 +247,7 @@ def validation_row(spark, d):
     c, n = F.col("c"), F.col("n")
     return v.groupBy("step").agg(
         F.count(F.lit(1)).alias("tasks"), F.sum("n").alias("episodes"), r6(F.avg(subset_ratio(c, n, 1))).alias("pass1"),
-        r6(F.avg(subset_ratio(c, n, 2))).alias("pass2"), r6(F.try_divide(F.sum("c"), F.sum("nat"))).alias("natural_success"),
+        r6(F.avg(subset_ratio(c, n, 2))).alias("pass2"), r6(F.avg(subset_ratio(c, n, 4))).alias("pass4"), r6(F.try_divide(F.sum("c"), F.sum("nat"))).alias("natural_success"),
         r6(F.sum("unreq") / F.sum("n")).alias("unrequested_frac"))
 
 
