@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -573,3 +574,33 @@ def test_url_lists_with_days_far_apart(spark):
     none = spark.createDataFrame([], page_rows.schema)
     assert url_lists.filtered(none, entry_rows).count() == 0
     assert {r.lists for r in url_lists.filtered(page_rows, entry_rows.where("false")).collect()} == {""}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves come back with the caller's values; one of equal rows stays."""
+    names = ["_doc", "_tid", "_nth", "_words", "_text", "_pass", "_spans", "_size", "row", "doc", "tid", "hash", "at", "nth", "pass", "words", "spans", "size", "taken_text", "key"]
+    texts = ["alpha beta gamma delta " * 9, "alpha beta gamma delta " * 9, " ".join(f"b{i}" for i in range(40)), "", None, " ".join(f"c{i}" for i in range(70))]
+    ids = [1, 1, None, 4, 5, 6]
+    df = spark.createDataFrame([(i, t, "s", *[f"{n}:{k}" if k > 1 else n for n in names]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))],
+                               "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    bench = [(1, texts[2])]
+    whole = {tuple(r) for r in df.collect()}
+    one = stages.distinct(spark, df, "").collect()
+    assert {tuple(r) for r in one} == whole and len(one) == 5
+    found = decontam.contamination(df, spark.createDataFrame(bench, "item_id long, text string")).where("contaminated")
+    bad = found.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("doc"), "tid").distinct()
+    clear, maybe = stages.common.flagged(df, bad, tid_bits=64)
+    assert {tuple(r) for r in clear.collect()} | {tuple(r) for r in maybe.select("row.*").collect()} == whole
+    assert {tuple(r) for r in maybe.join(bad, ["doc", "tid"]).select("row.*").collect()} == {r for r in whole if r[1] == texts[2]}
+    mix = mixing.mixed(df).collect()
+    assert mix and {tuple(r)[3:] for r in mix} <= {r[3:] for r in whole} and mix[0].__fields__ == df.columns
+
+
+def test_block_steps_permute(spark):
+    n = [1, 2, 3, 6, 7, 9, 11, 14, 18, 331, 693, 4096, 100_003]
+    df = spark.createDataFrame([(x, t << 20) for x in n for t in range(8)], "n long, turn long")
+    got = df.select("n", mixing.step(F.col("turn"), F.col("n")).alias("step")).collect()
+    for r in got:
+        assert sorted(i * r.step % r.n for i in range(r.n)) == list(range(r.n))
+        assert r.n < 11 or r.n / 8 <= r.step % r.n <= 7 * r.n / 8
+    assert len({r.step for r in got if r.n == 4096}) > 1

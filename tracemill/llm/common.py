@@ -204,13 +204,15 @@ def has_bit(table: Column, key: Column, log2_bits: int) -> Column:
 
 
 def flagged(docs: DataFrame, keys: DataFrame, log2_bits: int = 24, tid_bits: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Split the rows of ``docs`` by a bitmap of (doc, tid) ``keys``: (surely not among them, maybe among them). Both sides
-    have the columns of ``docs``; the second also _doc and _tid (the low 32 or all 64 bits of the text's hash). Only the second side needs a shuffle to be told exactly."""
+    """Split the rows of ``docs`` by a bitmap of (doc, tid) ``keys``: (surely not among them, maybe among them). The first
+    is ``docs``, the second packs its columns into ``row`` beside doc and tid (the low 32 or all 64 bits of the text's hash), so
+    that no name of the caller's meets these. Only the second side needs a shuffle to be told exactly."""
     table = bit_table(keys.select(F.xxhash64("doc", "tid").alias("key")), "key", log2_bits)
-    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2 ** 63 - 1)),
-                            "_tid": F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(-1 if tid_bits == 64 else 0xFFFFFFFF))})
-    hit = has_bit(table, F.xxhash64("_doc", "_tid"), log2_bits)
-    return own.where(~hit).select(*docs.columns), own.where(hit)
+    own = docs.select(F.struct(*docs.columns).alias("row"))
+    own = own.select("row", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(2 ** 63 - 1)).alias("doc"),
+                     F.xxhash64(F.col("row.text").cast("string")).bitwiseAND(F.lit(-1 if tid_bits == 64 else 0xFFFFFFFF)).alias("tid"))
+    hit = has_bit(table, F.xxhash64("doc", "tid"), log2_bits)
+    return own.where(~hit).select("row.*"), own.where(hit)
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:

@@ -22,7 +22,8 @@ from tracemill.llm import common
 WEIGHTS = (5, 2, 1)
 BLOCK = 32
 SHARD = 4096
-SPREAD = 2147483647       # a prime above any number of blocks in a shard: its multiples permute them
+# primes above any number of blocks in a shard: the multiples of each permute them
+SPREADS = (1000000007, 1123456793, 1246913581, 1370370371, 1493827171, 1617283951, 1740740761, 1864197551)
 
 
 def draw(seed: int, *keys: Column) -> Column:
@@ -91,14 +92,25 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5
     n = F.greatest(F.lit(1), F.round(F.col("length") / block)).cast("bigint")
     shards = shards.withColumn("n_blocks", n).withColumn("takes", F.least(2 * F.col("n_blocks"), F.round(
         F.col("share") * block * F.col("n_blocks") / F.greatest("length", F.lit(1)))).cast("bigint")).withColumn("turn", draw(seed + 1, F.col("src"), F.col("shard")))
+    shards = shards.withColumn("step", step(F.col("turn"), F.col("n_blocks")))
     w = Window.partitionBy("src", "shard").orderBy("at", "doc_id", "tid").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(w)).withColumn("begin", F.col("end") - F.col("size"))
-    both = laid.join(shards.select("src", "shard", "source_size", "target", "length", "n_blocks", "takes", "turn"), ["src", "shard"])
+    both = laid.join(shards.select("src", "shard", "source_size", "target", "length", "n_blocks", "takes", "turn", "step"), ["src", "shard"])
     return both.select("doc_id", "tid", "size", "source_size", "target", spans().alias("spans")).withColumn(
         "taken", F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + (x["end"] - x["begin"]) * x["times"])).select(
         "doc_id", "tid", "size", "source_size", "target", "taken", "spans")
 
 
+def step(turn: Column, n: Column) -> Column:
+    """The distance of neighbouring blocks in the permutation of a shard's n blocks: a prime, so coprime to n, drawn by ``turn``
+    among those that leave between an eighth and seven eighths of n (else neighbours would be taken together), or the first drawn."""
+    first = F.pmod(F.shiftright(turn, 20), F.lit(len(SPREADS))).cast("int")
+    primes = F.array(*[F.lit(p).cast("bigint") for p in SPREADS])
+    turned = F.concat(F.slice(primes, first + 1, len(SPREADS)), F.slice(primes, 1, first))
+    far = F.filter(turned, lambda p: (8 * (p % n) >= n) & (8 * (p % n) <= 7 * n))
+    return F.coalesce(F.get(far, 0), F.get(turned, 0))
+
+
 def spans() -> Column:
     """The taken runs of a document that lies at [begin, end) of its shard. Block i of n lies at [i L / n, (i + 1) L / n),
     rounded down. Every block is taken takes div n times; the rest falls on blocks whose permuted number is small."""
@@ -108,24 +120,27 @@ def spans() -> Column:
             i -> named_struct(
                 'begin', greatest(i * length div n_blocks, begin) - begin,
                 'end', least((i + 1) * length div n_blocks, end) - begin,
-                'times', takes div n_blocks + if(pmod(i * %dL + turn %% n_blocks, n_blocks) < takes %% n_blocks, 1L, 0L))),
-            x -> x.times > 0) END""" % SPREAD)
+                'times', takes div n_blocks + if(pmod(i * step + turn % n_blocks, n_blocks) < takes % n_blocks, 1L, 0L))),
+            x -> x.times > 0) END""")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them, with the columns of ``docs``: pass p holds the words taken p times or more, so a
     document gives up to ``most`` rows. A document taken whole keeps its text; else its taken words are joined by spaces."""
-    chosen = plan(docs, **settings).where("taken > 0").select(F.col("doc_id").alias("_mdoc"), F.col("tid").alias("_mtid"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
+    # the caller's columns stay packed in ``row``, so no name of theirs meets one used here
+    chosen = plan(docs, **settings).where("taken > 0").select("doc_id", "tid", "size", "spans")
     # rows equal in id and text are separate documents of the mix: number them on both sides
-    same = Window.partitionBy("_mdoc", "_mtid").orderBy("_spans")
-    chosen = chosen.withColumn("_mnth", F.row_number().over(same))
-    own = docs.withColumn("_doc", F.col("doc_id").cast("bigint")).withColumn("_tid", F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy(F.xxhash64(*docs.columns))))
-    both = own.join(chosen, F.col("_doc").eqNullSafe(F.col("_mdoc")) & (F.col("_tid") == F.col("_mtid")) & (F.col("_nth") == F.col("_mnth")))
-    passes = both.withColumn("_pass", F.explode(F.expr("sequence(1L, aggregate(_spans, 0L, (s, x) -> greatest(s, x.times)))")))
-    part = F.expr("filter(_spans, x -> x.times >= _pass)")
-    whole = F.expr("aggregate(filter(_spans, x -> x.times >= _pass), 0L, (s, x) -> s + x.end - x.begin) = _size")
-    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(common.WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(part, lambda x: F.slice("_words", (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int")))), " ")
-    done = passes.withColumn("_words", words).withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
-    return done.select(*[F.col("_text").cast(t).alias(c) if c == "text" else F.col(c) for c, t in docs.dtypes])
+    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tid").orderBy("spans")))
+    own = docs.select(F.struct(*docs.columns).alias("row"))
+    own = own.select("row", F.col("row.doc_id").cast("bigint").alias("doc"), F.coalesce(F.md5(F.col("row.text").cast("string")), F.lit("")).alias("hash"))
+    own = own.withColumn("at", F.row_number().over(Window.partitionBy("doc", "hash").orderBy(F.xxhash64("row"))))
+    both = own.join(chosen, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tid")) & (F.col("at") == F.col("nth")))
+    passes = both.withColumn("pass", F.explode(F.expr("sequence(1L, aggregate(spans, 0L, (s, x) -> greatest(s, x.times)))")))
+    text = F.col("row.text").cast("string")
+    part = F.expr("filter(spans, x -> x.times >= pass)")
+    whole = F.expr("aggregate(filter(spans, x -> x.times >= pass), 0L, (s, x) -> s + x.end - x.begin) = size")
+    # only a document that is cut is split into words
+    passes = passes.withColumn("words", F.when(~whole, F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0))))
+    cut = F.array_join(F.flatten(F.transform(part, lambda x: F.slice("words", (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int")))), " ")
+    done = passes.withColumn("taken_text", F.when(whole, F.col("row.text")).otherwise(cut))
+    return done.select(*[F.col("taken_text").cast(t).alias(c) if c == "text" else F.col("row")[c].alias(c) for c, t in docs.dtypes])

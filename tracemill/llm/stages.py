@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import common, dac, decontam, jaccard, mixing, quality
@@ -25,24 +25,27 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = found.groupBy("doc", "tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "tid")
     lost, again = common.saved(lost.distinct(), "lost"), common.saved(again, "again")
     clear, maybe = common.flagged(docs, lost.unionByName(again), tid_bits=64)
-    nth = F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy(F.xxhash64(*docs.columns)))
-    left = maybe.join(lost.toDF("_doc", "_tid"), ["_doc", "_tid"], "left_anti").withColumn("_nth", nth).where("_nth = 1")
-    return clear.unionByName(left.select(*docs.columns))
+    left = maybe.join(lost, ["doc", "tid"], "left_anti")
+    # one of the rows equal in id and text, combined before the shuffle: such a group may be of any size
+    return clear.unionByName(left.groupBy("doc", "tid").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null and empty texts have no words and stay; rows that share an id
+    are judged by their own text, repeated rows alike; empty tables keep all or give none."""
     found = decontam.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("contaminated")
     bad = common.saved(found.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("doc"), "tid").distinct(), "bad")
     clear, maybe = common.flagged(docs, bad, tid_bits=64)
-    return clear.unionByName(maybe.join(bad.toDF("_doc", "_tid"), ["_doc", "_tid"], "left_anti").select(*docs.columns))
+    return clear.unionByName(maybe.join(bad, ["doc", "tid"], "left_anti").select("row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, once for each pass."""
+    """The words that the mix takes of each document, once for each pass. Texts without words are in no pass; null sources are a
+    source; rows that share id and text are documents of their own; an empty table gives none."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places, lengths and checksums of the documents in the token file."""
+    """Places, lengths and checksums of the documents in the token file, by id (null last) and text; null and empty texts have
+    their end id alone; an empty table gives none."""
     return dac.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"))
