@@ -12,12 +12,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.session import materialise
+from tracemill.session import materialise, sized
 
 LARGEST = 20_000      # how many of the largest keys can be heavy
 MIN_ROWS = 200_000    # a key with fewer rows never is
 SALTS = 512
 RUNS = 1024           # runs that the heavy keys share, each by its part of all rows
+BUCKETS = 65_536      # buckets of keys that are counted first
 SKETCH = 8_000        # size of a quantile sketch: ranks are right to about 0.1 %
 
 
@@ -84,8 +85,12 @@ def even_cuts(df: DataFrame, keys: list[str], value: Column, min_rows: int = MIN
     """(keys, cuts): where to cut each heavy group into runs, in proportion to its part of all rows; a group below two
     runs' worth is not cut. At most RUNS / 2 groups and RUNS cuts in all, which bounds the broadcast and the sketches.
     Sketches draw random bits, so the cuts are a written table: all readers see the same ones."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_m", F.floor(F.col("_n") * RUNS / counts.agg(F.sum("_n")).scalar()).cast("int"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect()                    # at most BUCKETS rows
+    full, total = [r._b for r in sizes if r._n >= min_rows], sum(r._n for r in sizes)
+    # a heavy group fills its bucket alone, so the others need no count by key
+    counts = df.where(bucket.isin(full) if full else F.lit(False)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_m", F.floor(F.col("_n") * RUNS / F.lit(total)).cast("int"))
     big = F.broadcast(counts.where((F.col("_n") >= min_rows) & (F.col("_m") >= 2)).select(*keys, "_m"))
     sketches = df.withColumn("_v", value).join(big, keys).groupBy(*keys, "_m").agg(F.kll_sketch_agg_bigint("_v", SKETCH).alias("_s"))
     grid = sketches.where(F.kll_sketch_get_n_bigint("_s") > 0).select(*keys, "_m", F.kll_sketch_get_quantile_bigint("_s", _grid(RUNS)).alias("_q"))
@@ -108,11 +113,12 @@ def with_chunk(df: DataFrame, keys: list[str], chunk: Column | Evenly, out: str
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | Evenly,
-            sums: dict[str, Column], largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
+            sums: dict[str, Column], largest: int = LARGEST, min_rows: int = MIN_ROWS, rows: int | None = None) -> DataFrame:
     """Running sums along ``order`` within ``keys`` (current row included), for groups of any size.
 
     A heavy group is cut into chunks; each chunk is scanned by its own task, starting from the total of
-    the chunks before it, which comes from a small per-chunk aggregate."""
+    the chunks before it, which comes from a small per-chunk aggregate. ``rows``, if given, is about the number of rows: the
+    scans are then spread over as many tasks as these need."""
     cut = with_chunk(df, keys, chunk, largest=largest, min_rows=min_rows)
     for name, expr in sums.items():
         cut = cut.withColumn(f"_v_{name}", expr)
@@ -122,7 +128,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column |
     carry = part.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}")
                                            for n in sums])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut
+    out = sized(cut, rows, *keys, "_chunk") if rows else cut
     for n in sums:
         out = out.withColumn(f"_r_{n}", F.sum(f"_v_{n}").over(inside))
     out = out.join(carry, keys + ["_chunk"], "left")
@@ -131,9 +137,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column |
 
 
 def position(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | Evenly, out: str,
-             largest: int = LARGEST, min_rows: int = MIN_ROWS) -> DataFrame:
+             largest: int = LARGEST, min_rows: int = MIN_ROWS, rows: int | None = None) -> DataFrame:
     """row_number within ``keys`` for groups of any size."""
-    return running(df, keys, order, chunk, {out: F.lit(1).cast("bigint")}, largest, min_rows)
+    return running(df, keys, order, chunk, {out: F.lit(1).cast("bigint")}, largest, min_rows, rows)
 
 
 def beside(df: DataFrame, keys: list[str], index: str, order: list[Column], reach_back: int,

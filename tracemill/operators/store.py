@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import calls as C
 from tracemill.functions import text as X
 from tracemill.operators import skew
+from tracemill.session import materialise, sized
 
 # fixed values: the order status each write needs, and word scales that have an order
 NEEDS = {"return_delivered_order_items": "delivered", "exchange_delivered_order_items": "delivered", "cancel_pending_order": "pending",
@@ -136,22 +137,32 @@ def next_rank_neighbour(variants: DataFrame, key: str) -> DataFrame:
 
 # ------------------------------------------------------------------ orders
 
-def decoy_orders(items: DataFrame, statuses: list[str]) -> DataFrame:
+def _orders_with(items: DataFrame, rows: int | None) -> DataFrame:
+    """(user_id, product, status, order_id), each once; for about ``rows`` items over as many tasks as these need."""
+    keys = ["user_id", "product", "status", "order_id"]
+    o = items.select(*keys)
+    return (sized(o, rows, *keys) if rows else o).distinct()
+
+
+def decoy_orders(items: DataFrame, statuses: list[str], rows: int | None = None) -> DataFrame:
     """Orders that are the user's only one with a product in their status although other orders of the user
     hold the product too: naming the product alone forces a status check. Status counts replace the
-    self-join of a user's orders."""
-    per = items.select("user_id", "product", "status", "order_id").distinct().groupBy("user_id", "product", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.min("order_id").alias("order_id"))
-    having = per.groupBy("user_id", "product").agg(F.sum("n").alias("having"))
-    return per.join(having, ["user_id", "product"]).where(F.col("status").isin(statuses) & (F.col("n") == 1) & (F.col("having") > 1)).select(
+    self-join of a user's orders. ``rows``: about how many items there are. Orders are counted by a salt of their id first, so
+    that a pair of user and product sends one row a salt and status to its task."""
+    keys = ["user_id", "product", "status"]
+    o = items.select(*keys, "order_id", F.pmod(F.xxhash64("order_id"), F.lit(skew.SALTS)).alias("_salt"))
+    part = (sized(o, rows, *keys, "_salt") if rows else o).distinct().groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("n"), F.min("order_id").alias("order_id"))
+    per = (sized(part, rows, *keys[:2]) if rows else part).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("order_id").alias("order_id"))
+    having = per.withColumn("having", F.sum("n").over(Window.partitionBy(*keys[:2])))             # a row a status
+    return having.where(F.col("user_id").isNotNull() & F.col("product").isNotNull() & F.col("status").isin(statuses) & (F.col("n") == 1) & (F.col("having") > 1)).select(
         "order_id", "product", "status", (F.col("having") - 1).alias("decoys"))
 
 
-def earlier_twins(items: DataFrame) -> DataFrame:
+def earlier_twins(items: DataFrame, rows: int | None = None) -> DataFrame:
     """Items whose product is also in an earlier order of the same user and status; the count of such
-    orders comes from a running count per (user, product, status)."""
-    o = items.select("user_id", "product", "status", "order_id").distinct()
-    r = skew.position(o, ["user_id", "product", "status"], [F.col("order_id")], skew.evenly(o, "order_id"), "_n")
+    orders comes from a running count per (user, product, status). ``rows``: about how many items there are."""
+    o = materialise(_orders_with(items, rows), "orders-with")
+    r = skew.position(o, ["user_id", "product", "status"], [F.col("order_id")], skew.evenly(o, "order_id"), "_n", rows=rows)
     return r.where("_n > 1").select("order_id", "product", "status", (F.col("_n") - 1).alias("decoys"))
 
 
@@ -196,8 +207,8 @@ def conflict_requests(items: DataFrame, variants: DataFrame) -> DataFrame:
     and not returned, together with the cheapest available alternative when that is unique."""
     per = items.where("status = 'delivered'").groupBy("order_id", "product").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("flag") == "R").alias("returned"), F.min("pos").alias("pos"), F.min("item_id").alias("item_id"))
-    gold = per.where("returned").select("order_id").distinct()
-    cand = per.where("n = 1 and not returned").join(gold, "order_id", "left_semi").groupBy("order_id").agg(F.min(F.struct("pos", "item_id", "product")).alias("x")).select("order_id", "x.*")
+    cand = per.groupBy("order_id").agg(F.bool_or("returned").alias("asked"), F.min(F.when(F.expr("n = 1 and not returned"), F.struct("pos", "item_id", "product"))).alias("x")).where(
+        "order_id is not null and asked and x is not null").select("order_id", "x.*")
     low = extremes(option_pools(variants).where("k = '*'"), ["product"], "price", "item_id", 3, False, "low")
     rest = F.filter("low", lambda t: t["id"] != F.col("item_id"))
     a, b = F.try_element_at(rest, F.lit(1)), F.try_element_at(rest, F.lit(2))

@@ -10,6 +10,7 @@ from tracemill.operators import skew
 from tracemill.operators import store as S
 from tracemill.plans.difficulty import uniform_sql
 from tracemill.plans.registry import query, r6
+from tracemill.session import sized
 from tracemill.sources import tables as T
 
 V = T.with_sql(T.VARIANTS_SQL)
@@ -60,13 +61,13 @@ def next_size_neighbours(spark, d):
 c0 AS (SELECT user_id, product, status, count(*) AS n, min(order_id) AS order_id FROM o GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY user_id, product) AS having_ FROM c0)
 SELECT order_id, product, status, having_ - 1 AS decoys FROM c WHERE status IN ('delivered', 'pending') AND n = 1 AND having_ > 1""")
 def decoy_orders(spark, d):
-    return S.decoy_orders(T.order_items(spark, d), ["delivered", "pending"])
+    return S.decoy_orders(T.order_items(spark, d), ["delivered", "pending"], T.item_rows(spark, d))
 
 
 @query("earlier_same_status_orders", I + """SELECT order_id, product, status, rn - 1 AS decoys FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product, status ORDER BY order_id) AS rn
   FROM (SELECT DISTINCT user_id, product, status, order_id FROM items)) WHERE rn > 1""")
 def earlier_same_status_orders(spark, d):
-    return S.earlier_twins(T.order_items(spark, d))
+    return S.earlier_twins(T.order_items(spark, d), T.item_rows(spark, d))
 
 
 @query("twin_items", I + """, t AS (SELECT order_id, product, min(item_id) AS a, max(item_id) AS b FROM items GROUP BY ALL HAVING count(*) = 2 AND min(item_id) <> max(item_id))
@@ -388,9 +389,9 @@ def item_change_candidates(spark, d):
     v = T.variants(spark, d)
     it = T.order_items(spark, d).where("status <> 'processed'")
     once = it.groupBy("order_id", "product", "status").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).where("n = 1")
-    x = once.join(S.single_option_neighbour(v).select("item_id", "to_id"), "item_id")
+    x = sized(once.join(S.single_option_neighbour(v).select("item_id", "to_id"), "item_id"), T.item_rows(spark, d), "order_id")
     h = H.digest(4, "change", F.col("order_id"), F.col("item_id"))
     w = Window.partitionBy("order_id").orderBy("h")
     top = x.withColumn("h", h).withColumn("rn", F.row_number().over(w)).where("rn <= 3")
-    size = top.groupBy("order_id").agg(F.max("rn").alias("level"))
-    return top.join(size, "order_id").select("order_id", "item_id", "to_id", F.when(F.col("status") == "delivered", "exchange").otherwise("modify").alias("verb"), F.col("level").cast("bigint").alias("level"))
+    level = F.max("rn").over(Window.partitionBy("order_id"))
+    return top.withColumn("level", level).select("order_id", "item_id", "to_id", F.when(F.col("status") == "delivered", "exchange").otherwise("modify").alias("verb"), F.col("level").cast("bigint").alias("level"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.session import sized
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,12 +112,19 @@ ORDERS_SQL = """ord AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, CAS
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ordered item, with its order and variant. AQE broadcasts the dimension sides when
-    their measured size allows and splits skewed partitions when not."""
+    """One row per ordered item, with its order and variant, laid by order over as many tasks as the items need: what groups
+    by order next needs no other shuffle. AQE broadcasts the variants when their measured size allows and splits skewed
+    partitions when not."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("item_id"),
         F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("discount"), F.col("l_suppkey").alias("supp"))
-    return li.join(variants(spark, sf_dir), "item_id").join(orders(spark, sf_dir), "order_id")
+    rows = item_rows(spark, sf_dir)
+    return sized(li.join(variants(spark, sf_dir), "item_id"), rows, "order_id").join(sized(orders(spark, sf_dir), rows, "order_id"), "order_id")
+
+
+def item_rows(spark: SparkSession, sf_dir: str) -> int:
+    """How many item rows there are at most (item and order ids are keys), from the footers of the files."""
+    return table(spark, sf_dir, "lineitem").count()
 
 
 ITEMS_SQL = VARIANTS_SQL + ",\n" + ORDERS_SQL + """,
