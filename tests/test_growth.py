@@ -18,6 +18,28 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_settlement_is_the_same_in_any_number_of_buckets(spark):
+    rnd = random.Random(5)
+    rows = sorted({(rnd.randrange(40) - 1, rnd.randrange(4), rnd.randrange(0, 95)) for _ in range(150)}, key=lambda r: r[2])
+    rows = [(None if g < 0 else 2 ** 60 + g, s, h, (h * 7 + s) % 5 == 0) for g, s, h in rows]
+    want = set()
+    for g in {r[0] for r in rows}:
+        slots, bad, last, told = set(), False, 0, None
+        for _, s, h, f in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            if slots and h - last > 10:
+                told = told or (len(slots), "partial")
+            if told is None and s not in slots:
+                slots, bad, last = slots | {s}, bad or f, h
+                told = (4, "dropped" if bad else "kept") if len(slots) == 4 else None
+        told = told or ((len(slots), "partial") if last + 10 < max(r[2] for r in rows) else None)
+        want |= {(g, *told)} if told else set()
+    for buckets, cuts in ((1, [100]), (3, [40, 100])):
+        df = spark.createDataFrame(rows, "g long, slot int, h int, failed boolean").withColumn("at", (F.lit(1_700_000_000) + F.col("h") * 3600).cast("timestamp"))
+        slices = [df.where((F.col("h") >= a) & (F.col("h") < b)) for a, b in zip([0, *cuts], cuts)]
+        out = S.replayed(slices, lambda s: M.settled_once(s, "g", "slot", "at", F.col("failed"), 4, 600, 6000, "0 seconds", buckets), "append", "settled").collect()
+        assert len(out) == len(want) and {(r.g, r.landed, r.verdict) for r in out} == want, (buckets, cuts)
+
+
 def test_item_shuffles_follow_the_rows(spark, sf, monkeypatch):
     assert sized(spark.range(10), 1_000_000, "id").rdd.getNumPartitions() == 4
     small = {tuple(r) for r in SO.decoy_orders(T.order_items(spark, sf), ["delivered", "pending"]).collect()}

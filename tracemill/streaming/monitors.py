@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -268,53 +269,94 @@ def stale_gaps(progress: DataFrame, key: str, at: str, stale_minutes: float, del
     return out.select(key, F.timestamp_micros("us").alias("last_at"))
 
 
-def settled_once(episodes: DataFrame, group: str, slot: str, at: str, failed: Column, size: int, wait_minutes: float, keep_minutes: float, delay: str) -> DataFrame:
+def settled_once(episodes: DataFrame, group: str, slot: str, at: str, failed: Column, size: int, wait_minutes: float, keep_minutes: float, delay: str,
+                 buckets: int = 1024) -> DataFrame:
     """(group, landed, verdict), once a group: ``kept`` or ``dropped`` when its last rollout lands, ``partial`` when none lands for
     ``wait_minutes`` of event time. A slot counts once. A rollout that lands later finds the group settled and changes nothing;
-    that mark, and with it all state, goes ``keep_minutes`` afterwards."""
+    that mark, and with it all state, goes ``keep_minutes`` afterwards. Groups are numbers, texts or times (null is a group).
+
+    Python is called for a bucket of groups, not for each group: its state is one table of the bucket's groups, and rollouts and
+    timers are worked off as columns. A checkpoint holds for its number of ``buckets``."""
     import pandas as pd
     kind = episodes.schema[group].dataType.simpleString()
     wait, keep = int(wait_minutes * 60_000_000), int(keep_minutes * 60_000_000)
 
-    def settle(k, batches: Iterator, state: GroupState):
-        def row(n, verdict):
-            return pd.DataFrame({group: [k[0]], "landed": [n], "verdict": [verdict]})
+    def firsts(parts):
+        """A slot's first rollout is enough: at most one row a group and slot stays."""
+        rows = pd.concat(parts, ignore_index=True).sort_values(["us", "slot", "failed"], kind="stable")
+        return rows.drop_duplicates(["key", "slot"])
 
-        def timer(us):
-            state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
-        slots, bad, last, settled = state.get if state.exists else (0, False, 0, False)
-        if state.hasTimedOut:
-            if settled:
-                state.remove()
-                return
-            state.update((slots, bad, last, True))
-            timer(last + wait + keep)
-            yield row(slots.bit_count(), "partial")
-            return
-        out, came = None, []
-        for pdf in batches:
-            came = sorted({*came, *zip(pdf["us"].tolist(), pdf["slot"].tolist(), pdf["failed"].tolist(), strict=True)})
-            seen, few = 0, []                                     # a slot's first rollout is enough: at most ``size`` stay
-            for t, i, f in came:
-                if not seen >> i & 1:
-                    seen |= 1 << i
-                    few.append((t, i, f))
-            came = few
-        for t, i, f in came:
-            if settled:
-                break
-            if slots and t - last > wait:
-                out, settled = row(slots.bit_count(), "partial"), True
-            elif not slots >> i & 1:
-                slots, bad, last = slots | 1 << i, bool(bad or f), max(last, t)
-                if slots.bit_count() >= size:
-                    out, settled = row(size, "dropped" if bad else "kept"), True
-        state.update((slots, bad, last, settled))
-        timer(last + wait + (keep if settled else 0))
-        if out is not None:
-            yield out
+    def settle(k, batches: Iterator, state: GroupState):
+        now = state.getCurrentWatermarkMs()
+        held = _unpacked(state.get[0]) if state.exists else pd.DataFrame({c: pd.Series(dtype=t) for c, t in _SETTLING.items()})
+        came = pd.DataFrame({"key": []})
+        if not state.hasTimedOut:
+            parts, n = [], 0
+            for pdf in batches:
+                parts, n = [*parts, pdf[["key", "us", "slot", "failed"]]], n + len(pdf)
+                if n > 200_000:
+                    parts, n = [firsts(parts)], 0
+            came = firsts(parts)
+        named = pd.Index(held["key"]).append(pd.Index(came["key"], dtype=object)).unique()
+        blank = np.zeros(len(named) - len(held))
+        slots, bad, last, due, settled = (np.concatenate([held[c].to_numpy(), blank.astype(t)]) for c, t in _SETTLING.items() if c != "key")
+        new = np.arange(len(named)) >= len(held)
+        verdict, landed = np.full(len(named), "", dtype=object), np.zeros(len(named), dtype=np.int64)
+        touched, gone = np.zeros(len(named), dtype=bool), np.zeros(len(named), dtype=bool)
+        if len(came):
+            at_row = named.get_indexer(came["key"])
+            turn = pd.Series(at_row).groupby(at_row).cumcount().to_numpy()
+            us, bit, fails = came["us"].to_numpy(), np.left_shift(np.int64(1), came["slot"].to_numpy().astype(np.int64)), came["failed"].to_numpy().astype(bool)
+            touched[at_row] = True
+            for r in range(int(turn.max()) + 1):                       # a group has at most one row in a round
+                pick = turn == r
+                g, t, b, f = at_row[pick], us[pick], bit[pick], fails[pick]
+                open_ = ~settled[g]
+                late = open_ & (slots[g] != 0) & (t - last[g] > wait)
+                more = open_ & ~late & (slots[g] & b == 0)
+                x = g[late]
+                verdict[x], landed[x], settled[x] = "partial", np.bitwise_count(slots[x]), True
+                x = g[more]
+                last[x] = np.where(slots[x] == 0, np.maximum(t[more], 0), np.maximum(last[x], t[more]))
+                slots[x], bad[x] = slots[x] | b[more], bad[x] | f[more]
+                x = x[np.bitwise_count(slots[x]) >= size]
+                verdict[x], landed[x], settled[x] = np.where(bad[x], "dropped", "kept"), size, True
+        over = ~touched & ~new & (due < now)
+        gone |= over & settled
+        x = over & ~settled
+        verdict[x], landed[x], settled[x] = "partial", np.bitwise_count(slots[x]), True
+        moved = touched | x
+        due[moved] = np.maximum((last[moved] + wait + np.where(settled[moved], keep, 0)) // 1000, now) + 1
+        stay = ~gone
+        if stay.any():
+            state.update((_packed(pd.DataFrame({"key": named.to_numpy(), "slots": slots, "bad": bad, "last": last, "due": due, "settled": settled})[stay]),))
+            state.setTimeoutTimestamp(int(due[stay].min()))
+        else:
+            state.remove()
+        out = verdict != ""
+        if out.any():
+            yield pd.DataFrame({"key": named.to_numpy()[out], "landed": landed[out], "verdict": verdict[out]})
     time = F.col(at).cast("timestamp")
-    slim = episodes.where(time.isNotNull()).select(group, F.col(slot).cast("int").alias("slot"), time.alias(at), F.unix_micros(time).alias("us"),
-                                                   F.coalesce(failed, F.lit(False)).alias("failed")).withWatermark(at, delay)
-    return slim.groupBy(group).applyInPandasWithState(
-        settle, f"`{group}` {kind}, landed bigint, verdict string", "slots bigint, bad boolean, last bigint, settled boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    slim = episodes.where(time.isNotNull()).select(F.pmod(F.xxhash64(group), F.lit(buckets)).alias("bucket"), key.alias("key"), F.col(slot).cast("int").alias("slot"), time.alias(at),
+                                                   F.unix_micros(time).alias("us"), F.coalesce(failed, F.lit(False)).alias("failed")).withWatermark(at, delay)
+    out = slim.groupBy("bucket").applyInPandasWithState(settle, "key string, landed bigint, verdict string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.when(F.col("key") != "", F.substr("key", F.lit(2))).cast(kind).alias(group), "landed", "verdict")
+
+
+_SETTLING = {"key": object, "slots": np.int64, "bad": bool, "last": np.int64, "due": np.int64, "settled": bool}
+
+
+def _packed(held) -> bytes:
+    """A table of groups as the bytes of an Arrow file."""
+    import pyarrow as pa
+    table = pa.Table.from_pandas(held, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held):
+    import pyarrow as pa
+    return pa.ipc.open_file(pa.BufferReader(bytes(held))).read_all().to_pandas()
