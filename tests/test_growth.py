@@ -40,6 +40,15 @@ def test_settlement_is_the_same_in_any_number_of_buckets(spark):
         assert len(out) == len(want) and {(r.g, r.landed, r.verdict) for r in out} == want, (buckets, cuts)
 
 
+def test_log_has_no_file_for_every_span(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = S.append_new_rows(path, ["step"], F.col("step"))
+    log(spark.range(300).select(F.col("id").alias("step")), 0)
+    log(spark.range(200, 400).select(F.col("id").alias("step")), 1)
+    assert sorted(r.step for r in spark.read.parquet(path).collect()) == list(range(400))
+    assert len(glob.glob(f"{path}/**/*.parquet", recursive=True)) <= 16
+
+
 def test_item_shuffles_follow_the_rows(spark, sf, monkeypatch):
     assert sized(spark.range(10), 1_000_000, "id").rdd.getNumPartitions() == 4
     small = {tuple(r) for r in SO.decoy_orders(T.order_items(spark, sf), ["delivered", "pending"]).collect()}

@@ -64,9 +64,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append_new_rows(path: str, keys: list[str], span: Column | None = None, most_spans: int = 10_000):
     """foreachBatch function that appends only rows whose key no earlier batch has written.
 
-    ``span`` is a range of keys as a whole number (say, a thousand steps): the log is laid out by it, and a batch reads only the
-    spans it has rows of. A batch with more than ``most_spans`` of them reads the whole log. A replayed batch takes the place of
-    what it wrote before, in its own folders."""
+    ``span`` is a range of keys as a whole number (say, a thousand steps): a batch is written to its own folder in order of span,
+    so a later batch reads only the files and row groups of the spans it has rows of, and there are as many files as the rows need,
+    however many the spans. A batch with more than ``most_spans`` of them reads the whole log. A replayed batch takes the place of
+    what it wrote before."""
     cut = F.lit(0) if span is None else span
 
     def write(df: DataFrame, epoch: int) -> None:
@@ -82,5 +83,5 @@ def append_new_rows(path: str, keys: list[str], span: Column | None = None, most
             for c in same[1:]:
                 on = on & c
             fresh = fresh.join(log, on, "left_anti")
-        fresh.withColumn("epoch", F.lit(epoch)).write.partitionBy("span", "epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        fresh.repartitionByRange("span", *keys).sortWithinPartitions("span").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return write
