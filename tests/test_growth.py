@@ -69,3 +69,12 @@ def test_decoys_of_one_user_and_nulls(spark):
     df = spark.createDataFrame(rows, "user_id long, product string, status string, order_id long")
     for n in (None, 1_000_000):
         assert sorted(tuple(r) for r in SO.decoy_orders(df, ["delivered", "pending"], n).collect()) == [(10, "p", "delivered", 2), (17, "p", "pending", 1)]
+
+
+def test_lists_of_plain_texts_are_cut_like_parsed_ones(spark):
+    lists = ['["a"]', '["a","b c",""]', '[""]', '[]', '[1,"a"]', '["a",null]', '["a\\",\\"b"]', '["\\u0001x","y"]', '["é","[","]",","]', '["a"],["b"]', '["a","b"', '[["a"],"b"]',
+             "[" + ",".join('"7"' for _ in range(20_000)) + "]"]
+    df = spark.createDataFrame([(i, C.MARK + x) for i, x in enumerate(lists)] + [(90, '["a"]'), (91, None)], "i int, x string")
+    rows = df.select("i", C.item_list(F.col("x")).alias("a"), C._parsed_list(F.col("x")).alias("b"), F.col("x").rlike(C.PLAIN_TEXTS).alias("plain")).collect()
+    assert all(r.a == r.b for r in rows), [(r.i, r.a, r.b) for r in rows if r.a != r.b]
+    assert [r.i for r in rows if r.plain] == [0, 1, 2, 8, 12]

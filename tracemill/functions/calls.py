@@ -27,6 +27,8 @@ MARK = "\x01"             # begins values that are not JSON strings
 EMPTY_VALUES = ("null", "0", "0.0", "false", '""', "[]")
 ARGS = "map<string,string>"
 STRINGS = "array<string>"
+# a list of texts as ``_typed`` writes it; possessive, so that a long one takes no stack
+PLAIN_TEXTS = "^" + MARK + r'\["[^"\\\x00-\x1f]*+"(?:,"[^"\\\x00-\x1f]*+")*+\]\z'
 
 
 def is_write(name: Column, read_tools: tuple[str, ...] = READ_TOOLS) -> Column:
@@ -39,7 +41,7 @@ def tool_class(name: Column, read_tools: tuple[str, ...] = READ_TOOLS,
             .otherwise(F.lit("write")))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: expressions inside lambdas are not shared otherwise."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -52,7 +54,7 @@ def _typed(v: Column) -> Column:
         return (F.when(json == "null", F.lit(None).cast("string"))
                 .when(json.startswith('"'), F.when(text.startswith(MARK), F.concat(F.lit(MARK), json)).otherwise(text))
                 .otherwise(F.concat(F.lit(MARK), json, F.when(whole, F.lit(".0")).otherwise(F.lit("")))))
-    return _once(F.to_json(v), of)
+    return once(F.to_json(v), of)
 
 
 def parse_args(arguments: Column) -> Column:
@@ -64,20 +66,20 @@ def parse_args(arguments: Column) -> Column:
             alone = F.try_variant_get(inside, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
             return F.transform_values(F.when(alone, F.try_variant_get(inside, "$[0]", "map<string,variant>")), lambda k, v: _typed(v))
         return F.when(text.isin("", *EMPTY_VALUES), F.create_map().cast(ARGS)).otherwise(
-            _once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), fields))
-    return _once(F.trim(F.coalesce(arguments, F.lit(""))), read)
+            once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), fields))
+    return once(F.trim(F.coalesce(arguments, F.lit(""))), read)
 
 
 def readable_args(arguments: Column) -> Column:
     """(args, parse_error): unreadable text is kept under _unparsed and flagged."""
-    return _once(parse_args(arguments), lambda args: F.struct(
+    return once(parse_args(arguments), lambda args: F.struct(
         F.coalesce(args, F.create_map(F.lit("_unparsed"), arguments)).alias("args"), args.isNull().alias("parse_error")))
 
 
 def parse_calls(tool_calls: Column) -> Column:
     """Raw calls to (id, name, args, parse_error): missing ids become call_<i>."""
     def one(c: Column, i: Column) -> Column:
-        return _once(readable_args(c["arguments"]), lambda read: F.struct(
+        return once(readable_args(c["arguments"]), lambda read: F.struct(
             F.coalesce(c["id"], F.concat(F.lit("call_"), i.cast("string"))).alias("id"), c["name"].alias("name"), read["args"].alias("args"), read["parse_error"].alias("parse_error")))
     return F.transform(F.coalesce(tool_calls, F.array().cast("array<struct<id:string,name:string,arguments:string>>")), one)
 
@@ -87,7 +89,13 @@ def _is_list(text: Column) -> Column:
 
 
 def item_list(text: Column) -> Column:
-    """The elements of a list value, typed like the values of a map; anything but a list has none."""
+    """The elements of a list value, typed like the values of a map; anything but a list has none. A list of plain texts (no
+    quotes, backslashes or control characters inside) is cut at its commas, any other is parsed."""
+    inner = F.substr(text, F.lit(len(MARK) + 3), F.length(text) - len(MARK) - 4)
+    return F.when(text.rlike(PLAIN_TEXTS), F.split(inner, '","', -1)).otherwise(_parsed_list(text))
+
+
+def _parsed_list(text: Column) -> Column:
     return F.coalesce(F.transform(F.from_json(F.when(_is_list(text), F.substr(text, F.lit(len(MARK) + 1))), "array<variant>"), _typed), F.array().cast(STRINGS))
 
 

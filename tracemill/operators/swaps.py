@@ -21,9 +21,8 @@ def _pairs_of(df: DataFrame, *keep: str) -> DataFrame:
 
 def _last_of_each(pairs: Column) -> Column:
     """Of the pairs of one call that share an old item, the last."""
-    olds = F.transform(pairs, lambda p: p["old"])
-    n = F.size(pairs)
-    return F.filter(pairs, lambda p, i: F.array_position(F.reverse(olds), p["old"]) == (n - i).cast("bigint"))
+    return C.once(F.reverse(F.transform(pairs, lambda p: p["old"])), lambda olds: F.filter(
+        pairs, lambda p, i: F.array_position(olds, p["old"]) == (F.size(olds) - i).cast("bigint")))
 
 
 def aligned(gold: DataFrame, done: DataFrame) -> DataFrame:
