@@ -324,25 +324,24 @@ def replayed(items: Column, actions: Column) -> Column:
     """The items of a state after (old, new) replacements in list order; each takes the first item equal to ``old``, one
     that is not there changes nothing. Both arrays belong to one order, so this is row-local."""
     def step(state: Column, a: Column) -> Column:
-        at = F.array_position(state, a["old"]).cast("int")
-        rest = F.greatest(F.size(state) - at, F.lit(0))
-        return F.when(at > 0, F.concat(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(a["new"]), F.slice(state, at + 1, rest))).otherwise(state)
+        def put(at: Column) -> Column:
+            rest = F.greatest(F.size(state) - at, F.lit(0))
+            return F.when(at > 0, F.concat(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(a["new"]), F.slice(state, at + 1, rest))).otherwise(state)
+        return C.once(F.array_position(state, a["old"]).cast("int"), put)
     return F.aggregate(actions, items, step)
 
 
 def state_digest(items: Column) -> Column:
-    """A digest of a state that its listing order does not change: the number of items and sums of 40-bit pieces of their md5
-    under two seeds. Digests of parts add up, and replacing an item adds the difference of two digests (``digest_change``)."""
-    def total(seed: int) -> Column:
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + _piece(x, seed)).alias(f"d{seed}")
-    return F.struct(F.size(items).cast("bigint").alias("n"), total(1), total(2))
+    """A digest of a state that its listing order does not change: the number of items and sums of two 40-bit pieces of their md5,
+    read once. Digests of parts add up, and replacing an item adds the difference of two digests (``digest_change``)."""
+    def add(s: Column, h: Column) -> Column:
+        return F.struct(*[(s[f"d{i}"] + F.conv(F.substring(h, 10 * i - 9, 10), 16, 10).cast("bigint")).alias(f"d{i}") for i in (1, 2)])
+    zero = F.struct(F.lit(0).cast("bigint").alias("d1"), F.lit(0).cast("bigint").alias("d2"))
+    return C.once(items, lambda own: F.aggregate(F.transform(own, lambda x: F.md5(x)), zero, add, lambda s: F.struct(
+        F.size(own).cast("bigint").alias("n"), s["d1"].alias("d1"), s["d2"].alias("d2"))))
 
 
 def digest_change(digest: Column, old: Column, new: Column) -> Column:
     """The digest after items of the array ``old`` were replaced by those of ``new``, without reading the state again."""
     a, b = state_digest(old), state_digest(new)
     return F.struct(*[(digest[k] - a[k] + b[k]).alias(k) for k in ("n", "d1", "d2")])
-
-
-def _piece(text: Column, seed: int) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 10), 16, 10).cast("bigint")
