@@ -78,3 +78,11 @@ def test_lists_of_plain_texts_are_cut_like_parsed_ones(spark):
     rows = df.select("i", C.item_list(F.col("x")).alias("a"), C._parsed_list(F.col("x")).alias("b"), F.col("x").rlike(C.PLAIN_TEXTS).alias("plain")).collect()
     assert all(r.a == r.b for r in rows), [(r.i, r.a, r.b) for r in rows if r.a != r.b]
     assert [r.i for r in rows if r.plain] == [0, 1, 2, 8, 12]
+
+
+def test_digests_and_documents_are_read_once(spark):
+    df = spark.createDataFrame([(["a", "b"], '{"order_id": "1", "items": [{"item_id": "2"}]}')], "items array<string>, doc string")
+    assert plan(df.select(SO.state_digest(F.col("items")).alias("m"))).count("md5(") == 1
+    flat = R.flat_orders(df, "doc")
+    assert "from_json" not in plan(flat["order_items"]).lower().replace("jsontostructs", "from_json")
+    assert [tuple(r) for r in flat["order_items"].select("order_id", "item_id").collect()] == [("1", "2")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import episode as E
+from tracemill.session import materialise
 from tracemill.sources import schema as S
 
 
@@ -177,8 +178,9 @@ def flat_users(users: DataFrame, col: str) -> DataFrame:
 
 def flat_orders(orders: DataFrame, col: str) -> dict[str, DataFrame]:
     """Order documents as the tables orders, order_items (pos as listed) and order_payments. An order without items or
-    payments has no rows there; a document that cannot be read is one order row of nulls."""
-    o = orders.select(F.from_json(col, ORDER).alias("o"))
+    payments has no rows there; a document that cannot be read is one order row of nulls. Documents are read once into a
+    written table, which the three take their columns from."""
+    o = materialise(orders.select(F.from_json(col, ORDER).alias("o")), "order-documents")
     return {"orders": o.select("o.order_id", "o.user_id", "o.status", "o.address.*"),
             "order_items": o.select("o.order_id", F.posexplode("o.items").alias("pos", "i")).select("order_id", "pos", "i.*"),
             "order_payments": o.select("o.order_id", F.posexplode("o.payment_history").alias("pos", "p")).select("order_id", "pos", "p.*")}
