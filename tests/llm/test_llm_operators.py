@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -604,3 +605,28 @@ def test_block_steps_permute(spark):
         assert sorted(i * r.step % r.n for i in range(r.n)) == list(range(r.n))
         assert r.n < 11 or r.n / 8 <= r.step % r.n <= 7 * r.n / 8
     assert len({r.step for r in got if r.n == 4096}) > 1
+
+
+def test_distinct_words_give_the_ids_of_each_text():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, own, r = Tokenizer.from_file(path), dac.Tokens(path), random.Random(6)
+    signs = "abXYéÉßİıſé'.,!?<>|;:%&$*#05 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 ńΣς日🙂-_"
+    texts = ["", " \n", None, "the,the the, <|endoftext|>.", *["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(1500)]]
+    made = []
+    own.cache.make = lambda words, make=own.cache.make: made.extend(words) or make(words)
+    ids, begin = own.many(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(made) == len(set(made)) and made.count(b"the") == 1
+    some = pa.array(texts, pa.string()).slice(700, 90)
+    ids, begin = own.many(some)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts[700:790]]
+
+
+def test_runs_of_texts_join_short_batches_and_cut_long_ones(monkeypatch):
+    monkeypatch.setattr(dac, "RUN", 10)
+    rows_ = [(i, None if i % 7 == 3 else "x" * (i % 13)) for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"doc": [i for i, _ in rows_[a:b]], "text": pa.array([x for _, x in rows_[a:b]], pa.string())}) for a, b in [(0, 1), (1, 1), (1, 3), (3, 40), (40, 60)]]
+    runs = [[(r["doc"], r["text"]) for r in b.to_pylist()] for b in dac._runs(iter(batches))]
+    assert [x for r in runs for x in r] == rows_
+    assert all(sum(len(x or "") for _, x in r[:-1]) < 10 <= sum(len(x or "") for _, x in r) for r in runs[:-1])

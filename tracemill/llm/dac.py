@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,11 @@ from tracemill.session import work_folder
 WIDTHS = (10, 3, 19)      # bits of a chunk by level; the sum bounds an id
 SEGMENT = 1_000_000       # ids after which a segment is closed
 EVERY = 512               # bits between two entries of a rank directory
+RUN = 1 << 22             # bytes of text whose words a task looks up at a time
 END_ID = 2
 FILE = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, chunks array<binary>, goes_on array<binary>, ranks array<binary>"
+ROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
+                 *[(c, pa.list_(pa.binary())) for c in ("chunks", "goes_on", "ranks")]])
 
 
 def _parts(width: int) -> list[tuple[int, int, int]]:
@@ -122,8 +127,12 @@ def ends_in_letter(core: str) -> bool:
     return core[-1].isalpha() and (core[-1].isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha())
 
 
+def _bytes(values: pa.Array) -> list[bytes]:
+    return values.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Tokens:
-    """Ids of texts by way of their words. The tokenizer never joins across white space, so a word's ids do not depend on
+    """Ids of texts by way of their distinct words. The tokenizer never joins across white space, so a word's ids do not depend on
     its neighbours; and it cuts signs off the letter before them, so a word and its last signs are looked up apart."""
 
     def __init__(self, path: str):
@@ -132,36 +141,52 @@ class Tokens:
         self.model = self.tokenizer.model
         signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {i: signs.pre_tokenize_str(chr(i))[0][0] for i in [*range(97, 123), *range(0xDF, 0x100)]}
-        self.cores = common.WordCache(self._encode, 500_000)
-        self.whole = common.WordCache(self._join, 250_000)
+        self.cache = common.WordCache(self._encode, 500_000)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        ids: list = [None] * len(texts)
-        rest = []
-        for i, t in enumerate(texts):
-            if PLAIN.fullmatch(t):
-                ids[i] = [x.id for x in self.model.tokenize(t.lower().translate(self.spelled))]
+        ids, tokenize = [], self.model.tokenize
+        for w in words:
+            if w.isalpha():                                       # ASCII letters stand for themselves
+                ids.append([x.id for x in tokenize(w.lower().decode())])
+                continue
+            text = w.decode("utf-8", "surrogatepass")
+            if PLAIN.fullmatch(text):
+                ids.append([x.id for x in tokenize(text.lower().translate(self.spelled))])
             else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
+                ids.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return common.packed(ids, "<u4")
 
-    def _join(self, words: list[bytes]) -> list[bytes]:
-        cores, tails = [], []
-        for w in words:
-            core = w.rstrip(TAIL)
-            if b"<" in w or not core or core == w or not ends_in_letter(core.decode("utf-8", "replace")):
-                core = w
-            tails.append(w[len(core):])
-            cores.append(core.lower() if core.isascii() and b"<" not in core else core)
-        ids = self.cores.take(cores)
-        ends = self.cores.take(tails)
-        return [a + b for a, b in zip(ids, ends, strict=True)]
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word without and with only its last signs, where the tokenizer cuts there; else whole and empty. ASCII is in lower
+        case, but for words that may hold a special token."""
+        cores = pc.ascii_rtrim(words, TAIL.decode())
+        size = pc.binary_length(cores)
+        letter, other = pc.match_substring_regex(cores, "[A-Za-z]$").to_numpy(False), pc.match_substring_regex(cores, "[^\x00-\x7F]$").to_numpy(False)
+        special = pc.match_substring(words, "<").to_numpy(False)
+        cut = (size.to_numpy() < pc.binary_length(words).to_numpy()) & ~special & (letter | other)
+        doubt = np.flatnonzero(cut & other)
+        cut[doubt] = [ends_in_letter(w) for w in cores.take(pa.array(doubt)).to_pylist()]
+        ends = pa.array([w[n:] for w, n in zip(_bytes(words.filter(pa.array(cut))), size.to_numpy()[cut].tolist(), strict=True)], pa.binary())
+        tails = pc.replace_with_mask(pa.array([b""] * len(words), pa.binary()), pa.array(cut), ends)
+        cores = pc.if_else(pa.array(cut), cores, words)
+        return pc.if_else(pc.and_(pc.string_is_ascii(cores), pa.array(~special)), pc.ascii_lower(cores), cores).cast(pa.binary()), tails
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(self.whole.take(common.words_of(text)))
+        return self.many(pa.array([text], pa.string()))[0].tobytes()
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids begin (one more than texts). A distinct word is
+        cut and looked up once, whatever its number."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        core, tail = (c.dictionary_encode() for c in self._cut(words.dictionary))
+        of_core, of_tail = (self.cache.take(_bytes(c.dictionary)) for c in (core, tail))
+        found = [of_core[c] + of_tail[t] for c, t in zip(core.indices.to_numpy().tolist(), tail.indices.to_numpy().tolist(), strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, words.indices.to_numpy()
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[at])))
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], size[at])]
+        return ids, ends[split.offsets.to_numpy()]
 
 
 _loaded: dict[str, Tokens] = {}
@@ -174,24 +199,42 @@ def tokens_for(path: str) -> Tokens:
     return _loaded[path]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc, text) in runs of about ``RUN`` bytes of text, from many short batches or a part of one: memory follows the
+    longest text, not the batch."""
+    held, size = [], 0
+    for batch in batches:
+        begin = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().tolist()):
+            size += n
+            if size >= RUN:
+                yield pa.concat_batches([*held, batch.slice(begin, i + 1 - begin)])
+                begin, held, size = i + 1, [], 0
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _write(path: str, end_id: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, segment = tokens_for(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, held, n = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             chunks, goes_on, ranks = encode(ids)
-            return pd.DataFrame([{"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": lengths, "n_ids": len(ids),
-                                  "chunks": chunks, "goes_on": goes_on, "ranks": ranks}])
-        for pdf in frames:
-            for doc, text in zip(pdf["doc"].tolist(), pdf["text"].tolist(), strict=True):
-                ids = tokens.ids(text) + end
+            return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": lengths, "n_ids": len(ids),
+                                                "chunks": chunks, "goes_on": goes_on, "ranks": ranks}], ROW)
+        for rows in _runs(batches):
+            ids, begin = tokens.many(rows.column(1))
+            ids = np.insert(ids, begin[1:], end_id)               # behind each document, so each begins one further than the last
+            begin = (begin + np.arange(len(begin))).tolist()
+            for i, doc in enumerate(rows.column(0).to_numpy().tolist()):
                 doc_ids.append(doc)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                n += len(ids) // 4
+                lengths.append(begin[i + 1] - begin[i])
+                held.append(ids[begin[i]:begin[i + 1]])
+                n += lengths[-1]
                 if n >= SEGMENT:
                     yield close()
                     segment, doc_ids, lengths, held, n = segment + 1, [], [], [], 0
@@ -205,7 +248,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     keyed = common.rows_keyed(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartitionByRange(n, "doc", "tid").sortWithinPartitions("doc", "tid").select("doc", "text")
-    dealt.mapInPandas(_write(tokenizer, end_id), FILE).write.parquet(folder)
+    dealt.mapInArrow(_write(tokenizer, end_id), FILE).write.parquet(folder)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
