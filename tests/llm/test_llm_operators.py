@@ -630,3 +630,18 @@ def test_runs_of_texts_join_short_batches_and_cut_long_ones(monkeypatch):
     runs = [[(r["doc"], r["text"]) for r in b.to_pylist()] for b in dac._runs(iter(batches))]
     assert [x for r in runs for x in r] == rows_
     assert all(sum(len(x or "") for _, x in r[:-1]) < 10 <= sum(len(x or "") for _, x in r) for r in runs[:-1])
+
+
+def test_classifier_fit_holds_little_beside_its_sample(monkeypatch):
+    import tracemalloc
+    r = np.random.default_rng(1)
+    sample = pd.DataFrame([{"grade": int(r.integers(0, 3)), "slots": np.unique(np.concatenate((np.arange(30) * 18, r.integers(0, 60_000, 1500)))).astype(np.int32).tobytes()} for _ in range(2500)])
+    size = int(sample["slots"].map(len).sum())                    # some 15 MB
+    tracemalloc.start()
+    weights, theta = quality.fit(sample, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.5 * size + 24 * (1 << quality.DIM_BITS), most / size
+    monkeypatch.setattr(quality, "ENTRIES", 5000)                  # the cuts between runs leave no trace
+    again, cuts = quality.fit(sample, rounds=2)
+    assert (again == weights).all() and (cuts == theta).all()

@@ -28,6 +28,7 @@ from tracemill.llm import common
 SAMPLE = 8_000
 RUN = 1 << 18             # characters whose features a task makes at a time
 DIM_BITS = 20
+ENTRIES = 1 << 18         # features a fit weighs at a time
 LEAST_ROWS = 4            # sample rows that must hold a feature
 SIGNS = b".,!?;:%&$*#|<>\"'()[]{}-_=+~^/\\@`"
 
@@ -100,22 +101,55 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _blocks(begin: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows with about ``ENTRIES`` features: what a fit holds beside the features themselves follows a run."""
+    at, out, last = 0, [], len(begin) - 1
+    while at < last:
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + ENTRIES, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
 def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights (2^DIM_BITS) and thresholds by full-batch Adam on the ordinal log-likelihood. Row order does not matter."""
+    """Weights (2^DIM_BITS) and thresholds by full-batch Adam on the ordinal log-likelihood. Row order does not matter. It runs on
+    the driver: four bytes for each feature of the sample stay there, all else is made for a run of rows at a time."""
     rows = rows[rows["slots"].map(len) > 0].sort_values(["grade", "slots"], ignore_index=True)
     if rows.empty or rows["grade"].nunique() < 2:
         return None
-    grade = rows["grade"].to_numpy(np.int64)
-    lens = (rows["slots"].map(len) // 4).to_numpy()
-    flat = np.frombuffer(b"".join(rows["slots"]), np.int32)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-    value = values(flat, owner, len(rows))
-    least = min(LEAST_ROWS, max(1, len(rows) // 100))
-    use = (np.bincount(flat, minlength=1 << DIM_BITS) >= least)[flat]
-    flat, owner, value = flat[use], owner[use], value[use]
-    dims = np.unique(flat)
-    flat = np.searchsorted(dims, flat).astype(np.int32)
     n, k = len(rows), n_grades - 1
+    grade = rows["grade"].to_numpy(np.int64)
+    held = rows["slots"].tolist()
+    del rows
+    many = np.fromiter(map(len, held), np.int64, n) // 4
+    worth = np.minimum(1.0, np.sqrt(USUAL / np.maximum(many, 1))).astype(np.float32)       # of a word, by row; see values()
+    least = min(LEAST_ROWS, max(1, n // 100))
+    seen = np.zeros(1 << DIM_BITS, np.int64)
+    for a, b in _blocks(np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))):
+        seen += np.bincount(np.frombuffer(b"".join(held[a:b]), np.int32), minlength=1 << DIM_BITS)
+    dims = np.flatnonzero(seen >= least)
+    place = np.full(1 << DIM_BITS, -1, np.int32)
+    place[dims] = np.arange(len(dims), dtype=np.int32)
+    del seen
+    # the features in use by their place among them; the measures stand first, so a place tells which kind it is
+    dense = int(np.searchsorted(dims, DENSE))
+    kept, lens = [], np.zeros(n, np.int64)
+    for i in range(n):
+        own = place[np.frombuffer(held[i], np.int32)]
+        own = own[own >= 0]
+        kept.append(own)
+        lens[i] = len(own)
+        held[i] = None
+    del place, held
+    flat = np.concatenate(kept)
+    del kept
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
+    runs = _blocks(begin)
+
+    def run(a, b):
+        """The features of rows a to b, the row of each (from a on) and its value."""
+        some, owner = flat[begin[a]:begin[b]], np.repeat(np.arange(b - a), lens[a:b])
+        return some, owner, np.where(some < dense, np.float32(MEASURE), worth[a:b][owner])
     share = np.clip([(grade <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     base = np.log(share / (1 - share))
     # thresholds as the first one and logarithms of the gaps: their order holds throughout
@@ -124,16 +158,20 @@ def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0
     for step in range(1, rounds + 1):
         w, cuts = par[:len(dims)], par[len(dims):]
         theta = cuts[0] + np.concatenate(([0.0], np.cumsum(np.exp(cuts[1:]))))
-        score = np.bincount(owner, w.astype(np.float32)[flat] * value, minlength=n)
         at = np.concatenate(([-np.inf], theta, [np.inf]))
-        up, low = sigmoid(at[grade + 1] - score), sigmoid(at[grade] - score)
-        up, low = np.where(grade == k, 1.0, up), np.where(grade == 0, 0.0, low)
-        p = np.maximum(up - low, 1e-9)
-        du, dl = up * (1 - up) / p, low * (1 - low) / p          # d log p by the upper and lower cut
-        g_score = (dl - du) / n
+        g_words, du, dl, w32 = np.zeros(len(dims)), np.zeros(n), np.zeros(n), w.astype(np.float32)
+        for a, b in runs:
+            some, owner, value = run(a, b)
+            score, own = np.bincount(owner, w32[some] * value, minlength=b - a), grade[a:b]
+            up, low = sigmoid(at[own + 1] - score), sigmoid(at[own] - score)
+            up, low = np.where(own == k, 1.0, up), np.where(own == 0, 0.0, low)
+            p = np.maximum(up - low, 1e-9)
+            du[a:b], dl[a:b] = up * (1 - up) / p, low * (1 - low) / p          # d log p by the upper and lower cut
+            # in the order of rows, so the sums do not depend on the runs
+            np.add.at(g_words, some, (((dl[a:b] - du[a:b]) / n).astype(np.float32)[owner] * value).astype(np.float64))
         g_theta = np.array([(du[grade == j].sum() - dl[grade == j + 1].sum()) / n for j in range(k)])
         g_cuts = np.concatenate(([g_theta.sum()], [g_theta[j + 1:].sum() * math.exp(cuts[j + 1]) for j in range(k - 1)]))
-        grad = np.concatenate((-np.bincount(flat, g_score.astype(np.float32)[owner] * value, minlength=len(dims)) + decay * w, -g_cuts))
+        grad = np.concatenate((-g_words + decay * w, -g_cuts))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         par = par - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     weights = np.zeros(1 << DIM_BITS, np.float32)
