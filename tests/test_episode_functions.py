@@ -107,3 +107,19 @@ def test_roll_matches_integer_arithmetic(spark):
     for i in ids:
         assert got[i] == (int(hashlib.sha256(f"vague:{i}".encode()).hexdigest(), 16) % 1000,
                           int(hashlib.sha256(i.encode()).hexdigest(), 16) % 2 == 0)
+
+
+def test_rolls_of_a_key_in_one_number(spark):
+    from tracemill.functions import hashing as H
+    salts = ["a", "bc", "", "é", "mind", "x:"]
+    df = spark.createDataFrame([("tb_1",), ("",), (None,), ("日本",), ("tb_1",)], "k string")
+    packed = df.withColumn("r", H.remainders(F.col("k"), salts))
+    got = packed.select("k", *[H.rolled(F.col("r"), i, 0.37).alias(f"n{i}") for i in range(6)], *[H.roll(F.col("k"), s, 0.37).alias(f"o{i}") for i, s in enumerate(salts)],
+                        *[(F.shiftright("r", 10 * i).bitwiseAND(F.lit(1023)) == H.sha_mod_1000(F.concat(F.lit(s + ":"), "k"))).alias(f"e{i}") for i, s in enumerate(salts)]).collect()
+    assert len(got) == 5 and all(r[f"n{i}"] == r[f"o{i}"] and r[f"e{i}"] == (None if r.k is None else True) for r in got for i in range(6))
+
+
+def test_varied_tasks_digest_a_key_once(spark, sf):
+    from tracemill.plans import QUERIES
+    plan = QUERIES["varied_tasks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count(" conv(") == 0

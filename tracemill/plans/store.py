@@ -255,6 +255,7 @@ def roll_sql(key: str, salt: str, p: float) -> str:
 COPIES = 3
 # share of eligible tasks each device is applied to: fixed values
 P_CONFLICT, P_ADD, P_MIND, P_FORBID, P_AMOUNT, P_DEFAULT = 0.6, 0.7, 0.5, 0.5, 0.5, 0.35
+DEVICES = {"conflict": P_CONFLICT, "addconf": P_ADD, "mind": P_MIND, "forbid": P_FORBID, "amount": P_AMOUNT, "defaddr": P_DEFAULT}
 
 
 def base_actions(spark, d):
@@ -277,17 +278,18 @@ def rewrite(t, key):
     """Devices applied in order to a one-write task, each by a hash roll on the task's id: a competing
     request, an item added at confirmation, a change of mind (exchange to return, modify to cancel, or the
     last item dropped), a forbidden first request, a stated amount, a default-address write."""
-    roll = lambda salt, p: H.roll(key, salt, p)
+    t = t.withColumn("_rolls", H.remainders(key, list(DEVICES)))
+    roll = lambda salt: H.rolled(F.col("_rolls"), list(DEVICES).index(salt), DEVICES[salt])
     name, two = F.col("name"), F.size("ids") >= 2
     is_return, is_exchange, is_modify = (name == n for n in ("return_delivered_order_items", "exchange_delivered_order_items", "modify_pending_order_items"))
-    t = t.withColumn("conflict", (is_return | is_exchange) & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("conflict", P_CONFLICT))
-    t = t.withColumn("added", is_return & ~F.col("conflict") & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("addconf", P_ADD))
+    t = t.withColumn("conflict", (is_return | is_exchange) & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("conflict"))
+    t = t.withColumn("added", is_return & ~F.col("conflict") & F.coalesce(two & F.col("names_differ"), F.lit(False)) & roll("addconf"))
     free = ~F.col("conflict") & ~F.col("added")
-    t = t.withColumn("mind", F.when(free & roll("mind", P_MIND), F.when(is_exchange | is_modify, "switch").when(is_return & two & F.col("names_differ"), "drop")))
+    t = t.withColumn("mind", F.when(free & roll("mind"), F.when(is_exchange | is_modify, "switch").when(is_return & two & F.col("names_differ"), "drop")))
     t = t.withColumn("final_name", F.when(F.col("mind") == "switch", F.when(is_exchange, "return_delivered_order_items").otherwise("cancel_pending_order")).otherwise(name))
     t = t.withColumn("final_ids", F.when(F.col("mind") == "drop", F.slice("ids", F.lit(1), F.size("ids") - 1)).when((F.col("mind") == "switch") & is_modify, None).otherwise(F.col("ids")))
-    t = t.withColumn("forbidden", F.when(F.col("mind").isNull() & free & roll("forbid", P_FORBID), F.col("final_name")))
-    t = t.withColumn("amount", ~F.col("conflict") & roll("amount", P_AMOUNT)).withColumn("default_address", roll("defaddr", P_DEFAULT))
+    t = t.withColumn("forbidden", F.when(F.col("mind").isNull() & free & roll("forbid"), F.col("final_name")))
+    t = t.withColumn("amount", ~F.col("conflict") & roll("amount")).withColumn("default_address", roll("defaddr")).drop("_rolls")
     return t
 
 
@@ -321,15 +323,15 @@ f AS (SELECT key AS variant_id, task_id, copy, {OUT}, row_number() OVER (PARTITI
 SELECT variant_id, task_id, conflict, added, mind, final_name, final_ids, forbidden, amount, default_address FROM f WHERE rn = 1 AND copy > 0""")
 def varied_tasks(spark, d):
     """K re-rolls of each task under new ids; a variant equal to the original or to an earlier variant is
-    dropped. Copies of a task stay in one row set of K+1, so the comparison is a small window per task."""
+    dropped. Copies of a task stay in one row set of K+1, so the comparison is a small window per task (its order)."""
     from pyspark.sql import Window
     b = base_actions(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES))))
     key = F.when(F.col("copy") == 0, F.col("task_id")).otherwise(F.concat(F.col("task_id"), F.lit("_r"), F.col("copy").cast("string")))
     t = rewrite(b.withColumn("variant_id", key), F.col("variant_id"))
     same = ["conflict", "added", "mind", "final_name", "final_ids", "forbidden", "amount", "default_address"]
-    s = _shown(t, "variant_id", "task_id", "copy")
-    w = Window.partitionBy("task_id", *same).orderBy("copy")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1 and copy > 0").drop("rn", "copy")
+    s = _shown(t, "variant_id", "task_id", "copy", "order_id")
+    w = Window.partitionBy("order_id", *same).orderBy("copy")
+    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1 and copy > 0").drop("rn", "copy", "order_id")
 
 
 @query("state_digests", """WITH RECURSIVE s AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, l_partkey || ':' || o_orderstatus AS item,
