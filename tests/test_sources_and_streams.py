@@ -64,6 +64,36 @@ def test_episode_store(spark, tmp_path):
     assert got.count() == 30 and got.where("v = -1").count() == 10 and EP.keep_through(got, 1).count() == 20
 
 
+def test_episode_store_files_follow_the_rows(spark, tmp_path):
+    df = spark.range(6000).selectExpr("concat('e', id) AS episode_id", "IF(id < 5990, CAST(id % 2500 - 100 AS INT), NULL) AS batch_id", "id AS v")
+    path = str(tmp_path / "store")
+    EP.write_episodes(df, path)
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) < 40          # a file a batch would be 2,501
+    EP.write_episodes(df.where("batch_id IN (-3, 7, 1500)").limit(1).unionByName(df.where("batch_id IS NULL").limit(2)).withColumn("v", F.lit(-1)), path)
+    got = spark.read.parquet(path)
+    first = df.where("batch_id IN (-3, 7, 1500)").limit(1).collect()[0].batch_id
+    gone = df.where(f"batch_id = {first}").count()
+    assert got.count() == 6000 - 10 - gone + 1 + 2 and got.where("v = -1").count() == 3
+    assert got.where(f"batch_id = {first} OR batch_id IS NULL").count() == 3
+    for last in (-101, -100, -1, 0, 999, 1000, 2399):
+        assert EP.keep_through(got, last).count() == got.where(f"batch_id <= {last}").count()
+    assert EP.keep_through(got, 999).where("batch_span > 0").count() == 0
+
+
+def test_episode_store_other_cases(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 2000, 3)], "episode_id string, batch_id int, v int")
+    path = str(tmp_path / "store")
+    EP.write_episodes(df, path)
+    EP.write_episodes(df.where("false"), path)                               # nothing to write changes nothing
+    EP.write_episodes(spark.createDataFrame([("d", 2), ("e", 2)], "episode_id string, batch_id long"), path)    # a column less, another type
+    EP.write_episodes(spark.read.parquet(path).where("batch_id = 2000").withColumn("v", F.lit(9)), path)        # read from the store itself
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("episode_id", "batch_id", "v").collect()) == [
+        ("a", 1, 1), ("c", 2000, 9), ("d", 2, None), ("e", 2, None)]
+    df.write.partitionBy("batch_id").parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="a folder a batch"):
+        EP.write_episodes(df, str(tmp_path / "old"))
+
+
 def test_runs_in_sub_folders(spark, tmp_path):
     for b in ("b0001", "b0002"):
         d = tmp_path / "p4" / "records" / b

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import episode as E
+from tracemill.session import materialise
 from tracemill.sources import schema as S
 
 GATE_THRESHOLD = 0.95  # fixed value: share of episodes that must assemble as one sequence
@@ -31,17 +32,45 @@ def with_run_and_batch(df: DataFrame) -> DataFrame:
             .withColumn("batch_dir", F.regexp_extract("source_file", r"/([^/]+)/[^/]+$", 1)))
 
 
+SPAN, SPAN_BATCHES = "batch_span", 1000  # fixed value: batches that share a folder of the store
+
+
+def span_of(batch: Column) -> Column:
+    """The folder of a batch: it never falls while the number grows. No number, no span."""
+    return F.floor(batch.try_cast("bigint") / F.lit(SPAN_BATCHES))
+
+
+def folders(spark: SparkSession, path: str, column: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*")
+    return bool(len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []))
+
+
 def write_episodes(df: DataFrame, path: str) -> None:
-    """Append by batch. The commit protocol makes the write all-or-nothing, and rewriting a batch
-    replaces just that batch. The rebalance hint gathers a batch into few files, and splits one that
-    holds most rows over several tasks."""
-    (df.hint("rebalance", "batch_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    """Append by batch; rewriting a batch replaces just that batch. A folder holds SPAN_BATCHES batches, in order of batch within
+    its files, so there are as many files as the rows need, however many the batches. The commit protocol replaces whole folders:
+    the other batches of a folder are read and written again beside the new ones, so a store has one writer at a time. The
+    rebalance hint gathers a folder into few files, and splits one that holds most rows over several tasks."""
+    spark = df.sparkSession
+    if folders(spark, path, "batch_id"):
+        raise ValueError(f"{path} has a folder a batch: write its episodes to a new store")
+    if folders(spark, path, SPAN):
+        df = materialise(df, "episodes-new")      # its batches and its rows have to agree
+        store = spark.read.parquet(path)
+        df = df.withColumn("batch_id", F.col("batch_id").cast(store.schema["batch_id"].dataType))
+        spans = [r[0] for r in df.select(span_of(F.col("batch_id"))).distinct().collect()]     # the folders to be replaced
+        touched = F.col(SPAN).isin([x for x in spans if x is not None])
+        rest = store.where(touched | F.col(SPAN).isNull() if None in spans else touched).drop(SPAN)
+        batches = df.select(F.col("batch_id").alias("again")).distinct()
+        rest = rest.join(batches, F.col("batch_id").eqNullSafe(F.col("again")), "left_anti")
+        df = df.drop(SPAN).unionByName(rest, allowMissingColumns=True)
+    (df.withColumn(SPAN, span_of(F.col("batch_id"))).hint("rebalance", SPAN).sortWithinPartitions(SPAN, "batch_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(SPAN).parquet(path))
 
 
 def keep_through(df: DataFrame, last_batch: int) -> DataFrame:
-    """Records up to a checkpoint; a partition filter when the table is laid out by batch."""
-    return df.where(F.col("batch_id") <= F.lit(last_batch))
+    """Records up to a checkpoint; in a store of ``write_episodes`` a partition filter leaves out the folders after it."""
+    kept = df.where(F.col("batch_id") <= F.lit(last_batch))
+    return kept.where(F.col(SPAN) <= span_of(F.lit(last_batch))) if SPAN in df.columns else kept
 
 
 def gate_report(episodes: DataFrame) -> DataFrame:
