@@ -645,3 +645,62 @@ def test_classifier_fit_holds_little_beside_its_sample(monkeypatch):
     monkeypatch.setattr(quality, "ENTRIES", 5000)                  # the cuts between runs leave no trace
     again, cuts = quality.fit(sample, rounds=2)
     assert (again == weights).all() and (cuts == theta).all()
+
+
+def test_bitmaps_follow_the_number_of_keys(spark, docs, monkeypatch):
+    """A bitmap passes through the driver with every stage that tests it: few keys take a small one, many no more than the most."""
+    sizes, make = [], jaccard.common.bit_table
+    monkeypatch.setattr(jaccard.common, "bit_table", lambda keys, key, bits: sizes.append(bits) or make(keys, key, bits))
+    assert jaccard.join(docs).count() == docs.count()
+    clear, maybe = jaccard.common.flagged(docs, spark.createDataFrame([(1, 2)], "doc long, tid long"))
+    assert clear.count() + maybe.count() == docs.count()
+    assert len(sizes) > 3 and max(sizes) <= 14
+    assert [jaccard.common.bits_for(n, 24) for n in (0, 1000, 1 << 20, 10 ** 9)] == [10, 14, 24, 24]
+
+
+def test_bitmaps_hold_every_key(spark):
+    keys = spark.range(500).select(F.xxhash64("id").alias("key"))
+    bits = jaccard.common.bits_for(500, 24)
+    held = spark.range(20_000).where(jaccard.common.has_bit(jaccard.common.bit_table(keys, "key", bits), F.xxhash64("id"), bits))
+    found = {r.id for r in held.collect()}
+    assert found >= set(range(500)) and len(found) < 20_000 / 8
+
+
+def test_rarity_table_is_read_by_one_job(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 20)
+    pieces = spark.createDataFrame([{"doc": i, "tid": i, "text": f"a b c d{i} e"} for i in range(8)]).select("doc", "tid", "text").mapInPandas(
+        jaccard._first_pass(3), f"kind int, {jaccard.SIDES}, piece int, counts binary").where("kind = 1").localCheckpoint()
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("rarity", "")
+        table = jaccard.rarity_table(pieces)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(table) == 1 << 20 and table.any()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rarity")) <= 4
+
+
+def test_links_of_a_task_are_a_star():
+    """A chain of near copies in one group: every joined component is linked with the one at the root."""
+    items = [np.arange(i, i + 100, dtype=np.uint64) for i in range(12)]
+    group = pd.DataFrame({"d1": range(12), "d2": 0, "gid": 1, "part": 0, "member": True, "c1": range(12), "c2": 0, "items": [s.tobytes() for s in items]})
+    links = jaccard._linked(9, 10, True)(group)
+    ends = {(int(a), int(b)) for a, b in zip(links["a1"], links["b1"], strict=True)}
+    assert {a for a, _ in ends} == set(range(1, 12)) and {b for _, b in ends} == {0}
+    group["c1"] = [0] * 6 + [6] * 6                       # two components already joined: one link between them
+    assert len(jaccard._linked(9, 10, True)(group)) == 1
+
+
+def test_classifier_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the weights, not the sample; they are those of a fit of the same rows on the driver."""
+    docs = spark.createDataFrame([(i, f"good text {i % 3} alpha" if i % 2 else f"bad junk {i % 5} beta") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    weights, theta = quality.fit(quality.graded(docs, labels, 50, 3))
+    monkeypatch.setattr(quality, "graded", None)
+    got, cuts = quality.trained(docs, labels, 50, 3)
+    assert got.any() and (got == weights).all() and (cuts == theta).all()
+    assert quality.trained(docs, labels.where("quality = 1"), 50, 3) is None and quality.trained(docs, labels.limit(0), 50, 3) is None

@@ -43,7 +43,7 @@ PIECE_BITS = 16           # counters of one merge piece
 GROUP = 192               # classes of a group, on average
 ASKED = 4                 # queries of a copy of a group, in groups' worth
 HOT = 1000                # rows from which on a key of the component rounds may be spread
-ACTIVE_BITS = 24          # bitmap of classes that have a possible partner
+ACTIVE_BITS = 24          # largest bitmap of classes that have a possible partner, 2^24
 LAST_ID = 2 ** 63 - 1
 SIDES = "doc long, tid long, n int, d1 long, d2 long"
 STOP = ["gid", "part", "member", "c1", "c2"]
@@ -108,10 +108,10 @@ def _rank(total: np.ndarray) -> bytes:
 
 
 def rarity_table(pieces: DataFrame) -> np.ndarray:
-    """2^SKETCH_BITS bytes, whatever the number of documents."""
+    """2^SKETCH_BITS bytes, whatever the number of documents; read by one job, not one for each partition."""
     table = np.zeros(1 << SKETCH_BITS, np.uint8)
     merged = pieces.select("piece", "counts").repartition(F.col("piece")).sortWithinPartitions("piece").mapInPandas(_merge_counts, "piece int, rank binary")
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         table[r["piece"] << PIECE_BITS:(r["piece"] + 1) << PIECE_BITS] = np.frombuffer(r["rank"], np.uint8)
     return table
 
@@ -289,8 +289,10 @@ def _linked(num: int, den: int, first: bool):
             forest.join(seen.setdefault(t, i), i)
         found = list(_open(sets[:k], sets[:k], forest, num, den, True)) if first and pdf["part"].iat[0] == 0 else []
         found += [(k + q, m) for q, m in _open(sets[:k], sets[k:], forest, num, den, False)]
-        ends = pdf[["c1", "c2"]].to_numpy()
-        return pd.DataFrame([(*ends[q], *ends[m]) for q, m in found], columns=["a1", "a2", "b1", "b2"])
+        # each joined component is linked with the one of its tree's root: a star takes fewer rounds than a chain
+        ends = list(map(tuple, pdf[["c1", "c2"]].to_numpy().tolist()))
+        stars = dict.fromkeys((ends[i], ends[forest.root(i)]) for link in found for i in link)
+        return pd.DataFrame([(*a, *b) for a, b in stars if a != b], columns=["a1", "a2", "b1", "b2"])
     return run
 
 
@@ -314,16 +316,18 @@ def classes_joined(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10)
     # one document speaks for its class; the bitmap may let a few more through
     heads = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "tid")).alias("head")).select("d1", "d2", "head.doc", "head.tid")
     heads = common.saved(heads, "heads")
+    active = common.bits_for(heads.count(), ACTIVE_BITS)
 
     def spoken(chosen: DataFrame) -> DataFrame:
-        bits = common.bit_table(chosen.select(F.xxhash64("doc", "tid").alias("key")), "key", ACTIVE_BITS)
-        return keyed.where(common.has_bit(bits, F.xxhash64("doc", "tid"), ACTIVE_BITS))
+        bits = common.bit_table(chosen.select(F.xxhash64("doc", "tid").alias("key")), "key", active)
+        return keyed.where(common.has_bit(bits, F.xxhash64("doc", "tid"), active))
     prefixes = spoken(heads).mapInPandas(_prefixes(size, table, num, den), "d1 long, d2 long, least long, keys array<long>")
     prefixes = common.saved(prefixes.groupBy("d1", "d2").agg(F.first("least").alias("least"), F.first("keys").alias("keys")), "prefixes")
     live = common.saved(live_keys(prefixes.select(F.explode("keys").alias("key"))), "live")
-    lit = common.bit_table(live.select(F.xxhash64("key").alias("key")), "key", ACTIVE_BITS)
+    alive = common.bits_for(live.count(), ACTIVE_BITS)
+    lit = common.bit_table(live.select(F.xxhash64("key").alias("key")), "key", alive)
     # classes with a key that another class may meet; the rest are alone
-    met = prefixes.select("d1", "d2", "least", F.explode("keys").alias("key")).where(common.has_bit(lit, F.xxhash64("key"), ACTIVE_BITS))
+    met = prefixes.select("d1", "d2", "least", F.explode("keys").alias("key")).where(common.has_bit(lit, F.xxhash64("key"), alive))
     met = met.join(live, "key", "left_semi")        # the bitmap lets some more keys through
     met = common.saved(met.groupBy("d1", "d2").agg(F.first("least").alias("least"), F.collect_list("key").alias("keys")), "met")
 
@@ -409,7 +413,8 @@ def stops_of(grouped: DataFrame, sent: DataFrame, first: bool) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(d1, d2, label): the smallest label that edges reach, for classes with an edge. ``nodes`` has d1, d2, label.
-    Each round takes the smallest label around a class and jumps to that label's own label; every round is a table."""
+    Each round takes the smallest label around a class and jumps to that label's own label; every round is a table. Once no
+    label changes, the ends of every edge have the same one: the smallest of their component."""
     both = edges.select("a1", "a2", "b1", "b2").unionByName(edges.selectExpr("b1 as a1", "b2 as a2", "a1 as b1", "a2 as b2"))
     ends = both.groupBy(F.col("a1").alias("d1"), F.col("a2").alias("d2")).agg(F.count(F.lit(1)).alias("degree"))
     now = common.saved(nodes.join(ends, ["d1", "d2"]).select("d1", "d2", F.col("label").alias("own"), "label", "degree"), "labels")
@@ -427,13 +432,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooks = better.where("new < label").groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "at")
         low = better.join(hooks, better["own"] == hooks["at"], "left").select("d1", "d2", "own", "degree", F.col("label").alias("old"), F.least("new", "hook").alias("new"))
         low = common.saved(low, "low")
+        if low.where("new < old").isEmpty():
+            return low.select("d1", "d2", F.col("new").alias("label"))
         # the label of a large component is asked for by all its classes
         jump = low.groupBy("new").agg(F.count(F.lit(1)).alias("n")).join(low.select(F.col("own").alias("new"), F.col("new").alias("over")), "new")
         step = skew.attach(low, jump, ["new"], "n", ["own"], "left", min_rows=HOT)
-        step = common.saved(step.select("d1", "d2", "own", "degree", "old", F.coalesce("over", "new").alias("label")), "labels")
-        if step.where("label < old").isEmpty():
-            return step.select("d1", "d2", "label")
-        now = step.drop("old")
+        now = common.saved(step.select("d1", "d2", "own", "degree", F.coalesce("over", "new").alias("label")), "labels")
 
 
 def labelled(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10) -> DataFrame:

@@ -78,17 +78,22 @@ def _featured(frames):
         yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "grade": pdf["grade"].to_numpy(), "slots": [s.tobytes() for s in features(texts)]})
 
 
-def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.DataFrame:
+def rated(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> DataFrame:
     """(grade, slots) of at most ``sample`` rated ids, one text each: of texts that share an id the one with the least slots
-    counts, chosen by an aggregate, so no more than ``sample`` rows reach the driver. The sampled ratings are what is
+    counts, chosen by an aggregate, so a fit gets no more than ``sample`` rows. The sampled ratings are what is
     broadcast: ``sample`` small rows."""
-    rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
+    ratings = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
         "doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
-    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    some = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    ratings = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    some = ratings.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     found = rows.select("doc_id", "grade", "text").mapInPandas(_featured, "doc_id long, grade int, slots binary")
-    return found.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).select("grade", "slots").toPandas()
+    return found.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).select("grade", "slots")
+
+
+def graded(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> pd.DataFrame:
+    """The rows of ``rated`` on the driver, to look at; a fit takes them in a task."""
+    return rated(docs, labels, sample, seed).toPandas()
 
 
 def values(slots: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -112,8 +117,8 @@ def _blocks(begin: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fit(rows: pd.DataFrame, n_grades: int = 3, rounds: int = 50, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights (2^DIM_BITS) and thresholds by full-batch Adam on the ordinal log-likelihood. Row order does not matter. It runs on
-    the driver: four bytes for each feature of the sample stay there, all else is made for a run of rows at a time."""
+    """Weights (2^DIM_BITS) and thresholds by full-batch Adam on the ordinal log-likelihood. Row order does not matter. Four bytes
+    for each feature of the sample stay in memory, all else is made for a run of rows at a time."""
     rows = rows[rows["slots"].map(len) > 0].sort_values(["grade", "slots"], ignore_index=True)
     if rows.empty or rows["grade"].nunique() < 2:
         return None
@@ -205,8 +210,23 @@ def _scored(model, tail: int, least: float):
     return run
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3):
-    return fit(graded(docs, labels, sample, seed))
+def _fitted(frames):
+    """One row with the weights that are not 0, their places and the thresholds; none if nothing can be learned."""
+    parts = [pdf for pdf in frames if len(pdf)]
+    model = fit(pd.concat(parts, ignore_index=True)) if parts else None
+    if model is not None:
+        used = np.flatnonzero(model[0])
+        yield pd.DataFrame({"at": [used.astype(np.int32).tobytes()], "weights": [model[0][used].tobytes()], "theta": [model[1].tobytes()]})
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
+    """The model of ``fit``, made in a task that gets the sample: the driver receives the weights alone."""
+    found = rated(docs, labels, sample, seed).repartition(1).mapInPandas(_fitted, "at binary, weights binary, theta binary").collect()
+    if not found:
+        return None
+    weights = np.zeros(1 << DIM_BITS, np.float32)
+    weights[np.frombuffer(found[0]["at"], np.int32)] = np.frombuffer(found[0]["weights"], np.float32)
+    return weights, np.frombuffer(found[0]["theta"], np.float64)
 
 
 def score(docs: DataFrame, model, tail: int = 2, least: float = 0.5) -> DataFrame:
