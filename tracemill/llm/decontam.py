@@ -79,7 +79,9 @@ def _places(keyed: DataFrame, table: Column, lengths: list[int], size: int) -> D
     kept = each.where(hit | F.col("pos").isNull() | (F.col("pos") == 0))
     base = F.greatest(F.col("pos") - size, F.lit(0))
     first = F.col("pos").isNull() | (F.col("pos") == 0)
-    tokens = F.array_compact(F.array(*[F.when(w, f) for w, f in zip(wanted, found, strict=True)]))
+    # Spark holds all rows made of one document: they must not have its words. A function with a lambda (array_compact) here would
+    # be computed behind the explode and take them there; tokens that are not wanted stay as nulls instead
+    tokens = F.array(*[F.when(w, f) for w, f in zip(wanted, found, strict=True)])
     return kept.select("doc", "tid", "pos", base.alias("base"), F.slice("words", base + 1, F.lit(2 * size)).alias("near"),
                        F.when(F.col("pos").isNotNull(), tokens).alias("tokens"), F.when(first, F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0))).cast("bigint").alias("n_words"))
 
@@ -90,7 +92,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item_id: str = "
     all_tokens = common.saved(tokens(windows), "tokens")
     lengths = [r["k"] for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]
     scanned = common.saved(_places(common.rows_keyed(docs, tid_bits=64), common.bit_table(all_tokens, "token", BITS), lengths, size), "places")
-    places = scanned.where(F.size("tokens") > 0).select("doc", "tid", "pos", "base", "near", F.explode("tokens").alias("token"))
+    places = scanned.where(F.size("tokens") > 0).select("doc", "tid", "pos", "base", "near", F.explode("tokens").alias("token")).where("token IS NOT NULL")
     counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = all_tokens.join(counts, "token", "left").groupBy("wid").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"))
