@@ -39,3 +39,8 @@ def ran(step, folder):
 def test_document_of_benchmark_text_alone(tmp_path):
     """Nearly every word begins a benchmark token: the places hold words in proportion to the document, not to its square."""
     assert ran("contamination", tmp_path) == [[1, 9000, 9000, True], [2, 9000, 0, False], [3, 0, 0, False]]
+
+
+def test_stage_over_a_document_of_benchmark_text_alone(tmp_path):
+    """The pipeline's third stage drops it and keeps the others, in the same heap."""
+    assert ran("stage", tmp_path) == [[2], [3]]
